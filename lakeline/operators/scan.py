@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeline.session import checkpoint_dir
+
 _OPS = ("sum", "count", "max", "min", "last")
 
 
@@ -144,6 +146,7 @@ def running(df: DataFrame, by: Iterable[str], order: Iterable, aggs: dict,
     by = list(by)
     order = [_col(c) for c in order]
     spark = df.sparkSession
+    checkpoint_dir(spark)
     n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     specs = []
