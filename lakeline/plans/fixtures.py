@@ -7,8 +7,6 @@ Every view is lazy and grows with its source table.
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,8 +139,8 @@ class Fixtures(Tables):
             F.col("user_id").alias("entity_id"), "ts", F.col("event_id").alias("seq"),
             typ.alias("type"), F.col("value").alias("row_count"))
 
-    def log_lines(self) -> DataFrame:
-        e = self.events
+    @staticmethod
+    def _pg_line():
         level = (F.when(F.col("event_type") == "error", "ERROR")
                  .when(F.col("event_type") == "signup", "FATAL").otherwise("LOG"))
         body = (F.when(F.col("event_type") == "click",
@@ -151,9 +149,32 @@ class Fixtures(Tables):
                 .when(F.col("event_type") == "purchase",
                       F.lit('automatic vacuum of table "lake.public.t"'))
                 .otherwise(F.lit("connection failed")))
-        line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" UTC ["),
+        return F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" UTC ["),
                         F.col("user_id").cast("string"), F.lit("] "), level, F.lit(": "), body)
-        return e.select("event_id", "ts", F.col("user_id").alias("pid"), line.alias("line"))
+
+    def log_lines(self) -> DataFrame:
+        return self.events.select("event_id", "ts", F.col("user_id").alias("pid"), self._pg_line().alias("line"))
+
+    def raw_logs(self) -> DataFrame:
+        """Mixed log stream: database lines, JSON backend lines and plain worker
+        lines, with container/namespace labels."""
+        e = self.events
+        r = F.col("user_id") % 3
+        container = F.when(r == 0, "postgresql").when(r == 1, "backend").otherwise("worker")
+        err = F.col("event_type") == "error"
+        eid, uid = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+        js = F.concat(
+            F.lit('{"timestamp":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+            F.lit('","level":"'), F.when(err, "ERROR").otherwise("INFO"),
+            F.lit('","service":"lakeline-api","message":"'), F.col("event_type"), F.lit(' handled","request_id":"'),
+            eid, F.lit('","job_name":"job_'), uid, F.lit('","table_name":"t'), uid, F.lit('"'),
+            F.when(err, F.lit(',"error":"boom"')).otherwise(F.lit("")), F.lit("}"))
+        worker = F.when(err, F.concat(F.lit("worker error: failed item "), eid)).otherwise(
+            F.concat(F.lit("worker processed item "), eid, F.lit(" INFO")))
+        return e.select(
+            "event_id", "ts", container.alias("container"),
+            F.when(r == 0, "database").otherwise("apps").alias("namespace"),
+            F.when(r == 0, self._pg_line()).when(r == 1, js).otherwise(worker).alias("line"))
 
     def snapshots(self) -> DataFrame:
         e = self.events

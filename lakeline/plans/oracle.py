@@ -49,6 +49,24 @@ VIEWS: dict[str, str] = {
              WHEN 'view' THEN 'queue: lineage_events'
              WHEN 'purchase' THEN 'automatic vacuum of table "lake.public.t"'
              ELSE 'connection failed' END AS line FROM events""",
+    "raw_logs": """SELECT event_id, ts,
+        CASE user_id % 3 WHEN 0 THEN 'postgresql' WHEN 1 THEN 'backend' ELSE 'worker' END AS container,
+        CASE WHEN user_id % 3 = 0 THEN 'database' ELSE 'apps' END AS namespace,
+        CASE user_id % 3
+          WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' UTC [' || user_id || '] ' ||
+            CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'FATAL' ELSE 'LOG' END || ': ' ||
+            CASE event_type WHEN 'click' THEN 'duration: ' || event_id || '.5 ms'
+                 WHEN 'view' THEN 'queue: lineage_events'
+                 WHEN 'purchase' THEN 'automatic vacuum of table "lake.public.t"'
+                 ELSE 'connection failed' END
+          WHEN 1 THEN '{"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '","level":"' ||
+            CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END ||
+            '","service":"lakeline-api","message":"' || event_type || ' handled","request_id":"' || event_id ||
+            '","job_name":"job_' || user_id || '","table_name":"t' || user_id || '"' ||
+            CASE WHEN event_type = 'error' THEN ',"error":"boom"' ELSE '' END || '}'
+          ELSE CASE WHEN event_type = 'error' THEN 'worker error: failed item ' || event_id
+                    ELSE 'worker processed item ' || event_id || ' INFO' END END AS line
+        FROM events""",
     "snapshots": """SELECT 't' || user_id AS table_name, event_id AS snapshot_id, ts AS created_at,
         '/snap/' || event_id AS uri, 'parquet' AS format FROM events""",
     "employees": """SELECT s_suppkey AS employee_id,
