@@ -98,6 +98,15 @@ class Fixtures(Tables):
             (F.col("value") / 100.0).alias("duration"),
         )
 
+    def tenant_requests(self) -> DataFrame:
+        """Requests with the caller's tenant (customer nation) and user name."""
+        r = self.requests()
+        c = self.customer.select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+        n = self.nation.select("n_nationkey", "n_name")
+        j = r.join(c, r.client_id == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+        return j.select(*r.columns, F.col("n_name").alias("tenant"),
+                        F.concat(F.col("c_mktsegment"), F.lit("_"), F.col("c_name")).alias("user"))
+
     def messages(self) -> DataFrame:
         e = self.events
         return e.select(

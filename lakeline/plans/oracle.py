@@ -27,6 +27,8 @@ VIEWS: dict[str, str] = {
         event_type AS endpoint, CASE WHEN event_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method,
         CASE WHEN event_type = 'error' THEN 500 WHEN event_id % 50 = 0 THEN 404 ELSE 200 END AS status_code,
         value / 100.0 AS duration FROM events""",
+    "tenant_requests": """SELECT r.*, n.n_name AS tenant, c.c_mktsegment || '_' || c.c_name AS "user"
+        FROM requests r JOIN customer c ON c.c_custkey = r.client_id JOIN nation n ON n.n_nationkey = c.c_nationkey""",
     "messages": """SELECT event_id AS msg_id,
         CASE event_type WHEN 'error' THEN 'lineage_events_dlq' WHEN 'signup' THEN 'lineage_notifications'
              ELSE 'lineage_events' END AS queue_name,
