@@ -232,3 +232,102 @@ def q_st_dedup(spark, sf):
     redelivered = m.filter(F.col("read_ct") > 5).withColumn(
         "enqueued_at", F.col("enqueued_at") + F.make_dt_interval(secs=F.lit(30)))
     return S.st_dedup(m.unionByName(redelivered), "msg_id", ["enqueued_at"])
+
+
+# ------------------------------------------------------------------ Structured Streaming runs
+# Each query writes its input (derived from the given tables) as a few files
+# in event order, runs the stream to completion with an availableNow trigger,
+# and returns the stream's output read back.  Oracles are the batch twins,
+# restricted to what append mode can have emitted (closed by the watermark).
+
+def _stream_dirs(spark, what):
+    from lakeline.plans.q_io import scratch
+
+    root = scratch(spark, f"stream-{what}")
+    return f"{root}/in", f"{root}/out", f"{root}/ckpt"
+
+
+@register("st_ingest", sql("""
+SELECT '00000000-0000-4000-8000-' || lpad(lower(hex(r.run_id)), 12, '0') AS run_id, j.namespace AS job_namespace,
+       j.name AS job_name, CASE r.state WHEN 'RUNNING' THEN 'START' ELSE r.state END AS state, r.started_at, r.ended_at
+FROM runs r JOIN jobs j ON j.id = r.job_id""", "jobs", "runs"))
+def q_st_ingest(spark, sf):
+    from lakeline.streaming import jobs as J
+
+    src, out, ck = _stream_dirs(spark, "ingest")
+    J.write_in_event_order(Fixtures(spark, sf).ol_events(), src, "ts", 4)
+    J.st_ingest(spark, src, out, ck).awaitTermination()
+    return J.store_tables(spark, out)["runs"]
+
+
+@register("st_window_tumbling_stream", """
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
+       event_type, count(*) AS n FROM events GROUP BY 1, 2, 3
+HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def q_st_window_tumbling_stream(spark, sf):
+    from lakeline.streaming import jobs as J
+
+    src, out, ck = _stream_dirs(spark, "tumble")
+    ev = Fixtures(spark, sf).events
+    J.write_in_event_order(ev, src, "ts", 4)
+    J.st_window_tumbling(J.file_stream(spark, src, ev.schema), out, ck).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("st_session_stream", sql("""
+, g AS (SELECT client_id, ts, event_id,
+          CASE WHEN lag(ts) OVER w IS NULL OR (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 >= 120 THEN 1 ELSE 0 END AS st
+        FROM pings WINDOW w AS (PARTITION BY client_id ORDER BY ts, event_id))
+, s AS (SELECT *, sum(st) OVER (PARTITION BY client_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+          AS session FROM g)
+SELECT client_id, min(ts) AS session_start, max(ts) + INTERVAL 120 SECOND AS session_end, count(*) AS events
+FROM s GROUP BY client_id, session
+HAVING max(ts) + INTERVAL 120 SECOND <= (SELECT max(ts) FROM pings) - INTERVAL 10 MINUTE""", "pings"))
+def q_st_session_stream(spark, sf):
+    from lakeline.streaming import jobs as J
+
+    src, out, ck = _stream_dirs(spark, "session")
+    p = Fixtures(spark, sf).pings()
+    J.write_in_event_order(p, src, "ts", 4)
+    J.st_session(J.file_stream(spark, src, p.schema), out, ck).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("st_dedup_stream", sql("SELECT * FROM messages", "messages"))
+def q_st_dedup_stream(spark, sf):
+    from lakeline.streaming import jobs as J
+
+    src, out, ck = _stream_dirs(spark, "dedup")
+    m = Fixtures(spark, sf).messages()
+    redelivered = m.filter(F.col("read_ct") > 5).withColumn(
+        "enqueued_at", F.col("enqueued_at") + F.make_dt_interval(secs=F.lit(30)))
+    J.write_in_event_order(m.unionByName(redelivered), src, "enqueued_at", 4)
+    J.st_dedup(J.file_stream(spark, src, m.schema), out, ck).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("ev_latest_state_stream", sql("""
+, l AS (SELECT entity_id, arg_max({'ts': ts, 'seq': seq, 'type': type, 'row_count': row_count}, (ts, seq)) AS s
+        FROM changelog GROUP BY 1)
+SELECT entity_id, s.ts AS ts, s.seq AS seq, s.type AS type, s.row_count AS row_count FROM l
+WHERE NOT ends_with(s.type, '_deleted')""", "changelog"))
+def q_ev_latest_state_stream(spark, sf):
+    from lakeline.streaming import jobs as J
+
+    src, out, ck = _stream_dirs(spark, "latest")
+    c = Fixtures(spark, sf).changelog()
+    J.write_in_event_order(c, src, "ts", 4)
+    J.ev_latest_state(J.file_stream(spark, src, c.schema), out, ck).awaitTermination()
+    return J.current_state(spark, out)
+
+
+@register("ev_liveness_stream")
+def q_ev_liveness_stream(spark, sf):
+    """Zombies reported by the stateful detector (rows-only check)."""
+    from lakeline.streaming import jobs as J
+
+    src, out, ck = _stream_dirs(spark, "liveness")
+    p = Fixtures(spark, sf).pings()
+    J.write_in_event_order(p, src, "ts", 4)
+    J.ev_liveness(J.file_stream(spark, src, p.schema), out, ck).awaitTermination()
+    return spark.read.parquet(out)
