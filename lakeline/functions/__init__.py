@@ -83,3 +83,28 @@ def split_trim(c, sep: str = ",") -> Column:
     """Comma list -> trimmed, non-empty items."""
     parts = F.transform(F.split(col(c), sep), lambda x: F.trim(x))
     return F.filter(parts, lambda x: F.length(x) > 0)
+
+
+# Exact aggregates of fixed-decimal values.  Summing doubles depends on the
+# order of the additions (which differs between tasks, runs and engines);
+# summing the scaled integers is exact, and one final division gives the same
+# double everywhere.  ``scale`` = 10 ** (number of decimals).
+
+def scaled(c, scale: int) -> Column:
+    return F.round(col(c) * scale).cast("long")
+
+
+def exact_sum(c, scale: int) -> Column:
+    return F.sum(scaled(c, scale)) / float(scale)
+
+
+def exact_avg(c, scale: int) -> Column:
+    return F.sum(scaled(c, scale)) / F.count(col(c)) / float(scale)
+
+
+def round_half_up_ratio(num, den, factor: int = 100, decimals: int = 2) -> Column:
+    """round(factor * num / den, decimals) with integer arithmetic (half up),
+    0 when den is 0 -- identical in every engine, unlike rounding a double."""
+    k = 10 ** decimals
+    n, d = col(num).cast("long"), col(den).cast("long")
+    return F.when(d != 0, F.floor((n * (2 * factor * k) + d) / (d * 2)) / float(k)).otherwise(F.lit(0.0))

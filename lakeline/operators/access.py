@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeline.functions import max_of, preview
+from lakeline.functions import exact_avg, exact_sum, max_of, preview
 from lakeline.session import checkpoint_dir
 
 
@@ -60,11 +60,13 @@ def sec_roles(edges: DataFrame, grants: DataFrame) -> DataFrame:
     return c.join(g, "anc").select("role", "privilege", "object").distinct()
 
 
-def rep_daily(df: DataFrame, ts: str, tenant: str, value: str) -> DataFrame:
-    """Per day and tenant: events, sum and average of ``value``."""
+def rep_daily(df: DataFrame, ts: str, tenant: str, value: str, scale: int | None = None) -> DataFrame:
+    """Per day and tenant: events, sum and average of ``value`` (exact when
+    ``value`` has a fixed number of decimals, given as ``scale``)."""
+    total = exact_sum(value, scale) if scale else F.sum(value)
+    avg = exact_avg(value, scale) if scale else F.avg(value)
     return df.groupBy(F.date_trunc("day", ts).alias("day"), F.col(tenant).alias("tenant")).agg(
-        F.count(F.lit(1)).alias("events"), F.round(F.sum(value), 6).alias("total"),
-        F.round(F.avg(value), 6).alias("average"))
+        F.count(F.lit(1)).alias("events"), total.alias("total"), avg.alias("average"))
 
 
 def rep_daily_last(daily: DataFrame, days: int = 30, asof=None) -> DataFrame:
@@ -82,14 +84,15 @@ def rep_activity(df: DataFrame, user: str, users: DataFrame | list, text: str, n
 
 
 def rep_query_hourly(df: DataFrame, user: str, ts: str, duration: str, active: Column,
-                     patterns: list[str]) -> DataFrame:
+                     patterns: list[str], scale: int | None = None) -> DataFrame:
     """Per user-hour for users matching any LIKE pattern: count, avg duration, active count."""
     cond = None
     for p in patterns:
         c = F.col(user).like(p)
         cond = c if cond is None else (cond | c)
     return df.filter(cond).groupBy(user, F.date_trunc("hour", ts).alias("hour")).agg(
-        F.count(F.lit(1)).alias("queries"), F.round(F.avg(duration), 6).alias("avg_duration"),
+        F.count(F.lit(1)).alias("queries"),
+        (exact_avg(duration, scale) if scale else F.avg(duration)).alias("avg_duration"),
         F.count(F.when(active, 1)).alias("active"))
 
 
@@ -100,7 +103,7 @@ def rep_dashboard_daily(events: DataFrame, days: int = 90, asof=None) -> DataFra
     return recent.groupBy(F.date_trunc("day", "ts").alias("day")).agg(
         F.count_distinct("user_id").alias("dau"), F.count(F.lit(1)).alias("events"),
         (F.coalesce(F.sum(F.when(F.col("event_type") == "purchase", cents)), F.lit(0)) / 100.0).alias("revenue"),
-        F.round(F.avg("value"), 6).alias("avg_session"))
+        exact_avg("value", 100).alias("avg_session"))
 
 
 def rep_week_cohorts(events: DataFrame, user: str = "user_id", ts: str = "ts") -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeline.functions import from_micros, max_of, micros, ratio_or_zero, safe_div
+from lakeline.functions import (exact_avg, exact_sum, from_micros, max_of, micros, ratio_or_zero,
+                                round_half_up_ratio, safe_div, scaled)
 from lakeline.operators.scan import lag_join, running
 
 # Default histogram bucket bounds of the Prometheus client library.
@@ -23,20 +24,24 @@ def _asof(df: DataFrame, ts: str, asof) -> Column:
     return F.lit(asof).cast("timestamp_ntz") if isinstance(asof, str) else asof
 
 
-def mon_requests_window(requests: DataFrame, seconds: int = 300, asof=None) -> DataFrame:
+def _avg(c: str, scale: int | None) -> Column:
+    return exact_avg(c, scale) if scale else F.avg(c)
+
+
+def mon_requests_window(requests: DataFrame, seconds: int = 300, asof=None, scale: int | None = None) -> DataFrame:
     """Last ``seconds`` before ``asof``: total, avg/min/max duration, rps and error rate."""
     now = _asof(requests, "start_time", asof)
     r = requests.filter(F.col("start_time") >= now - F.make_dt_interval(secs=F.lit(seconds)))
     return r.agg(
         F.count(F.lit(1)).alias("total_requests"),
-        F.round(F.avg("duration"), 6).alias("avg_duration"),
+        _avg("duration", scale).alias("avg_duration"),
         F.min("duration").alias("min_duration"),
         F.max("duration").alias("max_duration"),
         (F.count(F.lit(1)) / float(seconds)).alias("rps"),
-        F.round(F.coalesce(F.avg((F.col("status_code") >= 400).cast("double")), F.lit(0.0)), 6).alias("error_rate"))
+        ratio_or_zero(F.sum((F.col("status_code") >= 400).cast("long")), F.count(F.lit(1))).alias("error_rate"))
 
 
-def mon_throughput(requests: DataFrame, window_s: int = 60, step_s: int = 10) -> DataFrame:
+def mon_throughput(requests: DataFrame, window_s: int = 60, step_s: int = 10, scale: int = 10000) -> DataFrame:
     """Every ``step_s``: requests, rps, avg response and error rate over the
     trailing ``window_s``; windows without requests report zeros.
 
@@ -50,7 +55,7 @@ def mon_throughput(requests: DataFrame, window_s: int = 60, step_s: int = 10) ->
     k = window_s // step_s
     b = requests.select(
         (F.floor(micros("start_time") / step_us) * step_us).cast("long").alias("bucket"),
-        "duration", (F.col("status_code") >= 400).cast("long").alias("err"))
+        scaled("duration", scale).alias("duration"), (F.col("status_code") >= 400).cast("long").alias("err"))
     buckets = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("duration").alias("dsum"),
                                       F.sum("err").alias("errs"))
     lo, hi = buckets.agg(F.min("bucket"), F.max("bucket")).first()
@@ -68,8 +73,8 @@ def mon_throughput(requests: DataFrame, window_s: int = 60, step_s: int = 10) ->
         from_micros(F.col("ws") + window_s * 1_000_000).alias("window_end"),
         "requests",
         (F.col("requests") / float(window_s)).alias("rps"),
-        F.round(ratio_or_zero(F.col("dsum"), F.col("requests")), 6).alias("avg_response"),
-        F.round(ratio_or_zero(F.col("errs"), F.col("requests")), 6).alias("error_rate"))
+        (ratio_or_zero(F.col("dsum"), F.col("requests")) / float(scale)).alias("avg_response"),
+        ratio_or_zero(F.col("errs"), F.col("requests")).alias("error_rate"))
 
 
 def mon_active(requests: DataFrame) -> DataFrame:
@@ -89,28 +94,29 @@ def mon_endpoint_counts(requests: DataFrame) -> DataFrame:
     return requests.groupBy("method", "endpoint", "status_code").agg(F.count(F.lit(1)).alias("requests"))
 
 
-def mon_histogram(df: DataFrame, labels: list[str], value: str, bounds: list[float] | None = None) -> DataFrame:
+def mon_histogram(df: DataFrame, labels: list[str], value: str, bounds: list[float] | None = None,
+                  scale: int | None = None) -> DataFrame:
     """Cumulative bucket counts (le = bound, '+Inf' last) with sum and count per
     label set.  All buckets are conditional sums in one aggregate pass; the
     result is unpivoted from the (label-sized) aggregate."""
     bounds = bounds or DEFAULT_BUCKETS
     aggs = [F.sum((F.col(value) <= b).cast("long")).alias(f"__b{i}") for i, b in enumerate(bounds)]
-    aggs += [F.count(F.lit(1)).alias("__n"), F.sum(value).alias("__sum")]
+    aggs += [F.count(F.lit(1)).alias("__n"), (exact_sum(value, scale) if scale else F.sum(value)).alias("__sum")]
     g = df.groupBy(*labels).agg(*aggs)
     items = [F.struct(F.lit(repr(float(b))).alias("le"), F.col(f"__b{i}").alias("bucket_count"))
              for i, b in enumerate(bounds)]
     items.append(F.struct(F.lit("+Inf").alias("le"), F.col("__n").alias("bucket_count")))
     return g.select(*labels, F.explode(F.array(*items)).alias("b"), "__n", "__sum").select(
-        *labels, "b.le", "b.bucket_count", F.round("__sum", 6).alias("sum"), F.col("__n").alias("count"))
+        *labels, "b.le", "b.bucket_count", F.col("__sum").alias("sum"), F.col("__n").alias("count"))
 
 
 def mon_query_stats(stats: DataFrame, operation: str, duration: str, ts: str, hours: int = 1,
-                    asof=None) -> DataFrame:
+                    asof=None, scale: int | None = None) -> DataFrame:
     """Last ``hours`` before asof: count/avg/min/max per operation plus an
     overall row (operation '*')."""
     now = _asof(stats, ts, asof)
     s = stats.filter(F.col(ts) >= now - F.make_dt_interval(hours=F.lit(hours)))
-    aggs = [F.count(F.lit(1)).alias("n"), F.round(F.avg(duration), 6).alias("avg_duration"),
+    aggs = [F.count(F.lit(1)).alias("n"), _avg(duration, scale).alias("avg_duration"),
             F.min(duration).alias("min_duration"), F.max(duration).alias("max_duration")]
     per = s.groupBy(F.col(operation).alias("operation")).agg(*aggs)
     total = s.agg(*aggs).select(F.lit("*").alias("operation"), "*")
@@ -134,7 +140,7 @@ def mon_mem_stats(samples: DataFrame, key: str = "component") -> DataFrame:
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     dt = (micros("last_ts") - micros("first_ts")) / 1e6
     growth = F.when((F.col("samples") >= 2) & (dt > 0), (F.col("last_rss") - F.col("first_rss")) / dt).otherwise(0.0)
-    return g.select(key, "samples", "min_rss", "max_rss", "avg_rss", F.round(growth, 6).alias("growth_per_sec"))
+    return g.select(key, "samples", "min_rss", "max_rss", "avg_rss", growth.alias("growth_per_sec"))
 
 
 def mon_mem_leak(samples: DataFrame, threshold: int, key: str = "component", lookback: int = 9) -> DataFrame:
@@ -149,7 +155,7 @@ def mon_mem_leak(samples: DataFrame, threshold: int, key: str = "component", loo
 def mon_mem_components(allocs: DataFrame, key: str, order: list, size: str) -> DataFrame:
     """Running bytes allocated per component (skew-safe scan) and MB."""
     r = running(allocs, [key], order, {"running_bytes": ("sum", size)})
-    return r.withColumn("running_mb", F.round(F.col("running_bytes") / 1048576.0, 6))
+    return r.withColumn("running_mb", F.col("running_bytes") / 1048576.0)
 
 
 def mon_retention(df: DataFrame, ts: str, hours: float = 1.0, asof=None) -> DataFrame:
@@ -159,8 +165,8 @@ def mon_retention(df: DataFrame, ts: str, hours: float = 1.0, asof=None) -> Data
 
 
 def mon_hit_ratio(hits: Column, reads: Column) -> Column:
-    """round(100 * hits / (hits + reads), 2); 0 when both are 0."""
-    return F.round(ratio_or_zero(100.0 * hits, hits + reads), 2)
+    """round(100 * hits / (hits + reads), 2) half up; 0 when both are 0."""
+    return round_half_up_ratio(hits, hits + reads, 100, 2)
 
 
 def mon_run_metrics(runs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -202,7 +208,7 @@ def mon_config_drift(configs: DataFrame, key: str, order: list, pairs: Column) -
 def mon_success_rate(df: DataFrame, circuit: str, success: Column) -> DataFrame:
     return df.groupBy(circuit).agg(
         F.count(F.lit(1)).alias("total"), F.sum(success.cast("long")).alias("successes")).withColumn(
-        "success_rate", F.round(ratio_or_zero(F.col("successes"), F.col("total")), 6))
+        "success_rate", ratio_or_zero(F.col("successes"), F.col("total")))
 
 
 def mon_rate_limit(requests: DataFrame, user: str, ts: str, rid: str, window_s: int, limit: int) -> DataFrame:
@@ -245,5 +251,5 @@ def cat_search(items: DataFrame, term: str, threshold: float = 0.3, min_term: in
                        F.explode(F.split(F.lower("name"), "[^a-z0-9]+")).alias("token")).filter(F.length("token") > 0)
     sc = tok.select("kind", "item_id", "name",
                     (F.levenshtein("token", F.lit(t)) / F.greatest(F.length("token"), F.lit(len(t)))).alias("score"))
-    return sc.groupBy("kind", "item_id", "name").agg(F.round(F.min("score"), 6).alias("score")).filter(
+    return sc.groupBy("kind", "item_id", "name").agg(F.min("score").alias("score")).filter(
         F.col("score") <= threshold)

@@ -98,10 +98,10 @@ def q_live_status(messages: DataFrame) -> DataFrame:
 
 
 def q_hourly_perf(messages: DataFrame) -> DataFrame:
-    secs = (micros("archived_at") - micros("enqueued_at")) / 1e6
+    us = micros("archived_at") - micros("enqueued_at")
     return messages.filter(F.col("archived_at").isNotNull()).groupBy(
         "queue_name", F.date_trunc("hour", "archived_at").alias("hour")).agg(
-        F.count(F.lit(1)).alias("processed"), F.round(F.avg(secs), 6).alias("avg_seconds"))
+        F.count(F.lit(1)).alias("processed"), (F.sum(us) / F.count(F.lit(1)) / 1e6).alias("avg_seconds"))
 
 
 def q_stuck(messages: DataFrame, reads: int = STUCK_READS) -> DataFrame:
@@ -237,14 +237,16 @@ def ev_liveness(pings: DataFrame, asof=None) -> DataFrame:
     grace period.  Healthy clients have a null reason."""
     now = max_of(pings, "ts") if asof is None else asof
     f = liveness_features(pings)
-    since_ping = (micros(now) - micros(F.coalesce("last_ping", "connected_at"))) / 1e6
+    us_since_ping = micros(now) - micros(F.coalesce("last_ping", "connected_at"))
+    since_ping = us_since_ping / 1e6
     since_conn = (micros(now) - micros("connected_at")) / 1e6
     reason = (F.when(since_ping > PING_TIMEOUT_S, "ping_timeout")
               .when(F.col("missed_pings") > MAX_MISSED_PINGS, "missed_pings")
               .when(F.col("queue_full_count") > MAX_QUEUE_FULL, "queue_full")
               .when(F.col("write_errors") > MAX_WRITE_ERRORS, "write_errors")
               .when(F.col("last_pong").isNull() & (since_conn > NO_PONG_GRACE_S), "no_pong"))
-    return f.select("*", reason.alias("reason"), since_ping.alias("seconds_since_ping")).withColumn(
+    return f.select("*", reason.alias("reason"), since_ping.alias("seconds_since_ping"),
+                    us_since_ping.alias("us_since_ping")).withColumn(
         "healthy", F.col("reason").isNull())
 
 
@@ -253,8 +255,8 @@ def ev_liveness_stats(liveness: DataFrame) -> DataFrame:
     r = F.coalesce("reason", F.lit("healthy"))
     return liveness.groupBy(r.alias("reason")).agg(
         F.count(F.lit(1)).alias("clients"),
-        F.round(F.max("seconds_since_ping"), 6).alias("max_seconds_since_ping"),
-        F.round(F.avg("seconds_since_ping"), 6).alias("avg_seconds_since_ping"))
+        (F.max("us_since_ping") / 1e6).alias("max_seconds_since_ping"),
+        (F.sum("us_since_ping") / F.count(F.lit(1)) / 1e6).alias("avg_seconds_since_ping"))
 
 
 # ------------------------------------------------------------------ windows (batch twins)

@@ -40,20 +40,21 @@ def q_sec_roles(spark, sf):
 
 
 DAILY_SQL = """SELECT date_trunc('day', start_time) AS day, tenant, count(*) AS events,
-       round(sum(duration), 6) AS total, round(avg(duration), 6) AS average
+       sum(CAST(round(duration * 10000) AS BIGINT)) / 10000.0 AS total,
+       sum(CAST(round(duration * 10000) AS BIGINT)) / count(duration) / 10000.0 AS average
 FROM tenant_requests GROUP BY 1, 2"""
 
 
 @register("rep_daily", sql(DAILY_SQL, "requests", "tenant_requests"))
 def q_rep_daily(spark, sf):
-    return A.rep_daily(Fixtures(spark, sf).tenant_requests(), "start_time", "tenant", "duration")
+    return A.rep_daily(Fixtures(spark, sf).tenant_requests(), "start_time", "tenant", "duration", 10000)
 
 
 @register("rep_daily_last30", sql(f"""
 , d AS ({DAILY_SQL})
 SELECT * FROM d WHERE day >= (SELECT max(day) FROM d) - INTERVAL 30 DAY""", "requests", "tenant_requests"))
 def q_rep_daily_last30(spark, sf):
-    d = A.rep_daily(Fixtures(spark, sf).tenant_requests(), "start_time", "tenant", "duration")
+    d = A.rep_daily(Fixtures(spark, sf).tenant_requests(), "start_time", "tenant", "duration", 10000)
     return A.rep_daily_last(d, 30)
 
 
@@ -66,20 +67,21 @@ def q_rep_activity(spark, sf):
 
 
 @register("rep_query_hourly", sql("""
-SELECT "user", date_trunc('hour', start_time) AS hour, count(*) AS queries, round(avg(duration), 6) AS avg_duration,
+SELECT "user", date_trunc('hour', start_time) AS hour, count(*) AS queries,
+       sum(CAST(round(duration * 10000) AS BIGINT)) / count(duration) / 10000.0 AS avg_duration,
        count(CASE WHEN status_code = 200 THEN 1 END) AS active
 FROM tenant_requests WHERE "user" LIKE 'BUILDING\\_%' ESCAPE '\\' OR "user" LIKE 'MACHINERY\\_%' ESCAPE '\\'
 GROUP BY 1, 2""", "requests", "tenant_requests"))
 def q_rep_query_hourly(spark, sf):
     r = Fixtures(spark, sf).tenant_requests()
     return A.rep_query_hourly(r, "user", "start_time", "duration", F.col("status_code") == 200,
-                              ["BUILDING\\_%", "MACHINERY\\_%"])
+                              ["BUILDING\\_%", "MACHINERY\\_%"], 10000)
 
 
 @register("rep_dashboard_daily", """
 SELECT date_trunc('day', ts) AS day, count(DISTINCT user_id) AS dau, count(*) AS events,
        coalesce(sum(CASE WHEN event_type = 'purchase' THEN CAST(round(value * 100) AS BIGINT) END), 0) / 100.0 AS revenue,
-       round(avg(value), 6) AS avg_session
+       sum(CAST(round(value * 100) AS BIGINT)) / count(value) / 100.0 AS avg_session
 FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 90 DAY GROUP BY 1""")
 def q_rep_dashboard_daily(spark, sf):
     return A.rep_dashboard_daily(Fixtures(spark, sf).events, 90)

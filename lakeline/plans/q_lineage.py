@@ -106,9 +106,9 @@ def q_lin_run_datasets(spark, sf):
 @register("lin_event_counts", sql("""
 SELECT queue_name AS event_type, CASE WHEN read_ct > 1 THEN 'retried' ELSE 'ok' END AS status,
        count(*) AS n,
-       round(avg(epoch_us(archived_at) - epoch_us(enqueued_at)) / 1e6, 6) AS avg_secs,
-       min((epoch_us(archived_at) - epoch_us(enqueued_at)) / 1e6) AS min_secs,
-       max((epoch_us(archived_at) - epoch_us(enqueued_at)) / 1e6) AS max_secs
+       sum(epoch_us(archived_at) - epoch_us(enqueued_at)) / count(*) / 1e6 AS avg_secs,
+       min(epoch_us(archived_at) - epoch_us(enqueued_at)) / 1e6 AS min_secs,
+       max(epoch_us(archived_at) - epoch_us(enqueued_at)) / 1e6 AS max_secs
 FROM messages GROUP BY 1, 2""", "messages"))
 def q_lin_event_counts(spark, sf):
     return L.lin_event_counts(Fixtures(spark, sf).messages())

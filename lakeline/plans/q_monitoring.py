@@ -22,25 +22,25 @@ def bytes_sql(b: str) -> str:
 
 
 @register("mon_requests_5m", sql("""
-SELECT count(*) AS total_requests, round(avg(duration), 6) AS avg_duration, min(duration) AS min_duration,
+SELECT count(*) AS total_requests, sum(CAST(round(duration * 10000) AS BIGINT)) / count(duration) / 10000.0 AS avg_duration, min(duration) AS min_duration,
        max(duration) AS max_duration, count(*) / 300.0 AS rps,
-       round(coalesce(avg(CASE WHEN status_code >= 400 THEN 1.0 ELSE 0.0 END), 0.0), 6) AS error_rate
+       CASE WHEN count(*) <> 0 THEN count(*) FILTER (WHERE status_code >= 400) / count(*) ELSE 0.0 END AS error_rate
 FROM requests WHERE start_time >= (SELECT max(start_time) FROM requests) - INTERVAL 300 SECOND""", "requests"))
 def q_mon_requests_5m(spark, sf):
-    return M.mon_requests_window(Fixtures(spark, sf).requests(), 300)
+    return M.mon_requests_window(Fixtures(spark, sf).requests(), 300, scale=10000)
 
 
 @register("mon_throughput", sql("""
 , b AS (SELECT CAST(floor(epoch_us(start_time) / 10000000) * 10000000 AS BIGINT) AS bucket, count(*) AS n,
-          sum(duration) AS dsum, sum(CASE WHEN status_code >= 400 THEN 1 ELSE 0 END) AS errs
+          sum(CAST(round(duration * 10000) AS BIGINT)) AS dsum, sum(CASE WHEN status_code >= 400 THEN 1 ELSE 0 END) AS errs
         FROM requests GROUP BY 1)
 , s AS (SELECT g AS ws FROM generate_series((SELECT min(bucket) FROM b) - 50000000, (SELECT max(bucket) FROM b), 10000000) t(g))
 , j AS (SELECT s.ws, coalesce(sum(b.n), 0) AS requests, sum(b.dsum) AS dsum, coalesce(sum(b.errs), 0) AS errs
         FROM s LEFT JOIN b ON b.bucket >= s.ws AND b.bucket < s.ws + 60000000 GROUP BY s.ws)
 SELECT make_timestamp(ws) AS window_start, make_timestamp(ws + 60000000) AS window_end,
        CAST(requests AS BIGINT) AS requests, requests / 60.0 AS rps,
-       round(CASE WHEN requests <> 0 THEN dsum / requests ELSE 0.0 END, 6) AS avg_response,
-       round(CASE WHEN requests <> 0 THEN errs / requests ELSE 0.0 END, 6) AS error_rate
+       CASE WHEN requests <> 0 THEN dsum / requests ELSE 0.0 END / 10000.0 AS avg_response,
+       CASE WHEN requests <> 0 THEN errs / requests ELSE 0.0 END AS error_rate
 FROM j""", "requests"))
 def q_mon_throughput(spark, sf):
     return M.mon_throughput(Fixtures(spark, sf).requests())
@@ -67,20 +67,21 @@ def q_mon_endpoint_counts(spark, sf):
 , b(le, bound) AS (VALUES """ + ", ".join(f"('{repr(float(x))}', {x})" for x in M.DEFAULT_BUCKETS) + """, ('+Inf', NULL))
 SELECT method, endpoint, b.le,
        CAST(sum(CASE WHEN b.bound IS NULL OR r.duration <= b.bound THEN 1 ELSE 0 END) AS BIGINT) AS bucket_count,
-       round((SELECT sum(duration) FROM requests r2 WHERE r2.method = r.method AND r2.endpoint = r.endpoint), 6) AS sum,
+       (SELECT sum(CAST(round(duration * 10000) AS BIGINT)) FROM requests r2
+         WHERE r2.method = r.method AND r2.endpoint = r.endpoint) / 10000.0 AS sum,
        (SELECT count(*) FROM requests r2 WHERE r2.method = r.method AND r2.endpoint = r.endpoint) AS count
 FROM requests r, b GROUP BY method, endpoint, b.le""", "requests"))
 def q_mon_histogram(spark, sf):
-    return M.mon_histogram(Fixtures(spark, sf).requests(), ["method", "endpoint"], "duration")
+    return M.mon_histogram(Fixtures(spark, sf).requests(), ["method", "endpoint"], "duration", scale=10000)
 
 
 @register("mon_query_stats", sql("""
 , s AS (SELECT * FROM requests WHERE start_time >= (SELECT max(start_time) FROM requests) - INTERVAL 1 HOUR)
-SELECT endpoint AS operation, count(*) AS n, round(avg(duration), 6) AS avg_duration,
+SELECT endpoint AS operation, count(*) AS n, sum(CAST(round(duration * 10000) AS BIGINT)) / count(duration) / 10000.0 AS avg_duration,
        min(duration) AS min_duration, max(duration) AS max_duration FROM s GROUP BY 1
-UNION ALL SELECT '*', count(*), round(avg(duration), 6), min(duration), max(duration) FROM s""", "requests"))
+UNION ALL SELECT '*', count(*), sum(CAST(round(duration * 10000) AS BIGINT)) / count(duration) / 10000.0, min(duration), max(duration) FROM s""", "requests"))
 def q_mon_query_stats(spark, sf):
-    return M.mon_query_stats(Fixtures(spark, sf).requests(), "endpoint", "duration", "start_time", 1)
+    return M.mon_query_stats(Fixtures(spark, sf).requests(), "endpoint", "duration", "start_time", 1, scale=10000)
 
 
 @register("mon_query_preview", """
@@ -102,7 +103,7 @@ OPS_SQL = """CASE event_type WHEN 'click' THEN 'get_object' WHEN 'view' THEN 'li
 
 @register("mon_ops_status", f"""
 SELECT {OPS_SQL} AS operation, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status,
-       count(*) AS n, round(sum(value) / 1000.0, 6) AS total_seconds
+       count(*) AS n, sum(CAST(round(value * 100) AS BIGINT)) / 100000.0 AS total_seconds
 FROM events GROUP BY 1, 2""")
 def q_mon_ops_status(spark, sf):
     e = Fixtures(spark, sf).events
@@ -110,7 +111,8 @@ def q_mon_ops_status(spark, sf):
           .when(F.col("event_type") == "purchase", "put_object").otherwise("delete_object"))
     st = F.when(F.col("event_type") == "error", "error").otherwise("success")
     return e.groupBy(op.alias("operation"), st.alias("status")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("value") / 1000.0, 6).alias("total_seconds"))
+        F.count(F.lit(1)).alias("n"), (F.sum(F.round(F.col("value") * 100).cast("long")) / 100000.0)
+        .alias("total_seconds"))
 
 
 @register("mon_mem_stats", sql("""
@@ -119,8 +121,8 @@ def q_mon_ops_status(spark, sf):
           arg_max(rss, (ts, event_id)) AS last_rss, min(ts) AS first_ts, max(ts) AS last_ts
         FROM samples GROUP BY component)
 SELECT component, samples, min_rss, max_rss, avg_rss,
-       round(CASE WHEN samples >= 2 AND (epoch_us(last_ts) - epoch_us(first_ts)) / 1e6 > 0
-             THEN (last_rss - first_rss) / ((epoch_us(last_ts) - epoch_us(first_ts)) / 1e6) ELSE 0.0 END, 6)
+       CASE WHEN samples >= 2 AND (epoch_us(last_ts) - epoch_us(first_ts)) / 1e6 > 0
+            THEN (last_rss - first_rss) / ((epoch_us(last_ts) - epoch_us(first_ts)) / 1e6) ELSE 0.0 END
          AS growth_per_sec
 FROM g""", "samples"))
 def q_mon_mem_stats(spark, sf):
@@ -140,8 +142,8 @@ def q_mon_mem_leak(spark, sf):
 SELECT component, ts, event_id, rss - 50000000 AS alloc,
        CAST(sum(rss - 50000000) OVER (PARTITION BY component ORDER BY ts, event_id
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_bytes,
-       round(sum(rss - 50000000) OVER (PARTITION BY component ORDER BY ts, event_id
-            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 1048576.0, 6) AS running_mb
+       sum(rss - 50000000) OVER (PARTITION BY component ORDER BY ts, event_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 1048576.0 AS running_mb
 FROM samples""", "samples"))
 def q_mon_mem_components(spark, sf):
     s = Fixtures(spark, sf).samples().select("component", "ts", "event_id",
@@ -168,8 +170,9 @@ def q_mon_db_activity(spark, sf):
 @register("mon_hit_ratio", """
 SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F') AS hits,
        count(*) FILTER (WHERE l_linestatus = 'O') AS reads,
-       round(CASE WHEN count(*) <> 0 THEN 100.0 * count(*) FILTER (WHERE l_linestatus = 'F') / count(*) ELSE 0.0 END, 2)
-         AS hit_ratio
+       CASE WHEN count(*) FILTER (WHERE l_linestatus IN ('F', 'O')) <> 0
+            THEN floor((count(*) FILTER (WHERE l_linestatus = 'F') * 20000 + count(*) FILTER (WHERE l_linestatus IN ('F', 'O')))
+                       / (count(*) FILTER (WHERE l_linestatus IN ('F', 'O')) * 2)) / 100.0 ELSE 0.0 END AS hit_ratio
 FROM lineitem GROUP BY 1""")
 def q_mon_hit_ratio(spark, sf):
     li = Fixtures(spark, sf).lineitem
@@ -181,14 +184,14 @@ def q_mon_hit_ratio(spark, sf):
 @register("mon_dead_ratio", sql("""
 , g AS (SELECT entity_id, count(*) FILTER (WHERE type <> 'table_deleted') AS n_live,
           count(*) FILTER (WHERE type = 'table_deleted') AS n_dead FROM changelog GROUP BY 1)
-SELECT entity_id, n_live, n_dead, round(100.0 * n_dead / (n_live + n_dead), 2) AS dead_ratio
+SELECT entity_id, n_live, n_dead, floor((n_dead * 20000 + (n_live + n_dead)) / ((n_live + n_dead) * 2)) / 100.0 AS dead_ratio
 FROM g WHERE n_live > 0 ORDER BY dead_ratio DESC""", "changelog"))
 def q_mon_dead_ratio(spark, sf):
     c = Fixtures(spark, sf).changelog()
     g = c.groupBy("entity_id").agg(F.sum((F.col("type") != "table_deleted").cast("long")).alias("n_live"),
                                    F.sum((F.col("type") == "table_deleted").cast("long")).alias("n_dead"))
     return g.filter(F.col("n_live") > 0).withColumn(
-        "dead_ratio", F.round(100.0 * F.col("n_dead") / (F.col("n_live") + F.col("n_dead")), 2)).orderBy(
+        "dead_ratio", M.mon_hit_ratio(F.col("n_dead"), F.col("n_live"))).orderBy(
         F.col("dead_ratio").desc())
 
 
@@ -246,8 +249,7 @@ def q_mon_config_drift(spark, sf):
 
 @register("mon_success_rate", sql("""
 SELECT endpoint, count(*) AS total, count(*) FILTER (WHERE status_code < 400) AS successes,
-       round(CASE WHEN count(*) <> 0 THEN count(*) FILTER (WHERE status_code < 400) / count(*) ELSE 0.0 END, 6)
-         AS success_rate
+       CASE WHEN count(*) <> 0 THEN count(*) FILTER (WHERE status_code < 400) / count(*) ELSE 0.0 END AS success_rate
 FROM requests GROUP BY 1""", "requests"))
 def q_mon_success_rate(spark, sf):
     return M.mon_success_rate(Fixtures(spark, sf).requests(), "endpoint", F.col("status_code") < 400)
@@ -313,7 +315,7 @@ def q_cat_bytes_fmt(spark, sf):
 , tok AS (SELECT kind, item_id, name, unnest(regexp_split_to_array(lower(name), '[^a-z0-9]+')) AS token FROM items)
 , sc AS (SELECT kind, item_id, name, levenshtein(token, 'custmer') / greatest(length(token), 7) AS score
          FROM tok WHERE length(token) > 0)
-SELECT kind, item_id, name, round(min(score), 6) AS score FROM sc GROUP BY 1, 2, 3 HAVING min(score) <= 0.3""",
+SELECT kind, item_id, name, min(score) AS score FROM sc GROUP BY 1, 2, 3 HAVING min(score) <= 0.3""",
     "jobs", "datasets", "snapshots"))
 def q_cat_search(spark, sf):
     f = Fixtures(spark, sf)

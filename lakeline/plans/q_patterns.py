@@ -200,11 +200,11 @@ g AS (SELECT cohort_month, months_since, count(DISTINCT o_custkey) AS users,
         sum({CENTS_SQL.format(c='o_totalprice')}) AS rev_cents FROM o GROUP BY 1, 2),
 s AS (SELECT cohort_month, count(*) AS cohort_size FROM f GROUP BY 1)
 SELECT g.cohort_month, months_since, users, rev_cents / 100.0 AS revenue,
-       round(rev_cents / 100.0 / users, 6) AS revenue_per_user,
+       rev_cents / 100.0 / users AS revenue_per_user,
        sum(rev_cents) OVER (PARTITION BY g.cohort_month ORDER BY months_since
            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 100.0 AS cumulative_revenue,
        lag(rev_cents) OVER (PARTITION BY g.cohort_month ORDER BY months_since) / 100.0 AS previous_revenue,
-       round(users / cohort_size, 6) AS retention
+       users / cohort_size AS retention
 FROM g JOIN s ON s.cohort_month = g.cohort_month""")
 def q_cohort_retention(spark, sf):
     o = Fixtures(spark, sf).orders.withColumn("c", cents("o_totalprice"))

@@ -56,7 +56,7 @@ def q_q_live_status(spark, sf):
 
 @register("q_hourly_perf", sql("""
 SELECT queue_name, date_trunc('hour', archived_at) AS hour, count(*) AS processed,
-       round(avg((epoch_us(archived_at) - epoch_us(enqueued_at)) / 1e6), 6) AS avg_seconds
+       sum(epoch_us(archived_at) - epoch_us(enqueued_at)) / count(*) / 1e6 AS avg_seconds
 FROM messages WHERE archived_at IS NOT NULL GROUP BY 1, 2""", "messages"))
 def q_q_hourly_perf(spark, sf):
     return S.q_hourly_perf(Fixtures(spark, sf).messages())
@@ -177,12 +177,14 @@ LIVENESS_SQL = """
           ON p.client_id = f.client_id AND p.kind = 'ping' AND (f.last_pong IS NULL OR p.ts > f.last_pong) GROUP BY 1)
 , x AS (SELECT f.*, a.missed_pings,
           (epoch_us((SELECT max(ts) FROM pings)) - epoch_us(coalesce(last_ping, connected_at))) / 1e6 AS seconds_since_ping,
+          epoch_us((SELECT max(ts) FROM pings)) - epoch_us(coalesce(last_ping, connected_at)) AS us_since_ping,
           (epoch_us((SELECT max(ts) FROM pings)) - epoch_us(connected_at)) / 1e6 AS since_conn
         FROM f JOIN a USING (client_id))
 , l AS (SELECT client_id, connected_at, last_ping, last_pong, queue_full_count, write_errors, missed_pings,
           CASE WHEN seconds_since_ping > 120 THEN 'ping_timeout' WHEN missed_pings > 3 THEN 'missed_pings'
                WHEN queue_full_count > 10 THEN 'queue_full' WHEN write_errors > 5 THEN 'write_errors'
-               WHEN last_pong IS NULL AND since_conn > 90 THEN 'no_pong' END AS reason, seconds_since_ping
+               WHEN last_pong IS NULL AND since_conn > 90 THEN 'no_pong' END AS reason, seconds_since_ping,
+          us_since_ping
         FROM x)"""
 
 
@@ -193,8 +195,8 @@ def q_ev_liveness(spark, sf):
 
 @register("ev_liveness_stats", sql(LIVENESS_SQL + """
 SELECT coalesce(reason, 'healthy') AS reason, count(*) AS clients,
-       round(max(seconds_since_ping), 6) AS max_seconds_since_ping,
-       round(avg(seconds_since_ping), 6) AS avg_seconds_since_ping FROM l GROUP BY 1""", "pings"))
+       max(us_since_ping) / 1e6 AS max_seconds_since_ping,
+       sum(us_since_ping) / count(*) / 1e6 AS avg_seconds_since_ping FROM l GROUP BY 1""", "pings"))
 def q_ev_liveness_stats(spark, sf):
     return S.ev_liveness_stats(S.ev_liveness(Fixtures(spark, sf).pings()))
 
