@@ -153,11 +153,23 @@ def q_src_object_list(spark, sf):
 
 @register("src_object_get", """
 SELECT 'region' AS name, (SELECT count(*) FROM region) AS n_rows
-UNION ALL SELECT 'nation', (SELECT count(*) FROM nation)""")
+UNION ALL SELECT 'nation' AS name, (SELECT count(*) FROM nation) AS n_rows
+UNION ALL SELECT 'customer' AS name, (SELECT count(*) FROM customer) AS n_rows
+UNION ALL SELECT 'supplier' AS name, (SELECT count(*) FROM supplier) AS n_rows
+UNION ALL SELECT 'part' AS name, (SELECT count(*) FROM part) AS n_rows
+UNION ALL SELECT 'orders' AS name, (SELECT count(*) FROM orders) AS n_rows
+UNION ALL SELECT 'lineitem' AS name, (SELECT count(*) FROM lineitem) AS n_rows
+UNION ALL SELECT 'events' AS name, (SELECT count(*) FROM events) AS n_rows
+UNION ALL SELECT 'documents' AS name, (SELECT count(*) FROM documents) AS n_rows
+UNION ALL SELECT 'embeddings' AS name, (SELECT count(*) FROM embeddings) AS n_rows
+UNION ALL SELECT 'pages' AS name, (SELECT count(*) FROM pages) AS n_rows
+UNION ALL SELECT 'benchmark' AS name, (SELECT count(*) FROM benchmark) AS n_rows
+UNION ALL SELECT 'labels' AS name, (SELECT count(*) FROM labels) AS n_rows
+UNION ALL SELECT 'conversations' AS name, (SELECT count(*) FROM conversations) AS n_rows""")
 def q_src_object_get(spark, sf):
-    """Bodies of the region and nation files, decoded from their bytes."""
-    objs = IO.src_object_get(spark, sf, "*.parquet").filter(
-        F.col("path").rlike(r"/(region|nation)\.parquet$"))
+    """Bodies of every table file, fetched as bytes (one row per object) and
+    decoded on the executors to their row counts."""
+    objs = IO.src_object_get(spark, sf, "*.parquet")
 
     def rows_in(batches):
         import io as _io
@@ -350,3 +362,80 @@ def q_ol_auto_track(spark, sf):
     raw = spark.read.text(events_dir).withColumnRenamed("value", "payload").select(
         F.monotonically_increasing_id().alias("seq"), F.lit(None).cast("timestamp_ntz").alias("ts"), "payload")
     return ingest(raw)["edges"].select("name", "direction")
+
+
+# ---------------------------------------------------------------- one key per catalog operator
+
+LINEITEM_SPEC = {"l_orderkey": "BIGINT", "l_partkey": "BIGINT", "l_suppkey": "BIGINT", "l_linenumber": "INTEGER",
+                 "l_quantity": "DOUBLE", "l_extendedprice": "DOUBLE", "l_discount": "DOUBLE", "l_tax": "DOUBLE",
+                 "l_returnflag": "VARCHAR", "l_linestatus": "VARCHAR", "l_shipdate": "TIMESTAMP"}
+SPARK_TYPE_SQL = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+  WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END"""
+
+
+def _new_table(spark, prefix: str) -> str:
+    name = f"lakeline_{prefix}_{uuid.uuid4().hex[:8]}"
+    TB.tbl_create(spark, name, LINEITEM_SPEC, scratch(spark, prefix))
+    return name
+
+
+@register("tbl_create", f"""
+SELECT column_name, {SPARK_TYPE_SQL} AS data_type FROM information_schema.columns WHERE table_name = 'lineitem'""")
+def q_tbl_create(spark, sf):
+    """CREATE TABLE from a {column: SQL type} spec (schema of lineitem)."""
+    return TB.tbl_describe(spark, _new_table(spark, "create"))
+
+
+@register("tbl_append", LINEITEM_SQL)
+def q_tbl_append(spark, sf):
+    name = _new_table(spark, "append")
+    n = TB.tbl_append(spark, name, Fixtures(spark, sf).lineitem)
+    assert n == spark.table(name).count()
+    return spark.table(name)
+
+
+@register("tbl_describe", f"""
+SELECT column_name, {SPARK_TYPE_SQL} AS data_type FROM information_schema.columns WHERE table_name = 'lineitem'""")
+def q_tbl_describe(spark, sf):
+    name = _new_table(spark, "describe")
+    TB.tbl_append(spark, name, Fixtures(spark, sf).lineitem)
+    return TB.tbl_describe(spark, name)
+
+
+@register("tbl_list")
+def q_tbl_list(spark, sf):
+    """Tables of the current database after creating one (rows-only)."""
+    name = _new_table(spark, "list")
+    TB.tbl_append(spark, name, Fixtures(spark, sf).lineitem)
+    out = TB.tbl_list(spark)
+    assert out.filter(F.col("name") == name).count() == 1
+    return out
+
+
+@register("tbl_drop", "SELECT 0 AS remaining, count(*) AS rows_before FROM lineitem")
+def q_tbl_drop(spark, sf):
+    name = _new_table(spark, "drop")
+    n = TB.tbl_append(spark, name, Fixtures(spark, sf).lineitem)
+    TB.tbl_drop(spark, name)
+    remaining = TB.tbl_list(spark).filter(F.col("name") == name).count()
+    return spark.createDataFrame([(remaining, n)], "remaining long, rows_before long")
+
+
+@register("snap_register")
+def q_snap_register(spark, sf):
+    """Registry after registering one good and one missing URI (rows-only):
+    statuses completed / failed, schema inferred for the good one."""
+    reg = scratch(spark, "registry")
+    good = IO.sink_parquet(Fixtures(spark, sf).orders, scratch(spark, "snap"))
+    SN.snap_register(spark, reg, "orders", 1, good)
+    out = SN.snap_register(spark, reg, "orders", 2, scratch(spark, "missing"))
+    assert sorted(r.status for r in out.select("status").collect()) == ["completed", "failed"]
+    return out
+
+
+@register("snap_read", ORDERS_SQL)
+def q_snap_read(spark, sf):
+    reg = scratch(spark, "registry")
+    good = IO.sink_parquet(Fixtures(spark, sf).orders, scratch(spark, "snap"))
+    snaps = SN.snap_register(spark, reg, "orders", 1, good)
+    return SN.snap_read(spark, snaps, "orders")
