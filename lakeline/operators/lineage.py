@@ -116,15 +116,22 @@ def lin_stats(jobs: DataFrame, runs: DataFrame, datasets: DataFrame, edges: Data
     state = 'RUNNING' exactly.
     """
     spark = jobs.sparkSession
+
     def cnt(df):
         return df.select(F.count(F.lit(1))).scalar()
+
+    # One pass over runs for its three counts (a struct-valued scalar subquery).
+    r = runs.select(F.struct(
+        F.count(F.lit(1)).alias("total"),
+        F.sum((~F.col("state").isin(*TERMINAL)).cast("long")).alias("active"),
+        F.sum((F.col("state") == "RUNNING").cast("long")).alias("literal"))).scalar()
     return spark.range(1).select(
         cnt(jobs).alias("total_jobs"),
-        cnt(runs).alias("total_runs"),
+        r.getField("total").alias("total_runs"),
         cnt(datasets).alias("total_datasets"),
         cnt(edges).alias("total_edges"),
-        cnt(runs.filter(~F.col("state").isin(*TERMINAL))).alias("active_runs"),
-        cnt(runs.filter(F.col("state") == "RUNNING")).alias("active_runs_literal"))
+        F.coalesce(r.getField("active"), F.lit(0)).alias("active_runs"),
+        F.coalesce(r.getField("literal"), F.lit(0)).alias("active_runs_literal"))
 
 
 def lin_complete_view(jobs: DataFrame, runs: DataFrame, edges: DataFrame, datasets: DataFrame) -> DataFrame:

@@ -124,8 +124,16 @@ def log_report(lines: DataFrame, ts: str, hours: int, k: int = 3, line: str = "l
                id_col: str = "event_id", asof=None) -> DataFrame:
     """Six-section report for the last ``hours``: match count per section and
     the ``k`` newest matching lines.  Counts come from one exploded pass;
-    samples are one distributed top-k per (fixed) section."""
+    samples are one distributed top-k per (fixed) section, read from one
+    checkpointed copy of the matches."""
     m = log_filter(lines, ts, hours * 60, {s: NAMED_FILTERS[s] for s in REPORT_SECTIONS}, line, asof)
+    # The matches (a filtered, narrow projection) are materialised once in the
+    # shared checkpoint folder, so the count and the six top-k samples read
+    # that copy instead of scanning the logs seven times.
+    from lakeline.session import checkpoint_dir
+
+    checkpoint_dir(lines.sparkSession)
+    m = m.select(ts, id_col, line, "filter").checkpoint(eager=True)
     counts = m.groupBy(F.col("filter").alias("section")).agg(F.count(F.lit(1)).alias("matches"))
     sections = lines.sparkSession.createDataFrame([(s,) for s in REPORT_SECTIONS], "section string")
     samples = None

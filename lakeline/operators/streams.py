@@ -148,8 +148,8 @@ def ev_fanout_counts(events: DataFrame, subs: DataFrame, zombies: DataFrame | No
     set -- at most len(EVENT_TYPES) rows, so broadcasting it is bounded) and
     joined to the exploded subscriptions.  ``zombies`` (client_id) are
     excluded; ``targets`` (client_id) restrict delivery when given."""
-    per_type = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"),
-                                               F.max("timestamp").alias("last_ts"))
+    per_type = events.filter(F.col("event_type").isin(*EVENT_TYPES)).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("last_ts"))  # <= len(EVENT_TYPES) rows
     s = subs
     if zombies is not None:
         s = s.join(zombies.select("client_id"), "client_id", "left_anti")
