@@ -147,7 +147,6 @@ def running(df: DataFrame, by: Iterable[str], order: Iterable, aggs: dict,
     order = [_col(c) for c in order]
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     specs = []
     base = df
@@ -158,7 +157,11 @@ def running(df: DataFrame, by: Iterable[str], order: Iterable, aggs: dict,
         base = base.withColumn(tmp, F.lit(1).cast("long") if op == "count" else _col(src))
         specs.append((out, op, tmp))
 
-    ranged = base.repartitionByRange(n, *[F.col(b) for b in by], *order)
+    # Without an explicit count the range exchange is sized by
+    # spark.sql.shuffle.partitions and AQE may coalesce adjacent (small)
+    # ranges, which keeps chunks contiguous; ``chunks`` pins the count.
+    keys = [F.col(b) for b in by] + order
+    ranged = base.repartitionByRange(chunks, *keys) if chunks else base.repartitionByRange(*keys)
     local_in = ranged.sortWithinPartitions(*[F.col(b) for b in by], *order) \
         .withColumn("__chunk", F.spark_partition_id())
 
