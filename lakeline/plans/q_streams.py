@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeline.operators import streams as S
+from lakeline.plans.catalog import ORACLE as QUERY_ORACLES
 from lakeline.plans.catalog import register
 from lakeline.plans.fixtures import Fixtures
 from lakeline.plans.oracle import sql
@@ -333,3 +334,26 @@ def q_ev_liveness_stream(spark, sf):
     J.write_in_event_order(p, src, "ts", 4)
     J.ev_liveness(J.file_stream(spark, src, p.schema), out, ck).awaitTermination()
     return spark.read.parquet(out)
+
+
+@register("st_route_notify_stream", QUERY_ORACLES["st_route_notify"])
+def q_st_route_notify_stream(spark, sf):
+    from lakeline.streaming import jobs as J
+
+    src, out, ck = _stream_dirs(spark, "route")
+    n = Fixtures(spark, sf).notifications()
+    J.write_in_event_order(n, src, "enqueued_at", 4)
+    J.st_transform(J.file_stream(spark, src, n.schema), S.st_route_notify, out, ck).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("ev_presets_stream", QUERY_ORACLES["ev_presets"])
+def q_ev_presets_stream(spark, sf):
+    from lakeline.streaming import jobs as J
+
+    src, out, ck = _stream_dirs(spark, "presets")
+    e = Fixtures(spark, sf).sse_events()
+    J.write_in_event_order(e, src, "timestamp", 4)
+    J.st_transform(J.file_stream(spark, src, e.schema),
+                   lambda d: S.ev_presets(d).select("event_id", "event_type", "preset"), out, ck).awaitTermination()
+    return spark.read.parquet(out)

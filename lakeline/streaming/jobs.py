@@ -91,6 +91,14 @@ def store_tables(spark: SparkSession, out_root: str) -> dict[str, DataFrame]:
             "edges": E.ol_edges(ev), "run_events": E.ol_run_events(ev)}
 
 
+def st_transform(stream: DataFrame, fn: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
+                 available_now: bool = True, interval: str = "10 seconds") -> StreamingQuery:
+    """Stateless operator on a stream (routing, presets, envelopes, dead-letter
+    split): the same ``DataFrame -> DataFrame`` function as in batch, written
+    by the exactly-once file sink."""
+    return _file_sink(fn(stream), out, checkpoint, "append", available_now, interval)
+
+
 # ------------------------------------------------------------------ windows, sessions, dedup
 
 def _file_sink(df: DataFrame, out: str, checkpoint: str, mode: str, available_now: bool, interval: str):
