@@ -16,9 +16,35 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpointed scans and frontiers are deleted once no longer referenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Streaming state (windows, dedup keys, latest state, liveness) off-heap in
+    # RocksDB, so large state does not pressure executor JVM heaps.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.enabled": "false",
 }
 
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def sizing(input_bytes: int, total_cores: int, partition_bytes: int = TARGET_PARTITION_BYTES) -> dict:
+    """Settings for a job reading ``input_bytes`` on ``total_cores`` cores.
+
+    Shuffle partitions are sized so a partition holds ~``partition_bytes`` of
+    (pre-aggregation) data, at least 3 waves of the cluster's cores; AQE then
+    coalesces small ones and splits skewed join partitions.  E.g. 100 TB on
+    1000 executors x 8 cores -> ~800k partitions, scan splits of 128 MB.
+    """
+    waves = 3 * max(1, total_cores)
+    parts = max(waves, -(-int(input_bytes) // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * partition_bytes),
+    }
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "lakeline", extra: dict | None = None) -> SparkSession:
