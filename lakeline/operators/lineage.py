@@ -29,6 +29,8 @@ def lin_job_runs(jobs: DataFrame, runs: DataFrame, namespace: str | None = None,
         j = j.filter(F.col("name") == name)
     out = j.join(runs, runs.job_id == j.id).select(
         j.namespace, j.name.alias("job_name"), runs.run_id, runs.state, runs.started_at, runs.ended_at)
+    if namespace is not None or name is not None:  # one job: newest first (distributed sort)
+        out = out.orderBy(F.col("started_at").desc(), F.col("run_id").desc())
     return out
 
 
@@ -101,10 +103,13 @@ def lin_dataset_uses(datasets: DataFrame, edges: DataFrame, runs: DataFrame, job
         edges.run_id, edges.direction, edges.created_at)
     rj = runs.join(jobs, runs.job_id == jobs.id).select(
         runs.run_id, runs.state, jobs.namespace.alias("job_namespace"), jobs.name.alias("job_name"))
-    return e.join(rj, "run_id").select(
+    out = e.join(rj, "run_id").select(
         "dataset_namespace", "dataset_name",
         F.when(F.col("direction") == "INPUT", "consumed_by").otherwise("produced_by").alias("relation"),
         "job_namespace", "job_name", "run_id", "state", "created_at")
+    if namespace is not None or name is not None:  # one dataset: newest edge first
+        out = out.orderBy(F.col("created_at").desc(), F.col("run_id").desc())
+    return out
 
 
 def lin_stats(jobs: DataFrame, runs: DataFrame, datasets: DataFrame, edges: DataFrame) -> DataFrame:

@@ -113,14 +113,19 @@ def q_dlq_recent(messages: DataFrame, k: int = 10, dlq: str = "lineage_events_dl
         F.col("enqueued_at").desc(), F.col("msg_id").desc()).limit(k)
 
 
-def q_retention(messages: DataFrame, asof=None) -> DataFrame:
-    """Messages past their queue's retention at asof (expired = to purge)."""
+def q_retention(messages: DataFrame, asof=None, dlq: str = "lineage_events_dlq",
+                dlq_max_age_s: int = DLQ_MAX_AGE_S) -> DataFrame:
+    """Messages past their limit at asof (expired = to purge): the queue's
+    retention, and for the dead-letter queue also the dead-letter max age
+    (whichever is shorter)."""
     now = max_of(messages, "enqueued_at") if asof is None else asof
     ret = F.broadcast(_queue_list(messages.sparkSession))
     m = messages.join(ret, "queue_name")
     age_s = (micros(now) - micros("enqueued_at")) / 1e6
-    return m.filter(age_s > F.col("retention_days") * 86400).select(
-        "msg_id", "queue_name", "enqueued_at", age_s.alias("age_seconds"))
+    limit_s = F.when(F.col("queue_name") == dlq, F.least(F.col("retention_days") * 86400, F.lit(dlq_max_age_s))) \
+        .otherwise(F.col("retention_days") * 86400)
+    return m.filter(age_s > limit_s).select(
+        "msg_id", "queue_name", "enqueued_at", age_s.alias("age_seconds"), limit_s.alias("limit_seconds"))
 
 
 # ------------------------------------------------------------------ subscriptions

@@ -77,10 +77,12 @@ def q_q_dlq_recent(spark, sf):
 
 @register("q_retention", sql("""
 , r(queue_name, retention_days) AS (VALUES ('lineage_events', 7), ('lineage_events_dlq', 30), ('lineage_notifications', 1))
-SELECT m.msg_id, m.queue_name, m.enqueued_at,
-       (epoch_us((SELECT max(enqueued_at) FROM messages)) - epoch_us(m.enqueued_at)) / 1e6 AS age_seconds
-FROM messages m JOIN r USING (queue_name)
-WHERE (epoch_us((SELECT max(enqueued_at) FROM messages)) - epoch_us(m.enqueued_at)) / 1e6 > r.retention_days * 86400""",
+, x AS (SELECT m.msg_id, m.queue_name, m.enqueued_at,
+       (epoch_us((SELECT max(enqueued_at) FROM messages)) - epoch_us(m.enqueued_at)) / 1e6 AS age_seconds,
+       CASE WHEN m.queue_name = 'lineage_events_dlq' THEN least(r.retention_days * 86400, 604800)
+            ELSE r.retention_days * 86400 END AS limit_seconds
+  FROM messages m JOIN r USING (queue_name))
+SELECT * FROM x WHERE age_seconds > limit_seconds""",
     "messages"))
 def q_q_retention(spark, sf):
     return S.q_retention(Fixtures(spark, sf).messages())
