@@ -158,3 +158,8 @@ def log_health(lines: DataFrame, ts: str, line: str = "line", asof=None) -> Data
                      F.when(F.coalesce(F.col(n), F.lit(0)) > 0, F.lit(hit)).otherwise(F.lit(miss)).alias("status"))
             for n, (_, _, hit, miss) in HEALTH_CHECKS.items()]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.check", "r.matches", "r.status")
+
+
+def log_by_namespace(raw: DataFrame, namespace: str, label: str = "namespace") -> DataFrame:
+    """Lines carrying a label value (``{namespace="x"}``); a pushed-down filter."""
+    return raw.filter(F.col(label) == namespace)

@@ -253,3 +253,45 @@ def cat_search(items: DataFrame, term: str, threshold: float = 0.3, min_term: in
                     (F.levenshtein("token", F.lit(t)) / F.greatest(F.length("token"), F.lit(len(t)))).alias("score"))
     return sc.groupBy("kind", "item_id", "name").agg(F.min("score").alias("score")).filter(
         F.col("score") <= threshold)
+
+
+def mon_query_preview(df: DataFrame, text: str, n: int = 100, name: str = "preview") -> DataFrame:
+    """First ``n`` characters of a query text, with '...' when longer."""
+    from lakeline.functions import preview
+
+    return df.withColumn(name, preview(text, n))
+
+
+def mon_ops_status(ops: DataFrame, operation: Column, status: Column, seconds: Column) -> DataFrame:
+    """Object-store operations per (operation, status): count and total seconds."""
+    return ops.groupBy(operation.alias("operation"), status.alias("status")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(seconds).alias("total_seconds"))
+
+
+def mon_db_activity(sessions: DataFrame, active: Column, client: str) -> DataFrame:
+    """Total rows, active rows and distinct clients (conditional aggregate)."""
+    return sessions.agg(F.count(F.lit(1)).alias("total"), F.sum(active.cast("long")).alias("active"),
+                        F.count_distinct(client).alias("clients"))
+
+
+def cat_status_counts(items: DataFrame, status: str, name: str = "jobs") -> DataFrame:
+    return items.groupBy(status).agg(F.count(F.lit(1)).alias(name))
+
+
+def cat_bytes_fmt(df: DataFrame, size: str, name: str = "size_text") -> DataFrame:
+    from lakeline.functions import format_bytes
+
+    return df.withColumn(name, format_bytes(size))
+
+
+def cat_overview(tables: DataFrame, datasets: DataFrame, rows: str, bytes_per_row: int, bucket: str,
+                 name: str = "name", first: int = 5) -> DataFrame:
+    """Catalog totals as one row: sum of rows and bytes, distinct buckets, and
+    the first ``first`` table names (a distributed top-k, then a tiny list)."""
+    spark = tables.sparkSession
+    first_names = tables.orderBy(name).limit(first).agg(F.to_json(F.sort_array(F.collect_list(name))))
+    return spark.range(1).select(
+        tables.select(F.sum(rows)).scalar().alias("total_rows"),
+        tables.select((F.sum(rows) * bytes_per_row).cast("long")).scalar().alias("total_bytes"),
+        datasets.select(F.count_distinct(bucket)).scalar().alias("buckets"),
+        first_names.scalar().alias("first_tables"))

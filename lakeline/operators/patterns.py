@@ -251,3 +251,53 @@ def ts_continuity(bars: DataFrame) -> DataFrame:
     lj = lag_join(bars, ["instrument"], ["bar_start"], ["close"], 1)
     return lj.select("instrument", "bar_start", "open", F.col("prev_close"),
                      (F.col("open") == F.col("prev_close")).alias("continuous"))
+
+
+# ------------------------------------------------------------------ small relational operators
+
+def rel_drop_nulls(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
+    """Drop rows with a null in any (or the given) column."""
+    return df.dropna(how="any", subset=subset)
+
+
+def rel_in_like(df: DataFrame, column_in: str, values: list, column_like: str, patterns: list[str]) -> DataFrame:
+    """``column_in IN values AND (column_like LIKE p1 OR ...)`` -- both pushable to the scan."""
+    like = None
+    for p in patterns:
+        c = F.col(column_like).like(p)
+        like = c if like is None else (like | c)
+    return df.filter(F.col(column_in).isin(*values) & like)
+
+
+def join_inner_left(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, children: DataFrame,
+                    fact_id: str, child_key: str, name: str = "n_children") -> DataFrame:
+    """facts INNER JOIN dim (fact_key = dim_key), LEFT JOIN per-fact child counts
+    (fact_id = child_key; facts without children keep 0).  Children are counted
+    before the join (partial aggregation), so that join is 1:1."""
+    counts = children.groupBy(F.col(child_key).alias("__ck")).agg(F.count(F.lit(1)).alias(name))
+    j = facts.join(dim, F.col(fact_key) == F.col(dim_key)).join(counts, F.col(fact_id) == F.col("__ck"), "left")
+    return j.drop("__ck").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
+
+
+def agg_distinct(df: DataFrame, keys: list[str], distinct_of: str, name: str = "distinct") -> DataFrame:
+    """COUNT(DISTINCT x) and COUNT(*) per group (exact; use approx_count_distinct
+    explicitly when an estimate is acceptable)."""
+    return df.groupBy(*keys).agg(F.count_distinct(distinct_of).alias(name), F.count(F.lit(1)).alias("rows"))
+
+
+def agg_conditional(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> DataFrame:
+    """Conditional aggregates (COUNT/MAX/SUM of CASE) in one pass per group."""
+    return df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
+
+
+def topk(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
+    """ORDER BY ... LIMIT k: per-task top-k then a merge (TakeOrderedAndProject)."""
+    return df.orderBy(*order).limit(k)
+
+
+def rs_list_agg(df: DataFrame, by: list[str], order: list[str], item: Column, name: str = "items",
+                page_size: int | None = None) -> DataFrame:
+    """Ordered list (of scalars or structs) per key, paged (see nesting)."""
+    from lakeline.operators.nesting import DEFAULT_PAGE_SIZE, paged_lists
+
+    return paged_lists(df, by, order, {name: item}, page_size or DEFAULT_PAGE_SIZE)

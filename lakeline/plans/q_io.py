@@ -64,7 +64,9 @@ def q_src_csv(spark, sf):
 
 @register("sink_csv", LINEITEM_SQL)
 def q_sink_csv(spark, sf):
-    return q_src_csv(spark, sf)
+    """CSV with header and '' for nulls, read back with the declared schema."""
+    path = IO.sink_csv(Fixtures(spark, sf).lineitem, scratch(spark, "csv_sink"))
+    return IO.src_csv(spark, path, LINEITEM_CSV_SCHEMA, casts=LINEITEM_CASTS)
 
 
 @register("src_hive_partitioned", """

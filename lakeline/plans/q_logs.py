@@ -99,8 +99,7 @@ def q_log_filter(spark, sf):
 @register("log_by_namespace", sql("""
 SELECT event_id, container, line FROM raw_logs WHERE namespace = 'apps'""", "raw_logs"))
 def q_log_by_namespace(spark, sf):
-    r = Fixtures(spark, sf).raw_logs()
-    return r.filter(F.col("namespace") == "apps").select("event_id", "container", "line")
+    return G.log_by_namespace(Fixtures(spark, sf).raw_logs(), "apps").select("event_id", "container", "line")
 
 
 def _labels(r):

@@ -88,7 +88,7 @@ def q_mon_query_stats(spark, sf):
 SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS preview FROM documents""")
 def q_mon_query_preview(spark, sf):
     d = Fixtures(spark, sf).documents
-    return d.select("doc_id", preview("text", 100).alias("preview"))
+    return M.mon_query_preview(d, "text", 100).select("doc_id", "preview")
 
 
 @register("mon_slow", sql("""
@@ -110,9 +110,9 @@ def q_mon_ops_status(spark, sf):
     op = (F.when(F.col("event_type") == "click", "get_object").when(F.col("event_type") == "view", "list_objects")
           .when(F.col("event_type") == "purchase", "put_object").otherwise("delete_object"))
     st = F.when(F.col("event_type") == "error", "error").otherwise("success")
-    return e.groupBy(op.alias("operation"), st.alias("status")).agg(
-        F.count(F.lit(1)).alias("n"), (F.sum(F.round(F.col("value") * 100).cast("long")) / 100000.0)
-        .alias("total_seconds"))
+    # total seconds = value / 1000, summed exactly in integer hundredths of a value
+    g = M.mon_ops_status(e, op, st, F.round(F.col("value") * 100).cast("long"))
+    return g.withColumn("total_seconds", F.col("total_seconds") / 100000.0)
 
 
 @register("mon_mem_stats", sql("""
@@ -162,9 +162,7 @@ SELECT count(*) AS total, count(*) FILTER (WHERE kind IN ('ping', 'pong')) AS ac
        count(DISTINCT client_id) AS clients FROM pings""", "pings"))
 def q_mon_db_activity(spark, sf):
     p = Fixtures(spark, sf).pings()
-    return p.agg(F.count(F.lit(1)).alias("total"),
-                 F.sum(F.col("kind").isin("ping", "pong").cast("long")).alias("active"),
-                 F.count_distinct("client_id").alias("clients"))
+    return M.mon_db_activity(p, F.col("kind").isin("ping", "pong"), "client_id")
 
 
 @register("mon_hit_ratio", """
@@ -281,17 +279,12 @@ def q_cat_overview(spark, sf):
     t = f.events.groupBy("user_id").agg(
         F.max_by(F.round(F.col("value") * 100), "event_id").cast("long").alias("row_count")).select(
         F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("name"), "row_count")
-    first5 = t.orderBy("name").limit(5).agg(F.to_json(F.sort_array(F.collect_list("name"))))
-    return spark.range(1).select(
-        t.select(F.sum("row_count")).scalar().alias("total_rows"),
-        t.select((F.sum("row_count") * 100).cast("long")).scalar().alias("total_bytes"),
-        f.part.select(F.count_distinct("p_brand")).scalar().alias("buckets"),
-        first5.scalar().alias("first_tables"))
+    return M.cat_overview(t, f.part, "row_count", 100, "p_brand")
 
 
 @register("cat_status_counts", sql("SELECT state, count(*) AS jobs FROM runs GROUP BY 1", "runs"))
 def q_cat_status_counts(spark, sf):
-    return Fixtures(spark, sf).runs().groupBy("state").agg(F.count(F.lit(1)).alias("jobs"))
+    return M.cat_status_counts(Fixtures(spark, sf).runs(), "state", "jobs")
 
 
 @register("cat_bytes_fmt", f"""
@@ -305,7 +298,7 @@ def q_cat_bytes_fmt(spark, sf):
     size = F.when(F.col("o_orderkey") % 11 == 0, F.lit(0).cast("long")).otherwise(
         F.floor("o_totalprice").cast("long") * F.pow(F.lit(1024), F.col("o_orderkey") % 5).cast("long"))
     b = o.select("o_orderkey", size.alias("size_bytes"))
-    return b.withColumn("size_text", format_bytes("size_bytes"))
+    return M.cat_bytes_fmt(b, "size_bytes")
 
 
 @register("cat_search", sql("""

@@ -58,7 +58,7 @@ def q_rel_project_expr(spark, sf):
 SELECT * FROM runs WHERE run_id IS NOT NULL AND job_id IS NOT NULL AND state IS NOT NULL
   AND started_at IS NOT NULL AND ended_at IS NOT NULL""", "runs"))
 def q_rel_drop_nulls(spark, sf):
-    return Fixtures(spark, sf).runs().dropna()
+    return P.rel_drop_nulls(Fixtures(spark, sf).runs())
 
 
 @register("rel_null_inject", """
@@ -87,9 +87,10 @@ SELECT p_partkey, p_name, p_brand, p_type FROM part
 WHERE p_type IN ('PROMO', 'ECONOMY') AND (p_name LIKE '%red%' OR p_brand LIKE 'Brand#1%')""")
 def q_rel_in_like(spark, sf):
     p = Fixtures(spark, sf).part
-    return p.filter(F.col("p_type").isin("PROMO", "ECONOMY")
-                    & (F.col("p_name").like("%red%") | F.col("p_brand").like("Brand#1%"))).select(
-        "p_partkey", "p_name", "p_brand", "p_type")
+    return P.rel_in_like(p, "p_type", ["PROMO", "ECONOMY"], "p_name", ["%red%"]).select(
+        "p_partkey", "p_name", "p_brand", "p_type").unionByName(
+        P.rel_in_like(p.filter(~F.col("p_name").like("%red%")), "p_type", ["PROMO", "ECONOMY"], "p_brand",
+                      ["Brand#1%"]).select("p_partkey", "p_name", "p_brand", "p_type"))
 
 
 @register("rel_step_chain", """
@@ -112,10 +113,9 @@ FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
 LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2, 3""")
 def q_join_inner_left(spark, sf):
     f = Fixtures(spark, sf)
-    items = f.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_items"))
-    o = f.orders.join(f.customer, F.col("o_custkey") == F.col("c_custkey"))
-    j = o.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return j.select("o_orderkey", "o_custkey", "c_name", F.coalesce("n_items", F.lit(0)).alias("n_items"))
+    j = P.join_inner_left(f.orders, f.customer, "o_custkey", "c_custkey", f.lineitem, "o_orderkey", "l_orderkey",
+                          "n_items")
+    return j.select("o_orderkey", "o_custkey", "c_name", "n_items")
 
 
 @register("join_asof", sql("""
@@ -249,7 +249,7 @@ def q_rs_list_agg(spark, sf):
     o = Fixtures(spark, sf).orders
     item = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.col("o_orderkey").alias("k"),
                     F.col("o_totalprice").alias("price"))
-    p = paged_lists(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], {"orders": item})
+    p = P.rs_list_agg(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], item, "orders")
     return p.select("o_custkey", "page", jsonify("orders").alias("orders"),
                     F.to_json(F.transform("orders", lambda x: x["k"])).alias("order_keys"))
 
@@ -258,8 +258,8 @@ def q_rs_list_agg(spark, sf):
 SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, count(*) AS orders
 FROM orders GROUP BY 1""")
 def q_agg_distinct(spark, sf):
-    return Fixtures(spark, sf).orders.groupBy("o_orderpriority").agg(
-        F.count_distinct("o_custkey").alias("customers"), F.count(F.lit(1)).alias("orders"))
+    return P.agg_distinct(Fixtures(spark, sf).orders, ["o_orderpriority"], "o_custkey", "customers") \
+        .withColumnRenamed("rows", "orders")
 
 
 @register("agg_conditional", """
@@ -268,17 +268,17 @@ SELECT l_returnflag, count(CASE WHEN l_discount > 0.05 THEN 1 END) AS discounted
        CAST(sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS BIGINT) AS large_lines
 FROM lineitem GROUP BY 1""")
 def q_agg_conditional(spark, sf):
-    return Fixtures(spark, sf).lineitem.groupBy("l_returnflag").agg(
-        F.count(F.when(F.col("l_discount") > 0.05, 1)).alias("discounted"),
-        F.max(F.when(F.col("l_linestatus") == "O", F.col("l_shipdate"))).alias("last_open_ship"),
-        F.sum(F.when(F.col("l_quantity") > 25, 1).otherwise(0)).cast("long").alias("large_lines"))
+    return P.agg_conditional(Fixtures(spark, sf).lineitem, ["l_returnflag"], {
+        "discounted": F.count(F.when(F.col("l_discount") > 0.05, 1)),
+        "last_open_ship": F.max(F.when(F.col("l_linestatus") == "O", F.col("l_shipdate"))),
+        "large_lines": F.sum(F.when(F.col("l_quantity") > 25, 1).otherwise(0)).cast("long")})
 
 
 @register("topk", """
 SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10""")
 def q_topk(spark, sf):
     o = Fixtures(spark, sf).orders
-    return o.orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(10).select(
+    return P.topk(o, 10, [F.col("o_totalprice").desc(), F.col("o_orderkey")]).select(
         "o_orderkey", "o_custkey", "o_totalprice")
 
 
