@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeline.functions import (exact_avg, exact_sum, from_micros, max_of, micros, ratio_or_zero,
-                                round_half_up_ratio, safe_div, scaled)
+                                round_half_up_ratio, scaled)
 from lakeline.operators.scan import lag_join, running
 
 # Default histogram bucket bounds of the Prometheus client library.

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeline.functions import format_bytes, micros, preview, ratio_or_zero
 from lakeline.operators import monitoring as M
 from lakeline.plans.catalog import register
 from lakeline.plans.fixtures import Fixtures

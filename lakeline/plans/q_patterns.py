@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lakeline.operators import patterns as P
 from lakeline.operators import quality as Q
-from lakeline.operators.nesting import paged_lists
 from lakeline.plans.catalog import register
 from lakeline.plans.fixtures import Fixtures
 from lakeline.plans.oracle import VIEWS, sql
