@@ -233,14 +233,15 @@ def ol_runs(good: DataFrame) -> DataFrame:
     """One row per run: state = last terminal type, else first type; started_at =
     first event time; ended_at = time of the last terminal event."""
     term = F.col("event_type").isin(*TERMINAL)
-    return good.groupBy("run_id").agg(
-        F.min_by("job_namespace", _ord()).alias("job_namespace"),
-        F.min_by("job_name", _ord()).alias("job_name"),
-        F.coalesce(F.max_by(F.when(term, F.col("event_type")), F.when(term, _ord())),
-                   F.min_by("event_type", _ord())).alias("state"),
-        F.min_by("event_time", _ord()).alias("started_at"),
-        F.max_by(F.when(term, F.col("event_time")), F.when(term, _ord())).alias("ended_at"),
-    )
+    # Two ordered aggregates (first event, last terminal event) carrying structs,
+    # instead of one per output field.
+    g = good.groupBy("run_id").agg(
+        F.min_by(F.struct("job_namespace", "job_name", "event_type", "event_time"), _ord()).alias("f"),
+        F.max_by(F.when(term, F.struct("event_type", "event_time")), F.when(term, _ord())).alias("t"))
+    return g.select(
+        "run_id", F.col("f.job_namespace").alias("job_namespace"), F.col("f.job_name").alias("job_name"),
+        F.coalesce(F.col("t.event_type"), F.col("f.event_type")).alias("state"),
+        F.col("f.event_time").alias("started_at"), F.col("t.event_time").alias("ended_at"))
 
 
 def _exploded(good: DataFrame) -> DataFrame:
