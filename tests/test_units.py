@@ -204,3 +204,20 @@ def test_step_chain_names_failing_step(spark):
     with pytest.raises(P.StepError) as e:
         chain.run(spark.range(3), validate=True)
     assert e.value.step == "broken"
+
+
+def test_role_closure_terminates_on_cycles(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "member string, parent string")
+    c = {(r.role, r.anc) for r in A.role_closure(edges).collect()}
+    assert ("d", "c") in c and ("a", "a") in c and len(c) == 4 * 3 + 1  # a,b,c reach each other; d reaches all
+
+
+def test_fanout_pairs_match_counts(spark):
+    ev = spark.createDataFrame([(1, "error", ts(0)), (2, "job_status", ts(1)), (3, "error", ts(2))],
+                               "event_id long, event_type string, timestamp timestamp_ntz")
+    subs = spark.createDataFrame([(10, "error"), (11, "error"), (11, "job_status")], "client_id long, event_type string")
+    pairs = S.ev_fanout_pairs(ev, subs).groupBy("client_id").count()
+    counts = S.ev_fanout_counts(ev, subs).select("client_id", F.col("deliveries").alias("count"))
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted(tuple(r) for r in counts.collect()) == [(10, 2), (11, 3)]
+    zombies = spark.createDataFrame([(11,)], "client_id long")
+    assert [r.client_id for r in S.ev_fanout_counts(ev, subs, zombies=zombies).collect()] == [10]
