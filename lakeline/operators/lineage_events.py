@@ -295,3 +295,19 @@ def ingest(raw: DataFrame) -> dict[str, DataFrame]:
         "jobs": ol_jobs(good), "runs": ol_runs(good), "datasets": ol_datasets(good),
         "run_events": ol_run_events(good), "edges": ol_edges(good), "dead_letters": bad,
     }
+
+
+def lineage_store(good: DataFrame) -> dict[str, DataFrame]:
+    """The normalised store in the shape the lineage queries read:
+    jobs(id, namespace, name, created_at), runs(run_id, job_id, state,
+    started_at, ended_at), datasets(id, namespace, name, source_uri),
+    edges(run_id, dataset_id, direction, created_at).  Surrogate ids are
+    xxhash64 of (namespace, name): stable, no coordination between writers."""
+    jobs = ol_jobs(good)
+    runs = ol_runs(good).select("run_id", F.xxhash64("job_namespace", "job_name").alias("job_id"), "state",
+                                "started_at", "ended_at")
+    datasets = ol_datasets(good).select(F.xxhash64("namespace", "name").alias("id"), "namespace", "name",
+                                        F.col("uri").alias("source_uri"))
+    edges = ol_edges(good).select("run_id", F.xxhash64("namespace", "name").alias("dataset_id"), "direction",
+                                  "created_at")
+    return {"jobs": jobs, "runs": runs, "datasets": datasets, "edges": edges}

@@ -128,3 +128,37 @@ FROM jobs j LEFT JOIN g ON g.job_id = j.id""", "jobs", "runs").replace(")\n, p A
 def q_lin_nested_json(spark, sf):
     f = Fixtures(spark, sf)
     return L.lin_nested_json(f.jobs(), f.runs())
+
+
+# ------------------------------------------------------------------ on the ingested store
+# The same queries over the store that event ingestion produces (events ->
+# parse -> validate -> normalise -> store), not over the fixture views.
+
+def _ingested_store(spark, sf):
+    from lakeline.operators import lineage_events as E
+
+    good, _ = E.split_valid(E.ol_validate(E.ol_parse(Fixtures(spark, sf).ol_events())))
+    return E.lineage_store(good)
+
+
+@register("lin_list_datasets_ingested", sql("""
+SELECT d.namespace, d.name, d.source_uri, count(DISTINCT e.run_id) AS run_count,
+       max(CASE WHEN e.direction = 'INPUT' THEN r.ended_at END) AS last_input,
+       max(CASE WHEN e.direction = 'OUTPUT' THEN r.ended_at END) AS last_output
+FROM edges e JOIN runs r ON r.run_id = e.run_id JOIN datasets d ON d.id = e.dataset_id
+WHERE r.ended_at IS NOT NULL GROUP BY 1, 2, 3""", "runs", "datasets", "edges"))
+def q_lin_list_datasets_ingested(spark, sf):
+    s = _ingested_store(spark, sf)
+    return L.lin_list_datasets(s["datasets"], s["edges"]).drop("id")
+
+
+@register("lin_stats_ingested", sql("""
+SELECT (SELECT count(DISTINCT job_id) FROM runs) AS total_jobs, (SELECT count(*) FROM runs) AS total_runs,
+       (SELECT count(DISTINCT e.dataset_id) FROM edges e JOIN runs r ON r.run_id = e.run_id
+         WHERE r.ended_at IS NOT NULL) AS total_datasets,
+       (SELECT count(*) FROM edges e JOIN runs r ON r.run_id = e.run_id WHERE r.ended_at IS NOT NULL) AS total_edges,
+       (SELECT count(*) FROM runs WHERE ended_at IS NULL) AS active_runs,
+       CAST(0 AS BIGINT) AS active_runs_literal""", "runs", "edges"))
+def q_lin_stats_ingested(spark, sf):
+    s = _ingested_store(spark, sf)
+    return L.lin_stats(s["jobs"], s["runs"], s["datasets"], s["edges"])
