@@ -132,7 +132,9 @@ def tbl_bulk_update(target: DataFrame, key: str, column: str, updates: DataFrame
 
 
 def updates_from_arrays(spark: SparkSession, ids: list, values: list) -> DataFrame:
-    """(id, value) rows from two parallel arrays (the UNNEST form)."""
+    """(id, value) rows from two parallel arrays (the UNNEST form) -- for a short
+    caller-supplied list; large update sets should be passed to
+    ``tbl_bulk_update`` as a DataFrame so they never pass through the driver."""
     if len(set(ids)) != len(ids):
         raise ValueError("ids must be unique")
     one = spark.createDataFrame([(list(ids), list(values))], "ids array<bigint>, vals array<string>")
