@@ -295,3 +295,27 @@ def cat_overview(tables: DataFrame, datasets: DataFrame, rows: str, bytes_per_ro
         tables.select((F.sum(rows) * bytes_per_row).cast("long")).scalar().alias("total_bytes"),
         datasets.select(F.count_distinct(bucket)).scalar().alias("buckets"),
         first_names.scalar().alias("first_tables"))
+
+
+def run_with_metrics(name: str, df: DataFrame, sink) -> DataFrame:
+    """Run ``sink(observed_df)`` and return one metrics row: name, duration,
+    rows, rows/s (0 when the duration is 0), success, error.  The row count
+    is an ``Observation`` collected by the sink's own job -- no second scan."""
+    import time
+
+    from pyspark.sql import Observation
+
+    spark = df.sparkSession
+    obs = Observation(f"run_{name}")
+    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+    t0 = time.perf_counter()
+    error = None
+    try:
+        sink(observed)
+        rows = int(obs.get["rows"])
+    except Exception as e:  # noqa: BLE001
+        error, rows = f"{type(e).__name__}: {str(e)[:200]}", 0
+    dur = time.perf_counter() - t0
+    return spark.createDataFrame(
+        [(name, dur, rows, rows / dur if dur > 0 else 0.0, error is None, error)],
+        "name string, duration_s double, rows long, rows_per_sec double, success boolean, error string")

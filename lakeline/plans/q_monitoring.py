@@ -317,3 +317,16 @@ def q_cat_search(spark, sf):
              .unionByName(f.snapshots().select(F.lit("table").alias("kind"), F.col("table_name").alias("item_id"),
                                                F.col("table_name").alias("name")).distinct()))
     return M.cat_search(items, "custmer")
+
+
+@register("mon_run_observed")
+def q_mon_run_observed(spark, sf):
+    """Metrics of a real write of lineitem, counted by an Observation (rows-only:
+    the duration varies run to run)."""
+    from lakeline.plans.q_io import scratch
+
+    out = scratch(spark, "observed")
+    m = M.run_with_metrics("lineitem_copy", Fixtures(spark, sf).lineitem,
+                           lambda d: d.write.mode("overwrite").parquet(out))
+    assert m.first().rows == Fixtures(spark, sf).lineitem.count()
+    return m
