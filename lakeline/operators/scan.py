@@ -4,8 +4,10 @@ A window ``PARTITION BY key ORDER BY t`` sends every row of a key to one task;
 when one key holds a third of the data that task holds a third of the data.
 ``running`` computes the same running aggregates without that hot task:
 
-1. ``repartitionByRange(n, key..., order...)`` cuts the data into ``n``
-   contiguous, balanced chunks; a hot key is split over many chunks.
+1. ``repartitionByRange(key..., order...)`` cuts the data into ``n``
+   contiguous, balanced chunks (``n`` = shuffle partitions, possibly
+   coalesced by AQE, or pinned with ``chunks``); a hot key is split over
+   many chunks.
 2. Each chunk is sorted and scanned locally (Arrow batches, vectorised), which
    gives running values that restart at every chunk boundary.
 3. A per-chunk summary (first key, last key, number of keys, aggregate of the
