@@ -47,3 +47,12 @@ def test_no_per_key_window_on_hot_key_paths(spark, key, key_col):
 def test_fanout_broadcasts_only_the_bounded_side(spark):
     p = plan(QUERIES["ev_fanout"](spark, SF_SMALL), "simple")
     assert "BroadcastExchange" in p
+
+
+def test_scan_joins_carry_by_broadcast_without_reshuffling_rows(spark):
+    """The big side of a running aggregate is read once from its checkpoint and
+    joined to the (chunk-bounded) carry table by broadcast."""
+    p = plan(QUERIES["win_running_sum"](spark, SF_SMALL), "simple")
+    assert "BroadcastHashJoin" in p and "BroadcastExchange" in p
+    main = p.split("BroadcastExchange")[0]
+    assert "Exchange hashpartitioning" not in main
