@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakeline.llm.common import new_path, table
 from lakeline.llm.exact_dedup import exact_dedup
+from lakeline.llm.language_id import language_of
+from lakeline.llm.simhash import simhash_groups
 from lakeline.llm.token_files import read_token_files, write_token_files
 from lakeline.llm.url_filter import judge_urls
 from lakeline.llm.warc import read_warc, write_warc
@@ -77,6 +79,16 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, with_ids=False)
 
 
+@query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of(table(spark, sf_dir, "documents"))
+
+
 @query("op10_url_filter", r"""
 WITH u AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
