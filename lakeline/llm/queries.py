@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakeline.llm.common import new_path, table
+from lakeline.llm.decontaminate import contaminated
 from lakeline.llm.exact_dedup import exact_dedup
 from lakeline.llm.language_id import language_of
+from lakeline.llm.mixing import mix
 from lakeline.llm.simhash import simhash_groups
 from lakeline.llm.token_files import read_token_files, write_token_files
 from lakeline.llm.url_filter import judge_urls
@@ -89,6 +92,78 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of(table(spark, sf_dir, "documents"))
 
 
+# Target mix: crawl (the one large source) against all other sites, then languages.
+MIX_LEVELS = {
+    "domain": F.expr("CASE WHEN source = 'src0' THEN 'crawl' ELSE 'sites' END"),
+    "lang": F.expr("lang"),
+    "source": F.expr("source"),
+}
+MIX_WEIGHTS = {("crawl",): 0.2, ("sites",): 0.8} | {
+    (d, lang): w for d in ("crawl", "sites") for lang, w in (("en", 0.4), ("de", 0.2), ("fr", 0.2), ("es", 0.2))
+}
+
+
+def level_sql(depth: int) -> str:
+    """One level of the tree: its nodes with capacity and weight, and their part of the parent's budget."""
+    names = ["domain", "lang", "source"]
+    here, above = ", ".join(names[:depth]), names[: depth - 1]
+    weight = {
+        1: "CASE domain WHEN 'crawl' THEN 200000 WHEN 'sites' THEN 800000 ELSE 1000000 END",
+        2: "CASE lang WHEN 'en' THEN 400000 WHEN 'de' THEN 200000 WHEN 'fr' THEN 200000 WHEN 'es' THEN 200000 ELSE 1000000 END",
+        3: "1000000",
+    }[depth]
+    same = " AND ".join(f"n.{c} IS NOT DISTINCT FROM b.{c}" for c in above) or "true"
+    part = "PARTITION BY " + ", ".join(above) if above else ""
+    budget = f"b{depth - 1}"
+    return f"""
+n{depth} AS (SELECT {here}, sum(cap)::HUGEINT AS cap, ({weight})::HUGEINT AS weight FROM leaf GROUP BY {here}),
+o{depth} AS (
+  SELECT n.*, b.budget::HUGEINT AS budget,
+         coalesce(sum(n.cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS before,
+         sum(n.weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS rest
+  FROM n{depth} n JOIN {budget} b ON {same}
+  WINDOW w AS ({part.replace("BY ", "BY n.").replace(", ", ", n.")} ORDER BY n.cap::DOUBLE / n.weight::DOUBLE, n.{names[depth - 1]})
+),
+f{depth} AS (SELECT *, before * weight + cap * rest <= budget * weight AS is_full FROM o{depth}),
+b{depth} AS (
+  SELECT {here}, CASE WHEN is_full THEN cap ELSE
+    ((budget - coalesce(sum(CASE WHEN is_full THEN cap END) OVER w, 0)::HUGEINT) * weight)
+    // nullif(sum(CASE WHEN NOT is_full THEN weight END) OVER w, 0)::HUGEINT END AS budget
+  FROM f{depth} WINDOW w AS ({part})
+)"""
+
+
+@query("op7_mixing", r"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN source = 'src0' THEN 'crawl' ELSE 'sites' END AS domain, lang, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS tokens, md5(coalesce(text, '')) AS text_md5
+  FROM documents
+), leaf AS (SELECT domain, lang, source, sum(tokens)::HUGEINT AS tokens, sum(tokens)::HUGEINT * 2 AS cap FROM d WHERE tokens > 0 GROUP BY ALL),
+b0 AS (SELECT sum(tokens)::HUGEINT // 2 AS budget FROM leaf),"""
++ ",".join(level_sql(i) for i in (1, 2, 3))
++ r""",
+r AS (
+  SELECT d.*, b.budget // l.tokens AS whole, b.budget % l.tokens AS rest,
+         md5('7|' || (b.budget // l.tokens) || '|' || coalesce(d.doc_id::VARCHAR, '') || '|' || d.text_md5) AS hash
+  FROM d
+  JOIN leaf l ON d.domain = l.domain AND d.lang IS NOT DISTINCT FROM l.lang AND d.source IS NOT DISTINCT FROM l.source
+  JOIN b3 b ON d.domain = b.domain AND d.lang IS NOT DISTINCT FROM b.lang AND d.source IS NOT DISTINCT FROM b.source
+  WHERE d.tokens > 0
+), c AS (
+  SELECT *, whole + CASE WHEN sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY hash ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS copies FROM r
+)
+SELECT doc_id, domain, lang, source, tokens, unnest(range(copies::BIGINT)) AS epoch FROM c
+""")
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mix(table(spark, sf_dir, "documents"), MIX_LEVELS, MIX_WEIGHTS, share=0.5, max_epochs=2)
+    return taken.select("doc.doc_id", "leaf.*", "tokens", "epoch")
+
+
+@query("op9_decontaminate")
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op10_url_filter", r"""
 WITH u AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
