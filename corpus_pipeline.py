@@ -14,7 +14,7 @@ from lakeline.llm.common import new_path, saved, table
 from lakeline.llm.decontaminate import drop_contaminated
 from lakeline.llm.language_id import drop_unidentified
 from lakeline.llm.mixing import mix
-from lakeline.llm.queries import MIX_LEVELS, MIX_WEIGHTS, tokenizer_path
+from lakeline.llm.queries import MIX_WEIGHTS, mix_levels, tokenizer_path
 from lakeline.llm.simhash import drop_near_duplicates
 from lakeline.llm.token_files import read_token_files, write_token_files
 
@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Nine tenths of all tokens, drawn to the target weights without repeats."""
-    return mix(docs, MIX_LEVELS, MIX_WEIGHTS, share=0.9, max_epochs=1).select("doc.*")
+    return mix(docs, mix_levels(), MIX_WEIGHTS, share=0.9, max_epochs=1).select("doc.*")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

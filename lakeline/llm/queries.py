@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeline.llm.common import new_path, table
 from lakeline.llm.decontaminate import contaminated
 from lakeline.llm.exact_dedup import exact_dedup
 from lakeline.llm.language_id import language_of
+from lakeline.llm.line_dedup import dedup_lines
 from lakeline.llm.mixing import mix
 from lakeline.llm.simhash import simhash_groups
+from lakeline.llm.substring_dedup import repeated_passages
 from lakeline.llm.token_files import read_token_files, write_token_files
 from lakeline.llm.url_filter import judge_urls
 from lakeline.llm.warc import read_warc, write_warc
@@ -75,6 +77,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc.doc_id", "text", "n_lines", "n_kept")
+
+
 @query("op4_token_files")
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
@@ -93,16 +100,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Target mix: crawl (the one large source) against all other sites, then languages.
-MIX_LEVELS = {
-    "domain": F.expr("CASE WHEN source = 'src0' THEN 'crawl' ELSE 'sites' END"),
-    "lang": F.expr("lang"),
-    "source": F.expr("source"),
-}
 MIX_WEIGHTS = {("crawl",): 0.2, ("sites",): 0.8} | {
     (d, lang): w for d in ("crawl", "sites") for lang, w in (("en", 0.4), ("de", 0.2), ("fr", 0.2), ("es", 0.2))
 }
 
 
+def mix_levels() -> dict[str, Column]:
+    domain = F.when(F.col("source") == "src0", "crawl").otherwise("sites")
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
 def level_sql(depth: int) -> str:
     """One level of the tree: its nodes with capacity and weight, and their part of the parent's budget."""
     names = ["domain", "lang", "source"]
@@ -136,7 +143,8 @@ b{depth} AS (
 @query("op7_mixing", r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source = 'src0' THEN 'crawl' ELSE 'sites' END AS domain, lang, source,
-         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS tokens, md5(coalesce(text, '')) AS text_md5
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS tokens, md5(coalesce(text, '')) AS text_md5
   FROM documents
 ), leaf AS (SELECT domain, lang, source, sum(tokens)::HUGEINT AS tokens, sum(tokens)::HUGEINT * 2 AS cap FROM d WHERE tokens > 0 GROUP BY ALL),
 b0 AS (SELECT sum(tokens)::HUGEINT // 2 AS budget FROM leaf),"""
@@ -155,10 +163,15 @@ r AS (
 SELECT doc_id, domain, lang, source, tokens, unnest(range(copies::BIGINT)) AS epoch FROM c
 """)
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = mix(table(spark, sf_dir, "documents"), MIX_LEVELS, MIX_WEIGHTS, share=0.5, max_epochs=2)
+    taken = mix(table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS, share=0.5, max_epochs=2)
     return taken.select("doc.doc_id", "leaf.*", "tokens", "epoch")
 
 
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op9_decontaminate")
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
