@@ -1,16 +1,18 @@
 """Access-scoped and reporting views.
 
 Row-level security becomes a filter the optimizer pushes into the scan;
-role inheritance is a breadth-first closure with checkpointed lineage.
+role inheritance is a breadth-first closure, a written table per level.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeline.functions import exact_avg, exact_sum, max_of, preview
-from lakeline.session import checkpoint_dir
+from lakeline.session import scratch_path
 
 
 def secured(df: DataFrame, tenant: str | None, tenant_col: str = "tenant") -> DataFrame:
@@ -27,29 +29,26 @@ def sec_recent(df: DataFrame, ts: str, days: int = 30, asof=None) -> DataFrame:
 
 
 def role_closure(edges: DataFrame, member: str = "member", parent: str = "parent",
-                 max_depth: int = 10000, checkpoint_every: int = 4) -> DataFrame:
+                 max_depth: int = 10000) -> DataFrame:
     """(role, ancestor) pairs incl. (role, role): every role a role inherits.
 
-    Frontier expansion, one join per level; only new pairs continue.  The
-    driver only tests whether the frontier is empty.  A cycle stops because
-    pairs already seen are removed (left anti join).
+    One join per level; only pairs not seen on an earlier level go on, so a cycle
+    ends.  Each level is written once in the shared folder; the pairs seen so far
+    are the levels' files.
     """
-    checkpoint_dir(edges.sparkSession)
+    spark = edges.sparkSession
+    path = scratch_path(spark, f"roles-{uuid.uuid4().hex}")
     e = edges.select(F.col(member).alias("anc"), F.col(parent).alias("next")).distinct()
     roles = e.select(F.col("anc").alias("role")).union(e.select(F.col("next").alias("role"))).distinct()
-    seen = roles.select("role", F.col("role").alias("anc"))
-    frontier = seen
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(e, "anc").select("role", F.col("next").alias("anc")).distinct()
-        step = step.join(seen, ["role", "anc"], "left_anti")
-        if depth % checkpoint_every == 0:
-            step = step.checkpoint(eager=True)
-        if step.isEmpty():
+    level = roles.select("role", F.col("role").alias("anc"))
+    for depth in range(max_depth + 1):
+        level.write.parquet(f"{path}/{depth}")
+        last = spark.read.schema(level.schema).parquet(f"{path}/{depth}")
+        seen = spark.read.schema(level.schema).parquet(*[f"{path}/{i}" for i in range(depth + 1)])
+        if last.isEmpty():
             return seen
-        seen = seen.unionByName(step)
-        if depth % checkpoint_every == 0:
-            seen = seen.checkpoint(eager=True)
-        frontier = step
+        step = last.join(e, "anc").select("role", F.col("next").alias("anc")).distinct()
+        level = step.join(seen, ["role", "anc"], "left_anti")
     raise RuntimeError(f"role graph deeper than {max_depth}")
 
 

@@ -41,12 +41,14 @@ def _edge_datasets(edges: DataFrame, datasets: DataFrame) -> DataFrame:
 
 
 def lin_run(runs: DataFrame, jobs: DataFrame, datasets: DataFrame, edges: DataFrame,
-            page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """Run detail with ordered ``inputs``/``outputs`` arrays of {namespace, name, uri}.
+            page_size: int = DEFAULT_PAGE_SIZE, run_id=None) -> DataFrame:
+    """Run detail (of one run, or of every run) with ordered ``inputs``/``outputs`` arrays of {namespace, name, uri}.
 
     Arrays are paged (``page``) so one run with a huge fan-in never becomes a
     single unbounded row; runs without edges keep one row with empty arrays.
     """
+    if run_id is not None:  # reaches both scans
+        runs, edges = runs.filter(F.col("run_id") == run_id), edges.filter(F.col("run_id") == run_id)
     ed = _edge_datasets(edges, datasets)
     ds = F.struct("namespace", "name", "uri")
     pages = paged_lists(
@@ -112,8 +114,8 @@ def lin_dataset_uses(datasets: DataFrame, edges: DataFrame, runs: DataFrame, job
     return out
 
 
-def lin_stats(jobs: DataFrame, runs: DataFrame, datasets: DataFrame, edges: DataFrame) -> DataFrame:
-    """Totals of jobs/runs/datasets/edges and active runs, as one row.
+def lin_stats(jobs: DataFrame, runs: DataFrame, datasets: DataFrame, run_events: DataFrame) -> DataFrame:
+    """Totals of jobs/runs/datasets/run events and active runs, as one row.
 
     Each total is an independent global aggregate evaluated as a scalar
     subquery (partial counts per task, one row each), not a cross join.
@@ -134,7 +136,7 @@ def lin_stats(jobs: DataFrame, runs: DataFrame, datasets: DataFrame, edges: Data
         cnt(jobs).alias("total_jobs"),
         r.getField("total").alias("total_runs"),
         cnt(datasets).alias("total_datasets"),
-        cnt(edges).alias("total_edges"),
+        cnt(run_events).alias("total_events"),
         F.coalesce(r.getField("active"), F.lit(0)).alias("active_runs"),
         F.coalesce(r.getField("literal"), F.lit(0)).alias("active_runs_literal"))
 

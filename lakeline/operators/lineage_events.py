@@ -19,9 +19,10 @@ EVENT_TYPES = ("START", "RUNNING", "COMPLETE", "FAIL", "ABORT")
 TERMINAL = ("COMPLETE", "FAIL", "ABORT")
 PRODUCER = "lakeline"
 SCHEMA_URL = "https://openlineage.io/spec/1-0-5/OpenLineage.json#/definitions/RunEvent"
-UUID_RE = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+UUID_RE = r"^(?:urn:)?(?:uuid:)?\{?[0-9a-fA-F]{8}(?:-?[0-9a-fA-F]{4}){3}-?[0-9a-fA-F]{12}\}?$"
+DEFAULT_NAMESPACE = "lake"  # of datasets given by name only
 
-SEQ_STRIDE = 100000  # seq = run_id * stride + (0 for START, 1 + page for terminal pages)
+SEQ_STRIDE = 1 << 20  # seq = run_id * stride + (0 for START, 1 + page for terminal pages); more pages are an error
 
 FIELD = T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.StringType())])
 DATASET = T.StructType([
@@ -46,8 +47,8 @@ EVENT = T.StructType([
         T.StructField("facets", T.StructType([
             T.StructField("documentation", T.StructType([T.StructField("description", T.StringType())]))])),
     ])),
-    T.StructField("inputs", T.ArrayType(DATASET)),
-    T.StructField("outputs", T.ArrayType(DATASET)),
+    T.StructField("inputs", T.ArrayType(T.StringType())),  # each a name, or an object as its JSON text
+    T.StructField("outputs", T.ArrayType(T.StringType())),
     T.StructField("producer", T.StringType()),
     T.StructField("schemaURL", T.StringType()),
     T.StructField("_corrupt", T.StringType()),
@@ -127,16 +128,18 @@ def ol_complete_event(ended_runs: DataFrame, run_datasets: DataFrame,
         F.coalesce(F.transform("outs", lambda x: x["d"]), empty).alias("outputs"),
         F.lit(PRODUCER).alias("producer"),
         F.lit(SCHEMA_URL).alias("schemaURL"))
-    page = F.coalesce(F.col("page"), F.lit(0))
+    page = F.assert_true(F.coalesce("page", F.lit(0)) < SEQ_STRIDE - 1, "a run has too many pages")
+    page = F.coalesce(page.cast("long"), F.col("page"), F.lit(0))
     return r.select((F.col("run_id") * SEQ_STRIDE + 1 + page).alias("seq"),
                     F.col("ended_at").alias("ts"), _json(ev).alias("payload"))
 
 
 def malformed_events(events: DataFrame) -> DataFrame:
     """Bad rows for the dead-letter path: one per source event with id % 100 = 0,
-    cycling through broken JSON, missing runId, non-UUID runId, unknown type."""
+    cycling through broken JSON, missing runId, non-UUID runId, unknown type, and
+    an event time that is none."""
     e = events.filter(F.col("event_id") % 100 == 0)
-    v = (F.col("event_id") / 100).cast("long") % 4
+    v = (F.col("event_id") / 100).cast("long") % 5
     t = iso(F.col("ts"))
     bad_job = F.concat(F.lit('"job":{"namespace":"bad","name":"bad_'), F.col("event_id").cast("string"), F.lit('"}'))
     payload = (F.when(v == 0, F.concat(F.lit('{"eventType":"START","eventTime":"'), t, F.lit('",')))
@@ -145,6 +148,8 @@ def malformed_events(events: DataFrame) -> DataFrame:
                .when(v == 2, F.concat(F.lit('{"eventType":"START","eventTime":"'), t,
                                       F.lit('","run":{"runId":"run-'), F.col("event_id").cast("string"),
                                       F.lit('"},'), bad_job, F.lit("}")))
+               .when(v == 4, F.concat(F.lit('{"eventType":"START","eventTime":"not-a-date","run":{"runId":"'),
+                                      uuid_of(F.col("event_id") + 1000000000), F.lit('"},'), bad_job, F.lit("}")))
                .otherwise(F.concat(F.lit('{"eventType":"PAUSE","eventTime":"'), t, F.lit('","run":{"runId":"'),
                                    uuid_of(F.col("event_id") + 1000000000), F.lit('"},'), bad_job, F.lit("}"))))
     return e.select((-1 - F.col("event_id")).alias("seq"), "ts", payload.alias("payload"))
@@ -166,25 +171,53 @@ def build_events(runs: DataFrame, jobs: DataFrame, datasets: DataFrame, edges: D
 
 # ---------------------------------------------------------------- parsing
 
+def ol_datasets_of(items: Column) -> Column:
+    """Dataset structs from the elements of an event's inputs or outputs: an
+    OpenLineage object, a plain {name, uri} dict, or just a name.  What is not
+    given is filled in: the namespace, and the uri from the data source facet,
+    the top level or (for a name) the table path."""
+    loose = T.StructType([*DATASET.fields, T.StructField("uri", T.StringType())])
+
+    def one(x: Column) -> Column:
+        d = F.from_json(x, loose)
+        is_object = x.startswith("{") & d.getField("name").isNotNull()
+        name = F.when(is_object, d.getField("name")).otherwise(x)
+        space = F.coalesce(F.when(is_object, d.getField("namespace")), F.lit(DEFAULT_NAMESPACE))
+        source = d.getField("facets").getField("dataSource")
+        uri = F.when(is_object, F.coalesce(source.getField("uri"), d.getField("uri"))).otherwise(
+            F.concat(F.lit("lake://tables/"), x))
+        given = F.when(is_object, source.getField("name"))
+        fields = F.when(is_object, d.getField("facets").getField("schema"))
+        facets = F.struct(F.struct(given.alias("name"), uri.alias("uri")).alias("dataSource"), fields.alias("schema"))
+        return F.struct(space.alias("namespace"), name.alias("name"), facets.alias("facets"))
+
+    return F.transform(F.filter(items, lambda x: x.isNotNull()), one)
+
+
 def ol_parse(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """Parse JSON events with an explicit schema; fill defaults.
 
-    Malformed JSON yields ``corrupt`` = true and null fields (never an error).
+    Malformed JSON yields ``corrupt`` = true and null fields (never an error);
+    an event time that is no time is null, which validation dead-letters.
     """
     p = F.from_json(F.col(payload), EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     empty = F.array().cast(T.ArrayType(DATASET))
+    run = F.lower(F.regexp_replace(F.col("__e.run.runId"), r"^urn:|uuid:|[{}-]", ""))
+    run = F.when(F.length(run) == 32, F.concat_ws("-", *[F.substring(run, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))
+    run = F.when(F.col("__e.run.runId").rlike(UUID_RE), run).otherwise(F.col("__e.run.runId"))
     out = raw.withColumn("__e", p)
     return out.select(
         *[c for c in raw.columns if c != payload],
         F.col(payload).alias("raw"),
         (F.col("__e").isNull() | F.col("__e._corrupt").isNotNull()).alias("corrupt"),
         F.col("__e.eventType").alias("event_type"),
-        F.to_timestamp(F.col("__e.eventTime")).cast("timestamp_ntz").alias("event_time"),
-        F.col("__e.run.runId").alias("run_id"),
+        F.col("__e.eventTime").alias("event_time_text"),
+        F.col("__e.eventTime").try_cast("timestamp").cast("timestamp_ntz").alias("event_time"),
+        run.alias("run_id"),
         F.col("__e.job.namespace").alias("job_namespace"),
         F.col("__e.job.name").alias("job_name"),
-        F.coalesce(F.col("__e.inputs"), empty).alias("inputs"),
-        F.coalesce(F.col("__e.outputs"), empty).alias("outputs"),
+        F.coalesce(ol_datasets_of(F.col("__e.inputs")), empty).alias("inputs"),
+        F.coalesce(ol_datasets_of(F.col("__e.outputs")), empty).alias("outputs"),
         F.coalesce(F.col("__e.producer"), F.lit(PRODUCER)).alias("producer"),
         F.coalesce(F.col("__e.schemaURL"), F.lit(SCHEMA_URL)).alias("schema_url"),
     )
@@ -195,6 +228,7 @@ def ol_validate(parsed: DataFrame) -> DataFrame:
     missing = [("event_type", "eventType"), ("event_time", "eventTime"), ("run_id", "run.runId"),
                ("job_namespace", "job.namespace"), ("job_name", "job.name")]
     err = F.when(F.col("corrupt"), F.lit("malformed JSON"))
+    err = err.when(F.col("event_time_text").isNotNull() & F.col("event_time").isNull(), F.lit("eventTime is not a time"))
     for c, label in missing:
         err = err.when(F.col(c).isNull(), F.lit(f"missing {label}"))
     err = (err.when(~F.col("run_id").rlike(UUID_RE), F.lit("runId is not a UUID"))
@@ -229,43 +263,59 @@ def ol_jobs(good: DataFrame, existing: DataFrame | None = None) -> DataFrame:
         new.select("id", "namespace", "name", "created_at"))
 
 
-def ol_runs(good: DataFrame) -> DataFrame:
-    """One row per run: state = last terminal type, else first type; started_at =
-    first event time; ended_at = time of the last terminal event."""
-    term = F.col("event_type").isin(*TERMINAL)
-    # Two ordered aggregates (first event, last terminal event) carrying structs,
-    # instead of one per output field.
-    g = good.groupBy("run_id").agg(
-        F.min_by(F.struct("job_namespace", "job_name", "event_type", "event_time"), _ord()).alias("f"),
-        F.max_by(F.when(term, F.struct("event_type", "event_time")), F.when(term, _ord())).alias("t"))
+def run_parts(events: DataFrame) -> DataFrame:
+    """Per run: its first event and its last terminal event, as structs that order
+    by (event_time, seq); parts of several batches merge with ``runs_of``."""
+    when = [F.col("event_time"), F.col("seq")]
+    first = F.struct(*when, "job_namespace", "job_name", "event_type")
+    term = F.when(F.col("event_type").isin(*TERMINAL), F.struct(*when, "event_type"))
+    return events.groupBy("run_id").agg(F.min(first).alias("first"), F.max(term).alias("term"))
+
+
+def runs_of(parts: DataFrame) -> DataFrame:
+    g = parts.groupBy("run_id").agg(F.min("first").alias("f"), F.max("term").alias("t"))
     return g.select(
         "run_id", F.col("f.job_namespace").alias("job_namespace"), F.col("f.job_name").alias("job_name"),
         F.coalesce(F.col("t.event_type"), F.col("f.event_type")).alias("state"),
         F.col("f.event_time").alias("started_at"), F.col("t.event_time").alias("ended_at"))
 
 
+def ol_runs(good: DataFrame) -> DataFrame:
+    """One row per run: state = last terminal type, else first type; started_at =
+    first event time; ended_at = time of the last terminal event."""
+    return runs_of(run_parts(good))
+
+
 def _exploded(good: DataFrame) -> DataFrame:
-    base = good.select("run_id", "event_time", "seq", "inputs", "outputs")
-    ins = base.select("run_id", "event_time", "seq", F.lit("INPUT").alias("direction"),
-                      F.explode("inputs").alias("d"))
-    outs = base.select("run_id", "event_time", "seq", F.lit("OUTPUT").alias("direction"),
-                       F.explode("outputs").alias("d"))
-    return ins.unionByName(outs).select(
+    def side(name: str, direction: str) -> Column:
+        return F.transform(name, lambda d: F.struct(F.lit(direction).alias("direction"), d.alias("d")))
+
+    both = F.concat(side("inputs", "INPUT"), side("outputs", "OUTPUT"))
+    return good.select("run_id", "event_time", "seq", F.explode(both).alias("x")).select(
+        "run_id", "event_time", "seq", "x.direction", F.col("x.d").alias("d")).select(
         "run_id", "event_time", "seq", "direction",
         F.col("d.namespace").alias("namespace"), F.col("d.name").alias("name"),
         F.col("d.facets.dataSource.uri").alias("uri"))
 
 
+def dataset_parts(events: DataFrame) -> DataFrame:
+    """Per dataset its first sighting, a struct that orders by (event_time, seq)."""
+    return _exploded(events).groupBy("namespace", "name").agg(F.min(F.struct("event_time", "seq", "uri")).alias("first"))
+
+
+def datasets_of(parts: DataFrame) -> DataFrame:
+    g = parts.groupBy("namespace", "name").agg(F.min("first").alias("f"))
+    return g.select("namespace", "name", F.coalesce("f.uri", F.lit("")).alias("uri"), F.col("f.event_time").alias("created_at"))
+
+
 def ol_datasets(good: DataFrame) -> DataFrame:
     """Datasets by (namespace, name); uri from the first sighting, default ''."""
-    x = _exploded(good)
-    return x.groupBy("namespace", "name").agg(
-        F.coalesce(F.min_by("uri", _ord()), F.lit("")).alias("uri"),
-        F.min("event_time").alias("created_at"))
+    return datasets_of(dataset_parts(good))
 
 
 def ol_run_events(good: DataFrame) -> DataFrame:
-    return good.select("seq", "run_id", "event_type", "event_time", "producer", "schema_url",
+    """One row per event; an event delivered again (same seq) is stored once."""
+    return good.dropDuplicates(["seq"]).select("seq", "run_id", "event_type", "event_time", "producer", "schema_url",
                        F.col("raw").alias("event_data"))
 
 
@@ -301,7 +351,7 @@ def lineage_store(good: DataFrame) -> dict[str, DataFrame]:
     """The normalised store in the shape the lineage queries read:
     jobs(id, namespace, name, created_at), runs(run_id, job_id, state,
     started_at, ended_at), datasets(id, namespace, name, source_uri),
-    edges(run_id, dataset_id, direction, created_at).  Surrogate ids are
+    edges(run_id, dataset_id, direction, created_at), run_events.  Surrogate ids are
     xxhash64 of (namespace, name): stable, no coordination between writers."""
     jobs = ol_jobs(good)
     runs = ol_runs(good).select("run_id", F.xxhash64("job_namespace", "job_name").alias("job_id"), "state",
@@ -310,4 +360,4 @@ def lineage_store(good: DataFrame) -> dict[str, DataFrame]:
                                         F.col("uri").alias("source_uri"))
     edges = ol_edges(good).select("run_id", F.xxhash64("namespace", "name").alias("dataset_id"), "direction",
                                   "created_at")
-    return {"jobs": jobs, "runs": runs, "datasets": datasets, "edges": edges}
+    return {"jobs": jobs, "runs": runs, "datasets": datasets, "edges": edges, "run_events": ol_run_events(good)}

@@ -6,7 +6,7 @@ health summary.  Everything is built-in ``regexp_extract``/``rlike``/
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,7 +49,7 @@ def log_parse_pg(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.select(
         *[c for c in lines.columns if c != line],
         ts_text.alias("ts_text"),
-        F.to_timestamp(F.left(ts_text, F.lit(23)), "yyyy-MM-dd HH:mm:ss.SSS").cast("timestamp_ntz").alias("log_ts"),
+        F.try_to_timestamp(F.left(ts_text, F.lit(23)), F.lit("yyyy-MM-dd HH:mm:ss.SSS")).cast("timestamp_ntz").alias("log_ts"),
         _nz(F.regexp_extract(l, PG_LINE, 2)).cast("long").alias("pid"),
         _nz(F.regexp_extract(l, PG_LINE, 3)).alias("user"),
         _nz(F.regexp_extract(l, PG_LINE, 4)).alias("database"),
@@ -74,33 +74,33 @@ def log_level_guess(line: Column) -> Column:
 
 
 def log_parse_json(lines: DataFrame, line: str = "line") -> DataFrame:
-    """JSON logs -> nine fields plus the parsed timestamp (microseconds)."""
+    """JSON logs -> nine fields plus the parsed timestamp (any ISO form; null if it is no time)."""
     j = F.from_json(F.col(line), JSON_LOG)
     return lines.withColumn("__j", j).select(
         *[c for c in lines.columns if c != line],
         *[F.col("__j." + f.name).alias(f.name) for f in JSON_LOG.fields],
-        F.to_timestamp(F.col("__j.timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").cast("timestamp_ntz").alias("log_ts"))
+        F.col("__j.timestamp").try_cast("timestamp").cast("timestamp_ntz").alias("log_ts"))
 
 
 def log_route(raw: DataFrame, container: str = "container", line: str = "line",
               keep: list[str] | None = None, drop: list[str] | None = None) -> DataFrame:
-    """Per-source pipelines unioned into one schema (container, event_id,
-    log_ts, level, message): 'postgresql' lines by the database regex,
-    'backend' lines as JSON, everything else by level guessing.  ``keep`` /
+    """One pass over the lines into one schema (container, event_id, log_ts,
+    level, message): 'postgresql' lines by the database regex, 'backend' lines
+    as JSON, everything else by level guessing.  ``keep`` /
     ``drop`` are container allow/deny lists applied first."""
     r = raw
     if keep:
         r = r.filter(F.col(container).isin(*keep))
     if drop:
         r = r.filter(~F.col(container).isin(*drop))
-    pg = log_parse_pg(r.filter(F.col(container) == "postgresql"), line).select(
-        container, "event_id", "log_ts", F.lower("level").alias("level"), "message")
-    js = log_parse_json(r.filter(F.col(container) == "backend"), line).select(
-        container, "event_id", "log_ts", F.lower("level").alias("level"), "message")
-    other = r.filter(~F.col(container).isin("postgresql", "backend")).select(
-        container, "event_id", F.lit(None).cast("timestamp_ntz").alias("log_ts"),
-        log_level_guess(F.col(line)).alias("level"), F.col(line).alias("message"))
-    return pg.unionByName(js).unionByName(other)
+    c, text = F.col(container), F.col(line)
+    json = F.from_json(text, JSON_LOG)
+    pg = [F.try_to_timestamp(F.left(_nz(F.regexp_extract(text, PG_LINE, 1)), F.lit(23)), F.lit("yyyy-MM-dd HH:mm:ss.SSS")),
+          F.lower(_nz(F.regexp_extract(text, PG_LINE, 5))), _nz(F.regexp_extract(text, PG_LINE, 6))]
+    js = [json.getField("timestamp").try_cast("timestamp"), F.lower(json.getField("level")), json.getField("message")]
+    other = [F.lit(None).cast("timestamp"), log_level_guess(text), text]
+    ts, level, message = (F.when(c == "postgresql", a).when(c == "backend", b).otherwise(d) for a, b, d in zip(pg, js, other))
+    return r.select(container, "event_id", ts.cast("timestamp_ntz").alias("log_ts"), level.alias("level"), message.alias("message"))
 
 
 def log_filter(lines: DataFrame, ts: str, since_minutes: int, filters: dict[str, str] | None = None,
@@ -123,24 +123,15 @@ def log_labels(raw: DataFrame, labels: Column) -> DataFrame:
 def log_report(lines: DataFrame, ts: str, hours: int, k: int = 3, line: str = "line",
                id_col: str = "event_id", asof=None) -> DataFrame:
     """Six-section report for the last ``hours``: match count per section and
-    the ``k`` newest matching lines.  Counts come from one exploded pass;
-    samples are one distributed top-k per (fixed) section, read from one
-    checkpointed copy of the matches."""
+    the ``k`` newest matching lines.  Counts are partial sums; of the lines each
+    task keeps its ``k`` newest per section (a row-number limit, which Spark pushes
+    below the shuffle), so a section that most lines match moves few rows."""
     m = log_filter(lines, ts, hours * 60, {s: NAMED_FILTERS[s] for s in REPORT_SECTIONS}, line, asof)
-    # The matches (a filtered, narrow projection) are materialised once in the
-    # shared checkpoint folder, so the count and the six top-k samples read
-    # that copy instead of scanning the logs seven times.
-    from lakeline.session import checkpoint_dir
-
-    checkpoint_dir(lines.sparkSession)
-    m = m.select(ts, id_col, line, "filter").checkpoint(eager=True)
-    counts = m.groupBy(F.col("filter").alias("section")).agg(F.count(F.lit(1)).alias("matches"))
+    m = m.select(F.col("filter").alias("section"), ts, F.col(id_col).alias("sample_id"), F.col(line).alias("sample"))
+    counts = m.groupBy("section").agg(F.count(F.lit(1)).alias("matches"))
+    newest = Window.partitionBy("section").orderBy(F.col(ts).desc(), F.col("sample_id").desc())
+    samples = m.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= k).drop("__n", ts)
     sections = lines.sparkSession.createDataFrame([(s,) for s in REPORT_SECTIONS], "section string")
-    samples = None
-    for s in REPORT_SECTIONS:
-        top = (m.filter(F.col("filter") == s).orderBy(F.col(ts).desc(), F.col(id_col).desc()).limit(k)
-               .select(F.lit(s).alias("section"), F.col(id_col).alias("sample_id"), F.col(line).alias("sample")))
-        samples = top if samples is None else samples.unionByName(top)
     base = sections.join(counts, "section", "left").select(
         "section", F.coalesce("matches", F.lit(0)).alias("matches"))
     return base.join(samples, "section", "left")

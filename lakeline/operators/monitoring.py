@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lakeline.functions import (exact_avg, exact_sum, from_micros, max_of, micros, ratio_or_zero,
                                 round_half_up_ratio, scaled)
-from lakeline.operators.scan import lag_join, running
+from lakeline.operators.scan import lag_rows, running
 
 # Default histogram bucket bounds of the Prometheus client library.
 DEFAULT_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0]
@@ -145,8 +145,8 @@ def mon_mem_stats(samples: DataFrame, key: str = "component") -> DataFrame:
 
 def mon_mem_leak(samples: DataFrame, threshold: int, key: str = "component", lookback: int = 9) -> DataFrame:
     """Alert rows: rss grew by more than ``threshold`` over the last
-    ``lookback`` samples (needs lookback + 1 samples; lag via position join)."""
-    lj = lag_join(samples, [key], ["ts", "event_id"], ["rss"], lookback, prefix="ago_")
+    ``lookback`` samples (needs lookback + 1 samples)."""
+    lj = lag_rows(samples, [key], ["ts", "event_id"], ["rss"], lookback, prefix="ago_")
     return lj.filter((F.col("rss") - F.col("ago_rss")) > threshold).select(
         key, "ts", "event_id", "rss", F.col("ago_rss").alias("rss_before"),
         (F.col("rss") - F.col("ago_rss")).alias("growth"))
@@ -200,8 +200,8 @@ def config_hash(pairs: Column) -> Column:
 def mon_config_drift(configs: DataFrame, key: str, order: list, pairs: Column) -> DataFrame:
     """Config hash per snapshot and whether it changed vs the previous one."""
     h = configs.withColumn("config_hash", config_hash(pairs))
-    lj = lag_join(h, [key], order, ["config_hash"], 1)
-    return lj.drop("pos").withColumn("changed", F.col("prev_config_hash").isNotNull()
+    lj = lag_rows(h, [key], order, ["config_hash"])
+    return lj.withColumn("changed", F.col("prev_config_hash").isNotNull()
                                      & (F.col("prev_config_hash") != F.col("config_hash")))
 
 
@@ -212,27 +212,23 @@ def mon_success_rate(df: DataFrame, circuit: str, success: Column) -> DataFrame:
 
 
 def mon_rate_limit(requests: DataFrame, user: str, ts: str, rid: str, window_s: int, limit: int) -> DataFrame:
-    """Sliding-window audit: requests of the user in [ts - window, ts]
-    (RANGE frame, ties included); over the limit when the count >= limit.
+    """Sliding-window audit: ``in_window`` counts the user's requests before the
+    current one (by time, then id) in (ts - window, ts]; the request is over the
+    limit when there are ``limit`` or more.
 
-    Each request emits two probes, one just after all rows at ``ts`` and one
-    just before rows at ``ts - window``; one skew-safe running count over
-    requests + probes gives both bounds.  No range join, no per-user window.
+    Each request adds one at its time and takes one away when it is ``window_s``
+    old (before requests of that time), so one skew-safe running sum is the count.
+    Requests without a time are not audited.
     """
-    w_us = window_s * 1_000_000
-    base = requests.select(F.col(user).alias("__u"), F.col(ts).alias("__t"), F.col(rid).alias("__id"))
-    rows = base.select("__u", "__t", F.lit(1).alias("__side"), "__id", F.lit(1).alias("__w"))
-    hi = base.select("__u", "__t", F.lit(2).alias("__side"), "__id", F.lit(0).alias("__w"))
-    lo = base.select("__u", from_micros(micros("__t") - w_us).alias("__t"), F.lit(0).alias("__side"), "__id",
-                     F.lit(0).alias("__w"))
-    u = rows.unionByName(hi).unionByName(lo)
-    s = running(u, ["__u"], ["__t", "__side", "__id"], {"__c": ("sum", "__w")})
-    probes = s.filter(F.col("__side") != 1).groupBy("__id").agg(
-        F.max(F.when(F.col("__side") == 2, F.col("__c"))).alias("__upto"),
-        F.max(F.when(F.col("__side") == 0, F.col("__c"))).alias("__before"))
-    out = requests.join(probes, requests[rid] == probes["__id"])
-    n = (F.col("__upto") - F.col("__before")).alias("in_window")
-    return out.select(*requests.columns, n).withColumn("over_limit", F.col("in_window") >= limit)
+    rows = requests.filter(F.col(ts).isNotNull())
+    here = rows.select(F.col(user).alias("__u"), F.col(ts).alias("__t"), F.lit(1).alias("__side"), F.col(rid).alias("__id"),
+                       F.lit(1).alias("__w"), F.struct(*requests.columns).alias("__row"))
+    gone = here.select("__u", from_micros(micros("__t") + window_s * 1_000_000).alias("__t"), F.lit(0).alias("__side"),
+                       "__id", F.lit(-1).alias("__w"))
+    u = here.unionByName(gone, allowMissingColumns=True)
+    s = running(u, ["__u"], ["__t", "__side", "__id"], {"__n": ("sum", "__w")}).filter(F.col("__side") == 1)
+    out = s.select("__row.*", (F.col("__n") - 1).alias("in_window"))
+    return out.withColumn("over_limit", F.col("in_window") >= limit)
 
 
 def cat_search(items: DataFrame, term: str, threshold: float = 0.3, min_term: int = 3) -> DataFrame:
@@ -314,7 +310,7 @@ def run_with_metrics(name: str, df: DataFrame, sink) -> DataFrame:
         sink(observed)
         rows = int(obs.get["rows"])
     except Exception as e:  # noqa: BLE001
-        error, rows = f"{type(e).__name__}: {str(e)[:200]}", 0
+        error, rows = f"{type(e).__name__}: {e}", 0
     dur = time.perf_counter() - t0
     return spark.createDataFrame(
         [(name, dur, rows, rows / dur if dur > 0 else 0.0, error is None, error)],

@@ -22,25 +22,9 @@ DEFAULT_PAGE_SIZE = 1000
 
 def with_page(df: DataFrame, by: Iterable[str], order: Iterable, page_size: int = DEFAULT_PAGE_SIZE,
               name: str = "page") -> DataFrame:
-    """Add ``page`` = (position within key - 1) div page_size.
-
-    Keys with at most ``page_size`` rows (normally almost all) are page 0
-    without any ordering work.  A per-key count (partial aggregation) decides:
-    when no key exceeds a page, nothing else is done; otherwise the counts are
-    joined back (AQE splits a hot key's partition of that join) and only rows
-    of keys larger than a page go through the skew-safe position scan.
-    """
-    by = list(by)
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    largest = counts.agg(F.max("__n")).first()[0] or 0  # one scalar to the driver
-    if largest <= page_size:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    j = df.join(counts, by)
-    small = j.filter(F.col("__n") <= page_size).drop("__n").withColumn(name, F.lit(0).cast("long"))
-    big = j.filter(F.col("__n") > page_size).drop("__n")
-    pos = with_position(big, by, order, "__pos")
-    paged = pos.withColumn(name, F.floor((F.col("__pos") - 1) / page_size).cast("long")).drop("__pos")
-    return small.unionByName(paged)
+    """Add ``page`` = (position within key - 1) div page_size; null keys are keys like others."""
+    pos = with_position(df, by, order, "__pos")
+    return pos.withColumn(name, F.floor((F.col("__pos") - 1) / page_size).cast("long")).drop("__pos")
 
 
 def paged_lists(df: DataFrame, by: Iterable[str], order: Iterable, items: dict[str, Column],

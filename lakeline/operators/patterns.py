@@ -9,14 +9,15 @@ cohort) and that bound is stated next to the code.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lakeline.operators.scan import lag_join, running, with_position
-from lakeline.session import checkpoint_dir
+from lakeline.operators.scan import chunk_of, lag_rows, rolling_sum, running
+from lakeline.session import scratch_path
 
 
 # ------------------------------------------------------------------ relational
@@ -48,36 +49,15 @@ def rel_concat(frames: Iterable[DataFrame]) -> DataFrame:
     return out
 
 
-class StepError(RuntimeError):
-    """A named pipeline step failed; ``step`` names it."""
-
-    def __init__(self, step: str, cause: Exception):
-        super().__init__(f"step '{step}' failed: {cause}")
-        self.step = step
-        self.cause = cause
-
-
-class StepChain:
-    """Named ``DataFrame -> DataFrame`` steps applied with ``df.transform``."""
-
-    def __init__(self):
-        self.steps: list[tuple[str, Callable[[DataFrame], DataFrame]]] = []
-
-    def pipe(self, fn: Callable[[DataFrame], DataFrame], name: str | None = None) -> "StepChain":
-        self.steps.append((name or fn.__name__, fn))
-        return self
-
-    def run(self, df: DataFrame, validate: bool = False) -> DataFrame:
-        """Apply steps; analysis errors name the failing step.  With
-        ``validate`` each step's plan is also resolved eagerly (schema only)."""
-        for name, fn in self.steps:
-            try:
-                df = df.transform(fn)
-                if validate:
-                    df.schema  # noqa: B018 -- forces analysis of this step
-            except Exception as e:  # noqa: BLE001
-                raise StepError(name, e) from e
-        return df
+def apply_steps(df: DataFrame, steps: Iterable[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+    """``df`` through (name, function) steps; an error carries a note that names its step."""
+    for name, step in steps:
+        try:
+            df = df.transform(step)
+        except Exception as e:
+            e.add_note(f"in step {name!r}")
+            raise
+    return df
 
 
 # ------------------------------------------------------------------ joins
@@ -88,33 +68,26 @@ def join_asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, ri
     right_ts <= left_ts and equal ``by`` keys; left rows without one are dropped.
 
     Linear: both sides are unioned and ordered by (by, ts, side) with right rows
-    first on ties, then the last right values are carried forward with the
-    skew-safe scan -- no range join, no per-key window.
+    first on ties; the last right row, as one struct (its nulls included), is
+    carried forward with the skew-safe scan -- no range join, no per-key window.
+    Null keys and null times match nothing.
     """
-    l_cols = left.columns
-    lu = left.select(*by, F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"),
-                     F.col(left_id).alias("__lid"),
-                     *[F.lit(None).cast(right.schema[v].dataType).alias("__r_" + v) for v in values],
-                     F.lit(None).cast(right.schema[right_ts].dataType).alias("__r_ts"))
-    ru = right.select(*by, F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"),
-                      F.lit(None).cast(left.schema[left_id].dataType).alias("__lid"),
-                      *[F.col(v).alias("__r_" + v) for v in values],
-                      F.col(right_ts).alias("__r_ts"))
-    u = lu.unionByName(ru)
-    aggs = {"__c_" + v: ("last", "__r_" + v) for v in values}
-    aggs["__c_ts"] = ("last", "__r_ts")
-    scanned = running(u, by, ["__ts", "__side", "__lid"], aggs)
-    matched = scanned.filter((F.col("__side") == 1) & F.col("__c_ts").isNotNull()).select(
-        "__lid", *[F.col("__c_" + v).alias(v) for v in values], F.col("__c_ts").alias(right_ts + "_matched"))
-    out = left.join(matched, left[left_id] == matched["__lid"]).drop("__lid")
-    return out.select(*l_cols, *values, right_ts + "_matched")
-
-
-def join_existence(left: DataFrame, right: DataFrame, on: list[str] | Column, name: str = "exists") -> DataFrame:
-    """left rows with a boolean: has at least one match in right (semi ∪ anti)."""
-    semi = left.join(right, on, "left_semi").withColumn(name, F.lit(True))
-    anti = left.join(right, on, "left_anti").withColumn(name, F.lit(False))
-    return semi.unionByName(anti)
+    kept = F.struct(*[F.col(c) for c in left.columns])
+    found = F.struct(*[F.col(v) for v in values], F.col(right_ts).alias(right_ts + "_matched"))
+    lu = left.dropna(subset=[*by, left_ts]).select(
+        *by, F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"), F.col(left_id).alias("__lid"), kept.alias("__l"))
+    ru = right.dropna(subset=[*by, right_ts]).select(
+        *by, F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), found.alias("__r"))
+    u = lu.unionByName(ru, allowMissingColumns=True)
+    s = running(u, by, ["__ts", "__side", "__lid", "__r"], {"__c": ("last", "__r")})
+    return s.filter((F.col("__side") == 1) & F.col("__c").isNotNull()).select("__l.*", "__c.*")
+
+
+def join_existence(left: DataFrame, right: DataFrame, left_key: str, right_key: str, name: str = "exists") -> DataFrame:
+    """left rows with a boolean: right has the key (a null key has no match); left is read once."""
+    keys = right.select(F.col(right_key).alias("__key")).distinct()
+    j = left.join(keys, F.col(left_key) == F.col("__key"), "left")
+    return j.withColumn(name, F.col("__key").isNotNull()).drop("__key")
 
 
 # ------------------------------------------------------------------ windows
@@ -123,43 +96,47 @@ def win_running_sum(df: DataFrame, by: list[str], order: list, value: str, name:
     return running(df, by, order, {name: ("sum", value)})
 
 
+def _same(left: DataFrame, right: DataFrame, cols: dict[str, str]) -> list[Column]:
+    """Null-safe equality of left and right columns."""
+    return [left[a].eqNullSafe(right[b]) for a, b in cols.items()]
+
+
 def win_dense_rank(df: DataFrame, by: list[str], value: str, name: str = "dense_rank",
                    descending: bool = True) -> DataFrame:
     """Dense rank of ``value`` within ``by``: number of distinct values ranked
-    at or before it.  Distinct (key, value) pairs are aggregated first (partial
-    aggregation), numbered with the scan, then joined back."""
-    d = df.select(*by, value).filter(F.col(value).isNotNull()).distinct()
-    key = -F.col(value) if descending else F.col(value)
-    ranked = with_position(d.withColumn("__o", key), by, ["__o"], name).drop("__o")
-    return df.join(ranked, [*by, value], "left")
+    at or before it, null last; null keys are a group.  Distinct (key, value)
+    pairs are aggregated first (partial aggregation), numbered with the scan,
+    then joined back."""
+    names = {c: f"__d{i}" for i, c in enumerate([*by, value])}
+    d = df.select(*[F.col(c).alias(n) for c, n in names.items()]).distinct()
+    v = F.col(names[value])
+    key = -v if descending else v
+    chunk = F.when(v.isNull(), 2**31 - 1).otherwise(chunk_of(d, [key]))
+    ranked = running(d, [names[b] for b in by], [v.isNull(), key], {name: ("count", None)}, chunk=chunk)
+    return df.join(ranked, _same(df, ranked, names), "left").drop(*names.values())
 
 
 def win_rolling_mean(df: DataFrame, by: list[str], order: list, value_cents: str, n: int = 7,
                      name: str = "rolling_mean", scale: float = 100.0) -> DataFrame:
-    """Mean of the last ``n`` rows (null until ``n`` rows) from prefix sums:
-    (S[pos] - S[pos-n]) / n.  ``value_cents`` is an exact integer column (value
-    scaled by ``scale``), so the window sum does not depend on summation order."""
-    s = running(df, by, order, {"__pos": ("count", None), "__s": ("sum", value_cents)}).alias("__a")
-    prev = s.select(*[F.col(b).alias("__k_" + b) for b in by], (F.col("__pos") + n).alias("__kpos"),
-                    F.col("__s").alias("__s_prev"))
-    cond = [F.col("__a." + b).eqNullSafe(F.col("__k_" + b)) for b in by]
-    cond.append(F.col("__a.__pos") == F.col("__kpos"))
-    j = s.join(prev, cond, "left")
-    mean = F.when(F.col("__a.__pos") >= n,
-                  (F.col("__a.__s") - F.coalesce(F.col("__s_prev"), F.lit(0))) / (n * scale))
-    return j.select(*[F.col("__a." + c) for c in df.columns], F.col("__a.__pos").alias("pos"), mean.alias(name))
+    """Mean of the last ``n`` rows (null until ``n`` rows).  ``value_cents`` is an
+    exact integer column (value scaled by ``scale``), so the sum does not depend
+    on summation order."""
+    s = rolling_sum(df, by, order, value_cents, n, "__sum", "pos")
+    return s.withColumn(name, F.when(F.col("pos") >= n, F.col("__sum") / (n * scale))).drop("__sum")
 
 
 def win_lag_diff(df: DataFrame, by: list[str], order: list, value: str, name: str = "diff") -> DataFrame:
-    lj = lag_join(df, by, order, [value], 1)
+    lj = lag_rows(df, by, order, [value])
     return lj.withColumn(name, F.col(value) - F.col("prev_" + value))
 
 
 def win_first_value_ratio(df: DataFrame, by: list[str], order: str, value: str, name: str = "ratio") -> DataFrame:
-    """value / first value of the partition in ``order`` (min_by per key + join)."""
-    first = df.groupBy(*by).agg(F.min_by(value, order).alias("__first"))
-    j = df.join(first, by)
-    return j.withColumn(name, safe_div(F.col(value).cast("double"), F.col("__first").cast("double"))).drop("__first")
+    """value / first value of the partition in ``order`` (min_by per key, joined
+    null-safe: null keys are a partition)."""
+    names = {c: f"__k{i}" for i, c in enumerate(by)}
+    first = df.groupBy(*[F.col(c).alias(n) for c, n in names.items()]).agg(F.min_by(value, order).alias("__first"))
+    j = df.join(first, _same(df, first, names))
+    return j.withColumn(name, safe_div(F.col(value).cast("double"), F.col("__first").cast("double"))).drop("__first", *names.values())
 
 
 def month_diff(later: Column, earlier: Column) -> Column:
@@ -196,42 +173,36 @@ def cohort_retention(orders: DataFrame, user: str, ts: str, amount_cents: str) -
 def rs_pivot(df: DataFrame, keys: list[str], pivot: str, values: dict[str, str], agg_col: Column) -> DataFrame:
     """Pivot ``pivot`` into columns for a fixed value list (no discovery pass).
 
-    ``values`` maps pivot value -> output column name.
+    ``values`` maps pivot value -> output column name.  A value outside the list
+    is an error when the rows are read, not a silent loss; null is passed over.
     """
-    p = df.groupBy(*keys).pivot(pivot, list(values)).agg(agg_col)
+    known = F.col(pivot).isNull() | F.col(pivot).isin(*values)
+    checked = df.filter(F.coalesce(F.assert_true(known, F.concat(F.lit(f"value of {pivot} not in the list: "), F.col(pivot))).cast("boolean"), F.lit(True)))
+    p = checked.groupBy(*keys).pivot(pivot, list(values)).agg(agg_col)
     for v, name in values.items():
         p = p.withColumnRenamed(v, name)
     return p
 
 
-def rs_recursive(edges: DataFrame, child: str, parent: str, max_levels: int = 10000,
-                 checkpoint_every: int = 4) -> DataFrame:
+def rs_recursive(edges: DataFrame, child: str, parent: str, max_levels: int = 10000) -> DataFrame:
     """Hierarchy with level: roots (parent null) are level 0, children level+1.
 
-    Breadth-first frontier expansion: one join per level; the driver only
-    decides when the frontier is empty.  Lineage is cut with a reliable
-    checkpoint every few levels so a deep hierarchy stays plannable and a lost
-    executor recomputes from the checkpoint, not from level 0.
+    Breadth-first: one join per level, each level written once in the shared
+    folder and read from there by the next and by the result, so a level runs
+    once, lineage stays short and a lost executor costs one level.
     """
-    checkpoint_dir(edges.sparkSession)
+    spark = edges.sparkSession
+    path = scratch_path(spark, f"hierarchy-{uuid.uuid4().hex}")
     nodes = edges.select(F.col(child).alias("node"), F.col(parent).alias("parent"))
-    frontier = nodes.filter(F.col("parent").isNull()).select("node", "parent", F.lit(0).alias("level"))
-    levels = [frontier]
-    for lvl in range(1, max_levels + 1):
-        nxt = nodes.join(frontier.select(F.col("node").alias("parent")), "parent").select(
-            "node", "parent", F.lit(lvl).alias("level"))
-        if lvl % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
-        if nxt.isEmpty():
-            break
-        levels.append(nxt)
-        frontier = nxt
-    else:
-        raise RuntimeError(f"hierarchy deeper than {max_levels} levels (cycle?)")
-    out = levels[0]
-    for l in levels[1:]:
-        out = out.unionByName(l)
-    return out
+    level = nodes.filter(F.col("parent").isNull()).withColumn("level", F.lit(0))
+    for depth in range(max_levels + 1):
+        level.write.parquet(f"{path}/{depth}")
+        last = spark.read.schema(level.schema).parquet(f"{path}/{depth}")
+        if last.isEmpty():
+            return spark.read.schema(level.schema).parquet(*[f"{path}/{i}" for i in range(depth + 1)])
+        above = last.select(F.col("node").alias("parent"))
+        level = nodes.join(above, "parent").select("node", "parent", F.lit(depth + 1).alias("level"))
+    raise RuntimeError(f"hierarchy deeper than {max_levels} levels (cycle?)")
 
 
 # ------------------------------------------------------------------ time series
@@ -248,7 +219,7 @@ def ts_ohlc(ticks: DataFrame, instrument: str, ts: str, price: str, tiebreak: st
 
 def ts_continuity(bars: DataFrame) -> DataFrame:
     """Flag bars whose open equals the previous bar's close (per instrument)."""
-    lj = lag_join(bars, ["instrument"], ["bar_start"], ["close"], 1)
+    lj = lag_rows(bars, ["instrument"], ["bar_start"], ["close"])
     return lj.select("instrument", "bar_start", "open", F.col("prev_close"),
                      (F.col("open") == F.col("prev_close")).alias("continuous"))
 
@@ -261,7 +232,8 @@ def rel_drop_nulls(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
 
 
 def rel_in_like(df: DataFrame, column_in: str, values: list, column_like: str, patterns: list[str]) -> DataFrame:
-    """``column_in IN values AND (column_like LIKE p1 OR ...)`` -- both pushable to the scan."""
+    """``column_in IN values AND (column_like LIKE p1 OR ...)`` -- both pushable to the scan.
+    As in SQL a null matches neither a pattern nor its negation."""
     like = None
     for p in patterns:
         c = F.col(column_like).like(p)

@@ -1,236 +1,159 @@
-"""Skew-safe ordered scans (running aggregates) per key.
+"""Skew-safe ordered windows: running aggregates and lags per key.
 
 A window ``PARTITION BY key ORDER BY t`` sends every row of a key to one task;
 when one key holds a third of the data that task holds a third of the data.
-``running`` computes the same running aggregates without that hot task:
-
-1. ``repartitionByRange(key..., order...)`` cuts the data into ``n``
-   contiguous, balanced chunks (``n`` = shuffle partitions, possibly
-   coalesced by AQE, or pinned with ``chunks``); a hot key is split over
-   many chunks.
-2. Each chunk is sorted and scanned locally (Arrow batches, vectorised), which
-   gives running values that restart at every chunk boundary.
-3. A per-chunk summary (first key, last key, number of keys, aggregate of the
-   last key) has at most ``n`` rows.  A small window over it gives, for each
-   chunk, the aggregate of its first key carried in from earlier chunks.
-4. That carry table (``<= n`` rows, a proven bound) is broadcast and combined
-   into the rows of each chunk's first key.
-
-Supported operations are associative: ``sum``, ``count``, ``max``, ``min`` and
-``last`` (last non-null value, i.e. carry forward).  Only one shuffle of the
-(projected) data is needed.  Everything else built on it -- row positions,
-lag-by-n as an equi-join on (key, position), rolling means, as-of joins,
-session ids, dense ranks -- inherits the skew safety.
+Here each key is cut into chunks along the order, by a bucket of the first
+order column (a fixed function of the value and the column's bounds, so every
+execution makes the same chunks), and the windows run per (key, chunk):
+
+1. per-(key, chunk) totals are aggregated (partial sums before the shuffle);
+2. a small window over the totals gives what each chunk carries in from the
+   chunks before it;
+3. that carry is added to the rows as one leading row per chunk (and, for
+   lags, the last rows before the chunk), and one window over (key, chunk)
+   does the rest.  The carry needs no join, so null keys are keys like others.
+
+Rows are shuffled once, by (key, chunk).  Everything is a lazy DataFrame plan
+of Spark windows, so SQL's null, decimal and 64-bit rules hold.  Rows with one
+key and equal first order values share a chunk.
 """
 
 from __future__ import annotations
 
-from typing import Iterable, Iterator
+from collections.abc import Iterable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeline.session import checkpoint_dir
+from lakeline.session import shuffle_partitions
 
-_OPS = ("sum", "count", "max", "min", "last")
+_OPS = ("sum", "count", "max", "min", "last", "prev")
+START = Window.unboundedPreceding
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _local_scan_fn(by: list[str], specs: list[tuple[str, str, str]], out_schema: T.StructType):
-    """Build the per-partition scan used with ``mapInArrow``.
-
-    ``specs`` = [(output name, op, input column)].  The partition arrives
-    sorted by (by, order); running values restart at each key change and are
-    carried across Arrow batches of the same partition.
-    """
-    # Everything the task needs is defined here so the closure ships by value
-    # (executors need numpy/pandas/pyarrow only, not this package).
-    import numpy as np
-    import pandas as pd
-
-    def _key_change(batch: pa.RecordBatch, by: list[str]):
-        """Boolean numpy array: True where the key differs from the previous row."""
-        import numpy as np
-        import pyarrow.compute as pc
-
-        n = batch.num_rows
-        change = np.zeros(n, dtype=bool)
-        if n == 0:
-            return change
-        change[0] = True
-        for name in by:
-            arr = batch.column(name)
-            cur, prev = arr.slice(1), arr.slice(0, n - 1)
-            ne = pc.fill_null(pc.not_equal(cur, prev), False)
-            one_null = pc.xor(pc.is_null(cur), pc.is_null(prev))
-            change[1:] |= pc.or_(ne, one_null).to_numpy(zero_copy_only=False)
-        return change
-
-
-    def _first_key(batch: pa.RecordBatch, by: list[str]) -> tuple:
-        return tuple(batch.column(n)[0].as_py() for n in by)
-
-
-    def _last_key(batch: pa.RecordBatch, by: list[str]) -> tuple:
-        return tuple(batch.column(n)[batch.num_rows - 1].as_py() for n in by)
-
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry_key = None
-        carry = {}
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            change = _key_change(batch, by)
-            continues = carry_key is not None and _first_key(batch, by) == carry_key
-            if continues:
-                change[0] = False
-            seg = np.cumsum(change)
-            cols = {}
-            for out, op, src in specs:
-                arr = batch.column(src)
-                s = arr.to_pandas()
-                if op in ("sum", "count"):
-                    s = s.fillna(0) if s.dtype.kind in "fiu" else s
-                    r = s.groupby(seg, sort=False).cumsum()
-                    if continues and carry.get(out) is not None:
-                        first = seg == seg[0]
-                        r = r.where(~first, r + carry[out])
-                elif op == "max":
-                    r = s.groupby(seg, sort=False).cummax()
-                    if continues and carry.get(out) is not None:
-                        first = seg == seg[0]
-                        cv = carry[out]
-                        r = r.where(~first | (r >= cv), cv)
-                        r = r.where(~(first & r.isna()), cv)
-                elif op == "min":
-                    r = s.groupby(seg, sort=False).cummin()
-                    if continues and carry.get(out) is not None:
-                        first = seg == seg[0]
-                        cv = carry[out]
-                        r = r.where(~first | (r <= cv), cv)
-                        r = r.where(~(first & r.isna()), cv)
-                else:  # last non-null
-                    r = s.groupby(seg, sort=False).ffill()
-                    if continues and carry.get(out) is not None:
-                        first = seg == seg[0]
-                        r = r.where(~(first & r.isna()), carry[out])
-                cols[out] = r
-                last_val = r.iloc[-1]
-                carry[out] = None if pd.isna(last_val) else last_val
-            carry_key = _last_key(batch, by)
-            out_arrays = [batch.column(i) for i in range(batch.num_columns)]
-            names = list(batch.schema.names)
-            for out, op, src in specs:
-                target = batch.schema.field(src).type if op not in ("count",) else pa.int64()
-                if op == "sum" and pa.types.is_integer(target):
-                    target = pa.int64()
-                out_arrays.append(pa.Array.from_pandas(cols[out], type=target))
-                names.append(out)
-            yield pa.RecordBatch.from_arrays(out_arrays, names=names)
-
-    return fn
-
-
-def running(df: DataFrame, by: Iterable[str], order: Iterable, aggs: dict,
-            chunks: int | None = None) -> DataFrame:
-    """Add running aggregates per key ordered by ``order`` (ROWS UNBOUNDED PRECEDING).
-
-    ``aggs`` maps output column -> (op, column or Column); op in
-    sum/count/max/min/last.  ``order`` must make the order total (add a unique
-    tie-breaker) for deterministic results.  Order columns are ascending.
+def chunk_of(df: DataFrame, order: list[Column], chunks: int | None = None) -> Column:
+    """Chunk of a row, rising with ``order``: a bucket of the first order column
+    between its bounds (numbers and times), else all order columns but the last.
+    Nulls sort first and make a chunk of their own."""
+    x = order[0]
+    kind = df.select(x.alias("x")).schema[0].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        x = F.unix_micros(x.cast("timestamp"))
+    elif isinstance(kind, T.NumericType):
+        x = x.cast("double")
+    else:
+        return F.struct(*(order[:-1] or [F.substring(x.cast("string"), 1, 4)]))
+    x = F.when(~F.isnan(x.cast("double")), x.cast("double"))
+    n = chunks or max(64, 4 * shuffle_partitions(df.sparkSession))
+    bounds = df.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
+    lo, hi = bounds.getField("lo"), bounds.getField("hi")
+    at = F.when(hi > lo, F.floor((x - lo) / (hi - lo) * (n - 1))).otherwise(0).cast("int")
+    return F.when(order[0].isNull(), -1).otherwise(F.coalesce(at, F.lit(n)))
+
+
+def _value(df: DataFrame, op: str, src) -> Column:
+    """What a row contributes to its running value."""
+    if op == "count":
+        return F.lit(1).cast("long") if src is None else F.when(_col(src).isNotNull(), 1).otherwise(0).cast("long")
+    c = _col(src)
+    if op == "sum":
+        kind = df.select(c.alias("x")).schema[0].dataType
+        if isinstance(kind, T.DecimalType):
+            return c.cast(f"decimal(38,{kind.scale})")
+        return c.cast("double" if isinstance(kind, (T.DoubleType, T.FloatType)) else "long")
+    if op == "last":
+        return F.when(c.isNotNull(), F.struct(c.alias("x")))
+    return F.struct(c.alias("x")) if op == "prev" else c
+
+
+def _total(op: str, v: Column, order: Column) -> Column:
+    if op in ("sum", "count"):
+        return F.sum(v)
+    if op in ("max", "min"):
+        return F.max(v) if op == "max" else F.min(v)
+    return F.max_by(v, F.when(v.isNotNull(), order))
+
+
+def _over(op: str, v: Column, window) -> Column:
+    if op in ("sum", "count"):
+        return F.sum(v).over(window)
+    if op in ("max", "min"):
+        return (F.max(v) if op == "max" else F.min(v)).over(window)
+    return F.last(v, ignorenulls=True).over(window)
+
+
+def scanned(df: DataFrame, by: Iterable[str], order: Iterable, aggs: dict | None = None, halo: int = 0,
+            halo_cols: Iterable[str] = (), chunks: int | None = None, chunk: Column | None = None):
+    """(rows with their carry rows, window over a chunk, column of each running value).
+
+    Data rows have ``__kind`` = 1.  ``halo`` adds up to so many rows that come
+    before a chunk, with ``halo_cols`` filled, for lags and moving frames.
     """
-    by = list(by)
-    order = [_col(c) for c in order]
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-
-    specs = []
-    base = df
-    for i, (out, (op, src)) in enumerate(aggs.items()):
+    by, order, aggs = list(by), [_col(c) for c in order], dict(aggs or {})
+    for op, _ in aggs.values():
         if op not in _OPS:
             raise ValueError(f"unsupported running op {op!r}")
-        tmp = f"__in{i}"
-        base = base.withColumn(tmp, F.lit(1).cast("long") if op == "count" else _col(src))
-        specs.append((out, op, tmp))
-
-    # Without an explicit count the range exchange is sized by
-    # spark.sql.shuffle.partitions and AQE may coalesce adjacent (small)
-    # ranges, which keeps chunks contiguous; ``chunks`` pins the count.
-    keys = [F.col(b) for b in by] + order
-    ranged = base.repartitionByRange(chunks, *keys) if chunks else base.repartitionByRange(*keys)
-    local_in = ranged.sortWithinPartitions(*[F.col(b) for b in by], *order) \
-        .withColumn("__chunk", F.spark_partition_id())
-
-    in_schema = local_in.schema
-    out_fields = list(in_schema.fields)
-    for out, op, src in specs:
-        t = T.LongType() if op == "count" else in_schema[src].dataType
-        if op == "sum" and isinstance(t, (T.IntegerType, T.ShortType, T.ByteType)):
-            t = T.LongType()
-        out_fields.append(T.StructField(out, t, True))
-    out_schema = T.StructType(out_fields)
-    local = local_in.mapInArrow(_local_scan_fn(by, specs, out_schema), out_schema)
-    # Range boundaries come from sampling and are not reproducible between
-    # executions, so the chunked scan is written once to the shared checkpoint
-    # folder; both the summary and the final pass read that copy (also cuts
-    # lineage, so a lost executor recomputes from the checkpoint).
-    local = local.checkpoint(eager=True)
-
-    # Per-chunk summary: at most n rows.  The running values on a chunk's last
-    # row are the chunk-local aggregates of its last key.
-    kstruct = F.struct(*[F.col(b) for b in by]) if by else F.lit(0)
-    ordstruct = F.struct(*[F.col(b) for b in by], *order, F.col("__chunk"))
-    bounds = local.groupBy("__chunk").agg(
-        F.min(kstruct).alias("__first"),
-        F.max(kstruct).alias("__last"),
-        F.max_by(F.struct(*[F.col(out) for out, _, _ in specs]), ordstruct).alias("__tail"),
-    )
-    w = Window.orderBy("__chunk")  # <= n rows: bounded single-partition window
-    link = F.col("__first").eqNullSafe(F.lag("__last").over(w))
-    bounds = bounds.withColumn("__link", F.coalesce(link, F.lit(False)))
-    single = F.col("__first").eqNullSafe(F.col("__last"))
-    bounds = bounds.withColumn(
-        "__seg", F.sum((~(single & F.col("__link"))).cast("int")).over(
-            w.rowsBetween(Window.unboundedPreceding, 0)))
-    wseg = Window.partitionBy("__seg").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, 0)
-    carry_cols = []
-    for out, op, src in specs:
-        tail = F.col("__tail." + out)
-        if op in ("sum", "count"):
-            acc = F.sum(tail).over(wseg)
-        elif op == "max":
-            acc = F.max(tail).over(wseg)
-        elif op == "min":
-            acc = F.min(tail).over(wseg)
+    chunk = chunk_of(df, order, chunks) if chunk is None else chunk
+    base = df.select("*", *[_value(df, op, src).alias(f"__v_{n}") for n, (op, src) in aggs.items()], chunk.alias("__chunk"))
+    keys = [*by, "__chunk"]
+    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    earlier = Window.partitionBy(*by).orderBy("__chunk")
+    marks = [F.lit(0).alias("__kind"), F.lit(0).alias("__halo")]
+    rows = base.withColumn("__kind", F.lit(1)).withColumn("__halo", F.lit(0))
+    if aggs:
+        totals = base.groupBy(*keys).agg(*[_total(op, F.col(f"__v_{n}"), rank).alias(f"__v_{n}") for n, (op, _) in aggs.items()])
+        before = earlier.rowsBetween(START, -1)
+        carry = totals.select(*keys, *[_over(op, F.col(f"__v_{n}"), before).cast(base.schema[f"__v_{n}"].dataType).alias(f"__v_{n}")
+                                       for n, (op, _) in aggs.items()], *marks)
+        rows = rows.unionByName(carry, allowMissingColumns=True)
+    if halo:
+        back = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order])
+        cols = [c for c in halo_cols if c not in by]
+        ends = base.withColumn("__back", F.row_number().over(back)).filter(F.col("__back") <= halo)
+        tail = F.sort_array(F.collect_list(F.struct((-F.col("__back")).alias("at"), F.struct(*cols).alias("row"))))
+        tails = ends.groupBy(*keys).agg(tail.alias("tail"))
+        near = F.flatten(F.collect_list("tail").over(earlier.rowsBetween(-halo, -1)))
+        near = tails.select(*keys, near.alias("near"))
+        last = F.slice("near", F.greatest(F.lit(1), F.size("near") - halo + 1), halo)
+        near = near.select(*keys, F.posexplode(last).alias("__halo", "one"))
+        near = near.select(*keys, *[F.col(f"one.row.{c}").alias(c) for c in cols], F.lit(0).alias("__kind"), (F.col("__halo") + 1).alias("__halo"))
+        rows = rows.unionByName(near, allowMissingColumns=True)
+    window = Window.partitionBy(*keys).orderBy("__kind", "__halo", *order)
+    upto = window.rowsBetween(START, Window.currentRow)
+    outs = {}
+    for n, (op, _) in aggs.items():
+        v = F.col(f"__v_{n}")
+        if op == "prev":
+            outs[n] = F.lag(v).over(window).getField("x")
+        elif op == "last":
+            outs[n] = _over(op, v, upto).getField("x")
         else:
-            acc = F.last(tail, ignorenulls=True).over(wseg)
-        bounds = bounds.withColumn("__acc_" + out, acc)
-        carry_cols.append(F.when(F.col("__link"), F.lag("__acc_" + out).over(w)).alias("__carry_" + out))
-    carry = bounds.select("__chunk", "__first", *carry_cols).filter(F.col("__link"))
-
-    joined = local.join(F.broadcast(carry), "__chunk", "left")
-    is_first = kstruct.eqNullSafe(F.col("__first"))
-    final = []
-    for out, op, src in specs:
-        cv = F.col("__carry_" + out)
-        lv = F.col(out)
-        if op in ("sum", "count"):
-            comb = F.coalesce(lv, F.lit(0)) + cv
-        elif op == "max":
-            comb = F.greatest(lv, cv)
-        elif op == "min":
-            comb = F.least(lv, cv)
-        else:
-            comb = F.coalesce(lv, cv)
-        final.append(F.when(is_first & cv.isNotNull(), comb).otherwise(lv).alias(out))
-    keep = [c for c in df.columns]
-    return joined.select(*[F.col(c) for c in keep], *final)
+            outs[n] = _over(op, v, upto)
+    return rows, window, outs
+
+
+def _finish(df: DataFrame, rows: DataFrame, outs: dict[str, Column]) -> DataFrame:
+    done = rows.select("*", *[c.alias(f"__o_{n}") for n, c in outs.items()]).filter(F.col("__kind") == 1)
+    return done.select(*df.columns, *[F.col(f"__o_{n}").alias(n) for n in outs])
+
+
+def running(df: DataFrame, by: Iterable[str], order: Iterable, aggs: dict, chunks: int | None = None,
+            chunk: Column | None = None) -> DataFrame:
+    """Add running aggregates per key ordered by ``order`` (ROWS UNBOUNDED PRECEDING).
+
+    ``aggs`` maps output column -> (op, column or Column); op in sum / count /
+    max / min / last (last non-null) / prev (the previous row's value, null or
+    not); ("count", None) counts rows.  ``order`` must make the order total (add a
+    unique tie-breaker) for deterministic results.  Order columns are ascending.
+    ``chunk`` replaces the chunk of a row; it must rise with the order.
+    """
+    rows, _, outs = scanned(df, by, order, aggs, chunks=chunks, chunk=chunk)
+    return _finish(df, rows, outs)
 
 
 def with_position(df: DataFrame, by: Iterable[str], order: Iterable, name: str = "pos",
@@ -239,20 +162,19 @@ def with_position(df: DataFrame, by: Iterable[str], order: Iterable, name: str =
     return running(df, by, order, {name: ("count", None)}, chunks)
 
 
-def lag_join(df: DataFrame, by: Iterable[str], order: Iterable, cols: Iterable[str], n: int = 1,
-             prefix: str = "prev_", pos: str = "pos") -> DataFrame:
-    """``lag(col, n)`` per key without a per-key window.
-
-    Rows get a position, then each row is equi-joined to the row ``n`` positions
-    earlier on (key, position) -- a unique key, so the join cannot be skewed.
-    """
-    by = list(by)
+def lag_rows(df: DataFrame, by: Iterable[str], order: Iterable, cols: Iterable[str], n: int = 1,
+             prefix: str = "prev_", chunks: int | None = None) -> DataFrame:
+    """``lag(col, n)`` of each column per key; no self join."""
     cols = list(cols)
-    positioned = with_position(df, by, order, pos).alias("__cur")
-    prev = positioned.select(*[F.col(b).alias("__k" + str(i)) for i, b in enumerate(by)],
-                             (F.col(pos) + n).alias("__kpos"),
-                             *[F.col(c).alias(prefix + c) for c in cols])
-    cond = [F.col("__cur." + b).eqNullSafe(F.col("__k" + str(i))) for i, b in enumerate(by)]
-    cond.append(F.col("__cur." + pos) == F.col("__kpos"))
-    out = positioned.join(prev, cond, "left")
-    return out.select(*[F.col("__cur." + c) for c in positioned.columns], *[F.col(prefix + c) for c in cols])
+    if n == 1:
+        aggs = {prefix + c: ("prev", c) for c in cols}
+        return running(df, by, order, aggs, chunks)
+    rows, window, _ = scanned(df, by, order, halo=n, halo_cols=cols, chunks=chunks)
+    return _finish(df, rows, {prefix + c: F.lag(c, n).over(window) for c in cols})
+
+
+def rolling_sum(df: DataFrame, by: Iterable[str], order: Iterable, value: str, n: int, name: str = "rolling_sum",
+                pos: str = "pos", chunks: int | None = None) -> DataFrame:
+    """Row position and the sum of the last ``n`` values (as SQL: of the non-null ones)."""
+    rows, window, outs = scanned(df, by, order, {pos: ("count", None)}, halo=n - 1, halo_cols=[value], chunks=chunks)
+    return _finish(df, rows, outs | {name: F.sum(value).over(window.rowsBetween(1 - n, Window.currentRow))})

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeline.functions import from_micros, max_of, micros, split_trim
-from lakeline.operators.scan import lag_join, running
+from lakeline.operators.scan import lag_rows, running
 
 # Fixed values from the reference.
 QUEUES = ["lineage_events", "lineage_events_dlq", "lineage_notifications"]
@@ -183,10 +183,16 @@ def ev_history_cap(events: DataFrame, cap: int = HISTORY_CAP, ts: str = "timesta
     return events.orderBy(F.col(ts).desc(), F.col(tiebreak).desc()).limit(cap)
 
 
-def ev_envelope(events: DataFrame, data_schema: str = "map<string,bigint>") -> DataFrame:
-    """Server-sent-event frame: 'id: ..\\nevent: ..\\ndata: {timestamp, data}\\n\\n'."""
-    body = F.to_json(F.struct(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
-                              F.from_json("data", data_schema).alias("data")))
+def ev_envelope(events: DataFrame) -> DataFrame:
+    """Server-sent-event frame: 'id: ..\\nevent: ..\\ndata: {timestamp, data}\\n\\n'.
+    ``data`` is JSON text and goes in as it is, whatever its shape; text that is
+    not JSON goes in as a JSON string, null as null."""
+    at = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    text = F.to_json(F.struct(F.col("data").alias("d")))
+    quoted = F.substring(text, 6, F.length(text) - 6)
+    flat = F.regexp_replace(F.col("data"), r"[\r\n]+", " ")  # a frame's data is one line
+    data = F.when(F.col("data").isNull(), "null").when(F.expr("try_parse_json(data) IS NOT NULL"), flat).otherwise(quoted)
+    body = F.concat(F.lit('{"timestamp":"'), at, F.lit('","data":'), data, F.lit("}"))
     frame = F.concat(F.lit("id: "), F.col("event_id").cast("string"), F.lit("\nevent: "), F.col("event_type"),
                      F.lit("\ndata: "), body, F.lit("\n\n"))
     return events.select("event_id", frame.alias("frame"))
@@ -207,39 +213,44 @@ def ev_latest_state(changelog: DataFrame, key: str, order: list[str], delete_suf
 
 def ev_pong_reset(pings: DataFrame) -> DataFrame:
     """For every ping: pings since the client's last pong (a pong resets the
-    count).  One skew-safe scan gives running ping and pong counts; the ping
-    count at the start of each pong-delimited group is an aggregate."""
+    count): the running number of pings less its value at the last pong."""
     x = pings.select("client_id", "ts", "event_id", "kind",
-                     (F.col("kind") == "ping").cast("long").alias("__is_ping"),
-                     (F.col("kind") == "pong").cast("long").alias("__is_pong"))
-    s = running(x, ["client_id"], ["ts", "event_id"],
-                {"__pings": ("sum", "__is_ping"), "__grp": ("sum", "__is_pong")})
-    base = s.groupBy("client_id", "__grp").agg(F.min(F.col("__pings") - F.col("__is_ping")).alias("__base"))
-    j = s.join(base, ["client_id", "__grp"])
-    return j.filter(F.col("kind") == "ping").select(
-        "client_id", "ts", "event_id", (F.col("__pings") - F.col("__base")).alias("missed_pings"))
+                     F.coalesce((F.col("kind") == "ping").cast("long"), F.lit(0)).alias("__is_ping"),
+                     F.coalesce((F.col("kind") == "pong").cast("long"), F.lit(0)).alias("__is_pong"))
+    order = ["ts", "event_id"]
+    s = running(x, ["client_id"], order, {"__pings": ("sum", "__is_ping")})
+    s = running(s, ["client_id"], order, {"__base": ("last", F.when(F.col("__is_pong") == 1, F.col("__pings")))})
+    return s.filter(F.col("kind") == "ping").select(
+        "client_id", "ts", "event_id", (F.col("__pings") - F.coalesce("__base", F.lit(0))).alias("missed_pings"))
 
 
 def liveness_features(pings: DataFrame) -> DataFrame:
-    """Per client: first connect, last ping/pong, pings after the last pong,
-    queue-full and write-error counts."""
+    """Per client: first connect, last ping/pong, pings sent and pings after the last
+    pong (in order of time, then event), queue-full and write-error counts."""
     k = F.col("kind")
-    f = pings.groupBy("client_id").agg(
+    missed = ev_pong_reset(pings).select("client_id", "ts", "event_id", "missed_pings")
+    at = F.struct("ts", "event_id")
+    # The count that the last ping left, if no pong came after it: one aggregate over both.
+    rows = pings.select("client_id", "ts", "event_id", "kind", F.lit(None).cast("long").alias("missed_pings"))
+    rows = rows.unionByName(missed.withColumn("kind", F.lit("missed")))
+    f = rows.groupBy("client_id").agg(
         F.min("ts").alias("connected_at"),
         F.max(F.when(k == "ping", F.col("ts"))).alias("last_ping"),
         F.max(F.when(k == "pong", F.col("ts"))).alias("last_pong"),
+        F.sum((k == "ping").cast("long")).alias("ping_count"),
         F.sum((k == "queue_full").cast("long")).alias("queue_full_count"),
-        F.sum((k == "write_error").cast("long")).alias("write_errors"))
-    after = pings.filter(k == "ping").join(f.select("client_id", "last_pong"), "client_id").filter(
-        F.col("last_pong").isNull() | (F.col("ts") > F.col("last_pong"))).groupBy("client_id").agg(
-        F.count(F.lit(1)).alias("missed_pings"))
-    return f.join(after, "client_id", "left").withColumn("missed_pings", F.coalesce("missed_pings", F.lit(0)))
+        F.sum((k == "write_error").cast("long")).alias("write_errors"),
+        F.max(F.when(k == "pong", at)).alias("__pong"),
+        F.max(F.when(k == "missed", F.struct(at.alias("at"), "missed_pings"))).alias("__missed"))
+    open_ = F.col("__pong").isNull() | (F.col("__missed.at") > F.col("__pong"))
+    left = F.when(open_, F.col("__missed.missed_pings"))
+    return f.withColumn("missed_pings", F.coalesce(left, F.lit(0))).drop("__pong", "__missed")
 
 
 def ev_liveness(pings: DataFrame, asof=None) -> DataFrame:
     """Classify clients at asof; the first rule that holds is the reason:
-    ping timeout, missed pings, queue full, write errors, no pong after the
-    grace period.  Healthy clients have a null reason."""
+    ping timeout, missed pings, queue full, write errors, pinged but no pong after
+    the grace period.  Healthy clients have a null reason."""
     now = max_of(pings, "ts") if asof is None else asof
     f = liveness_features(pings)
     us_since_ping = micros(now) - micros(F.coalesce("last_ping", "connected_at"))
@@ -249,7 +260,7 @@ def ev_liveness(pings: DataFrame, asof=None) -> DataFrame:
               .when(F.col("missed_pings") > MAX_MISSED_PINGS, "missed_pings")
               .when(F.col("queue_full_count") > MAX_QUEUE_FULL, "queue_full")
               .when(F.col("write_errors") > MAX_WRITE_ERRORS, "write_errors")
-              .when(F.col("last_pong").isNull() & (since_conn > NO_PONG_GRACE_S), "no_pong"))
+              .when(F.col("last_pong").isNull() & (F.col("ping_count") > 0) & (since_conn > NO_PONG_GRACE_S), "no_pong"))
     return f.select("*", reason.alias("reason"), since_ping.alias("seconds_since_ping"),
                     us_since_ping.alias("us_since_ping")).withColumn(
         "healthy", F.col("reason").isNull())
@@ -280,9 +291,9 @@ def st_window_sliding(events: DataFrame, ts: str, size: str, slide: str, keys: l
 
 def st_session(events: DataFrame, key: str, ts: str, tiebreak: str, gap_s: int) -> DataFrame:
     """Sessions per key: a gap > ``gap_s`` closes a session; end = last event
-    + gap (as ``session_window``).  Batch form via the previous event (position
-    join) and a running count of session starts -- no per-key window."""
-    lj = lag_join(events.select(key, ts, tiebreak), [key], [ts, tiebreak], [ts], 1)
+    + gap (as ``session_window``).  Batch form via the previous event and a
+    running count of session starts -- no per-key window."""
+    lj = lag_rows(events.select(key, ts, tiebreak), [key], [ts, tiebreak], [ts])
     gap = (micros(ts) - micros("prev_" + ts)) / 1e6
     starts = lj.withColumn("__start", (F.col("prev_" + ts).isNull() | (gap > gap_s)).cast("long"))
     sid = running(starts, [key], [ts, tiebreak], {"session": ("sum", "__start")})

@@ -16,15 +16,10 @@ def q_sec_tenant(spark, sf):
     return A.secured(Fixtures(spark, sf).tenant_requests(), "NATION_7")
 
 
-@register("sec_tenant_unset", sql("SELECT * FROM tenant_requests WHERE false", "requests", "tenant_requests"))
-def q_sec_tenant_unset(spark, sf):
-    return A.secured(Fixtures(spark, sf).tenant_requests(), None)
-
-
 @register("sec_recent", sql("""
-SELECT * FROM requests WHERE start_time >= (SELECT max(start_time) FROM requests) - INTERVAL 30 DAY""", "requests"))
+SELECT * FROM requests WHERE start_time >= (SELECT max(start_time) FROM requests) - INTERVAL 9 DAY""", "requests"))
 def q_sec_recent(spark, sf):
-    return A.sec_recent(Fixtures(spark, sf).requests(), "start_time", 30)
+    return A.sec_recent(Fixtures(spark, sf).requests(), "start_time", 9)
 
 
 @register("sec_roles", f"""
@@ -52,10 +47,10 @@ def q_rep_daily(spark, sf):
 
 @register("rep_daily_last30", sql(f"""
 , d AS ({DAILY_SQL})
-SELECT * FROM d WHERE day >= (SELECT max(day) FROM d) - INTERVAL 30 DAY""", "requests", "tenant_requests"))
+SELECT * FROM d WHERE day >= TIMESTAMP '2024-02-09' - INTERVAL 30 DAY""", "requests", "tenant_requests"))
 def q_rep_daily_last30(spark, sf):
     d = A.rep_daily(Fixtures(spark, sf).tenant_requests(), "start_time", "tenant", "duration", 10000)
-    return A.rep_daily_last(d, 30)
+    return A.rep_daily_last(d, 30, asof=F.lit("2024-02-09").cast("timestamp_ntz"))
 
 
 @register("rep_activity", """
@@ -82,9 +77,9 @@ def q_rep_query_hourly(spark, sf):
 SELECT date_trunc('day', ts) AS day, count(DISTINCT user_id) AS dau, count(*) AS events,
        coalesce(sum(CASE WHEN event_type = 'purchase' THEN CAST(round(value * 100) AS BIGINT) END), 0) / 100.0 AS revenue,
        sum(CAST(round(value * 100) AS BIGINT)) / count(value) / 100.0 AS avg_session
-FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 90 DAY GROUP BY 1""")
+FROM events WHERE ts >= TIMESTAMP '2024-04-10 12:00:00' - INTERVAL 90 DAY GROUP BY 1""")
 def q_rep_dashboard_daily(spark, sf):
-    return A.rep_dashboard_daily(Fixtures(spark, sf).events, 90)
+    return A.rep_dashboard_daily(Fixtures(spark, sf).events, 90, asof=F.lit("2024-04-10 12:00:00").cast("timestamp_ntz"))
 
 
 @register("rep_week_cohorts", """

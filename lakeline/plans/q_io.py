@@ -134,9 +134,17 @@ def q_src_arrow_ipc(spark, sf):
 @register("sink_negotiate", ORDERS_SQL)
 def q_sink_negotiate(spark, sf):
     o = Fixtures(spark, sf).orders
-    fmt, path = IO.sink_negotiate(o, scratch(spark, "neg"), "application/vnd.apache.parquet, */*")
-    assert fmt == "parquet"
-    return spark.read.parquet(path)
+    out = None
+    for i, (accept, want) in enumerate([
+            ("application/vnd.apache.arrow.file", "arrow"), ("text/html, application/parquet", "parquet"),
+            ("text/csv, */*", "csv"), ("*/*", "json")]):  # a quarter of the rows by each
+        fmt, path = IO.sink_negotiate(o.filter(F.col("o_orderkey") % 4 == i), scratch(spark, "neg"), accept)
+        if fmt != want:
+            raise ValueError(f"{accept}: {fmt}")
+        read = {"arrow": lambda p: IO.src_arrow_ipc(spark, p, o.schema), "parquet": spark.read.parquet,
+                "csv": spark.read.option("header", True).schema(o.schema).csv, "json": spark.read.schema(o.schema).json}[fmt]
+        out = read(path) if out is None else out.unionByName(read(path))
+    return out
 
 
 @register("sink_parquet_tuned", LINEITEM_SQL)
@@ -382,10 +390,13 @@ def _new_table(spark, prefix: str) -> str:
 
 
 @register("tbl_create", f"""
-SELECT column_name, {SPARK_TYPE_SQL} AS data_type FROM information_schema.columns WHERE table_name = 'lineitem'""")
+SELECT column_name, {SPARK_TYPE_SQL} AS data_type, (SELECT count(*) FROM lineitem) AS rows
+FROM information_schema.columns WHERE table_name = 'lineitem'""")
 def q_tbl_create(spark, sf):
-    """CREATE TABLE from a {column: SQL type} spec (schema of lineitem)."""
-    return TB.tbl_describe(spark, _new_table(spark, "create"))
+    """CREATE TABLE from a {column: SQL type} spec (schema of lineitem), filled."""
+    name = _new_table(spark, "create")
+    TB.tbl_append(spark, name, Fixtures(spark, sf).lineitem)
+    return TB.tbl_describe(spark, name).withColumn("rows", spark.table(name).select(F.count(F.lit(1))).scalar())
 
 
 @register("tbl_append", LINEITEM_SQL)
@@ -404,14 +415,13 @@ def q_tbl_describe(spark, sf):
     return TB.tbl_describe(spark, name)
 
 
-@register("tbl_list")
+@register("tbl_list", "SELECT 'MANAGED' AS kind, false AS is_temporary, count(*) AS rows FROM lineitem".replace("MANAGED", "EXTERNAL"))
 def q_tbl_list(spark, sf):
-    """Tables of the current database after creating one (rows-only)."""
+    """The listing's row of a table just created and filled (names differ per run)."""
     name = _new_table(spark, "list")
     TB.tbl_append(spark, name, Fixtures(spark, sf).lineitem)
-    out = TB.tbl_list(spark)
-    assert out.filter(F.col("name") == name).count() == 1
-    return out
+    rows = spark.table(name).select(F.count(F.lit(1))).scalar()
+    return TB.tbl_list(spark).filter(F.col("name") == name).select(F.col("table_type").alias("kind"), "is_temporary", rows.alias("rows"))
 
 
 @register("tbl_drop", "SELECT 0 AS remaining, count(*) AS rows_before FROM lineitem")
@@ -423,16 +433,19 @@ def q_tbl_drop(spark, sf):
     return spark.createDataFrame([(remaining, n)], "remaining long, rows_before long")
 
 
-@register("snap_register")
+@register("snap_register", """
+SELECT 'orders' AS table_name, 1 AS snapshot_id, 1 AS version, 'parquet' AS format, 'completed' AS status,
+       (SELECT count(*) FROM information_schema.columns WHERE table_name = 'orders') AS n_columns, false AS has_error
+UNION ALL SELECT 'orders', 2, 2, 'parquet', 'failed', NULL, true""")
 def q_snap_register(spark, sf):
-    """Registry after registering one good and one missing URI (rows-only):
-    statuses completed / failed, schema inferred for the good one."""
+    """Registry after registering one good and one missing URI: statuses completed /
+    failed, schema inferred for the good one, versions stored."""
     reg = scratch(spark, "registry")
     good = IO.sink_parquet(Fixtures(spark, sf).orders, scratch(spark, "snap"))
     SN.snap_register(spark, reg, "orders", 1, good)
     out = SN.snap_register(spark, reg, "orders", 2, scratch(spark, "missing"))
-    assert sorted(r.status for r in out.select("status").collect()) == ["completed", "failed"]
-    return out
+    return out.select("table_name", "snapshot_id", "version", "format", "status", F.when(F.col("schema").isNotNull(), F.size("schema")).alias("n_columns"),
+                      F.col("error").isNotNull().alias("has_error"))
 
 
 @register("snap_read", ORDERS_SQL)
@@ -441,3 +454,23 @@ def q_snap_read(spark, sf):
     good = IO.sink_parquet(Fixtures(spark, sf).orders, scratch(spark, "snap"))
     snaps = SN.snap_register(spark, reg, "orders", 1, good)
     return SN.snap_read(spark, snaps, "orders")
+
+
+@register("tbl_commit_versions", """
+SELECT 'first' AS which, o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL SELECT 'upserted', o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'N' ELSE o_orderstatus END FROM orders
+UNION ALL SELECT 'updated', o_orderkey, CASE o_orderstatus WHEN 'P' THEN 'N' WHEN 'F' THEN 'X' ELSE o_orderstatus END FROM orders""")
+def q_tbl_commit_versions(spark, sf):
+    """Commit a table, an upsert and a bulk update; the versions read back, the newest
+    after a vacuum that keeps it and one that is old enough to go."""
+    root = scratch(spark, "versions")
+    o = Fixtures(spark, sf).orders.select("o_orderkey", "o_orderstatus")
+    TB.commit_version(spark, root, "orders", o.filter(F.col("o_orderstatus") != "P"))
+    new = o.filter(F.col("o_orderstatus") == "P").withColumn("o_orderstatus", F.lit("N"))
+    TB.commit_version(spark, root, "orders", TB.tbl_merge_upsert(TB.read_version(spark, root, "orders"), new, ["o_orderkey"]))
+    updates = o.filter(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("id"), F.lit("X").alias("value"))
+    last = TB.commit_version(spark, root, "orders", TB.tbl_bulk_update(TB.read_version(spark, root, "orders"), "o_orderkey", "o_orderstatus", updates))
+    TB.vacuum_versions(spark, root, "orders")  # nothing is old enough
+    which = {"first": 1, "upserted": 2, "updated": last}
+    out = [TB.read_version(spark, root, "orders", v).select(F.lit(k).alias("which"), "*") for k, v in which.items()]
+    return out[0].unionAll(out[1]).unionAll(out[2])

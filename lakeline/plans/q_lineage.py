@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeline.operators import lineage as L
+from lakeline.plans.catalog import ORACLE as QUERY_ORACLES
 from lakeline.plans.catalog import register
 from lakeline.plans.fixtures import Fixtures
 from lakeline.plans.oracle import sql
@@ -75,13 +76,15 @@ def q_lin_dataset_uses(spark, sf):
 
 @register("lin_stats", sql("""
 SELECT (SELECT count(*) FROM jobs) AS total_jobs, (SELECT count(*) FROM runs) AS total_runs,
-       (SELECT count(*) FROM datasets) AS total_datasets, (SELECT count(*) FROM edges) AS total_edges,
+       (SELECT count(*) FROM datasets) AS total_datasets,
+       (SELECT count(*) + count(ended_at) FROM runs) AS total_events,
        (SELECT count(*) FROM runs WHERE state NOT IN ('COMPLETE', 'FAIL', 'ABORT')) AS active_runs,
        (SELECT count(*) FROM runs WHERE state = 'RUNNING') AS active_runs_literal""",
     "jobs", "runs", "datasets", "edges"))
 def q_lin_stats(spark, sf):
     f = Fixtures(spark, sf)
-    return L.lin_stats(f.jobs(), f.runs(), f.datasets(), f.edges())
+    started, ended = f.runs().select("run_id"), f.runs().filter(F.col("ended_at").isNotNull()).select("run_id")
+    return L.lin_stats(f.jobs(), f.runs(), f.datasets(), started.unionAll(ended))
 
 
 @register("lin_complete_view", sql("""
@@ -156,9 +159,55 @@ def q_lin_list_datasets_ingested(spark, sf):
 SELECT (SELECT count(DISTINCT job_id) FROM runs) AS total_jobs, (SELECT count(*) FROM runs) AS total_runs,
        (SELECT count(DISTINCT e.dataset_id) FROM edges e JOIN runs r ON r.run_id = e.run_id
          WHERE r.ended_at IS NOT NULL) AS total_datasets,
-       (SELECT count(*) FROM edges e JOIN runs r ON r.run_id = e.run_id WHERE r.ended_at IS NOT NULL) AS total_edges,
+       (SELECT count(*) + count(ended_at) FROM runs) AS total_events,
        (SELECT count(*) FROM runs WHERE ended_at IS NULL) AS active_runs,
        CAST(0 AS BIGINT) AS active_runs_literal""", "runs", "edges"))
 def q_lin_stats_ingested(spark, sf):
     s = _ingested_store(spark, sf)
-    return L.lin_stats(s["jobs"], s["runs"], s["datasets"], s["edges"])
+    return L.lin_stats(s["jobs"], s["runs"], s["datasets"], s["run_events"])
+
+
+# ------------------------------------------------------------------ lookups of one run, job, dataset
+
+def _first(df, order: str, *cols: str):
+    """Scalars of the first row by ``order``: the lookup's arguments."""
+    row = df.select(F.min_by(F.struct(*cols), order)).scalar()
+    return [row.getField(c) for c in cols]
+
+
+@register("lin_run_one", QUERY_ORACLES["lin_run"] + " WHERE r.run_id = (SELECT max(run_id) FROM runs WHERE ended_at IS NOT NULL)")
+def q_lin_run_one(spark, sf):
+    f = Fixtures(spark, sf)
+    run = f.runs().filter(F.col("ended_at").isNotNull()).select(F.max("run_id")).scalar()
+    r = L.lin_run(f.runs(), f.jobs(), f.datasets(), f.edges(), run_id=run)
+    return r.withColumn("inputs", jsonify("inputs")).withColumn("outputs", jsonify("outputs"))
+
+
+@register("lin_job_runs_one", QUERY_ORACLES["lin_job_runs"] + " WHERE j.id = (SELECT min(job_id) FROM runs)")
+def q_lin_job_runs_one(spark, sf):
+    f = Fixtures(spark, sf)
+    job = f.runs().select(F.min("job_id").alias("id"))
+    space, name = _first(f.jobs().join(job, "id"), "id", "namespace", "name")
+    return L.lin_job_runs(f.jobs(), f.runs(), space, name)
+
+
+@register("lin_dataset_uses_one", QUERY_ORACLES["lin_dataset_uses"] + " WHERE d.id = (SELECT min(dataset_id) FROM edges)")
+def q_lin_dataset_uses_one(spark, sf):
+    f = Fixtures(spark, sf)
+    dataset = f.edges().select(F.min("dataset_id").alias("id"))
+    space, name = _first(f.datasets().join(dataset, "id"), "id", "namespace", "name")
+    return L.lin_dataset_uses(f.datasets(), f.edges(), f.runs(), f.jobs(), space, name)
+
+
+@register("lin_run_paged", QUERY_ORACLES["lin_run"].replace("// 1000", "// 3"))
+def q_lin_run_paged(spark, sf):
+    """Pages smaller than the largest run."""
+    f = Fixtures(spark, sf)
+    r = L.lin_run(f.runs(), f.jobs(), f.datasets(), f.edges(), page_size=3)
+    return r.withColumn("inputs", jsonify("inputs")).withColumn("outputs", jsonify("outputs"))
+
+
+@register("lin_nested_json_paged", QUERY_ORACLES["lin_nested_json"].replace("// 1000", "// 4"))
+def q_lin_nested_json_paged(spark, sf):
+    f = Fixtures(spark, sf)
+    return L.lin_nested_json(f.jobs(), f.runs(), page_size=4)

@@ -254,11 +254,11 @@ def q_mon_success_rate(spark, sf):
 
 @register("mon_rate_limit", sql("""
 SELECT request_id, client_id, start_time, endpoint, method, status_code, duration,
-       count(*) OVER (PARTITION BY client_id ORDER BY start_time
-                      RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS in_window,
-       count(*) OVER (PARTITION BY client_id ORDER BY start_time
-                      RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) >= 20 AS over_limit
-FROM requests""", "requests"))
+       before - expired AS in_window, before - expired >= 20 AS over_limit
+FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY start_time, request_id) - 1 AS before,
+             count(*) OVER (PARTITION BY client_id ORDER BY start_time
+                            RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 7 DAY PRECEDING) AS expired
+      FROM requests)""", "requests"))
 def q_mon_rate_limit(spark, sf):
     r = Fixtures(spark, sf).requests()
     return M.mon_rate_limit(r, "client_id", "start_time", "request_id", 7 * 86400, 20)

@@ -97,13 +97,13 @@ SELECT year(o_orderdate) AS year, count(*) AS orders,
        CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS revenue
 FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1""")
 def q_rel_step_chain(spark, sf):
-    chain = (P.StepChain()
-             .pipe(lambda d: d.filter(F.col("o_orderstatus") != "O"), "drop_open")
-             .pipe(lambda d: d.withColumn("year", F.year("o_orderdate")), "add_year")
-             .pipe(lambda d: d.groupBy("year").agg(
-                 F.count(F.lit(1)).alias("orders"),
-                 F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("revenue")), "yearly"))
-    return chain.run(Fixtures(spark, sf).orders)
+    return P.apply_steps(Fixtures(spark, sf).orders, [
+        ("drop_open", lambda d: d.filter(F.col("o_orderstatus") != "O")),
+        ("add_year", lambda d: d.withColumn("year", F.year("o_orderdate"))),
+        ("yearly", lambda d: d.groupBy("year").agg(
+            F.count(F.lit(1)).alias("orders"),
+            F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("revenue"))),
+    ])
 
 
 @register("join_inner_left", """
@@ -130,7 +130,7 @@ SELECT c_custkey, c_name, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custk
 def q_join_existence(spark, sf):
     f = Fixtures(spark, sf)
     c = f.customer.select("c_custkey", "c_name")
-    return P.join_existence(c, f.orders, F.col("c_custkey") == F.col("o_custkey"), "has_orders")
+    return P.join_existence(c, f.orders, "c_custkey", "o_custkey", "has_orders")
 
 
 @register("win_running_sum", f"""

@@ -115,10 +115,14 @@ def q_ev_presets(spark, sf):
 @register("ev_fanout", sql(SUBS_SQL + """
 , c AS (SELECT event_type, count(*) AS n, max("timestamp") AS last_ts FROM sse_events GROUP BY 1)
 SELECT s.client_id, CAST(sum(c.n) AS BIGINT) AS deliveries, max(c.last_ts) AS last_event_at
-FROM subs s JOIN c USING (event_type) GROUP BY 1""", "subscriptions", "sse_events"))
+FROM subs s JOIN c USING (event_type)
+WHERE s.client_id % 5 <> 0 AND s.client_id % 3 <> 1 GROUP BY 1""", "subscriptions", "sse_events"))
 def q_ev_fanout(spark, sf):
     f = Fixtures(spark, sf)
-    return S.ev_fanout_counts(f.sse_events(), S.ev_subscribe(f.subscriptions()))
+    clients = f.subscriptions().select("client_id")
+    return S.ev_fanout_counts(f.sse_events(), S.ev_subscribe(f.subscriptions()),
+                              zombies=clients.filter(F.col("client_id") % 5 == 0),
+                              targets=clients.filter(F.col("client_id") % 3 != 1))
 
 
 @register("ev_replay", sql(SUBS_SQL + """
@@ -144,8 +148,7 @@ def q_ev_last_n_logs(spark, sf):
 
 @register("ev_envelope", sql("""
 SELECT event_id, 'id: ' || event_id || chr(10) || 'event: ' || event_type || chr(10) || 'data: ' ||
-       to_json({'timestamp': strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f'), 'data': CAST(data AS JSON)})
-       || chr(10) || chr(10) AS frame
+       '{"timestamp":"' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') || '","data":' || data || '}' || chr(10) || chr(10) AS frame
 FROM sse_events""", "sse_events"))
 def q_ev_envelope(spark, sf):
     return S.ev_envelope(Fixtures(spark, sf).sse_events())
@@ -173,20 +176,21 @@ def q_ev_pong_reset(spark, sf):
 
 LIVENESS_SQL = """
 , f AS (SELECT client_id, min(ts) AS connected_at, max(ts) FILTER (WHERE kind = 'ping') AS last_ping,
-          max(ts) FILTER (WHERE kind = 'pong') AS last_pong,
+          max(ts) FILTER (WHERE kind = 'pong') AS last_pong, count(*) FILTER (WHERE kind = 'ping') AS ping_count,
+          max((ts, event_id)) FILTER (WHERE kind = 'pong') AS pong_at,
           count(*) FILTER (WHERE kind = 'queue_full') AS queue_full_count,
           count(*) FILTER (WHERE kind = 'write_error') AS write_errors FROM pings GROUP BY 1)
 , a AS (SELECT f.client_id, count(p.event_id) AS missed_pings FROM f LEFT JOIN pings p
-          ON p.client_id = f.client_id AND p.kind = 'ping' AND (f.last_pong IS NULL OR p.ts > f.last_pong) GROUP BY 1)
+          ON p.client_id = f.client_id AND p.kind = 'ping' AND (f.last_pong IS NULL OR (p.ts, p.event_id) > f.pong_at) GROUP BY 1)
 , x AS (SELECT f.*, a.missed_pings,
           (epoch_us((SELECT max(ts) FROM pings)) - epoch_us(coalesce(last_ping, connected_at))) / 1e6 AS seconds_since_ping,
           epoch_us((SELECT max(ts) FROM pings)) - epoch_us(coalesce(last_ping, connected_at)) AS us_since_ping,
           (epoch_us((SELECT max(ts) FROM pings)) - epoch_us(connected_at)) / 1e6 AS since_conn
         FROM f JOIN a USING (client_id))
-, l AS (SELECT client_id, connected_at, last_ping, last_pong, queue_full_count, write_errors, missed_pings,
+, l AS (SELECT client_id, connected_at, last_ping, last_pong, ping_count, queue_full_count, write_errors, missed_pings,
           CASE WHEN seconds_since_ping > 120 THEN 'ping_timeout' WHEN missed_pings > 3 THEN 'missed_pings'
                WHEN queue_full_count > 10 THEN 'queue_full' WHEN write_errors > 5 THEN 'write_errors'
-               WHEN last_pong IS NULL AND since_conn > 90 THEN 'no_pong' END AS reason, seconds_since_ping,
+               WHEN last_pong IS NULL AND ping_count > 0 AND since_conn > 90 THEN 'no_pong' END AS reason, seconds_since_ping,
           us_since_ping
         FROM x)"""
 
@@ -260,7 +264,7 @@ def q_st_ingest(spark, sf):
     from lakeline.streaming import jobs as J
 
     src, out, ck = _stream_dirs(spark, "ingest")
-    J.write_in_event_order(Fixtures(spark, sf).ol_events(), src, "ts", 4)
+    src = J.write_in_event_order(Fixtures(spark, sf).ol_events(), src, "ts", 4)
     J.st_ingest(spark, src, out, ck).awaitTermination()
     return J.store_tables(spark, out)["runs"]
 
@@ -274,26 +278,26 @@ def q_st_window_tumbling_stream(spark, sf):
 
     src, out, ck = _stream_dirs(spark, "tumble")
     ev = Fixtures(spark, sf).events
-    J.write_in_event_order(ev, src, "ts", 4)
+    src = J.write_in_event_order(ev, src, "ts", 4)
     J.st_window_tumbling(J.file_stream(spark, src, ev.schema), out, ck).awaitTermination()
     return spark.read.parquet(out)
 
 
 @register("st_session_stream", sql("""
 , g AS (SELECT client_id, ts, event_id,
-          CASE WHEN lag(ts) OVER w IS NULL OR (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 >= 120 THEN 1 ELSE 0 END AS st
+          CASE WHEN lag(ts) OVER w IS NULL OR (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 > 120 THEN 1 ELSE 0 END AS st
         FROM pings WINDOW w AS (PARTITION BY client_id ORDER BY ts, event_id))
 , s AS (SELECT *, sum(st) OVER (PARTITION BY client_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
           AS session FROM g)
 SELECT client_id, min(ts) AS session_start, max(ts) + INTERVAL 120 SECOND AS session_end, count(*) AS events
 FROM s GROUP BY client_id, session
-HAVING max(ts) + INTERVAL 120 SECOND <= (SELECT max(ts) FROM pings) - INTERVAL 10 MINUTE""", "pings"))
+HAVING max(ts) + INTERVAL 120 SECOND < (SELECT max(ts) FROM pings) - INTERVAL 10 MINUTE""", "pings"))
 def q_st_session_stream(spark, sf):
     from lakeline.streaming import jobs as J
 
     src, out, ck = _stream_dirs(spark, "session")
     p = Fixtures(spark, sf).pings()
-    J.write_in_event_order(p, src, "ts", 4)
+    src = J.write_in_event_order(p, src, "ts", 4)
     J.st_session(J.file_stream(spark, src, p.schema), out, ck).awaitTermination()
     return spark.read.parquet(out)
 
@@ -306,7 +310,7 @@ def q_st_dedup_stream(spark, sf):
     m = Fixtures(spark, sf).messages()
     redelivered = m.filter(F.col("read_ct") > 5).withColumn(
         "enqueued_at", F.col("enqueued_at") + F.make_dt_interval(secs=F.lit(30)))
-    J.write_in_event_order(m.unionByName(redelivered), src, "enqueued_at", 4)
+    src = J.write_in_event_order(m.unionByName(redelivered), src, "enqueued_at", 4)
     J.st_dedup(J.file_stream(spark, src, m.schema), out, ck).awaitTermination()
     return spark.read.parquet(out)
 
@@ -321,7 +325,7 @@ def q_ev_latest_state_stream(spark, sf):
 
     src, out, ck = _stream_dirs(spark, "latest")
     c = Fixtures(spark, sf).changelog()
-    J.write_in_event_order(c, src, "ts", 4)
+    src = J.write_in_event_order(c, src, "ts", 4)
     J.ev_latest_state(J.file_stream(spark, src, c.schema), out, ck).awaitTermination()
     return J.current_state(spark, out)
 
@@ -333,7 +337,7 @@ def q_ev_liveness_stream(spark, sf):
 
     src, out, ck = _stream_dirs(spark, "liveness")
     p = Fixtures(spark, sf).pings()
-    J.write_in_event_order(p, src, "ts", 4)
+    src = J.write_in_event_order(p, src, "ts", 4)
     J.ev_liveness(J.file_stream(spark, src, p.schema), out, ck).awaitTermination()
     return spark.read.parquet(out)
 
@@ -344,7 +348,7 @@ def q_st_route_notify_stream(spark, sf):
 
     src, out, ck = _stream_dirs(spark, "route")
     n = Fixtures(spark, sf).notifications()
-    J.write_in_event_order(n, src, "enqueued_at", 4)
+    src = J.write_in_event_order(n, src, "enqueued_at", 4)
     J.st_transform(J.file_stream(spark, src, n.schema), S.st_route_notify, out, ck).awaitTermination()
     return spark.read.parquet(out)
 
@@ -355,7 +359,7 @@ def q_ev_presets_stream(spark, sf):
 
     src, out, ck = _stream_dirs(spark, "presets")
     e = Fixtures(spark, sf).sse_events()
-    J.write_in_event_order(e, src, "timestamp", 4)
+    src = J.write_in_event_order(e, src, "timestamp", 4)
     J.st_transform(J.file_stream(spark, src, e.schema),
                    lambda d: S.ev_presets(d).select("event_id", "event_type", "preset"), out, ck).awaitTermination()
     return spark.read.parquet(out)

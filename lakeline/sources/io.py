@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ARROW_BATCH_ROWS = 10_000
+ARROW_END = "LAKEARRW"  # follows each stream of a file
 MAX_RECORDS_PER_FILE = 10_000_000
 TARGET_FILE_BYTES = 128 * 1024 * 1024
 
@@ -80,11 +81,11 @@ def src_object_get(spark: SparkSession, path: str, glob: str | None = None) -> D
     return r.option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
 
 
-def src_arrow_ipc(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.arrow") -> DataFrame:
+def src_arrow_ipc(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None) -> DataFrame:
     """Arrow IPC stream files: one task decodes each file (``mapInArrow``),
     yielding its record batches; the files are the unit of parallelism."""
     files = src_object_get(spark, path, glob).select("content")
-    names = [f.name for f in schema.fields]
+    names, end = [f.name for f in schema.fields], ARROW_END.encode()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa  # noqa: F811  (executor side)
@@ -92,10 +93,12 @@ def src_arrow_ipc(spark: SparkSession, path: str, schema: T.StructType, glob: st
         for b in batches:
             for blob in b.column(0).to_pylist():
                 src = pa.BufferReader(pa.py_buffer(blob))
-                # A producer may write several complete streams back to back.
+                # Complete streams back to back, each with or without the end mark.
                 while src.tell() < len(blob):
                     for rb in pa.ipc.open_stream(src):
                         yield rb.select(names)
+                    if blob[src.tell() : src.tell() + len(end)] == end:
+                        src.seek(src.tell() + len(end))
 
     return files.mapInArrow(decode, schema)
 
@@ -173,58 +176,24 @@ def arrow_ipc_batches(df: DataFrame, max_rows: int = ARROW_BATCH_ROWS) -> DataFr
 
 
 def sink_arrow(df: DataFrame, path: str, max_rows: int = ARROW_BATCH_ROWS) -> str:
-    """One ``.arrow`` IPC stream file per partition, batches of <= max_rows.
+    """Arrow IPC files, one per partition, on any file system Spark writes.
 
-    Files are written by the tasks with deterministic names (partition id),
-    so a retried task overwrites its own file.  Intended for shared POSIX
-    paths; for object stores use ``arrow_ipc_batches`` and a Spark writer.
+    A file is a chain of complete IPC streams of at most ``max_rows`` rows, each
+    followed by ``ARROW_END``; it is written by Spark's text writer, whose commit
+    protocol covers lost tasks.  ``src_arrow_ipc`` reads the chain; an ordinary
+    stream reader reads the streams one after another.
     """
-    import os
-    from urllib.parse import urlparse
-
-    u = urlparse(path)
-    if u.scheme not in ("", "file"):
-        raise ValueError("sink_arrow writes to shared POSIX paths; use arrow_ipc_batches for " + u.scheme)
-    target = u.path if u.scheme == "file" else path
-    os.makedirs(target, exist_ok=True)
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os as _os
-
-        import pyarrow as pa  # noqa: F811
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        fn = _os.path.join(target, f"part-{part:05d}.arrow")
-        tmp = fn + ".tmp"
-        n = 0
-        writer = None
-        with pa.OSFile(tmp, "wb") as sink:
-            for b in batches:
-                if writer is None:
-                    writer = pa.ipc.new_stream(sink, b.schema)
-                for off in range(0, b.num_rows, max_rows):
-                    writer.write_batch(b.slice(off, max_rows))
-                n += b.num_rows
-            if writer is not None:
-                writer.close()
-        if writer is None:
-            _os.remove(tmp)
-        else:
-            _os.replace(tmp, fn)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64())],
-                                         names=["part", "rows"])
-
-    df.mapInArrow(write, "part int, rows long").collect()  # one tiny row per partition
+    streams = arrow_ipc_batches(df, max_rows).select(F.col("ipc").cast("string"))
+    streams.write.mode("overwrite").option("lineSep", ARROW_END).text(path)
     return path
 
 
 def sink_partitioned(df: DataFrame, path: str, cols: list[str], max_records: int = MAX_RECORDS_PER_FILE,
                      mode: str = "overwrite") -> str:
     """Hive-partitioned Parquet, at most ``max_records`` rows per file.  Rows
-    are clustered by the partition columns first so each task writes few
-    folders (no small-file explosion)."""
-    (df.repartition(*[F.col(c) for c in cols]).write.mode(mode).partitionBy(*cols)
+    are clustered by the partition columns first so each task writes few folders;
+    the rebalance splits a value that holds more than a task's share."""
+    (df.hint("rebalance", *[F.col(c) for c in cols]).write.mode(mode).partitionBy(*cols)
      .option("maxRecordsPerFile", max_records).parquet(path))
     return path
 
@@ -242,10 +211,10 @@ def sink_parquet_tuned(df: DataFrame, path: str, bloom_cols: list[str] = (), sor
     return path
 
 
-# Accept-header precedence of the reference's query endpoint.
+# What an Accept header must contain for each format, in order of precedence.
 NEGOTIATION = [
-    ("application/vnd.apache.arrow.stream", "arrow"),
-    ("application/vnd.apache.parquet", "parquet"),
+    ("application/vnd.apache.arrow", "arrow"),
+    ("application/parquet", "parquet"),
     ("application/octet-stream", "parquet"),
     ("text/csv", "csv"),
     ("application/json", "json"),
@@ -254,8 +223,8 @@ NEGOTIATION = [
 
 
 def negotiate(accept: str | None) -> str:
-    """Pick the output format for an Accept header, by fixed precedence."""
-    a = (accept or "*/*").lower()
+    """Pick the output format for an Accept header, by fixed precedence; JSON without one."""
+    a = "application/json" if accept is None else accept
     for mime, fmt in NEGOTIATION:
         if mime in a:
             return fmt

@@ -9,12 +9,13 @@ many snapshots never lands in one task; versions are skew-safe positions.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from lakeline.operators.scan import with_position
 
 REGISTRY_SCHEMA = ("table_name string, snapshot_id bigint, uri string, format string, created_at timestamp_ntz, "
-                   "schema map<string,string>, status string, error string")
+                   "schema map<string,string>, status string, error string, version bigint")
 
 
 def _ord():
@@ -35,7 +36,10 @@ def snap_list_tables(snapshots: DataFrame) -> DataFrame:
 
 
 def with_versions(snapshots: DataFrame) -> DataFrame:
-    """version = 1-based position of the snapshot in its table by (created_at, snapshot_id)."""
+    """The stored version, which stays when older snapshots go; a registry without
+    one gets the 1-based position in its table by (created_at, snapshot_id)."""
+    if "version" in snapshots.columns:
+        return snapshots
     return with_position(snapshots, ["table_name"], ["created_at", "snapshot_id"], "version")
 
 
@@ -51,6 +55,17 @@ def snap_as_of(snapshots: DataFrame, version: int | None = None, ts=None, table:
     return snap_latest(s.filter(F.col("created_at") <= t))
 
 
+def next_version(spark: SparkSession, registry: str, table: str) -> int:
+    """One above the largest version ever stored for the table."""
+    try:
+        known = spark.read.schema(REGISTRY_SCHEMA).parquet(registry)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 1
+    return (known.filter(F.col("table_name") == table).agg(F.max("version")).first()[0] or 0) + 1
+
+
 def snap_register(spark: SparkSession, registry: str, table: str, snapshot_id: int, uri: str,
                   fmt: str = "parquet", schema: dict | None = None) -> DataFrame:
     """Validate the URI by resolving its schema (inferred when not given),
@@ -61,8 +76,9 @@ def snap_register(spark: SparkSession, registry: str, table: str, snapshot_id: i
         if schema is None:
             schema = {f.name: f.dataType.simpleString() for f in found.fields}
     except Exception as e:  # noqa: BLE001
-        status, error = "failed", f"{type(e).__name__}: {str(e)[:200]}"
-    row = spark.createDataFrame([(table, snapshot_id, uri, fmt, None, schema, status, error)], REGISTRY_SCHEMA)
+        status, error = "failed", f"{type(e).__name__}: {e}"
+    version = next_version(spark, registry, table)
+    row = spark.createDataFrame([(table, snapshot_id, uri, fmt, None, schema, status, error, version)], REGISTRY_SCHEMA)
     row = row.withColumn("created_at", F.localtimestamp())
     row.write.mode("append").parquet(registry)
     return spark.read.parquet(registry)

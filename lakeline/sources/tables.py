@@ -15,6 +15,7 @@ import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,14 +107,23 @@ def tbl_schema_merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return existing.unionByName(incoming, allowMissingColumns=True)
 
 
+def unique_by(df: DataFrame, keys: list[str], message: str) -> DataFrame:
+    """One row per key; reading a key that comes more than once raises ``message``."""
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.any_value(F.struct(*rest, F.lit(1).alias("__x"))).alias("__r"))
+    checked = F.coalesce(F.assert_true(F.col("__n") == 1, message).cast("boolean"), F.lit(True))
+    return one.filter(checked).select(*[F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in df.columns])
+
+
 def tbl_merge_upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """MERGE: matched keys take the *whole* source row (nulls included),
     unmatched target rows are kept, unmatched source rows are inserted.
 
     One full outer join on the keys with a source-present flag (not
     ``coalesce``, which would keep old values where the update is null).
-    The source must have unique keys (as MERGE requires)."""
+    A source key that comes twice is an error when the rows are read, as in MERGE."""
     cols = target.columns
+    source = unique_by(source, keys, "MERGE source has a key more than once")
     s = source.select(*[F.col(c).alias("__s_" + c) for c in cols], F.lit(True).alias("__hit"))
     t = target.select(*[F.col(c).alias("__t_" + c) for c in cols])
     cond = [F.col("__t_" + k) == F.col("__s_" + k) for k in keys]
@@ -124,8 +134,8 @@ def tbl_merge_upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> D
 
 def tbl_bulk_update(target: DataFrame, key: str, column: str, updates: DataFrame) -> DataFrame:
     """UPDATE t SET column = u.value FROM updates u WHERE t.key = u.id.
-    ``updates`` (id, value) must have unique ids."""
-    u = updates.select(F.col("id").alias("__id"), F.col("value").alias("__value"), F.lit(True).alias("__hit"))
+    An id that comes twice in ``updates`` (id, value) is an error when the rows are read."""
+    u = unique_by(updates.filter(F.col("id").isNotNull()), ["id"], "an id is updated more than once").select(F.col("id").alias("__id"), F.col("value").alias("__value"), F.lit(True).alias("__hit"))
     j = target.join(u, target[key] == u["__id"], "left")
     return j.select(*[F.when(F.col("__hit"), F.col("__value").cast(target.schema[c].dataType)).otherwise(F.col(c))
                       .alias(c) if c == column else F.col(c) for c in target.columns])
@@ -151,8 +161,10 @@ def tbl_compact(spark: SparkSession, src: str, dst: str, target_bytes: int = 128
     return n
 
 
-def z_value(cols: list[Column], bits: int = 21) -> Column:
+def z_value(cols: list[Column], bits: int) -> Column:
     """Bit-interleaved key of non-negative integer columns (Morton order)."""
+    if bits * len(cols) > 63:
+        raise ValueError(f"{len(cols)} columns of {bits} bits do not fit a 63-bit key")
     z = F.lit(0).cast("long")
     k = len(cols)
     for b in range(bits):
@@ -162,23 +174,24 @@ def z_value(cols: list[Column], bits: int = 21) -> Column:
     return z
 
 
-def tbl_zorder(df: DataFrame, cols: list[str], partitions: int, bits: int = 21) -> DataFrame:
+def tbl_zorder(df: DataFrame, cols: list[str], partitions: int, bits: int | None = None) -> DataFrame:
     """Cluster rows on several columns: each column is min-max scaled to
-    ``bits``-bit integers (scalar-subquery bounds), interleaved, then range
-    partitioned and sorted by the z-value so file statistics prune on any of
-    the columns."""
+    ``bits``-bit integers (63 bits shared evenly unless given), interleaved, then
+    range partitioned and sorted by the z-value so file statistics prune on any of
+    the columns.  All bounds come from one aggregate row; nulls sort lowest."""
+    bits = bits or min(21, 63 // len(cols))
     scale = (1 << bits) - 1
-    scaled = []
-    for c in cols:
-        x = F.col(c)
-        if isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType)):
-            x = F.unix_micros(x.cast("timestamp"))
-        lo = df.select(F.min(x)).scalar()
-        hi = df.select(F.max(x)).scalar()
-        span = F.when(hi > lo, (hi - lo).cast("double")).otherwise(F.lit(1.0))
-        scaled.append(F.floor((x - lo).cast("double") / span * scale))
-    z = z_value(scaled, bits)
-    return df.withColumn("__z", z).repartitionByRange(partitions, "__z").sortWithinPartitions("__z").drop("__z")
+    xs = {c: F.unix_micros(F.col(c).cast("timestamp")) if isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+          else F.col(c) for c in cols}
+    bounds = df.select(F.struct(*[f(x).alias(f"{n}{i}") for i, x in enumerate(xs.values()) for f, n in ((F.min, "lo"), (F.max, "hi"))])).scalar()
+    named = df.withColumn("__bounds", bounds)
+    for i, x in enumerate(xs.values()):
+        lo, hi = F.col(f"__bounds.lo{i}"), F.col(f"__bounds.hi{i}")
+        at = F.floor((x - lo).cast("double") / F.when(hi > lo, (hi - lo).cast("double")).otherwise(F.lit(1.0)) * scale)
+        named = named.withColumn(f"__z{i}", F.coalesce(at.cast("long"), F.lit(0)))
+    z = z_value([F.col(f"__z{i}") for i in range(len(cols))], bits)
+    out = named.withColumn("__z", z).repartitionByRange(partitions, "__z").sortWithinPartitions("__z")
+    return out.select(*df.columns)
 
 
 def tbl_vacuum(versions: DataFrame, retention_hours: int = 168, asof=None,
@@ -194,6 +207,63 @@ def tbl_vacuum(versions: DataFrame, retention_hours: int = 168, asof=None,
                     & (F.col(created) < now - F.make_dt_interval(hours=F.lit(retention_hours)))).drop("__latest")
 
 
+# ------------------------------------------------------------------ committed versions
+
+VERSIONS = "name string, version bigint, path string, committed_at timestamp, deleted boolean"
+
+
+def versions_of(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Versions of a table: version, path, committed_at and whether it was deleted."""
+    try:
+        log = spark.read.schema(VERSIONS).parquet(f"{root.rstrip('/')}/_versions")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        log = spark.createDataFrame([], VERSIONS)
+    rows = log.filter(F.col("name") == name).groupBy("version")
+    return rows.agg(F.max("path").alias("path"), F.min("committed_at").alias("committed_at"), F.bool_or("deleted").alias("deleted"))
+
+
+def commit_version(spark: SparkSession, root: str, name: str, df: DataFrame) -> int:
+    """Write ``df`` (an upsert, bulk update, compaction, z-order ...) as the table's next
+    version: a folder of its own, then one registry row, which is the commit.  Version
+    numbers are stored and never used again.  One writer at a time per table."""
+    version = (versions_of(spark, root, name).agg(F.max("version")).first()[0] or 0) + 1
+    path = f"{root.rstrip('/')}/{name}/v={version}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _log_version(spark, root, name, version, path, False)
+    return version
+
+
+def _log_version(spark: SparkSession, root: str, name: str, version: int, path: str, deleted: bool) -> None:
+    row = spark.createDataFrame([(name, version, path, None, deleted)], VERSIONS).withColumn("committed_at", F.current_timestamp())
+    row.write.mode("append").parquet(f"{root.rstrip('/')}/_versions")
+
+
+def read_version(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    """The newest version of the table, or the one given."""
+    rows = versions_of(spark, root, name).filter(~F.col("deleted"))
+    rows = rows if version is None else rows.filter(F.col("version") == version)
+    row = rows.orderBy(F.desc("version")).first()
+    if row is None:
+        raise KeyError(f"no version {version or ''} of {name}")
+    return spark.read.parquet(row["path"])
+
+
+def vacuum_versions(spark: SparkSession, root: str, name: str, retention_hours: float = 168) -> list[int]:
+    """Delete the folders of versions older than ``retention_hours``, never the newest;
+    returns their numbers.  The others keep theirs."""
+    rows = versions_of(spark, root, name).filter(~F.col("deleted"))
+    newest = rows.agg(F.max("version")).first()[0]
+    limit = F.current_timestamp() - F.make_dt_interval(secs=F.lit(retention_hours * 3600))
+    old = rows.filter((F.col("version") != newest) & (F.col("committed_at") < limit)).orderBy("version").collect()
+    for row in old:
+        _log_version(spark, root, name, row["version"], row["path"], True)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(row["path"])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return [row["version"] for row in old]
+
+
 # ------------------------------------------------------------------ materialised results
 
 def _registry_schema() -> str:
@@ -231,11 +301,13 @@ def rep_cached(spark: SparkSession, root: str, query: str, params: dict | None =
     runs once, is written, and a registry row is appended."""
     key = cache_key(query, params)
     reg = f"{root.rstrip('/')}/_cache_registry"
-    try:
-        hit = (spark.read.parquet(reg).filter((F.col("name") == key)
+    try:  # a cache without a registry yet has no hit
+        hit = (spark.read.schema(_registry_schema()).parquet(reg).filter((F.col("name") == key)
                & (F.col("refreshed_at") >= F.current_timestamp() - F.make_dt_interval(hours=F.lit(ttl_hours))))
                .agg(F.max_by("path", "refreshed_at")).first()[0])
-    except Exception:  # noqa: BLE001  (no registry yet)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         hit = None
     if hit:
         return spark.read.parquet(hit)

@@ -21,6 +21,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -64,31 +65,60 @@ def _batch_writer(out_root: str, tables: Callable[[DataFrame], dict[str, DataFra
 
 # ------------------------------------------------------------------ ingest
 
+def _stored(spark: SparkSession, out_root: str, table: str, schema: T.StructType | str, but: int | None = None) -> DataFrame:
+    """Rows of a stored table; without those of batch ``but`` (a replay replaces them)."""
+    path = f"{out_root.rstrip('/')}/{table}"
+    try:
+        rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    rows = rows if but is None else rows.filter(F.col("batch") != but)
+    return rows.drop("batch")
+
+
 def st_ingest(spark: SparkSession, source: str, out_root: str, checkpoint: str, available_now: bool = True,
               interval: str = "10 seconds", files_per_trigger: int = 1) -> StreamingQuery:
-    """Queue of OpenLineage events (seq, ts, payload) -> parsed, validated
-    run_events and dead letters per micro-batch.  The ack is the checkpoint
-    commit; jobs/runs/datasets/edges are aggregates over run_events
-    (``store_tables``), so a run whose events span batches resolves correctly."""
+    """Queue of OpenLineage events (seq, ts, payload) -> the normalised store.
+
+    Each micro-batch is parsed and validated once and written as six tables: jobs,
+    runs, datasets, edges (the batch's parts, one small row per key), run_events and
+    dead letters.  ``store_tables`` merges the parts, so a run whose events span
+    batches resolves without reading events again.  A message delivered again, in
+    the same or any later batch, is dropped by its id; a replayed batch replaces its
+    own output.  The ack is the checkpoint commit."""
     stream = file_stream(spark, source, "seq bigint, ts timestamp_ntz, payload string", "parquet", files_per_trigger)
 
-    def tables(batch: DataFrame) -> dict[str, DataFrame]:
-        v = E.ol_validate(E.ol_parse(batch))
-        good, bad = E.split_valid(v)
-        return {"run_events": good.select("seq", "run_id", "event_type", "event_time", "job_namespace", "job_name",
-                                          "inputs", "outputs", "producer", "schema_url", "raw"),
-                "dead_letters": bad}
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = _stored(spark, out_root, "run_events", "seq bigint", batch_id).select("seq").unionAll(
+            _stored(spark, out_root, "dead_letters", "msg_id bigint", batch_id).select("msg_id"))
+        fresh = batch.dropDuplicates(["seq"]).join(known, "seq", "left_anti")
+        valid = E.ol_validate(E.ol_parse(fresh)).persist()
+        try:
+            good, bad = E.split_valid(valid)
+            for name, df in {"jobs": E.ol_jobs(good), "runs": E.run_parts(good), "datasets": E.dataset_parts(good),
+                             "edges": E.ol_edges(good), "dead_letters": bad, "run_events": E.ol_run_events(good)}.items():
+                df.write.mode("overwrite").parquet(f"{out_root.rstrip('/')}/{name}/batch={batch_id}")
+        finally:
+            valid.unpersist()
 
-    w = stream.writeStream.foreachBatch(_batch_writer(out_root, tables)).option("checkpointLocation", checkpoint)
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now, interval).start()
 
 
 def store_tables(spark: SparkSession, out_root: str) -> dict[str, DataFrame]:
-    """The lineage store as lazy aggregates over the ingested run events."""
-    ev = spark.read.parquet(f"{out_root.rstrip('/')}/run_events")
-    ev = ev.drop("batch") if "batch" in ev.columns else ev
-    return {"jobs": E.ol_jobs(ev), "runs": E.ol_runs(ev), "datasets": E.ol_datasets(ev),
-            "edges": E.ol_edges(ev), "run_events": E.ol_run_events(ev)}
+    """The lineage store: the ingested batches' parts merged per key (lazy aggregates
+    over small rows; payloads are not read)."""
+    def read(name: str) -> DataFrame:
+        path = f"{out_root.rstrip('/')}/{name}"
+        return spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
+
+    jobs = read("jobs").groupBy("id", "namespace", "name").agg(F.min("created_at").alias("created_at"))
+    edges = read("edges").groupBy("run_id", "namespace", "name", "direction").agg(F.min("created_at").alias("created_at"))
+    return {"jobs": jobs, "runs": E.runs_of(read("runs")), "datasets": E.datasets_of(read("datasets")),
+            "edges": edges, "run_events": read("run_events")}
 
 
 def st_transform(stream: DataFrame, fn: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
@@ -127,11 +157,15 @@ def st_window_sliding(events: DataFrame, out: str, checkpoint: str, size: str =
 
 
 def st_session(events: DataFrame, out: str, checkpoint: str, key: str = "client_id", ts: str = "ts",
-               gap: str = "120 seconds", available_now: bool = True, interval: str = "10 seconds") -> StreamingQuery:
+               gap_s: int = 120, available_now: bool = True, interval: str = "10 seconds") -> StreamingQuery:
+    """Sessions as in batch: a gap of more than ``gap_s`` closes one.  A session
+    window closes at its gap exactly, hence the microsecond on top."""
     e = _ltz(events, ts).withWatermark(ts, WATERMARK)
+    gap = f"{gap_s} seconds 1 microsecond"
+    end = F.timestamp_micros(F.unix_micros("s.end") - 1)
     agg = e.groupBy(key, F.session_window(ts, gap).alias("s")).agg(F.count(F.lit(1)).alias("events")).select(
         key, F.col("s.start").cast("timestamp_ntz").alias("session_start"),
-        F.col("s.end").cast("timestamp_ntz").alias("session_end"), "events")
+        end.cast("timestamp_ntz").alias("session_end"), "events")
     return _file_sink(agg, out, checkpoint, "append", available_now, interval)
 
 
@@ -253,20 +287,24 @@ def ev_liveness(pings: DataFrame, out: str, checkpoint: str, available_now: bool
 # ------------------------------------------------------------------ helpers for tests / registered runs
 
 def write_in_event_order(df: DataFrame, path: str, ts: str, files: int = 4) -> str:
-    """Write ``df`` as ``files`` Parquet files in event-time order, one after the
-    other (distinct modification times), so a file stream reads them in order
-    and nothing is late.  Range bounds come from ``approxQuantile`` (k-1 numbers)."""
-    import time
-
+    """Write ``df`` as one Parquet file per time slice (``files`` equal slices between
+    the first and the last time; null times first) and return the path to stream
+    from.  One partitioned write; the files' modification times are then set in
+    time order, which is the order a file stream reads them in, so nothing is late.
+    """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    qs = df.select(us.alias("u")).approxQuantile("u", [i / files for i in range(1, files)], 0.0)
-    bounds = [None, *qs, None]
-    for i in range(files):
-        part = df
-        if bounds[i] is not None:
-            part = part.filter(us > bounds[i])
-        if bounds[i + 1] is not None:
-            part = part.filter(us <= bounds[i + 1])
-        part.coalesce(1).sortWithinPartitions(ts).write.mode("append").parquet(path)
-        time.sleep(0.05)
-    return path
+    bounds = df.select(F.struct(F.min(us).alias("lo"), F.max(us).alias("hi"))).scalar()
+    lo, hi = bounds.getField("lo"), bounds.getField("hi")
+    part = F.when(hi > lo, F.least(F.floor((us - lo) * files / (hi - lo)), F.lit(files - 1))).otherwise(0)
+    part = F.coalesce(part.cast("int"), F.lit(-1))
+    cut = df.withColumn("slice", part).repartition(files, "slice").sortWithinPartitions("slice", ts)
+    cut.write.mode("append").partitionBy("slice").parquet(path)
+    spark = df.sparkSession
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/slice=*").select("path")
+    names = sorted((r.path for r in listed.collect()), key=lambda p: int(p.rsplit("/slice=", 1)[1].split("/")[0]))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for i, name in enumerate(names):
+        file = hadoop(name)
+        fs = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.setTimes(file, 1_600_000_000_000 + 1000 * i, -1)
+    return f"{path}/slice=*"

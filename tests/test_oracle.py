@@ -1,12 +1,15 @@
 """Every registered query against its DuckDB oracle (sf0.001)."""
+import re
+
 import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
 from oracle_compare import canon, duck
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+CORPUS = re.compile(r"op\d+_|pipeline$")  # tested with their subpackage
+QUERIES = {k: f for k, f in entry.queries().items() if not CORPUS.match(k)}
+ORACLE = {k: q for k, q in entry.oracle_sql().items() if not CORPUS.match(k)}
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +19,7 @@ def con():
 
 def test_every_query_has_oracle_or_is_known_rows_only():
     rows_only = set(QUERIES) - set(ORACLE)
-    assert rows_only <= {"ev_liveness_stream", "tbl_list", "snap_register", "mon_run_observed"}, rows_only
+    assert rows_only <= {"ev_liveness_stream", "mon_run_observed"}, rows_only
 
 
 def test_entry_smoke(spark):
@@ -38,4 +41,4 @@ def test_matches_oracle(spark, con, key):
 
 def test_rows_only_queries_run(spark):
     for key in set(QUERIES) - set(ORACLE):
-        assert QUERIES[key](spark, SF_SMALL).count() >= 0
+        assert QUERIES[key](spark, SF_SMALL).count() > 0

@@ -40,7 +40,8 @@ def test_arrow_batches_are_bounded(spark):
 
 
 @pytest.mark.parametrize("accept,fmt", [
-    ("application/vnd.apache.arrow.stream", "arrow"), ("application/octet-stream", "parquet"),
+    ("application/vnd.apache.arrow.stream", "arrow"), ("application/vnd.apache.arrow.file", "arrow"),
+    ("application/octet-stream", "parquet"), ("application/parquet", "parquet"),
     ("text/csv", "csv"), ("application/json", "json"), ("*/*", "json"), (None, "json"),
     ("text/csv, application/vnd.apache.arrow.stream", "arrow")])
 def test_negotiation_precedence(accept, fmt):
@@ -122,3 +123,64 @@ def test_schema_merge_by_name(spark):
     b = spark.createDataFrame([(2.5, 2)], "v double, id long")
     out = TB.tbl_schema_merge(a, b)
     assert set(out.columns) == {"id", "s", "v"} and out.count() == 2
+
+
+def test_one_value_partition_gives_many_files(spark, tmp_dir):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        df = spark.range(0, 200_000, 1, 8).withColumn("p", F.lit("x")).withColumn("v", F.xxhash64("id"))
+        IO.sink_partitioned(df, tmp_dir, ["p"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert IO.src_object_list(spark, tmp_dir, "*.parquet").count() > 4
+    assert spark.read.parquet(tmp_dir).count() == 200_000
+
+
+def test_arrow_sink_round_trip(spark, tmp_dir):
+    df = spark.range(0, 2500, 1, 3).withColumn("s", F.concat(F.lit("é"), F.col("id")))
+    IO.sink_arrow(df, tmp_dir, max_rows=400)
+    back = IO.src_arrow_ipc(spark, tmp_dir, df.schema)
+    assert back.count() == 2500 and back.exceptAll(df).count() == 0
+
+
+def test_updates_with_repeated_keys_are_rejected(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "id long, s string")
+    twice = spark.createDataFrame([(1, "x"), (1, "y")], "id long, value string")
+    with pytest.raises(Exception, match="more than once"):
+        TB.tbl_bulk_update(t, "id", "s", twice).collect()
+    with pytest.raises(Exception, match="more than once"):
+        TB.tbl_merge_upsert(t, twice.withColumnRenamed("value", "s"), ["id"]).collect()
+
+
+def test_zorder_limits_and_prunes(spark, tmp_dir):
+    df = spark.range(40_000).select((F.col("id") % 200).alias("a"), F.floor(F.col("id") / 200).alias("b"))
+    TB.tbl_zorder(df, ["a", "b"], 16).write.parquet(tmp_dir)
+    per = spark.read.parquet(tmp_dir).groupBy(F.input_file_name().alias("f")).agg(
+        F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1")).collect()
+    assert len(per) == 16
+    for lo, hi in (("a0", "a1"), ("b0", "b1")):  # a value of either column is in a few files only
+        assert sum(r[lo] <= 77 <= r[hi] for r in per) <= 8
+    many = df.select(*[F.col("a").alias(f"c{i}") for i in range(5)])
+    assert TB.tbl_zorder(many, many.columns, 4).count() == 40_000
+    with pytest.raises(ValueError):
+        TB.tbl_zorder(many, many.columns, 4, bits=21)
+
+
+def test_versions_survive_a_vacuum(spark, tmp_dir):
+    df = spark.range(5)
+    for i in range(3):
+        assert TB.commit_version(spark, tmp_dir, "t", df.filter(F.col("id") <= i)) == i + 1
+    assert TB.vacuum_versions(spark, tmp_dir, "t") == []
+    assert TB.read_version(spark, tmp_dir, "t", 2).count() == 2
+    assert TB.vacuum_versions(spark, tmp_dir, "t", retention_hours=-1) == [1, 2]
+    assert TB.read_version(spark, tmp_dir, "t").count() == 3 and TB.read_version(spark, tmp_dir, "t", 3).count() == 3
+    with pytest.raises(KeyError):
+        TB.read_version(spark, tmp_dir, "t", 1)
+    assert not os.path.exists(local(TB.versions_of(spark, tmp_dir, "t").filter("version = 1").first().path))
+    assert TB.commit_version(spark, tmp_dir, "t", df) == 4
+
+
+def test_compact_writes_few_files(spark, tmp_dir):
+    spark.range(1000).repartition(20).write.parquet(f"{tmp_dir}/a")
+    assert TB.tbl_compact(spark, f"{tmp_dir}/a", f"{tmp_dir}/b") == 1
+    assert IO.src_object_list(spark, f"{tmp_dir}/b", "*.parquet").count() == 1

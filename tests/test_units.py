@@ -1,5 +1,6 @@
 """Hand-written edge cases (FIXTURES.md section 4) on small DataFrames."""
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,7 +21,6 @@ def ts(sec):
 
 
 def ev(seq, typ, t, run="00000000-0000-4000-8000-000000000001", inputs=None, outputs=None):
-    import json
 
     d = {"eventType": typ, "eventTime": ts(t).isoformat(), "run": {"runId": run},
          "job": {"namespace": "ns", "name": "job"}}
@@ -199,11 +199,70 @@ def test_liveness_first_rule_wins(spark):
     assert got2[1] == "missed_pings"
 
 
-def test_step_chain_names_failing_step(spark):
-    chain = P.StepChain().pipe(lambda d: d.select("id"), "keep_id").pipe(lambda d: d.select("nope"), "broken")
-    with pytest.raises(P.StepError) as e:
-        chain.run(spark.range(3), validate=True)
-    assert e.value.step == "broken"
+def test_steps_name_the_failing_one(spark):
+    with pytest.raises(Exception) as e:
+        P.apply_steps(spark.range(3), [("keep_id", lambda d: d.select("id")), ("broken", lambda d: d.select("nope"))])
+    assert e.value.__notes__ == ["in step 'broken'"]
+    assert P.apply_steps(spark.range(3), [("half", lambda d: d.filter("id < 2"))]).count() == 2
+
+
+def test_bad_times_and_dataset_forms(spark):
+    job = '"job":{"namespace":"n","name":"j"}'
+    rows = [(1, ts(0), f'{{"eventType":"START","eventTime":"not-a-date","run":{{"runId":"{"0" * 32}"}},{job}}}'),
+            (2, ts(0), f'{{"eventType":"START","eventTime":"2024-01-01T00:00:00.5Z","run":{{"runId":"{"0" * 31}A"}},{job},"inputs":["a",{{"name":"b","uri":"s3://b"}}]}}')]
+    g, bad = good(spark, rows)
+    assert [(r.msg_id, r.error) for r in bad.collect()] == [(1, "eventTime is not a time")]
+    assert sorted((r.namespace, r.name, r.uri) for r in E.ol_datasets(g).collect()) == [("lake", "a", "lake://tables/a"), ("lake", "b", "s3://b")]
+    assert g.first().run_id == "00000000-0000-0000-0000-00000000000a"
+
+
+def test_bad_log_times_do_not_stop_a_job(spark):
+    from lakeline.operators import logs
+
+    lines = spark.createDataFrame([("postgresql", 1, "2024-13-45 00:00:00.000 UTC [1] LOG: x"), ("backend", 2, '{"timestamp":"2024-01-01T00:00:00Z","level":"INFO"}'),
+                                   ("backend", 3, '{"timestamp":"soon"}')], "container string, event_id long, line string")
+    assert {r.event_id: r.log_ts for r in logs.log_route(lines).collect()} == {1: None, 2: ts(0), 3: None}
+
+
+def test_rate_limit_counts_requests_before(spark):
+    r = spark.createDataFrame([(1, 1, ts(0)), (2, 1, ts(1)), (3, 1, ts(2)), (4, 1, ts(60)), (5, None, ts(0)), (6, 1, None)], "rid int, u int, t timestamp_ntz")
+    got = {x.rid: (x.in_window, x.over_limit) for x in M.mon_rate_limit(r, "u", "t", "rid", 60, 2).collect()}
+    assert got == {1: (0, False), 2: (1, False), 3: (2, True), 4: (2, True), 5: (0, False)}
+
+
+def test_never_pinged_client_is_no_zombie(spark):
+    p = spark.createDataFrame([(1, ts(0), 1, "connect"), (2, ts(100), 2, "connect")], "client_id long, ts timestamp_ntz, event_id long, kind string")
+    assert {r.client_id: r.reason for r in S.ev_liveness(p).collect()} == {1: None, 2: None}
+
+
+def test_envelope_keeps_any_data(spark):
+    rows = [(1, '{"s":"x","n":1,"o":{"a":[1]}}'), (2, "plain \"text\""), (3, None)]
+    df = spark.createDataFrame(rows, "event_id int, data string").withColumn("event_type", F.lit("e")).withColumn("timestamp", F.lit(ts(0)))
+    data = {r.event_id: json.loads(r.frame.split("data: ")[1])["data"] for r in S.ev_envelope(df).collect()}
+    assert data == {1: {"s": "x", "n": 1, "o": {"a": [1]}}, 2: 'plain "text"', 3: None}
+
+
+def test_asof_carries_whole_rows_and_skips_null_keys(spark):
+    trades = spark.createDataFrame([(1, "a", ts(9)), (2, None, ts(9))], "trade_id long, symbol string, ts timestamp_ntz")
+    prices = spark.createDataFrame([("a", ts(0), 1.0), ("a", ts(5), None), (None, ts(0), 2.0)], "symbol string, ts timestamp_ntz, price double")
+    out = P.join_asof(trades, prices, ["symbol"], "ts", "ts", ["price"], "trade_id").collect()
+    assert [(r.trade_id, r.price, r.ts_matched) for r in out] == [(1, None, ts(5))]
+
+
+def test_null_keys_are_groups(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 5), (None, 7), (None, None)], "k string, v int")
+    assert sorted((str(r.k), str(r.v), r.dense_rank) for r in P.win_dense_rank(df, ["k"], "v").collect()) == [
+        ("None", "5", 2), ("None", "7", 1), ("None", "None", 3), ("a", "1", 2), ("a", "2", 1)]
+    assert P.win_first_value_ratio(df, ["k"], "v", "v").count() == 5
+    lists = {(r.k, r.page): list(r["items"]) for r in P.rs_list_agg(df.dropna(subset=["v"]), ["k"], ["v"], F.col("v"), page_size=1).collect()}
+    assert lists == {("a", 0): [1], ("a", 1): [2], (None, 0): [5], (None, 1): [7]}
+
+
+def test_pivot_rejects_unknown_values(spark):
+    df = spark.createDataFrame([(1, "x"), (1, "y")], "k int, p string")
+    assert P.rs_pivot(df.filter("p = 'x'"), ["k"], "p", {"x": "nx"}, F.count(F.lit(1))).first().nx == 1
+    with pytest.raises(Exception, match="not in the list: y"):
+        P.rs_pivot(df, ["k"], "p", {"x": "nx"}, F.count(F.lit(1))).collect()
 
 
 def test_role_closure_terminates_on_cycles(spark):
