@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
+BATCH = 4 << 20  # characters scored at once
 
 
 def words_of(text: str) -> list[str]:
@@ -40,55 +41,82 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-@dataclass
+class Words(dict):
+    """Word -> number in order of first sight; ``new`` lists those without scores yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = code = len(self)
+        return code
+
+
 class Model:
     """Log frequencies per language of words (length 0) and of n-grams by their length."""
 
-    langs: list[str]
-    tables: dict[int, dict[str, np.ndarray]]
-    max_words: int = 300_000
-    codes: dict[str, int] = field(default_factory=dict)
-    rows: list[np.ndarray] = field(default_factory=list)
+    def __init__(self, langs: list[str], tables: dict[int, tuple[dict[str, int], np.ndarray]], max_words: int = 200_000):
+        self.langs, self.tables, self.max_words = langs, tables, max_words
+        self.fresh()
 
     @classmethod
     def of(cls, counts: list[tuple[str, int, str, int]]) -> Model:
         langs = sorted({lang for lang, *_ in counts})
         at = {lang: i for i, lang in enumerate(langs)}
-        raw: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(LONGEST + 1)}
-        for lang, n, gram, count in counts:
-            raw[n].setdefault(gram, np.zeros(len(langs)))[at[lang]] += count
         tables = {}
-        for n, table in raw.items():
-            total = sum(table.values(), np.zeros(len(langs)))
-            tables[n] = {g: np.log((c + 0.5) / (total + 0.5 * len(table))).astype(np.float32) for g, c in table.items()}
+        for n in range(LONGEST + 1):
+            mine = [(g, at[lang], c) for lang, m, g, c in counts if m == n]
+            rows = {g: i for i, g in enumerate(dict.fromkeys(g for g, _, _ in mine))}
+            seen = np.zeros((len(rows), len(langs)))
+            for g, lang, c in mine:
+                seen[rows[g], lang] += c
+            tables[n] = rows, np.log((seen + 0.5) / (seen.sum(0) + 0.5 * (len(rows) + 1))).astype(np.float32)
         return cls(langs, tables)
 
-    def word(self, word: str) -> np.ndarray:
-        if (known := self.tables[0].get(word)) is not None:
-            return known
-        for n in range(LONGEST, 0, -1):
-            if found := [x for g in grams(word, n) if (x := self.tables[n].get(g)) is not None]:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs), np.float32)
-
-    def code(self, word: str) -> int:
-        if (c := self.codes.get(word)) is None:
-            c = self.codes[word] = len(self.rows)
-            self.rows.append(self.word(word))
-        return c
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text or "")
-        if not self.langs or not text or not has_letter(text, words):
-            return "und", 0.0
+    def fresh(self) -> None:
+        self.codes, self.scores = Words(), np.zeros((0, len(self.langs)), np.float32)
+
+    def scored(self, words: list[str]) -> np.ndarray:
+        """A row per word: its log frequencies, or its longest known n-grams' mean."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        left = np.arange(len(words))
+        for n in (0, *range(LONGEST, 0, -1)):
+            rows, table = self.tables[n]
+            parts = [grams(words[i], n) if n else [words[i]] for i in left.tolist()]
+            size = np.fromiter(map(len, parts), np.int64, len(parts))
+            found = np.fromiter((rows.get(g, -1) for p in parts for g in p), np.int64, size.sum())
+            owner = np.repeat(np.arange(len(left)), size)[found >= 0]
+            hits = np.bincount(owner, minlength=len(left))
+            some = np.flatnonzero(hits)
+            if len(some):
+                first = np.concatenate([[0], np.cumsum(hits[some])[:-1]])
+                out[left[some]] = np.add.reduceat(table[found[found >= 0]], first, axis=0) / hits[some, None]
+            left = left[hits == 0]
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out = [("und", 0.0)] * len(texts)
+        words = [words_of(t or "") for t in texts]
+        told = [i for i, w in enumerate(words) if w and self.langs and has_letter(texts[i], w)]
+        if not told:
+            return out
         if len(self.codes) > self.max_words:  # bounds memory, not results
-            self.codes, self.rows = {}, []
-        score = np.zeros(len(self.langs))
-        for w, n in Counter(words).items():
-            score += self.rows[self.code(w)] * n
-        p = np.exp(score - score.max())
-        best = int(p.argmax())
-        return self.langs[best], float(p[best] / p.sum())
+            self.fresh()
+        size = np.array([len(words[i]) for i in told])
+        flat = pa.array(list(chain.from_iterable(words[i] for i in told)), pa.string()).dictionary_encode()
+        distinct = flat.dictionary.to_pylist()
+        code = np.fromiter(map(self.codes.__getitem__, distinct), np.int64, len(distinct))[np.array(flat.indices)]
+        if self.codes.new:
+            self.scores = np.concatenate([self.scores, self.scored(self.codes.new)])
+            self.codes.new = []
+        total = np.add.reduceat(self.scores[code], np.cumsum(size) - size, axis=0, dtype=np.float64)
+        p = np.exp(total - total.max(1, keepdims=True))
+        best = p.argmax(1)
+        for i, k, s in zip(told, best.tolist(), (1 / p.sum(1)).tolist()):
+            out[i] = self.langs[k], s
+        return out
 
 
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +153,7 @@ def train(labelled: DataFrame, per_lang: int = 600, max_langs: int = 500, min_co
     per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
     share = {r["lang"]: min(1.0, per_lang / r["n"]) for r in per.collect()}
     if not share:
-        return Model([], {})
+        return Model.of([])
     rate = F.create_map(*[F.lit(x) for kv in sorted(share.items()) for x in kv])
     chance = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_000)) / 1_000_000
     sample = rows.where(chance < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0))).select("lang", "text")
@@ -146,7 +174,14 @@ def predictor(docs: DataFrame, model: Model):
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score"])
+        out, some, size = [], [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t or "")
+            if size > BATCH:
+                out += shared.value.predict(some)
+                some, size = [], 0
+        return pd.DataFrame(out + shared.value.predict(some), columns=["lang", "score"])
 
     return predict
 
