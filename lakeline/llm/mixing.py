@@ -59,13 +59,14 @@ def budgets(leaves: DataFrame, levels: list[str], weights: Mapping[tuple, float]
     given = spark.createDataFrame(given or [(0, [""], 0)], "depth int, values array<string>, weight long")
     given = given.select("depth", F.to_json("values", {"ignoreNullFields": "false"}).alias("node"), "weight")
     leaves = leaves.withColumn("cap", F.col("tokens") * max_epochs)
-    total = leaves.agg(F.sum("tokens").alias("t"), F.sum("cap").alias("c"))
-    above = total.select(F.lit("").alias("parent"), F.least(F.floor(F.col("t") * F.lit(int(round(share * UNIT))) / UNIT), F.col("c")).cast("long").alias("budget"))
+    wanted = F.floor(F.sum("tokens") * F.lit(int(round(share * UNIT))) / UNIT)
+    whole = leaves.select(F.least(wanted, F.sum("cap")).cast("long")).scalar()
     for depth in range(1, len(levels) + 1):
         parent = F.lit("") if depth == 1 else path_of(levels[: depth - 1])
         nodes = leaves.groupBy(parent.alias("parent"), path_of(levels[:depth]).alias("node")).agg(F.sum("cap").alias("cap"))
         here = given.where(F.col("depth") == depth).select("node", "weight")
-        nodes = nodes.join(here, "node", "left").withColumn("weight", F.coalesce("weight", F.lit(UNIT))).join(above, "parent")
+        nodes = nodes.join(here, "node", "left").withColumn("weight", F.coalesce("weight", F.lit(UNIT)))
+        nodes = nodes.withColumn("budget", whole) if depth == 1 else nodes.join(above, "parent")
         above = split_budget(nodes).select(F.col("node").alias("parent"), F.col("share").alias("budget"))
     return leaves.select(path_of(levels).alias("path"), "tokens").join(above.withColumnRenamed("parent", "path"), "path")
 
