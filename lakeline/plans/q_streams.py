@@ -363,3 +363,56 @@ def q_ev_presets_stream(spark, sf):
     J.st_transform(J.file_stream(spark, src, e.schema),
                    lambda d: S.ev_presets(d).select("event_id", "event_type", "preset"), out, ck).awaitTermination()
     return spark.read.parquet(out)
+
+
+@register("st_window_sliding_stream", """
+SELECT w AS window_start, w + INTERVAL 60 SECOND AS window_end, count(*) AS n
+FROM (SELECT unnest(generate_series(time_bucket(INTERVAL 10 SECOND, ts) - INTERVAL 50 SECOND,
+                                    time_bucket(INTERVAL 10 SECOND, ts), INTERVAL 10 SECOND)) AS w FROM events)
+GROUP BY 1, 2 HAVING w + INTERVAL 60 SECOND <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def q_st_window_sliding_stream(spark, sf):
+    from lakeline.streaming import jobs as J
+
+    src, out, ck = _stream_dirs(spark, "slide")
+    ev = Fixtures(spark, sf).events
+    src = J.write_in_event_order(ev, src, "ts", 4)
+    J.st_window_sliding(J.file_stream(spark, src, ev.schema), out, ck).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("ev_envelope_stream", QUERY_ORACLES["ev_envelope"])
+def q_ev_envelope_stream(spark, sf):
+    from lakeline.streaming import jobs as J
+
+    src, out, ck = _stream_dirs(spark, "envelope")
+    e = Fixtures(spark, sf).sse_events()
+    src = J.write_in_event_order(e, src, "timestamp", 4)
+    J.st_transform(J.file_stream(spark, src, e.schema), S.ev_envelope, out, ck).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("ev_subscribe_stream", QUERY_ORACLES["ev_subscribe"])
+def q_ev_subscribe_stream(spark, sf):
+    from lakeline.streaming import jobs as J
+
+    src, out, ck = _stream_dirs(spark, "subscribe")
+    c = Fixtures(spark, sf).subscriptions()
+    c.repartition(4).write.parquet(src)
+    J.st_transform(J.file_stream(spark, src, c.schema), S.ev_subscribe, out, ck).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("ev_fanout_stream", sql(SUBS_SQL + """
+, c AS (SELECT event_type, count(*) AS n, max("timestamp") AS last_ts FROM sse_events GROUP BY 1)
+SELECT s.client_id, CAST(sum(c.n) AS BIGINT) AS deliveries, max(c.last_ts) AS last_event_at
+FROM subs s JOIN c USING (event_type) GROUP BY 1""", "subscriptions", "sse_events"))
+def q_ev_fanout_stream(spark, sf):
+    from lakeline.streaming import jobs as J
+
+    src, out, ck = _stream_dirs(spark, "fanout")
+    f = Fixtures(spark, sf)
+    e = f.sse_events()
+    src = J.write_in_event_order(e, src, "timestamp", 4)
+    J.ev_fanout(J.file_stream(spark, src, e.schema), S.ev_subscribe(f.subscriptions()), out, ck).awaitTermination()
+    return spark.read.parquet(f"{out}/deliveries").groupBy("client_id").agg(
+        F.sum("deliveries").alias("deliveries"), F.max("last_event_at").alias("last_event_at"))

@@ -45,6 +45,14 @@ def _trigger(writer, available_now: bool, interval: str):
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
 
 
+def ev_fanout(events: DataFrame, subs: DataFrame, out_root: str, checkpoint: str, available_now: bool = True,
+              interval: str = "10 seconds") -> StreamingQuery:
+    """Deliveries per client and micro-batch, counted without (event, client) pairs."""
+    writer = _batch_writer(out_root, lambda batch: {"deliveries": S.ev_fanout_counts(batch, subs)})
+    w = events.writeStream.foreachBatch(writer).option("checkpointLocation", checkpoint)
+    return _trigger(w, available_now, interval).start()
+
+
 def _batch_writer(out_root: str, tables: Callable[[DataFrame], dict[str, DataFrame]], cache: bool = True):
     """foreachBatch body: derive tables from the batch (cached once when it
     feeds several outputs), write each to ``<out>/<table>/batch=<id>`` with
@@ -182,28 +190,52 @@ def st_dedup(messages: DataFrame, out: str, checkpoint: str, key: str = "msg_id"
 
 def ev_latest_state(changes: DataFrame, out_root: str, checkpoint: str, key: str = "entity_id",
                     order: tuple[str, ...] = ("ts", "seq"), available_now: bool = True,
-                    interval: str = "10 seconds") -> StreamingQuery:
-    """Changelog -> current row per key.  A streaming aggregate keeps one state
-    row per key (``max_by`` by (ts, seq)); update mode emits changed keys, and
-    ``foreachBatch`` writes them as ``batch=<id>``.  ``current_state`` reads
-    the newest row per key across batches and drops deletes."""
+                    interval: str = "10 seconds", compact_every: int = 20) -> StreamingQuery:
+    """Changelog -> current row per key.  A streaming aggregate keeps one state row per
+    key (``max_by`` by (ts, seq)); a deleted key keeps its delete, the mark against
+    late changes.  Each micro-batch writes the keys that changed as
+    ``changes/batch=<id>``; every ``compact_every`` batches the changes so far are
+    folded into one row per live key (``base=<id>``), so ``current_state`` reads one
+    base and the few batches after it."""
     cols = [c for c in changes.columns if c != key]
     o = F.struct(*[F.col(c) for c in order])
     agg = changes.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), o).alias("s"))
     flat = agg.select(key, *[F.col("s." + c).alias(c) for c in cols])
+    root = out_root.rstrip("/")
 
-    def tables(batch: DataFrame) -> dict[str, DataFrame]:
-        return {"changes": batch}
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/changes/batch={batch_id}")
+        if batch_id and batch_id % compact_every == 0:
+            now = current_state(batch.sparkSession, out_root, key, order, before=batch_id)
+            now.write.mode("overwrite").parquet(f"{root}/base/base={batch_id}")
 
-    w = (flat.writeStream.outputMode("update").foreachBatch(_batch_writer(out_root, tables, cache=False))
-         .option("checkpointLocation", checkpoint))
+    w = flat.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now, interval).start()
 
 
 def current_state(spark: SparkSession, out_root: str, key: str = "entity_id",
-                  order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
-    ch = spark.read.parquet(f"{out_root.rstrip('/')}/changes").drop("batch")
-    return S.ev_latest_state(ch, key, list(order))
+                  order: tuple[str, ...] = ("ts", "seq"), before: int | None = None) -> DataFrame:
+    """The newest row per key of the last base and the batches after it, less deleted
+    keys; ``before``: as of that batch, itself included."""
+    root = out_root.rstrip("/")
+    changes = spark.read.option("basePath", f"{root}/changes").parquet(f"{root}/changes/batch=*")
+    bases = _stored_partitions(spark, f"{root}/base", "base")
+    bases = [b for b in bases if before is None or b < before]
+    if before is not None:
+        changes = changes.filter(F.col("batch") <= before)
+    if bases:
+        changes = changes.filter(F.col("batch") > max(bases))
+        changes = changes.drop("batch").unionByName(spark.read.parquet(f"{root}/base/base={max(bases)}"))
+    return S.ev_latest_state(changes.drop("batch"), key, list(order))
+
+
+def _stored_partitions(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the ``name=<number>`` folders under ``path``."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed = fs.listStatus(folder) if fs.exists(folder) else []
+    names = [x.getPath().getName() for x in listed]
+    return [int(n.split("=")[1]) for n in names if n.startswith(f"{name}=")]
 
 
 # ------------------------------------------------------------------ liveness
