@@ -21,6 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -114,96 +116,173 @@ def chunks_of(content: bytes) -> Iterator[tuple[int, int, list[int | None], np.n
         at += a + b + c + len(END)
 
 
-class Codes(dict):
-    """Word -> number in order of first sight; ``new`` lists those not yet tokenised."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        self[word] = code = len(self)
-        return code
-
-
 class WordEncoder:
     """Encodes texts word by word, each distinct word once.
 
     Right for tokenizers whose pre-tokenizer never lets a token cross ASCII white
-    space and drops that white space, as the word-end BPE does.  At most
-    ``max_words`` words are kept, which bounds memory, not results.
+    space and drops that white space, sets letters apart from marks, and marks word
+    ends, as the word-end BPE does.  New words of small Latin letters, alone or with
+    one mark behind, need no normalising: they are encoded a thousand at a time by
+    the bare model and cut apart after their end-of-word tokens.  Other new words go
+    through the whole tokenizer with a special token between them.  Known words are
+    found by two independent hashes (96 bits) in flat sorted arrays, about 30 bytes
+    a word; of more than ``max_words`` all are forgotten, which bounds memory, not
+    results.
     """
 
-    def __init__(self, path: str, max_words: int = 300_000):
-        from tokenizers import Tokenizer
+    MARKS = ".,!?;:"
+
+    def __init__(self, path: str, max_words: int = 2_000_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
-        probe = "Ab c\tDe"
-        if self.ids([probe.encode()]) != [sum(self.ids([x.encode() for x in probe.split()]), [])]:
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.mark_id, self.mark = special[-1]
+        ends = self.tokenizer.model.end_of_word_suffix
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.is_end[[i for t, i in self.tokenizer.get_vocab().items() if ends and t.endswith(ends)]] = True
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Punctuation("isolated"),
+            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = [b"ab", b"c", b"de,", b"'s", b"it's", "é.".encode(), b"x!!"]
+        if self.tokenizer.encode(b" ".join(probe).decode(), add_special_tokens=False).ids != self.encoded(probe)[1].tolist():
             raise ValueError("this tokenizer does not encode words apart from each other")
-        self.fresh()
-
-    def ids(self, words: list[bytes]) -> list[list[int]]:
-        batch = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [x.ids for x in batch]
-
-    def fresh(self) -> None:
-        self.codes, self.pool = Codes(), np.zeros(0, np.uint32)
-        self.first = self.size = np.zeros(0, np.int64)
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        self.forget()
+
+    def forget(self) -> None:
+        self.hash, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.first, self.size, self.pool = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, self.kind)
+
+    def kind_of(self, t: str) -> int:
+        """1: small Latin letters, 2: those and one mark, 0: other, -1: may spell a special token."""
+        base = t[:-1] if t[-1:] in self.MARKS and t else t
+        if base.isalpha() and base.islower() and max(base) < "\u0250":
+            return 1 if base is t else 2
+        return -1 if "<|" in t else 0
+
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and all ids in a row."""
+        text = [w.decode("utf-8", "replace") for w in words]
+        kinds = np.fromiter(map(self.kind_of, text), np.int8, len(text))
+        size, parts, order = np.zeros(len(words), np.int64), [np.zeros(0, self.kind)], []
+
+        def add(group: list[int], sizes: np.ndarray, flat: np.ndarray) -> None:
+            size[group] = sizes
+            parts.append(flat)
+            order.extend(group)
+
+        def apart(group: list[int]) -> None:
+            flat = np.array(self.tokenizer.encode("".join(text[i] + self.mark for i in group), add_special_tokens=False).ids, self.kind)
+            marks = np.flatnonzero(flat == self.mark_id)
+            add(group, np.diff(marks, prepend=-1) - 1, np.delete(flat, marks))
+
+        for kind in (1, 2):
+            mine = np.flatnonzero(kinds == kind).tolist()
+            groups = [mine[i : i + 1000] for i in range(0, len(mine), 1000)]
+            for i in range(0, len(groups), 20):
+                joined = [" ".join([text[k] for k in g]) for g in groups[i : i + 20]]
+                for g, e in zip(groups[i : i + 20], self.bare.encode_batch_fast(joined, add_special_tokens=False)):
+                    flat = np.array(e.ids, self.kind)
+                    ends = np.flatnonzero(self.is_end[flat])
+                    if len(ends) != kind * len(g):
+                        raise ValueError("a word did not end once")
+                    add(g, np.diff(ends[kind - 1 :: kind], prepend=-1), flat)
+        rest = np.flatnonzero(kinds == 0).tolist()
+        for i in range(0, len(rest), 1000):
+            apart(rest[i : i + 1000])
+        for i in np.flatnonzero(kinds == -1).tolist():
+            flat = np.array(self.tokenizer.encode(text[i], add_special_tokens=False).ids, self.kind)
+            add([i], np.array([len(flat)]), flat)
+        flat, sizes = np.concatenate(parts), size[order]
+        first = np.empty(len(words), np.int64)
+        first[order] = np.cumsum(sizes) - sizes
+        return size, flat[spans(first, size)]
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Where each of the distinct words stands in the table; new ones are added."""
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        check = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words))
+
+        def found() -> tuple[np.ndarray, np.ndarray]:
+            at = np.searchsorted(self.hash, h)
+            in_table = np.minimum(at, max(0, len(self.hash) - 1))
+            return in_table, (self.hash[in_table] == h) & (self.check[in_table] == check) if len(self.hash) else np.zeros(len(h), bool)
+
+        at, known = found()
+        if not known.all():
+            new = np.flatnonzero(~known)
+            new = new[np.argsort(h[new])]
+            size, flat = self.encoded([words[i] for i in new])
+            where = np.searchsorted(self.hash, h[new])
+            first = len(self.pool) + np.cumsum(size) - size
+            self.pool = np.concatenate([self.pool, flat])
+            self.hash, self.check = np.insert(self.hash, where, h[new]), np.insert(self.check, where, check[new])
+            self.first, self.size = np.insert(self.first, where, first), np.insert(self.size, where, size)
+            at, known = found()
+            if not known.all():
+                raise ValueError("two words have one hash")
+        return at
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
-        if len(self.codes) > self.max_words:
-            self.fresh()
+        if len(self.hash) > self.max_words:
+            self.forget()
         # The tokenizer lower-cases anyway, but not its special tokens' spellings.
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        per_text = np.array([len(w) for w in words], np.int64)
-        code = np.concatenate([np.fromiter(map(self.codes.__getitem__, w), np.int64, len(w)) for w in words])
-        if self.codes.new:
-            got = self.ids(self.codes.new)
-            size = np.array([len(x) for x in got], np.int64)
-            self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.pool = np.concatenate([self.pool, np.array([y for x in got for y in x], np.uint32)])
-            self.codes.new = []
+        lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        words = pc.ascii_split_whitespace(lower)
+        per_text = np.array(words.value_lengths(), np.int64)
+        coded = words.flatten().dictionary_encode()
+        at = self.numbers(coded.dictionary.cast(pa.binary()).to_pylist())
+        code = at[np.array(coded.indices)]
         size = self.size[code]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.pool[np.repeat(self.first[code] - upto[:-1], size) + np.arange(upto[-1])]
-        ends = upto[np.cumsum(per_text)]
-        return ids, np.diff(ends, prepend=0)
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.cumsum(per_text)]
+        return self.pool[spans(self.first[code], size)], np.diff(ends, prepend=0)
+
+
+def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions first[i] .. first[i] + size[i] - 1 of all i in a row."""
+    upto = np.cumsum(size, dtype=np.int64)
+    return np.repeat(first - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
 
 
 ENCODERS: dict[str, WordEncoder] = {}
 
 
-def grouped(doc_ids: list, texts: list[bytes], most: int) -> Iterator[tuple[list, list[bytes]]]:
-    """Runs of rows of about ``most`` bytes."""
+def encoder_of(path: str) -> WordEncoder:
+    """The worker's encoder, kept over its tasks with the words it knows."""
+    if path not in ENCODERS:
+        ENCODERS[path] = WordEncoder(path)
+    return ENCODERS[path]
+
+
+def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``most`` bytes of text, the second column."""
     begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most or i == len(texts) - 1:
-            yield doc_ids[begin : i + 1], texts[begin : i + 1]
+    lengths = np.array(pc.binary_length(batch.column(1)), np.int64)
+    for i, n in enumerate(lengths.tolist()):
+        size += n
+        if size >= most or i == len(lengths) - 1:
+            yield batch.slice(begin, i + 1 - begin)
             begin, size = i + 1, 0
 
 
 def chunk_writer(tokenizer: str, end_id: int, chunk_ids: int, width: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, chunk = TaskContext.get().partitionId(), 0
-        if tokenizer not in ENCODERS:
-            ENCODERS[tokenizer] = WordEncoder(tokenizer)
-        encoder, docs, parts, sizes, held = ENCODERS[tokenizer], [], [], [], 0
+        encoder, docs, parts, sizes, held = encoder_of(tokenizer), [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             data = packed_chunk(shard, chunk, docs, np.concatenate(parts), np.concatenate(sizes), width)
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["chunk"])
 
         for batch in batches:
-            for some, texts in grouped(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 2 << 20):
-                ids, size = encoder.encode(texts)
+            for some in slices(batch, 8 << 20):
+                ids, size = encoder.encode(some.column(1))
                 ids = np.insert(ids, np.cumsum(size), end_id)
-                docs += some
-                parts.append(ids)
+                docs += some.column(0).to_pylist()
+                parts.append(ids.astype(np.uint16 if width == 2 else np.uint32))
                 sizes.append(size + 1)
                 held += len(ids)
                 if held >= chunk_ids:
@@ -216,7 +295,7 @@ def chunk_writer(tokenizer: str, end_id: int, chunk_ids: int, width: int):
 
 
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, chunk_ids: int = 4 << 20,
+    docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, chunk_ids: int = 2 << 20,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> None:
     """Tokenise whole texts and write them in ascending id order under ``path``.
@@ -228,7 +307,7 @@ def write_token_files(
     from tokenizers import Tokenizer
 
     top = max(Tokenizer.from_file(tokenizer).get_vocab_size() - 1, end_id)
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"), "text")
     chunks = rows.mapInArrow(chunk_writer(tokenizer, end_id, chunk_ids, 2 if top < 1 << 16 else 4), "chunk binary")
