@@ -248,11 +248,13 @@ LIVENESS_OUT = "client_id long, reason string, detected_at timestamp"
 def ev_liveness(pings: DataFrame, out: str, checkpoint: str, available_now: bool = True,
                 interval: str = "10 seconds") -> StreamingQuery:
     """Zombie detection as a stateful stream: one state row per client, an
-    event-time timer at last ping + 120 s (fires once the watermark passes)."""
+    event-time timer at last ping + 120 s (fires once the watermark passes).  A
+    pinged client without any pong is reported after the grace period.  A pong
+    after a report is reported as ``recovered``, and the rules start again."""
     # Thresholds are copied into the closure so it ships by value (executors
     # need pandas only, not this package).
-    max_missed, max_qfull, max_werr, timeout_s = (S.MAX_MISSED_PINGS, S.MAX_QUEUE_FULL, S.MAX_WRITE_ERRORS,
-                                                  S.PING_TIMEOUT_S)
+    max_missed, max_qfull, max_werr, timeout_s, grace = (
+        S.MAX_MISSED_PINGS, S.MAX_QUEUE_FULL, S.MAX_WRITE_ERRORS, S.PING_TIMEOUT_S, pd.Timedelta(seconds=S.NO_PONG_GRACE_S))
 
     def _liveness_fn(key, pdfs, state):
         """applyInPandasWithState body: fold the client's new rows in time order,
@@ -261,8 +263,10 @@ def ev_liveness(pings: DataFrame, out: str, checkpoint: str, available_now: bool
         (client_id,) = key
         if state.hasTimedOut:
             if state.exists and not state.get[6]:
-                s = state.get
-                state.remove()
+                s = list(state.get)
+                s[6] = True  # kept, so that a later pong is noticed as a recovery
+                state.update(tuple(s))
+                state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 86_400_000)  # then forgotten
                 yield pd.DataFrame({"client_id": [client_id], "reason": ["ping_timeout"],
                                     "detected_at": [pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")]})
             else:
@@ -280,6 +284,9 @@ def ev_liveness(pings: DataFrame, out: str, checkpoint: str, available_now: bool
             elif kind == "pong":
                 s[2] = ts
                 s[3] = 0
+                if s[6]:
+                    s[4], s[5], s[6] = 0, 0, False
+                    out.append((client_id, "recovered", ts))
             elif kind == "queue_full":
                 s[4] += 1
             elif kind == "write_error":
@@ -292,6 +299,8 @@ def ev_liveness(pings: DataFrame, out: str, checkpoint: str, available_now: bool
                     reason = "queue_full"
                 elif s[5] > max_werr:
                     reason = "write_errors"
+                elif s[1] is not None and s[2] is None and ts - s[0] > grace:
+                    reason = "no_pong"
                 if reason:
                     s[6] = True
                     out.append((client_id, reason, ts))

@@ -128,3 +128,23 @@ def test_redelivered_messages_add_nothing(spark, tmp_dir):
     assert spark.read.parquet(f"{out}/dead_letters").count() == bad.count()
     for name, want in (("jobs", E.ol_jobs(good)), ("datasets", E.ol_datasets(good)), ("edges", E.ol_edges(good))):
         assert store[name].select(*want.columns).exceptAll(want).count() == 0 and store[name].count() == want.count()
+
+
+def test_liveness_stream_reports_and_recovers(spark, tmp_dir):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [(1, at(i), i, "ping") for i in range(4)] + [(1, at(10), 10, "pong"), (2, at(0), 20, "connect"), (2, at(5), 21, "ping"),
+            (2, at(100), 22, "ping"), (3, at(0), 30, "connect"), (3, at(100), 31, "connect")]
+    pings = spark.createDataFrame(rows, "client_id long, ts timestamp_ntz, event_id long, kind string")
+    src = J.write_in_event_order(pings, f"{tmp_dir}/in", "ts", 1)
+    J.ev_liveness(J.file_stream(spark, src, pings.schema), f"{tmp_dir}/out", f"{tmp_dir}/ck").awaitTermination()
+    got = {(r.client_id, r.reason, r.detected_at) for r in spark.read.parquet(f"{tmp_dir}/out").collect()}
+    assert got == {(1, "missed_pings", at(3)), (1, "recovered", at(10)), (2, "no_pong", at(100))}
+
+
+def test_latest_state_stream_folds_its_changes(spark, tmp_dir):
+    rows = [(k, dt.datetime(2024, 1, 1, 0, 0, s), s, "row_deleted" if (k, s) == (2, 5) else "row_updated", float(s)) for s in range(8) for k in (1, 2, 3) if (k, s) not in ((2, 6), (2, 7))]
+    c = spark.createDataFrame(rows, "entity_id long, ts timestamp_ntz, seq long, type string, row_count double")
+    src = J.write_in_event_order(c, f"{tmp_dir}/in", "ts", 8)
+    J.ev_latest_state(J.file_stream(spark, src, c.schema), f"{tmp_dir}/out", f"{tmp_dir}/ck", compact_every=3).awaitTermination()
+    assert set(J._stored_partitions(spark, f"{tmp_dir}/out/base", "base")) == {3, 6}
+    assert {(r.entity_id, r.seq) for r in J.current_state(spark, f"{tmp_dir}/out").collect()} == {(1, 7), (3, 7)}

@@ -184,3 +184,17 @@ def test_compact_writes_few_files(spark, tmp_dir):
     spark.range(1000).repartition(20).write.parquet(f"{tmp_dir}/a")
     assert TB.tbl_compact(spark, f"{tmp_dir}/a", f"{tmp_dir}/b") == 1
     assert IO.src_object_list(spark, f"{tmp_dir}/b", "*.parquet").count() == 1
+
+
+def test_tuned_parquet_options_reach_the_footer(spark, tmp_dir):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    IO.sink_parquet_tuned(spark.range(5000).select("id", (F.col("id") % 7).alias("k")).repartition(2), tmp_dir, bloom_cols=["id"], sort_cols=["k"])
+    for name in glob.glob(f"{local(tmp_dir)}/*.parquet"):
+        meta = pq.ParquetFile(name).metadata
+        column = meta.row_group(0).column(1)
+        assert column.compression == "ZSTD" and "PLAIN" in str(column.encodings) and "DICTIONARY" in str(column.encodings)
+        rows = pq.read_table(name).column("k").to_pylist()
+        assert rows == sorted(rows)
