@@ -12,9 +12,9 @@ import corpus_pipeline
 from lakeline.llm import queries as Q
 from lakeline.llm.components import components
 from lakeline.llm.decontaminate import DEFAULTS, ItemBlock, best_match, contaminated, drop_contaminated, words_of
-from lakeline.llm.line_dedup import dedup_lines, edit_distance, hamming_pairs
+from lakeline.llm.line_dedup import dedup_lines, edit_alike, edit_distance, hamming_pairs, normalised
 from lakeline.llm.mixing import mix
-from lakeline.llm.substring_dedup import compact_windows, drop_passages, repeated_passages, similarity_at, without
+from lakeline.llm.substring_dedup import Pair, compact_windows, drop_passages, repeated_passages, without
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, salt int, doc string, row long, tokens string, epoch int"
 CLASH = (1, "d", 1, "t", 1)
@@ -43,6 +43,7 @@ def test_edit_distances():
     for _ in range(300):
         a, b = word(12), word(12)
         assert edit_distance(a, b) == levenshtein(a, b)
+        assert edit_alike(a, b, 0.7) == (levenshtein(a, b) <= int(0.3 * max(len(a), len(b)) + 1e-9))
         if a:
             want, got = closest(a, b), best_match(list(a), list(b), len(a))
             assert got is None and want == len(a) or got[0] == want
@@ -54,6 +55,10 @@ def test_lines_brute(spark):
     assert {r.doc.doc_id: r.text for r in dedup_lines(docs).collect()} == want
 
 
+def test_normalised():
+    assert normalised(["", " \t ", " A  b\u00a0C ", "É\x1cx"]) == ["", "", "a b c", "é x"]
+
+
 def test_lines_odd(spark):
     long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
     rows = [(3, f"{long}\n\nshort", "en", "s"), (2, f"  {long.upper()} \nother line", None, None), (2, f"  {long.upper()} \nother line", None, None), (None, "short\nx", "en", "s"),
@@ -126,7 +131,9 @@ def test_passages_planted(spark):
 
 def test_passage_helpers():
     assert without("a b  c\nd e", [(1, 3)]) == "a d e" and without("a b", [(0, 2)]) == "" and without(None, []) is None
-    assert similarity_at(list("abcdef"), list("abcdef")) == 1.0 and similarity_at(list("abcdef"), list("abcdex")) == pytest.approx(1 / 3)
+    assert Pair(list("abcdef"), list("abcdex")).similarity(0, 0, 6) == pytest.approx(1 / 3)
+    many = [str(i) for i in range(9000)]
+    assert Pair(many, many).similarity(5, 5, 50) == 1.0 and Pair(many, many).similarity(5, 6, 50) == pytest.approx(45 / 47)
 
 
 def test_decontaminate_brute(spark):
