@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +19,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+RECORDS: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own under the shared folder of ``spark.checkpoint.dir``."""
-    return scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex}")
+    path = scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex}")
+    for record in RECORDS:
+        record.append(path)
+    return path
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that ``new_path`` gives meanwhile."""
+    RECORDS.append(paths := [])
+    try:
+        yield paths
+    finally:
+        RECORDS.remove(paths)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders, on whatever file system they are."""
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

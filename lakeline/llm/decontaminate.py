@@ -192,7 +192,7 @@ def blocks(items: DataFrame, block_items: int, **how) -> Iterator[ItemBlock]:
         yield ItemBlock([tuple(r) for r in mine], **how)
 
 
-def hits_in(docs: DataFrame, block: ItemBlock, text: Column, most_bytes: int = 4 << 20) -> Column:
+def hits_in(docs: DataFrame, block: ItemBlock, text: Column, most_bytes: int = 2 << 20) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     @F.pandas_udf(HITS)

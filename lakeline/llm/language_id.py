@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
-BATCH = 4 << 20  # characters scored at once
+BATCH = 1 << 20  # characters scored at once
 
 
 def words_of(text: str) -> list[str]:

@@ -132,7 +132,7 @@ class WordEncoder:
 
     MARKS = ".,!?;:"
 
-    def __init__(self, path: str, max_words: int = 2_000_000):
+    def __init__(self, path: str, max_words: int = 500_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
@@ -278,7 +278,7 @@ def chunk_writer(tokenizer: str, end_id: int, chunk_ids: int, width: int):
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["chunk"])
 
         for batch in batches:
-            for some in slices(batch, 8 << 20):
+            for some in slices(batch, 2 << 20):
                 ids, size = encoder.encode(some.column(1))
                 ids = np.insert(ids, np.cumsum(size), end_id)
                 docs += some.column(0).to_pylist()
@@ -290,6 +290,7 @@ def chunk_writer(tokenizer: str, end_id: int, chunk_ids: int, width: int):
                     docs, parts, sizes, held, chunk = [], [], [], 0, chunk + 1
         if docs:
             yield flush()
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return write
 
