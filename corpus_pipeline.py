@@ -73,7 +73,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, read back from the token files."""
     path = new_path(spark, "pipeline-tokens")
-    write_token_files(docs, path, tokenizer_path())
+    # Less than the default: workers still hold memory of earlier stages.
+    write_token_files(docs, path, tokenizer_path(), block_bytes=2 << 20, max_words=500_000)
     return read_token_files(spark, path, with_ids=False)
 
 

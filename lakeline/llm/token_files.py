@@ -132,7 +132,7 @@ class WordEncoder:
 
     MARKS = ".,!?;:"
 
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str, max_words: int = 2_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
@@ -247,14 +247,14 @@ def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
 
 
-ENCODERS: dict[str, WordEncoder] = {}
+ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder_of(path: str) -> WordEncoder:
+def encoder_of(path: str, max_words: int) -> WordEncoder:
     """The worker's encoder, kept over its tasks with the words it knows."""
-    if path not in ENCODERS:
-        ENCODERS[path] = WordEncoder(path)
-    return ENCODERS[path]
+    if (path, max_words) not in ENCODERS:
+        ENCODERS[path, max_words] = WordEncoder(path, max_words)
+    return ENCODERS[path, max_words]
 
 
 def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
@@ -268,17 +268,17 @@ def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
             begin, size = i + 1, 0
 
 
-def chunk_writer(tokenizer: str, end_id: int, chunk_ids: int, width: int):
+def chunk_writer(tokenizer: str, end_id: int, chunk_ids: int, width: int, block_bytes: int, max_words: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, chunk = TaskContext.get().partitionId(), 0
-        encoder, docs, parts, sizes, held = encoder_of(tokenizer), [], [], [], 0
+        encoder, docs, parts, sizes, held = encoder_of(tokenizer, max_words), [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             data = packed_chunk(shard, chunk, docs, np.concatenate(parts), np.concatenate(sizes), width)
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["chunk"])
 
         for batch in batches:
-            for some in slices(batch, 2 << 20):
+            for some in slices(batch, block_bytes):
                 ids, size = encoder.encode(some.column(1))
                 ids = np.insert(ids, np.cumsum(size), end_id)
                 docs += some.column(0).to_pylist()
@@ -297,13 +297,15 @@ def chunk_writer(tokenizer: str, end_id: int, chunk_ids: int, width: int):
 
 def write_token_files(
     docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, chunk_ids: int = 2 << 20,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, max_words: int = 2_000_000,
 ) -> None:
     """Tokenise whole texts and write them in ascending id order under ``path``.
 
     Null text counts as empty (the end id alone).  Null ids come first; rows with
     equal ids are ordered by their text.  An empty table writes no chunk.  Other
     columns are ignored.  ``tokenizer`` is the path of a tokenizer file.
+    ``block_bytes`` (text encoded at once) and ``max_words`` (words remembered) bound
+    a worker's memory; the result does not depend on them.
     """
     from tokenizers import Tokenizer
 
@@ -311,7 +313,7 @@ def write_token_files(
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"), "text")
-    chunks = rows.mapInArrow(chunk_writer(tokenizer, end_id, chunk_ids, 2 if top < 1 << 16 else 4), "chunk binary")
+    chunks = rows.mapInArrow(chunk_writer(tokenizer, end_id, chunk_ids, 2 if top < 1 << 16 else 4, block_bytes, max_words), "chunk binary")
     chunks.select(F.col("chunk").cast("string")).write.option("lineSep", END).text(path)
 
 
