@@ -14,7 +14,7 @@ from lakeline.llm.components import components
 from lakeline.llm.decontaminate import DEFAULTS, ItemBlock, best_match, contaminated, drop_contaminated, words_of
 from lakeline.llm.line_dedup import dedup_lines, edit_alike, edit_distance, hamming_pairs, normalised
 from lakeline.llm.mixing import mix
-from lakeline.llm.substring_dedup import Pair, compact_windows, drop_passages, repeated_passages, without
+from lakeline.llm.substring_dedup import Pair, alike, compact_windows, drop_passages, repeated_passages, without
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, salt int, doc string, row long, tokens string, epoch int"
 CLASH = (1, "d", 1, "t", 1)
@@ -136,6 +136,25 @@ def test_passage_helpers():
     assert Pair(many, many).similarity(5, 5, 50) == 1.0 and Pair(many, many).similarity(5, 6, 50) == pytest.approx(45 / 47)
 
 
+def test_passages_every_start():
+    """Near passages of 50 to 60 words are found wherever they lie in a span."""
+    rng = random.Random(9)
+    words = lambda n, k=9**5: [b"%d" % rng.randrange(k) for _ in range(n)]
+    for trial in range(200):
+        size, k = rng.randint(50, 60), rng.choice([3, 9**5])  # few different words: repeated shingles
+        passage = words(size, k)
+        near = [*passage]
+        near[rng.randint(12, size - 13)] = b"changed"
+        a, b = words(rng.randint(60, 99)) + passage + words(99), words(rng.randint(60, 99)) + near + words(99)
+        diagonal = next(i for i in range(60, 100) if a[i : i + size] == passage) - next(i for i in range(60, 100) if b[i : i + size] == near)
+        lo, hi = max(0, -diagonal), min(len(b), len(a) - diagonal) - 50
+        pair = Pair(a, b)
+        want = [pair.similarity(i + diagonal, i, 50) for i in range(lo, hi + 1)]
+        assert pair.similarities(lo + diagonal, lo, hi + 1 - lo, 50) == pytest.approx(want)
+        got = alike(a, 0, b, 0, [(diagonal, lo, hi)], 50, 0.8)
+        assert (k == 3 or max(want) >= 0.8) and {i for p, q, *_ in got for i in range(p, q - 49)} >= {i for i, s in enumerate(want, lo) if s >= 0.8}
+
+
 def test_decontaminate_brute(spark):
     """Items edited up to the limit are found; what is found is within the limit, as the plain distance says."""
     items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
