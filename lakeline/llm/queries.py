@@ -79,7 +79,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_line_dedup")
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc.doc_id", "text", "n_lines", "n_kept")
+    return dedup_lines(table(spark, sf_dir, "documents"), near="edit").select("doc.doc_id", "text", "n_lines", "n_kept")
 
 
 @query("op4_token_files")

@@ -71,6 +71,22 @@ def test_lines_odd(spark):
     assert dedup_lines(docs_of(spark, rows).where("false")).count() == 0
 
 
+def test_lines_by_edits_alone(spark):
+    """Lines of every length with one word in ten changed meet, whatever their fingerprints."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for i, n in enumerate([5, 8, 10, 16, 32, 60, 100] * 30):
+        line = [word() for _ in range(n)]
+        other = [*line]
+        for at in rng.sample(range(n), max(1, n // 10)):
+            other[at] = word()
+        assert edit_alike(" ".join(line), " ".join(other), 0.8)
+        rows += [(i, " ".join(line), "en", "s"), (1000 + i, " ".join(other), "en", "s")]
+    kept = {r.doc.doc_id for r in dedup_lines(docs_of(spark, rows), near="edit").collect() if r.n_kept}
+    assert kept >= set(range(210)) and len(kept) <= 210 + 6
+
+
 def test_lines_failed_edges_are_taken_again(spark):
     """Near fingerprints of unlike lines between two alike ones lose no link."""
     rng = np.random.default_rng(2)
