@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from lakeline.llm.common import new_path, table
 from lakeline.llm.decontaminate import contaminated
 from lakeline.llm.exact_dedup import exact_dedup
+from lakeline.llm.fill_in_middle import fill_in_middle, restored
+from lakeline.llm.hard_negatives import mine_hard_negatives
 from lakeline.llm.language_id import language_of
 from lakeline.llm.line_dedup import dedup_lines
 from lakeline.llm.mixing import mix
+from lakeline.llm.sharding import shard_rows
 from lakeline.llm.simhash import simhash_groups
 from lakeline.llm.substring_dedup import repeated_passages
 from lakeline.llm.token_files import read_token_files, write_token_files
@@ -197,3 +200,95 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 """)
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op11_hard_negatives", """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec, row_number() OVER () AS row
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.row, a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.vec, b.vec)::BIGINT AS score
+  FROM v a JOIN v b ON a.row <> b.row WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, other_id) AS place FROM s WHERE same AND other_id IS DISTINCT FROM anchor_id
+), n AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, p.score AS positive_score, s.other_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.row, p.place ORDER BY s.score DESC, s.other_id)::INT AS rank
+  FROM p JOIN s ON p.row = s.row AND p.place <= 5 AND NOT s.same
+       AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.expr("vec_id % 7 = 0"), F.expr("(label + 1) % 10")).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return mine_hard_negatives(rows, is_anchor=lambda i: i % 100 == 0)
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a text, four bits at a time, low half of a byte first."""
+    table = list(range(16))
+    for _ in range(4):
+        table = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in table]
+    halves = f"regexp_extract_all(regexp_replace(hex(encode({text})), '(.)(.)', '\\2\\1', 'g'), '.')"
+    halves = f"list_transform({halves}, lambda x: ('0x' || x)::BIGINT)"
+    step = f"xor(c // 16, {table}[xor(c % 16, b) + 1])"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {halves}), lambda c, b: {step}))"
+
+
+@query("op12_sharding", f"""
+WITH d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, text, json_array(source)::VARCHAR AS path,
+         md5('12|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS hash
+  FROM documents
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY path ORDER BY hash) - 1 AS rank, count(*) OVER (PARTITION BY path) AS n,
+         ('0x' || substr(md5('12|' || path), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS phase
+  FROM d
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY (rank + phase) / n, path, hash) - 1 AS pos, count(*) OVER () AS total FROM r
+)
+SELECT doc_id, size, {crc32_sql("coalesce(text, '')")} AS text_crc32, 'rows' AS law, (pos * 16 // total)::INT AS shard,
+       pos - ((pos * 16 // total) * total + 15) // 16 AS slot, NULL::INT AS grown_shard
+FROM p
+""")
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), 16)
+    text = F.coalesce(F.col("doc.text").cast("binary"), F.lit(b""))
+    return placed.select(
+        "doc.doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op13_fill_in_middle", r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), c AS (
+  SELECT *, len(units) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+         ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM d
+), f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM c
+), p AS (
+  SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:n], '') AS suffix
+  FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE body END) AS output_sha256,
+       sha256(body) AS restored_sha256
+FROM p
+""")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = [F.sha2(c, 256) for c in (F.col("output"), restored(F.col("output"), F.col("form")))]
+    return made.select("doc.doc_id", "n", "form", "prefix_chars", "middle_chars", digest[0].alias("output_sha256"), digest[1].alias("restored_sha256"))
