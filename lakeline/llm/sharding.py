@@ -7,7 +7,7 @@ fractional rank every stretch of the whole holds each source in its proportion;
 equal stretches, every shard does.
 
 Nothing sorts a source or the whole in one task.  Ranks: a source's rows are dealt into
-buckets by leading digits of their hash; counts per (source, bucket) tell how many rows
+buckets, equal ranges of their hash; counts per (source, bucket) tell how many rows
 come before a bucket, and a bucket's rows are numbered by themselves.  Positions: the
 same again over cells, equal ranges of the fractional rank, which hold near-equal numbers
 of rows as every source is spread evenly over them.  A source that holds a third of all
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from lakeline.llm.common import saved
 
 PER_BUCKET = 20_000  # rows of a bucket and of a cell, about
+LEAST = 64  # buckets and cells of a small table
 BLOCK = 1_024  # cells whose counts are added up in one task
 
 
@@ -32,14 +33,12 @@ def md5_part(*values: Column) -> Column:
 
 def ranked(docs: DataFrame, rows: int, stratum: Column, seed: int, id_col: str, text_col: str) -> DataFrame:
     """Struct ``doc``, source key, hash, tie and fractional rank of each row."""
-    digits = 1
-    while 16**digits * PER_BUCKET < rows and digits < 12:
-        digits += 1
+    buckets = LEAST + rows // PER_BUCKET
     key = F.to_json(F.array(stratum.cast("string")), {"ignoreNullFields": "false"})  # a null source is a source
     body = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     hash_ = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), body))
     keyed = docs.select(F.struct("*").alias("doc"), key.alias("path"), hash_.alias("hash"), F.monotonically_increasing_id().alias("tie"))
-    keyed = keyed.withColumn("bucket", F.substring("hash", 1, digits))
+    keyed = keyed.withColumn("bucket", F.expr(f"CAST(conv(substring(hash, 1, 8), 16, 10) AS BIGINT) * {buckets} div 4294967296"))
     counts = keyed.groupBy("path", "bucket").agg(F.count(F.lit(1)).alias("rows"))
     whole = Window.partitionBy("path")
     upto = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -63,7 +62,7 @@ def shard_rows(
     """
     stratum = F.col(stratum) if isinstance(stratum, str) else stratum
     rows = docs.count()
-    cells = max(1, rows // PER_BUCKET)
+    cells = LEAST + rows // PER_BUCKET
     cell = F.least(F.floor(F.col("part") * cells), F.lit(cells - 1)).cast("long")
     dealt = saved(ranked(docs, rows, stratum, seed, id_col, text_col).withColumn("cell", cell), "shard-rows")
     counts = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).withColumn("block", F.expr(f"cell div {BLOCK}"))
