@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lakeline.operators.scan import chunk_of, lag_rows, rolling_sum, running
+from lakeline.operators.scan import lag_rows, rolling_sum, running
 from lakeline.session import scratch_path
 
 
@@ -111,8 +111,7 @@ def win_dense_rank(df: DataFrame, by: list[str], value: str, name: str = "dense_
     d = df.select(*[F.col(c).alias(n) for c, n in names.items()]).distinct()
     v = F.col(names[value])
     key = -v if descending else v
-    chunk = F.when(v.isNull(), 2**31 - 1).otherwise(chunk_of(d, [key]))
-    ranked = running(d, [names[b] for b in by], [v.isNull(), key], {name: ("count", None)}, chunk=chunk)
+    ranked = running(d, [names[b] for b in by], [v.isNull(), key], {name: ("count", None)})
     return df.join(ranked, _same(df, ranked, names), "left").drop(*names.values())
 
 

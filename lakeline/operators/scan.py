@@ -2,9 +2,9 @@
 
 A window ``PARTITION BY key ORDER BY t`` sends every row of a key to one task;
 when one key holds a third of the data that task holds a third of the data.
-Here each key is cut into chunks along the order, by a bucket of the first
-order column (a fixed function of the value and the column's bounds, so every
-execution makes the same chunks), and the windows run per (key, chunk):
+Here all rows are cut into chunks of about equally many rows along (key, order)
+(``splitters``: quantiles of the whole tuple, so neither a hot key nor an outlying
+time nor equal times make a chunk large), and the windows run per (key, chunk):
 
 1. per-(key, chunk) totals are aggregated (partial sums before the shuffle);
 2. a small window over the totals gives what each chunk carries in from the
@@ -14,8 +14,9 @@ execution makes the same chunks), and the windows run per (key, chunk):
    does the rest.  The carry needs no join, so null keys are keys like others.
 
 Rows are shuffled once, by (key, chunk).  Everything is a lazy DataFrame plan
-of Spark windows, so SQL's null, decimal and 64-bit rules hold.  Rows with one
-key and equal first order values share a chunk.
+of Spark windows, so SQL's null, decimal and 64-bit rules hold.  Rows equal in key
+and all order columns share a chunk.  Scans that follow one another in the same order
+can share chunks: ``chunked`` adds them once, and the later scans shuffle no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeline.session import shuffle_partitions
+from lakeline.operators.splitters import with_range
 
 _OPS = ("sum", "count", "max", "min", "last", "prev")
 START = Window.unboundedPreceding
@@ -36,24 +37,9 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def chunk_of(df: DataFrame, order: list[Column], chunks: int | None = None) -> Column:
-    """Chunk of a row, rising with ``order``: a bucket of the first order column
-    between its bounds (numbers and times), else all order columns but the last.
-    Nulls sort first and make a chunk of their own."""
-    x = order[0]
-    kind = df.select(x.alias("x")).schema[0].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        x = F.unix_micros(x.cast("timestamp"))
-    elif isinstance(kind, T.NumericType):
-        x = x.cast("double")
-    else:
-        return F.struct(*(order[:-1] or [F.substring(x.cast("string"), 1, 4)]))
-    x = F.when(~F.isnan(x.cast("double")), x.cast("double"))
-    n = chunks or max(64, 4 * shuffle_partitions(df.sparkSession))
-    bounds = df.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
-    lo, hi = bounds.getField("lo"), bounds.getField("hi")
-    at = F.when(hi > lo, F.floor((x - lo) / (hi - lo) * (n - 1))).otherwise(0).cast("int")
-    return F.when(order[0].isNull(), -1).otherwise(F.coalesce(at, F.lit(n)))
+def chunked(df: DataFrame, by: Iterable[str], order: Iterable, chunks: int | None = None) -> DataFrame:
+    """``df`` with ``__chunk``, which rises with ``order`` within a key."""
+    return with_range(df, [*map(_col, by), *map(_col, order)], "__chunk", chunks)
 
 
 def _value(df: DataFrame, op: str, src) -> Column:
@@ -88,7 +74,7 @@ def _over(op: str, v: Column, window) -> Column:
 
 
 def scanned(df: DataFrame, by: Iterable[str], order: Iterable, aggs: dict | None = None, halo: int = 0,
-            halo_cols: Iterable[str] = (), chunks: int | None = None, chunk: Column | None = None):
+            halo_cols: Iterable[str] = (), chunks: int | None = None):
     """(rows with their carry rows, window over a chunk, column of each running value).
 
     Data rows have ``__kind`` = 1.  ``halo`` adds up to so many rows that come
@@ -98,8 +84,8 @@ def scanned(df: DataFrame, by: Iterable[str], order: Iterable, aggs: dict | None
     for op, _ in aggs.values():
         if op not in _OPS:
             raise ValueError(f"unsupported running op {op!r}")
-    chunk = chunk_of(df, order, chunks) if chunk is None else chunk
-    base = df.select("*", *[_value(df, op, src).alias(f"__v_{n}") for n, (op, src) in aggs.items()], chunk.alias("__chunk"))
+    cut = df if "__chunk" in df.columns else chunked(df, by, order, chunks)
+    base = cut.select("*", *[_value(df, op, src).alias(f"__v_{n}") for n, (op, src) in aggs.items()])
     keys = [*by, "__chunk"]
     rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     earlier = Window.partitionBy(*by).orderBy("__chunk")
@@ -142,17 +128,16 @@ def _finish(df: DataFrame, rows: DataFrame, outs: dict[str, Column]) -> DataFram
     return done.select(*df.columns, *[F.col(f"__o_{n}").alias(n) for n in outs])
 
 
-def running(df: DataFrame, by: Iterable[str], order: Iterable, aggs: dict, chunks: int | None = None,
-            chunk: Column | None = None) -> DataFrame:
+def running(df: DataFrame, by: Iterable[str], order: Iterable, aggs: dict, chunks: int | None = None) -> DataFrame:
     """Add running aggregates per key ordered by ``order`` (ROWS UNBOUNDED PRECEDING).
 
     ``aggs`` maps output column -> (op, column or Column); op in sum / count /
     max / min / last (last non-null) / prev (the previous row's value, null or
     not); ("count", None) counts rows.  ``order`` must make the order total (add a
     unique tie-breaker) for deterministic results.  Order columns are ascending.
-    ``chunk`` replaces the chunk of a row; it must rise with the order.
+    A frame that ``chunked`` cut along the same key and order keeps its ``__chunk``.
     """
-    rows, _, outs = scanned(df, by, order, aggs, chunks=chunks, chunk=chunk)
+    rows, _, outs = scanned(df, by, order, aggs, chunks=chunks)
     return _finish(df, rows, outs)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeline.functions import from_micros, max_of, micros, split_trim
-from lakeline.operators.scan import lag_rows, running
+from lakeline.operators.scan import chunked, lag_rows, running
 
 # Fixed values from the reference.
 QUEUES = ["lineage_events", "lineage_events_dlq", "lineage_notifications"]
@@ -213,38 +213,41 @@ def ev_latest_state(changelog: DataFrame, key: str, order: list[str], delete_suf
 
 def ev_pong_reset(pings: DataFrame) -> DataFrame:
     """For every ping: pings since the client's last pong (a pong resets the
-    count): the running number of pings less its value at the last pong."""
-    x = pings.select("client_id", "ts", "event_id", "kind",
-                     F.coalesce((F.col("kind") == "ping").cast("long"), F.lit(0)).alias("__is_ping"),
-                     F.coalesce((F.col("kind") == "pong").cast("long"), F.lit(0)).alias("__is_pong"))
+    count): the running number of pings less its value at the last pong.
+
+    Both running values use the chunks of one cut, so rows are shuffled once."""
+    k = F.col("kind")
+    x = pings.filter(k.isin("ping", "pong")).select("client_id", "ts", "event_id", (k == "ping").cast("long").alias("__ping"))
     order = ["ts", "event_id"]
-    s = running(x, ["client_id"], order, {"__pings": ("sum", "__is_ping")})
-    s = running(s, ["client_id"], order, {"__base": ("last", F.when(F.col("__is_pong") == 1, F.col("__pings")))})
-    return s.filter(F.col("kind") == "ping").select(
+    s = running(chunked(x, ["client_id"], order), ["client_id"], order, {"__pings": ("sum", "__ping")})
+    s = running(s, ["client_id"], order, {"__base": ("last", F.when(F.col("__ping") == 0, F.col("__pings")))})
+    return s.filter(F.col("__ping") == 1).select(
         "client_id", "ts", "event_id", (F.col("__pings") - F.coalesce("__base", F.lit(0))).alias("missed_pings"))
 
 
-def liveness_features(pings: DataFrame) -> DataFrame:
+def liveness_features(pings: DataFrame, salts: int = 32) -> DataFrame:
     """Per client: first connect, last ping/pong, pings sent and pings after the last
-    pong (in order of time, then event), queue-full and write-error counts."""
+    pong (in order of time, then event), queue-full and write-error counts.
+
+    The last pong of each client is one aggregate; it meets the client's rows again under
+    ``salts`` keys, so a hot client is joined by many tasks, and the rest is a second
+    aggregate with partial sums."""
     k = F.col("kind")
-    missed = ev_pong_reset(pings).select("client_id", "ts", "event_id", "missed_pings")
     at = F.struct("ts", "event_id")
-    # The count that the last ping left, if no pong came after it: one aggregate over both.
-    rows = pings.select("client_id", "ts", "event_id", "kind", F.lit(None).cast("long").alias("missed_pings"))
-    rows = rows.unionByName(missed.withColumn("kind", F.lit("missed")))
-    f = rows.groupBy("client_id").agg(
+    last = pings.filter(k == "pong").groupBy("client_id").agg(F.max(at).alias("__pong"))
+    last = last.select(F.col("client_id").alias("__c"), "__pong", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__s"))
+    salt = F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int")
+    rows = pings.select("client_id", "ts", "event_id", "kind", salt.alias("__salt"))
+    rows = rows.join(last, F.col("client_id").eqNullSafe(F.col("__c")) & (F.col("__salt") == F.col("__s")), "left")
+    after = (k == "ping") & (F.col("__pong").isNull() | (at > F.col("__pong")))
+    return rows.groupBy("client_id").agg(
         F.min("ts").alias("connected_at"),
         F.max(F.when(k == "ping", F.col("ts"))).alias("last_ping"),
         F.max(F.when(k == "pong", F.col("ts"))).alias("last_pong"),
         F.sum((k == "ping").cast("long")).alias("ping_count"),
         F.sum((k == "queue_full").cast("long")).alias("queue_full_count"),
         F.sum((k == "write_error").cast("long")).alias("write_errors"),
-        F.max(F.when(k == "pong", at)).alias("__pong"),
-        F.max(F.when(k == "missed", F.struct(at.alias("at"), "missed_pings"))).alias("__missed"))
-    open_ = F.col("__pong").isNull() | (F.col("__missed.at") > F.col("__pong"))
-    left = F.when(open_, F.col("__missed.missed_pings"))
-    return f.withColumn("missed_pings", F.coalesce(left, F.lit(0))).drop("__pong", "__missed")
+        F.sum(after.cast("long")).alias("missed_pings"))
 
 
 def ev_liveness(pings: DataFrame, asof=None) -> DataFrame:
@@ -293,7 +296,8 @@ def st_session(events: DataFrame, key: str, ts: str, tiebreak: str, gap_s: int)
     """Sessions per key: a gap > ``gap_s`` closes a session; end = last event
     + gap (as ``session_window``).  Batch form via the previous event and a
     running count of session starts -- no per-key window."""
-    lj = lag_rows(events.select(key, ts, tiebreak), [key], [ts, tiebreak], [ts])
+    cut = chunked(events.select(key, ts, tiebreak), [key], [ts, tiebreak])
+    lj = lag_rows(cut, [key], [ts, tiebreak], [ts])
     gap = (micros(ts) - micros("prev_" + ts)) / 1e6
     starts = lj.withColumn("__start", (F.col("prev_" + ts).isNull() | (gap > gap_s)).cast("long"))
     sid = running(starts, [key], [ts, tiebreak], {"session": ("sum", "__start")})

@@ -148,3 +148,66 @@ def test_latest_state_stream_folds_its_changes(spark, tmp_dir):
     J.ev_latest_state(J.file_stream(spark, src, c.schema), f"{tmp_dir}/out", f"{tmp_dir}/ck", compact_every=3).awaitTermination()
     assert set(J._stored_partitions(spark, f"{tmp_dir}/out/base", "base")) == {3, 6}
     assert {(r.entity_id, r.seq) for r in J.current_state(spark, f"{tmp_dir}/out").collect()} == {(1, 7), (3, 7)}
+
+
+def chunk_sizes(spark, df, by, order, chunks):
+    from lakeline.operators.scan import chunked
+
+    return sorted(r["count"] for r in chunked(df, by, order, chunks).groupBy("__chunk").count().collect())
+
+
+def test_chunks_stay_even(spark):
+    """No outlying value, run of equal times, text order or hot key makes a chunk large."""
+    i = F.col("id")
+    hot = F.when(i % 3 > 0, 0).otherwise(i % 900)
+    base = spark.range(20_000).select(i, hot.alias("k"), F.when(i == 7, F.lit(dt.datetime(2999, 1, 1))).otherwise(
+        F.timestamp_seconds(i)).alias("t"), F.lit(5).alias("same"), F.concat(F.lit("name-"), F.lpad(i.cast("string"), 6, "0")).alias("name"))
+    for by, order in ((["k"], ["t", "id"]), (["k"], ["same", "id"]), (["k"], ["name"]), ([], ["t", "id"]), (["k"], ["same", "name", "t"])):
+        sizes = chunk_sizes(spark, base, by, order, 64)
+        assert 48 <= len(sizes) <= 64 and sizes[-1] <= 4 * sizes[len(sizes) // 2]
+    assert chunk_sizes(spark, base, ["k"], ["id"], 1) == [20_000]
+    assert chunk_sizes(spark, base.limit(3), ["k"], ["id"], 64)
+    assert chunk_sizes(spark, base.filter("false"), ["k"], ["id"], 64) == []
+    assert chunk_sizes(spark, base, [], ["same"], 64) == [20_000]  # rows with one tuple share a chunk
+
+
+def test_chunks_rise_with_the_order(spark):
+    from lakeline.operators.scan import chunked
+
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 11 > 0, (F.col("id") * 37) % 501 - 250).alias("a"),
+                                  F.when(F.col("id") % 7 > 0, F.col("id").cast("double") / 3).otherwise(float("nan")).alias("b"), "id")
+    w = Window.partitionBy("k").orderBy("a", "b", "id")
+    rows = chunked(df, ["k"], ["a", "b", "id"], 40).withColumn("before", F.lag("__chunk").over(w))
+    assert rows.filter("before > __chunk").count() == 0 and rows.select("__chunk").distinct().count() > 30
+
+
+def test_outlier_equal_times_and_text_order_match_windows(spark):
+    i = F.col("id")
+    df = spark.range(4000).select(F.when(i % 3 > 0, "hot").otherwise((i % 40).cast("string")).alias("k"), i,
+                                  F.when(i == 9, 10**15).when(i % 2 == 0, 77).otherwise(i).alias("t"), F.sha2(i.cast("string"), 256).alias("name"), (i % 13).alias("v"))
+    for order in (["t", "id"], ["name"]):
+        w = Window.partitionBy("k").orderBy(*order)
+        u = w.rowsBetween(Window.unboundedPreceding, 0)
+        got = rolling_sum(df, ["k"], order, "v", 5, chunks=64)
+        ref = df.select("*", F.row_number().over(w).cast("long").alias("pos"), F.sum("v").over(w.rowsBetween(-4, 0)).alias("rolling_sum"))
+        assert got.exceptAll(ref).count() == 0 and got.count() == 4000
+        got = running(df, ["k"], order, {"s": ("sum", "v"), "p": ("prev", "v")}, chunks=64)
+        assert got.exceptAll(df.select("*", F.sum("v").over(u).alias("s"), F.lag("v").over(w).alias("p"))).count() == 0
+
+
+def test_pong_reset_and_features_with_a_hot_client(spark):
+    from lakeline.operators import streams as ST
+
+    kinds = F.element_at(F.array(*map(F.lit, ["ping", "ping", "pong", "queue_full", "ping", "write_error", None])), (F.pmod(F.xxhash64("event_id"), F.lit(7)) + 1).cast("int"))
+    p = spark.range(3000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 3 > 0, 1).when(F.col("id") % 10 == 0, None).otherwise(F.col("id") % 20).alias("client_id"),
+                                 F.timestamp_seconds(F.floor(F.col("id") / 40)).cast("timestamp_ntz").alias("ts"))
+    p = p.withColumn("kind", kinds)
+    got = {(r.client_id, r.event_id): r.missed_pings for r in ST.ev_pong_reset(p).collect()}
+    want, count = {}, {}
+    for r in p.orderBy("ts", "event_id").collect():
+        if r.kind == "pong":
+            count[r.client_id] = 0
+        if r.kind == "ping":
+            count[r.client_id] = want[r.client_id, r.event_id] = count.get(r.client_id, 0) + 1
+    assert got == want
+    assert {r.client_id: r.missed_pings for r in ST.liveness_features(p).collect() if r.missed_pings} == {k: v for k, v in count.items() if v}
