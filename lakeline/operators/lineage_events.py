@@ -179,19 +179,21 @@ def ol_datasets_of(items: Column) -> Column:
     loose = T.StructType([*DATASET.fields, T.StructField("uri", T.StringType())])
 
     def one(x: Column) -> Column:
-        d = F.from_json(x, loose)
-        is_object = x.startswith("{") & d.getField("name").isNotNull()
-        name = F.when(is_object, d.getField("name")).otherwise(x)
+        text, d = x.getField("text"), x.getField("d")
+        is_object = text.startswith("{") & d.getField("name").isNotNull()
+        name = F.when(is_object, d.getField("name")).otherwise(text)
         space = F.coalesce(F.when(is_object, d.getField("namespace")), F.lit(DEFAULT_NAMESPACE))
         source = d.getField("facets").getField("dataSource")
         uri = F.when(is_object, F.coalesce(source.getField("uri"), d.getField("uri"))).otherwise(
-            F.concat(F.lit("lake://tables/"), x))
+            F.concat(F.lit("lake://tables/"), text))
         given = F.when(is_object, source.getField("name"))
         fields = F.when(is_object, d.getField("facets").getField("schema"))
         facets = F.struct(F.struct(given.alias("name"), uri.alias("uri")).alias("dataSource"), fields.alias("schema"))
         return F.struct(space.alias("namespace"), name.alias("name"), facets.alias("facets"))
 
-    return F.transform(F.filter(items, lambda x: x.isNotNull()), one)
+    # Lambdas share no subexpressions: each element is parsed by a first transform, once.
+    texts = F.filter(items, lambda x: x.isNotNull())
+    return F.transform(F.transform(texts, lambda x: F.struct(x.alias("text"), F.from_json(x, loose).alias("d"))), one)
 
 
 def ol_parse(raw: DataFrame, payload: str = "payload") -> DataFrame:
@@ -199,20 +201,25 @@ def ol_parse(raw: DataFrame, payload: str = "payload") -> DataFrame:
 
     Malformed JSON yields ``corrupt`` = true and null fields (never an error);
     an event time that is no time is null, which validation dead-letters.
+    What is parsed sits in generators of one row, through which filters on parsed fields are
+    not pushed: each payload is parsed once and not once a field that a filter names.
     """
     p = F.from_json(F.col(payload), EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     empty = F.array().cast(T.ArrayType(DATASET))
-    run = F.lower(F.regexp_replace(F.col("__e.run.runId"), r"^urn:|uuid:|[{}-]", ""))
-    run = F.when(F.length(run) == 32, F.concat_ws("-", *[F.substring(run, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))
-    run = F.when(F.col("__e.run.runId").rlike(UUID_RE), run).otherwise(F.col("__e.run.runId"))
-    out = raw.withColumn("__e", p)
+    given = F.col("__e.run.runId")
+    digits = F.when(given.rlike(UUID_RE), F.lower(F.regexp_replace(given, r"^urn:|uuid:|[{}-]", "")))
+    parts = [F.substring("__n.digits", at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    run = F.when(F.length("__n.digits") == 32, F.concat_ws("-", *parts)).when(F.col("__n.digits").isNull(), given)
+    time = F.col("__e.eventTime").try_cast("timestamp").cast("timestamp_ntz")
+    out = raw.select("*", F.explode(F.array(p)).alias("__e"))
+    out = out.select("*", F.explode(F.array(F.struct(digits.alias("digits"), time.alias("time")))).alias("__n"))
     return out.select(
         *[c for c in raw.columns if c != payload],
         F.col(payload).alias("raw"),
         (F.col("__e").isNull() | F.col("__e._corrupt").isNotNull()).alias("corrupt"),
         F.col("__e.eventType").alias("event_type"),
         F.col("__e.eventTime").alias("event_time_text"),
-        F.col("__e.eventTime").try_cast("timestamp").cast("timestamp_ntz").alias("event_time"),
+        F.col("__n.time").alias("event_time"),
         run.alias("run_id"),
         F.col("__e.job.namespace").alias("job_namespace"),
         F.col("__e.job.name").alias("job_name"),
