@@ -38,11 +38,9 @@ def splitters(df: DataFrame, order: list[Column], ranges: int) -> Column:
     return picked.select(F.when((n > 0) & F.lit(ranges > 1), F.array_distinct(cut)).alias("s")).scalar()
 
 
-def with_range(df: DataFrame, order: list[Column], name: str, ranges: int | None = None) -> DataFrame:
+def placed(df: DataFrame, order: list[Column], name: str, split: Column, ranges: int) -> DataFrame:
     """``df`` with ``name``: the number of splitters at or before the row's tuple, found by
     halving (a projection a step, so the steps stay linear in size)."""
-    ranges = ranges or default_ranges(df)
-    split = splitters(df, order, ranges)
     at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     out = df.withColumns({"__at": at, name: F.lit(0)})
     step = 1 << max(0, ranges - 1).bit_length()
@@ -51,3 +49,9 @@ def with_range(df: DataFrame, order: list[Column], name: str, ranges: int | None
         below = F.get(split, F.col(name) + (step - 1))
         out = out.withColumn(name, F.col(name) + F.when(below <= F.col("__at"), step).otherwise(0))
     return out.drop("__at")
+
+
+def with_range(df: DataFrame, order: list[Column], name: str, ranges: int | None = None) -> DataFrame:
+    """``df`` with ``name``, the range that the row's tuple is in, from 0."""
+    ranges = ranges or default_ranges(df)
+    return placed(df, order, name, splitters(df, order, ranges), ranges)

@@ -20,6 +20,7 @@ from lakeline.session import scratch_path
 from lakeline.sources import io as IO
 from lakeline.sources import snapshots as SN
 from lakeline.sources import tables as TB
+from lakeline.sources import versions as V
 
 
 def scratch(spark, what: str) -> str:
@@ -272,9 +273,7 @@ def q_tbl_bulk_update(spark, sf):
 def q_tbl_compact(spark, sf):
     src = scratch(spark, "small")
     Fixtures(spark, sf).lineitem.repartition(16).write.parquet(src)
-    dst = scratch(spark, "compact")
-    TB.tbl_compact(spark, src, dst)
-    return spark.read.parquet(dst)
+    return spark.read.parquet(*TB.tbl_compact(spark, src, scratch(spark, "compact")))
 
 
 @register("tbl_zorder", "SELECT * FROM events")
@@ -474,3 +473,44 @@ def q_tbl_commit_versions(spark, sf):
     which = {"first": 1, "upserted": 2, "updated": last}
     out = [TB.read_version(spark, root, "orders", v).select(F.lit(k).alias("which"), "*") for k, v in which.items()]
     return out[0].unionAll(out[1]).unionAll(out[2])
+
+
+# ---------------------------------------------------------------- tables that change file by file
+
+def _versioned_orders(spark, sf, rows, files: int = 32) -> V.Table:
+    t = V.Table(spark, scratch(spark, "versioned"), "orders")
+    V.create(t, rows.repartitionByRange(files, "o_orderkey"), ["o_orderkey"])
+    return t
+
+
+@register("tbl_merge_upsert_files", """
+SELECT o_orderkey, CASE WHEN o_custkey % 97 = 5 THEN 'M' ELSE o_orderstatus END AS o_orderstatus,
+       CASE WHEN o_custkey % 97 = 5 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders""")
+def q_tbl_merge_upsert_files(spark, sf):
+    """MERGE that rewrites only the files that hold a source key: updates of the customers
+    congruent 5, and the orders of status P inserted."""
+    o = Fixtures(spark, sf).orders.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey")
+    t = _versioned_orders(spark, sf, o.filter((F.col("o_orderstatus") != "P") | (F.col("o_custkey") % 97 == 5)).drop("o_custkey"))
+    changed = o.filter(F.col("o_custkey") % 97 == 5).select("o_orderkey", F.lit("M").alias("o_orderstatus"), F.lit(None).cast("double").alias("o_totalprice"))
+    V.merge_into(t, changed)
+    V.merge_into(t, o.filter((F.col("o_orderstatus") == "P") & (F.col("o_custkey") % 97 != 5)).drop("o_custkey"))
+    return t.read()
+
+
+@register("tbl_bulk_update_files", """
+SELECT o_orderkey, CASE WHEN o_custkey % 97 = 5 THEN 'U' ELSE o_orderstatus END AS o_orderstatus FROM orders""")
+def q_tbl_bulk_update_files(spark, sf):
+    o = Fixtures(spark, sf).orders
+    t = _versioned_orders(spark, sf, o.select("o_orderkey", "o_orderstatus"))
+    V.update_into(t, "o_orderstatus", o.filter(F.col("o_custkey") % 97 == 5).select(F.col("o_orderkey").alias("id"), F.lit("U").alias("value")))
+    return t.read()
+
+
+@register("tbl_compact_files", "SELECT o_orderkey, o_orderstatus FROM orders UNION ALL SELECT o_orderkey, 'again' FROM orders WHERE o_orderstatus = 'P'")
+def q_tbl_compact_files(spark, sf):
+    """A table of small files with an append, packed: small files joined, rows as before."""
+    o = Fixtures(spark, sf).orders.select("o_orderkey", "o_orderstatus")
+    t = _versioned_orders(spark, sf, o)
+    V.append(t, o.filter(F.col("o_orderstatus") == "P").withColumn("o_orderstatus", F.lit("again")).repartition(8))
+    V.compact(t)
+    return t.read()

@@ -8,11 +8,15 @@ many snapshots never lands in one task; versions are skew-safe positions.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from lakeline.operators.scan import with_position
+from lakeline.sources.commits import claim
 
 REGISTRY_SCHEMA = ("table_name string, snapshot_id bigint, uri string, format string, created_at timestamp_ntz, "
                    "schema map<string,string>, status string, error string, version bigint")
@@ -55,15 +59,25 @@ def snap_as_of(snapshots: DataFrame, version: int | None = None, ts=None, table:
     return snap_latest(s.filter(F.col("created_at") <= t))
 
 
+def read_registry(spark: SparkSession, registry: str) -> DataFrame:
+    return spark.read.schema(REGISTRY_SCHEMA).parquet(registry).drop("commit")
+
+
 def next_version(spark: SparkSession, registry: str, table: str) -> int:
-    """One above the largest version ever stored for the table."""
+    """A version above all stored for the table, claimed so that no other writer gets it."""
     try:
-        known = spark.read.schema(REGISTRY_SCHEMA).parquet(registry)
+        known = read_registry(spark, registry)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return 1
-    return (known.filter(F.col("table_name") == table).agg(F.max("version")).first()[0] or 0) + 1
+        return claim(spark, _claims(registry, table))
+    stored = known.filter(F.col("table_name") == table).agg(F.max("version")).first()[0] or 0
+    return claim(spark, _claims(registry, table), stored)
+
+
+def _claims(registry: str, table: str) -> str:
+    """Folder of the table's claimed numbers, beside the registry; any name is safe in a path."""
+    return f"{registry.rstrip('/')}_claims/{hashlib.sha256(table.encode()).hexdigest()}"
 
 
 def snap_register(spark: SparkSession, registry: str, table: str, snapshot_id: int, uri: str,
@@ -80,8 +94,9 @@ def snap_register(spark: SparkSession, registry: str, table: str, snapshot_id: i
     version = next_version(spark, registry, table)
     row = spark.createDataFrame([(table, snapshot_id, uri, fmt, None, schema, status, error, version)], REGISTRY_SCHEMA)
     row = row.withColumn("created_at", F.localtimestamp())
-    row.write.mode("append").parquet(registry)
-    return spark.read.parquet(registry)
+    # A folder a write: writers into one folder would delete each other's temporary files.
+    row.write.parquet(f"{registry.rstrip('/')}/commit={uuid.uuid4().hex}")
+    return read_registry(spark, registry)
 
 
 def snap_read(spark: SparkSession, snapshots: DataFrame, table: str) -> DataFrame:

@@ -9,6 +9,7 @@ the commit point (append one row), which also gives time travel.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import re
@@ -19,7 +20,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeline.sources.io import files_for_bytes, src_object_list
+from lakeline.operators.splitters import placed, splitters
+from lakeline.sources import commits
 
 # SQL type names accepted in a {column: type} table spec.
 TYPE_MAP = {
@@ -152,13 +154,45 @@ def updates_from_arrays(spark: SparkSession, ids: list, values: list) -> DataFra
         F.col("z.ids").alias("id"), F.col("z.vals").alias("value"))
 
 
-def tbl_compact(spark: SparkSession, src: str, dst: str, target_bytes: int = 128 * 1024 * 1024) -> int:
-    """Rewrite a folder of small files into files of about ``target_bytes``:
-    total size from a listing (no data read), then ``repartition(n)``."""
-    total = src_object_list(spark, src, "*.parquet").agg(F.sum("length")).first()[0] or 0
-    n = files_for_bytes(int(total), target_bytes)
-    spark.read.parquet(src).repartition(n).write.mode("overwrite").parquet(dst)
-    return n
+def pack_files(files: list[tuple[str, int]], target_bytes: int) -> list[list[str]]:
+    """Best-fit decreasing: names of files by bin of at most ``target_bytes``; a bin with
+    one file is left out, as nothing is gained.  Equal sizes go by name.
+
+    Open bins are kept in order of their free space, so many files stay quick to pack."""
+    bins, free = [], []  # free: (space left, bin) in order
+    for name, size in sorted(files, key=lambda x: (-x[1], x[0])):
+        at = bisect.bisect_left(free, (size, -1))
+        if at < len(free):
+            left, b = free.pop(at)
+        else:
+            left, b = target_bytes, len(bins)
+            bins.append([])
+        bins[b].append(name)
+        bisect.insort(free, (max(0, left - size), b))
+    return [b for b in bins if len(b) > 1]
+
+
+def tbl_compact(spark: SparkSession, src: str, dst: str, target_bytes: int = 128 * 1024 * 1024) -> list[str]:
+    """Pack a folder's small files (under half of ``target_bytes``) into files of up to that
+    size in ``dst``, in the order of the rows within each file; returns the paths that now
+    make the table: the packed files and the other files of ``src``, which stay as they are.
+
+    Sizes come from a listing, no data is read for them; the listing and the bins are on
+    the driver, a name and a number a file."""
+    found = spark.read.format("binaryFile").options(pathGlobFilter="*.parquet", recursiveFileLookup="true").load(src)
+    sizes = {r["path"]: (r["length"], r["uri"]) for r in found.select("path", "length", F.col("_metadata.file_path").alias("uri")).collect()}
+    bins = pack_files([(p, n) for p, (n, _) in sizes.items() if n < target_bytes // 2], target_bytes)
+    moved = [(p, b, i) for b, paths in enumerate(bins) for i, p in enumerate(paths)]
+    kept = sorted(set(sizes) - {p for p, _, _ in moved})
+    if not moved:
+        return kept
+    rows = spark.read.parquet(*[p for p, _, _ in moved])
+    columns = rows.columns
+    place = spark.createDataFrame([(sizes[p][1], b, i) for p, b, i in moved], "__file string, __bin int, __at int")
+    rows = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")).join(place, "__file")
+    rows = rows.repartition(len(bins), "__bin").sortWithinPartitions("__bin", "__at", "__row")
+    rows.select(*columns, "__bin").write.mode("overwrite").partitionBy("__bin").parquet(dst)
+    return kept + [f"{dst.rstrip('/')}/__bin={b}" for b in range(len(bins))]
 
 
 def z_value(cols: list[Column], bits: int) -> Column:
@@ -174,24 +208,41 @@ def z_value(cols: list[Column], bits: int) -> Column:
     return z
 
 
+def hilbert(df: DataFrame, axes: list[str], bits: int, name: str) -> DataFrame:
+    """``df`` with the place of the ``bits``-bit integer columns ``axes`` on a Hilbert curve
+    (Skilling's transform, AIP Conf. Proc. 707, 2004; a projection a step).  The axes are used up."""
+    x = [F.col(a) for a in axes]
+    for level in range(bits - 1, 0, -1):
+        low = F.lit((1 << level) - 1)
+        for i, a in enumerate(axes):
+            is_set = F.shiftright(x[i], level).bitwiseAND(F.lit(1)) == 1
+            swap = x[0].bitwiseXOR(x[i]).bitwiseAND(low)
+            first = F.when(is_set, x[0].bitwiseXOR(low)).otherwise(x[0].bitwiseXOR(swap))
+            other = {a: F.when(is_set, x[i]).otherwise(x[i].bitwiseXOR(swap))} if i else {}
+            df = df.withColumns({axes[0]: first, **other})
+    for before, a in zip(axes, axes[1:]):
+        df = df.withColumn(a, F.col(a).bitwiseXOR(F.col(before)))
+    turn = F.lit(0)
+    for level in range(bits - 1, 0, -1):
+        turn = turn.bitwiseXOR(F.when(F.shiftright(x[-1], level).bitwiseAND(F.lit(1)) == 1, (1 << level) - 1).otherwise(0))
+    df = df.withColumn("__turn", turn)
+    return df.withColumn(name, z_value([c.bitwiseXOR(F.col("__turn")) for c in reversed(x)], bits)).drop("__turn", *axes)
+
+
 def tbl_zorder(df: DataFrame, cols: list[str], partitions: int, bits: int | None = None) -> DataFrame:
-    """Cluster rows on several columns: each column is min-max scaled to
-    ``bits``-bit integers (63 bits shared evenly unless given), interleaved, then
-    range partitioned and sorted by the z-value so file statistics prune on any of
-    the columns.  All bounds come from one aggregate row; nulls sort lowest."""
-    bits = bits or min(21, 63 // len(cols))
-    scale = (1 << bits) - 1
-    xs = {c: F.unix_micros(F.col(c).cast("timestamp")) if isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
-          else F.col(c) for c in cols}
-    bounds = df.select(F.struct(*[f(x).alias(f"{n}{i}") for i, x in enumerate(xs.values()) for f, n in ((F.min, "lo"), (F.max, "hi"))])).scalar()
-    named = df.withColumn("__bounds", bounds)
-    for i, x in enumerate(xs.values()):
-        lo, hi = F.col(f"__bounds.lo{i}"), F.col(f"__bounds.hi{i}")
-        at = F.floor((x - lo).cast("double") / F.when(hi > lo, (hi - lo).cast("double")).otherwise(F.lit(1.0)) * scale)
-        named = named.withColumn(f"__z{i}", F.coalesce(at.cast("long"), F.lit(0)))
-    z = z_value([F.col(f"__z{i}") for i in range(len(cols))], bits)
-    out = named.withColumn("__z", z).repartitionByRange(partitions, "__z").sortWithinPartitions("__z")
-    return out.select(*df.columns)
+    """Cluster rows on several columns so that file statistics prune on any of them: each
+    column becomes its rank among 2^``bits`` quantile ranges (so outliers and skew change
+    nothing), the ranks a place on a Hilbert curve, and rows are range partitioned and
+    sorted by that place.  Nulls rank lowest."""
+    bits = bits or max(1, min(10, 20 // len(cols)))  # a curve of a million places at most; the plan grows with bits x columns
+    if bits * len(cols) > 63:
+        raise ValueError(f"{len(cols)} columns of {bits} bits do not fit a 63-bit key")
+    axes = [f"__z{i}" for i in range(len(cols))]
+    ranked = df
+    for a, c in zip(axes, cols):
+        ranked = placed(ranked, [F.col(c)], a, splitters(df, [F.col(c)], 1 << bits), 1 << bits)
+    curve = hilbert(ranked, axes, bits, "__z")
+    return curve.repartitionByRange(partitions, "__z").sortWithinPartitions("__z").select(*df.columns)
 
 
 def tbl_vacuum(versions: DataFrame, retention_hours: int = 168, asof=None,
@@ -227,8 +278,10 @@ def versions_of(spark: SparkSession, root: str, name: str) -> DataFrame:
 def commit_version(spark: SparkSession, root: str, name: str, df: DataFrame) -> int:
     """Write ``df`` (an upsert, bulk update, compaction, z-order ...) as the table's next
     version: a folder of its own, then one registry row, which is the commit.  Version
-    numbers are stored and never used again.  One writer at a time per table."""
-    version = (versions_of(spark, root, name).agg(F.max("version")).first()[0] or 0) + 1
+    numbers are claimed by a marker that one writer alone can create, stored, and never
+    used again.  (``versions`` changes tables file by file.)"""
+    known = versions_of(spark, root, name).agg(F.max("version")).first()[0] or 0
+    version = commits.claim(spark, f"{root.rstrip('/')}/_claims/{name}", known)
     path = f"{root.rstrip('/')}/{name}/v={version}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _log_version(spark, root, name, version, path, False)
@@ -237,7 +290,8 @@ def commit_version(spark: SparkSession, root: str, name: str, df: DataFrame) ->
 
 def _log_version(spark: SparkSession, root: str, name: str, version: int, path: str, deleted: bool) -> None:
     row = spark.createDataFrame([(name, version, path, None, deleted)], VERSIONS).withColumn("committed_at", F.current_timestamp())
-    row.write.mode("append").parquet(f"{root.rstrip('/')}/_versions")
+    # A folder a write: writers into one folder would delete each other's temporary files.
+    row.write.parquet(f"{root.rstrip('/')}/_versions/commit={uuid.uuid4().hex}")
 
 
 def read_version(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:

@@ -74,6 +74,7 @@ def test_log_route_reads_the_log_once(spark):
     assert p.count("FileScan") == 1
 
 
-def test_zorder_bounds_are_one_aggregate(spark):
+def test_zorder_ranks_come_from_a_sample(spark):
+    """Row count and sample are subqueries; rows are read once and shuffled once by place."""
     p = plan(QUERIES["tbl_zorder"](spark, SF_SMALL), "simple")
-    assert p.count("FileScan") <= 2
+    assert "Window" not in p and "Join" not in p and p.count("rangepartitioning") == p.count("REPARTITION_BY_NUM")

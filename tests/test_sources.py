@@ -5,6 +5,8 @@ from urllib.parse import urlparse
 
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lakeline.sources import io as IO
@@ -180,10 +182,56 @@ def test_versions_survive_a_vacuum(spark, tmp_dir):
     assert TB.commit_version(spark, tmp_dir, "t", df) == 4
 
 
-def test_compact_writes_few_files(spark, tmp_dir):
-    spark.range(1000).repartition(20).write.parquet(f"{tmp_dir}/a")
-    assert TB.tbl_compact(spark, f"{tmp_dir}/a", f"{tmp_dir}/b") == 1
-    assert IO.src_object_list(spark, f"{tmp_dir}/b", "*.parquet").count() == 1
+def test_compact_packs_small_files_only(spark, tmp_dir):
+    src, size = f"{tmp_dir}/a", 40_000
+    spark.range(0, 20_000, 1, 1).write.parquet(src)
+    big = IO.src_object_list(spark, src, "*.parquet").first().path
+    spark.range(20_000, 21_000, 1, 20).write.mode("append").parquet(src)
+    paths = TB.tbl_compact(spark, src, f"{tmp_dir}/b", size)
+    rows = spark.read.parquet(*paths)
+    assert big in paths and len(paths) == 2 and rows.count() == 21_000 and rows.distinct().count() == 21_000
+    packed = [r.id for r in spark.read.parquet(paths[1]).select("id", "_metadata.row_index").orderBy("row_index").collect()]
+    runs = [packed[i : i + 50] for i in range(0, 1000, 50)]
+    assert all(r == list(range(r[0], r[0] + 50)) for r in runs)  # each file's rows in their order
+    assert TB.tbl_compact(spark, f"{tmp_dir}/b", f"{tmp_dir}/c", size) == [p.path for p in IO.src_object_list(spark, f"{tmp_dir}/b", "*.parquet").collect()]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 60), max_size=40))
+def test_pack_files(sizes):
+    files = [(f"f{i}", n) for i, n in enumerate(sizes)]
+    bins = TB.pack_files(files, 100)
+    packed = [f for b in bins for f in b]
+    assert len(packed) == len(set(packed)) and all(len(b) > 1 and sum(sizes[int(f[1:])] for f in b) <= 100 for b in bins)
+    left = [n for f, n in files if f not in packed]
+    assert all(a + b > 100 for i, a in enumerate(left) for b in left[i + 1 :])
+
+
+def test_zorder_skips_files_despite_an_outlier(spark, tmp_dir):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    df = spark.range(40_000).select(F.when(F.col("id") == 5, 10**15).otherwise(F.xxhash64("id") % 1000).alias("a"),
+                                    F.when(F.col("id") == 6, 1e300).otherwise(F.pow(F.lit(1.01), F.pmod(F.hash("id"), F.lit(2000)))).alias("b"), "id")
+    TB.tbl_zorder(df, ["a", "b"], 160).write.parquet(tmp_dir)
+    assert spark.read.parquet(tmp_dir).exceptAll(df).count() == 0
+    ends = [[(s.min, s.max) for s in (pq.ParquetFile(f).metadata.row_group(0).column(i).statistics for i in (0, 1))] for f in glob.glob(f"{local(tmp_dir)}/*.parquet")]
+    assert len(ends) >= 120
+    for i, (low, high) in enumerate([(100, 150), (1.01**500, 1.01**550)]):
+        met = sum(1 for e in ends if e[i][0] <= high and e[i][1] >= low)
+        assert met <= 0.2 * len(ends)
+
+
+def test_hilbert_neighbours(spark):
+    """Along the curve one axis changes by one: it visits every cell, and no step jumps."""
+    for k, bits in ((2, 4), (3, 2)):
+        axes = [f"x{i}" for i in range(k)]
+        cells = spark.range(1 << (k * bits)).select(*[F.shiftright("id", bits * i).bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias(a) for i, a in enumerate(axes)])
+        kept = cells.select("*", *[F.col(a).alias("k" + a) for a in axes])
+        rows = TB.hilbert(kept, axes, bits, "h").orderBy("h").collect()
+        assert [r.h for r in rows] == list(range(1 << (k * bits)))
+        assert all(sum(abs(a["k" + x] - b["k" + x]) for x in axes) == 1 for a, b in zip(rows, rows[1:]))
 
 
 def test_tuned_parquet_options_reach_the_footer(spark, tmp_dir):
