@@ -17,16 +17,18 @@ watermarks reject; streams cast them to TIMESTAMP (session time zone UTC).
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lakeline.operators import lineage_events as E
 from lakeline.operators import streams as S
+from lakeline.streaming.seen import SeenIds
 
 WATERMARK = "10 minutes"
 
@@ -73,19 +75,6 @@ def _batch_writer(out_root: str, tables: Callable[[DataFrame], dict[str, DataFra
 
 # ------------------------------------------------------------------ ingest
 
-def _stored(spark: SparkSession, out_root: str, table: str, schema: T.StructType | str, but: int | None = None) -> DataFrame:
-    """Rows of a stored table; without those of batch ``but`` (a replay replaces them)."""
-    path = f"{out_root.rstrip('/')}/{table}"
-    try:
-        rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-    rows = rows if but is None else rows.filter(F.col("batch") != but)
-    return rows.drop("batch")
-
-
 def st_ingest(spark: SparkSession, source: str, out_root: str, checkpoint: str, available_now: bool = True,
               interval: str = "10 seconds", files_per_trigger: int = 1) -> StreamingQuery:
     """Queue of OpenLineage events (seq, ts, payload) -> the normalised store.
@@ -94,21 +83,30 @@ def st_ingest(spark: SparkSession, source: str, out_root: str, checkpoint: str,
     runs, datasets, edges (the batch's parts, one small row per key), run_events and
     dead letters.  ``store_tables`` merges the parts, so a run whose events span
     batches resolves without reading events again.  A message delivered again, in
-    the same or any later batch, is dropped by its id; a replayed batch replaces its
-    own output.  The ack is the checkpoint commit."""
+    the same or any later batch, is dropped by its id (``seen``: runs of ids, of which a
+    batch reads the pages its own ids fall into only, so a batch costs the same however many
+    came before); a replayed batch replaces its own output.  The tables are written at
+    the same time.  The ack is the checkpoint commit."""
     stream = file_stream(spark, source, "seq bigint, ts timestamp_ntz, payload string", "parquet", files_per_trigger)
+    root = out_root.rstrip("/")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = _stored(spark, out_root, "run_events", "seq bigint", batch_id).select("seq").unionAll(
-            _stored(spark, out_root, "dead_letters", "msg_id bigint", batch_id).select("msg_id"))
-        fresh = batch.dropDuplicates(["seq"]).join(known, "seq", "left_anti")
-        valid = E.ol_validate(E.ol_parse(fresh)).persist()
+        ids = SeenIds(batch.sparkSession, f"{root}/_seen", batch_id)
+        valid = E.ol_validate(E.ol_parse(ids.fresh(batch, "seq"))).persist()
+        good, bad = E.split_valid(valid)
+        tables = {"jobs": E.ol_jobs(good), "runs": E.run_parts(good), "datasets": E.dataset_parts(good),
+                  "edges": E.ol_edges(good), "dead_letters": bad, "run_events": E.ol_run_events(good)}
+
+        def put(name: str) -> None:
+            tables[name].write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+
         try:
-            good, bad = E.split_valid(valid)
-            for name, df in {"jobs": E.ol_jobs(good), "runs": E.run_parts(good), "datasets": E.dataset_parts(good),
-                             "edges": E.ol_edges(good), "dead_letters": bad, "run_events": E.ol_run_events(good)}.items():
-                df.write.mode("overwrite").parquet(f"{out_root.rstrip('/')}/{name}/batch={batch_id}")
+            inherit = inheritable_thread_target(batch.sparkSession)
+            with ThreadPoolExecutor(len(tables) + 1) as pool:
+                jobs = [pool.submit(inherit(put), name) for name in tables]
+                jobs.append(pool.submit(inherit(ids.store), valid, "seq"))
+                for job in jobs:
+                    job.result()
         finally:
             valid.unpersist()
 

@@ -211,3 +211,49 @@ def test_pong_reset_and_features_with_a_hot_client(spark):
             count[r.client_id] = want[r.client_id, r.event_id] = count.get(r.client_id, 0) + 1
     assert got == want
     assert {r.client_id: r.missed_pings for r in ST.liveness_features(p).collect() if r.missed_pings} == {k: v for k, v in count.items() if v}
+
+
+def test_seen_ids_against_a_set(spark, tmp_dir, monkeypatch):
+    """Sequential, sparse and redelivered ids, nulls, replays: each id is fresh once; a batch
+    touches the pages of its own ids and keeps two indexes."""
+    import random
+
+    from lakeline.sources import commits
+    from lakeline.streaming import seen as M
+
+    monkeypatch.setattr(M, "PAGE", 20)
+    rng, known, upto = random.Random(4), set(), 0
+    for n in range(9):
+        ids = [upto + i for i in range(60)] + rng.sample(sorted(known), min(len(known), 15)) + [None, None]
+        ids += [-(10**12) + rng.randrange(10**6) * 7 for _ in range(25)] if n % 3 == 0 else []  # sparse: many runs
+        ids += [upto + 3] * 5
+        upto += 60 if n != 4 else 0  # the fifth batch is delivered again whole
+        batch = spark.createDataFrame([(i, "x") for i in ids], "seq long, body string")
+        for attempt in range(2 if n % 4 == 1 else 1):
+            s = M.SeenIds(spark, f"{tmp_dir}/seen", n)
+            fresh = s.fresh(batch, "seq")
+            got = sorted((r.seq is None, r.seq or 0) for r in fresh.collect())
+            assert got == sorted((i is None, i or 0) for i in set(ids) - known)
+            if n > 4 and n % 3:
+                assert len(s.pages) >= 3 and len(s.touched) < len(s.pages)
+            s.store(fresh, "seq")
+        known |= set(ids) - {None}
+        assert len(commits.numbers(spark, f"{tmp_dir}/seen/index")) <= 2
+    pages = M.SeenIds(spark, f"{tmp_dir}/seen", 99).pages
+    runs = spark.read.schema(M.RUNS).parquet(*[f"{tmp_dir}/seen/{p['folder']}" for p in pages]).collect()
+    assert sorted(i for r in runs for i in range(r.lo, r.hi + 1)) == sorted(known)
+    assert all(r["count"] <= 20 for r in spark.read.schema(M.RUNS).parquet(*[f"{tmp_dir}/seen/{p['folder']}" for p in pages]).groupBy(F.input_file_name()).count().collect())
+
+
+def test_sequential_ids_stay_one_run(spark, tmp_dir):
+    from lakeline.streaming.seen import SeenIds
+
+    for n in range(4):
+        s = SeenIds(spark, f"{tmp_dir}/seen", n)
+        batch = spark.range(n * 1000, n * 1000 + 1500).withColumnRenamed("id", "seq")  # 500 come again
+        fresh = s.fresh(batch, "seq")
+        assert fresh.count() == (1500 if n == 0 else 1000)
+        s.store(fresh, "seq")
+    pages = SeenIds(spark, f"{tmp_dir}/seen", 9).pages
+    rows = spark.read.schema("lo long, hi long").parquet(*[f"{tmp_dir}/seen/{p['folder']}" for p in pages]).collect()
+    assert [(r.lo, r.hi) for r in rows] == [(0, 4499)]
