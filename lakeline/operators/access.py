@@ -28,28 +28,31 @@ def sec_recent(df: DataFrame, ts: str, days: int = 30, asof=None) -> DataFrame:
     return df.filter(F.col(ts) >= now - F.make_dt_interval(days=F.lit(days)))
 
 
-def role_closure(edges: DataFrame, member: str = "member", parent: str = "parent",
-                 max_depth: int = 10000) -> DataFrame:
+def role_closure(edges: DataFrame, member: str = "member", parent: str = "parent") -> DataFrame:
     """(role, ancestor) pairs incl. (role, role): every role a role inherits.
 
-    One join per level; only pairs not seen on an earlier level go on, so a cycle
-    ends.  Each level is written once in the shared folder; the pairs seen so far
-    are the levels' files.
+    Path doubling: the pairs that are new since the last round (twice as far apart) meet
+    all pairs known, so rounds grow with the logarithm of the longest chain; pairs seen
+    before go no further, so a cycle ends.  Each round's new pairs are written once in the
+    shared folder.
     """
     spark = edges.sparkSession
     path = scratch_path(spark, f"roles-{uuid.uuid4().hex}")
-    e = edges.select(F.col(member).alias("anc"), F.col(parent).alias("next")).distinct()
-    roles = e.select(F.col("anc").alias("role")).union(e.select(F.col("next").alias("role"))).distinct()
-    level = roles.select("role", F.col("role").alias("anc"))
-    for depth in range(max_depth + 1):
-        level.write.parquet(f"{path}/{depth}")
-        last = spark.read.schema(level.schema).parquet(f"{path}/{depth}")
-        seen = spark.read.schema(level.schema).parquet(*[f"{path}/{i}" for i in range(depth + 1)])
+    e = edges.select(F.col(member).alias("role"), F.col(parent).alias("anc")).dropna().distinct()
+    roles = edges.select(F.col(member).alias("role")).union(edges.select(F.col(parent).alias("role"))).distinct()
+    new = e.where("role <> anc")
+    roles.select("role", F.col("role").alias("anc")).write.parquet(f"{path}/0")
+    rounds = 0
+    while True:
+        rounds += 1
+        new.write.parquet(f"{path}/{rounds}")
+        last = spark.read.schema(new.schema).parquet(f"{path}/{rounds}")
+        seen = spark.read.schema(new.schema).parquet(*[f"{path}/{i}" for i in range(rounds + 1)])
         if last.isEmpty():
             return seen
-        step = last.join(e, "anc").select("role", F.col("next").alias("anc")).distinct()
-        level = step.join(seen, ["role", "anc"], "left_anti")
-    raise RuntimeError(f"role graph deeper than {max_depth}")
+        far = seen.where("role <> anc").select(F.col("role").alias("anc"), F.col("anc").alias("next"))
+        step = last.join(far, "anc").select("role", F.col("next").alias("anc")).distinct()
+        new = step.join(seen, ["role", "anc"], "left_anti")
 
 
 def sec_roles(edges: DataFrame, grants: DataFrame) -> DataFrame:

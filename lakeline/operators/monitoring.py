@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeline.functions import (exact_avg, exact_sum, from_micros, max_of, micros, ratio_or_zero,
                                 round_half_up_ratio, scaled)
-from lakeline.operators.scan import lag_rows, running
+from lakeline.operators.scan import chunked, lag_rows, running
+from lakeline.session import shuffle_partitions
 
 # Default histogram bucket bounds of the Prometheus client library.
 DEFAULT_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0]
@@ -211,24 +213,88 @@ def mon_success_rate(df: DataFrame, circuit: str, success: Column) -> DataFrame:
         "success_rate", ratio_or_zero(F.col("successes"), F.col("total")))
 
 
-def mon_rate_limit(requests: DataFrame, user: str, ts: str, rid: str, window_s: int, limit: int) -> DataFrame:
-    """Sliding-window audit: ``in_window`` counts the user's requests before the
-    current one (by time, then id) in (ts - window, ts]; the request is over the
-    limit when there are ``limit`` or more.
+def _in_window(requests: DataFrame, user: str, ts: str, rid: str, window_s: int) -> DataFrame:
+    """``__u``, ``__t``, ``__id``, ``__row`` and ``in_window``: the user's requests before
+    the current one (by time, then id) in (ts - window, ts], with the scan's ``__chunk``.
 
     Each request adds one at its time and takes one away when it is ``window_s``
-    old (before requests of that time), so one skew-safe running sum is the count.
-    Requests without a time are not audited.
-    """
+    old (before requests of that time), so one skew-safe running sum is the count."""
     rows = requests.filter(F.col(ts).isNotNull())
     here = rows.select(F.col(user).alias("__u"), F.col(ts).alias("__t"), F.lit(1).alias("__side"), F.col(rid).alias("__id"),
                        F.lit(1).alias("__w"), F.struct(*requests.columns).alias("__row"))
     gone = here.select("__u", from_micros(micros("__t") + window_s * 1_000_000).alias("__t"), F.lit(0).alias("__side"),
                        "__id", F.lit(-1).alias("__w"))
-    u = here.unionByName(gone, allowMissingColumns=True)
-    s = running(u, ["__u"], ["__t", "__side", "__id"], {"__n": ("sum", "__w")}).filter(F.col("__side") == 1)
-    out = s.select("__row.*", (F.col("__n") - 1).alias("in_window"))
-    return out.withColumn("over_limit", F.col("in_window") >= limit)
+    order = ["__t", "__side", "__id"]
+    u = chunked(here.unionByName(gone, allowMissingColumns=True), ["__u"], order)
+    s = running(u, ["__u"], order, {"__n": ("sum", "__w")}).filter(F.col("__side") == 1)
+    return s.withColumn("in_window", F.col("__n") - 1)
+
+
+def mon_rate_limit(requests: DataFrame, user: str, ts: str, rid: str, window_s: int, limit: int) -> DataFrame:
+    """Sliding-window audit: ``in_window`` counts the user's requests before the
+    current one (by time, then id) in (ts - window, ts]; the request is over the
+    limit when there are ``limit`` or more.  Requests without a time are not audited.
+    """
+    s = _in_window(requests, user, ts, rid, window_s)
+    return s.select("__row.*", "in_window").withColumn("over_limit", F.col("in_window") >= limit)
+
+
+def mon_rate_limit_admitted(requests: DataFrame, user: str, ts: str, rid: str, window_s: int, limit: int) -> DataFrame:
+    """Rate limiting as it happens: a request is ``admitted`` when fewer than ``limit``
+    admitted requests of its user lie in (ts - window, ts]; refused ones fill nothing.
+
+    Fewer than ``limit`` requests of any kind in the window settle most requests at once.
+    The state is the times of the last ``limit`` admitted requests; it is empty again at a
+    request whose window holds none, so a user's requests fall into stretches that are
+    independent of each other and are dealt over all tasks.  Within a stretch the state
+    passes from one Arrow batch to the next in time order: settled requests are taken in
+    runs, and from a refused one the walk jumps to the first at which a place is free.  A
+    task holds a batch and the state.  A user who never pauses for a whole window is one
+    stretch and read by one task, since each decision hangs on the ones before.
+    """
+    s = _in_window(requests, user, ts, rid, window_s)
+    order = ["__t", "__side", "__id"]
+    s = running(s.withColumn("__new", (F.col("in_window") == 0).cast("long")), ["__u"], order, {"__stretch": ("sum", "__new")})
+    s = s.select("__u", "__stretch", "__t", "__id", "__row", "in_window", micros("__t").alias("__us"))
+    parts = shuffle_partitions(requests.sparkSession)
+    dealt = s.repartition(parts, "__u", "__stretch").sortWithinPartitions("__u", "__stretch", "__t", "__id")
+    narrow = dealt.select("__row", "in_window", "__us")
+    walked = narrow.mapInArrow(admission(window_s * 1_000_000, limit), T.StructType([*narrow.schema, T.StructField("admitted", T.BooleanType())]))
+    return walked.select("__row.*", "in_window", "admitted")
+
+
+def admission(window: int, limit: int):
+    """Decide requests that come stretch by stretch in time order; a stretch begins where ``in_window`` is 0."""
+    import numpy as np
+    import pyarrow as pa
+
+    def decide(batches):
+        held: list[int] = []  # times of the last admitted requests, ``limit`` at most
+        for batch in batches:
+            before, times = (np.array(batch.column(c), np.int64) for c in (1, 2))
+            admitted = np.zeros(len(times), bool)
+            starts = np.flatnonzero(before == 0)
+            for begin, end in zip(np.concatenate([[0], starts]), np.concatenate([starts, [len(times)]])):
+                if begin < end and before[begin] == 0:
+                    held = []
+                i, unsettled = int(begin), np.flatnonzero(before[begin:end] >= limit) + begin
+                while i < end and limit > 0:
+                    at = np.searchsorted(unsettled, i)
+                    settled = int(unsettled[at]) if at < len(unsettled) else int(end)
+                    if i < settled:
+                        admitted[i:settled] = True
+                        held = (held + times[max(i, settled - limit) : settled].tolist())[-limit:]
+                        i = settled
+                    elif len(held) < limit or held[0] <= times[i] - window:
+                        admitted[i] = True
+                        held = (held + [int(times[i])])[-limit:]
+                        i += 1
+                    else:  # on to the first request at which the oldest has left, or that is settled
+                        free = i + int(np.searchsorted(times[i:end], held[0] + window))
+                        i = min(free, int(end))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(admitted)], [*batch.schema.names, "admitted"])
+
+    return decide
 
 
 def cat_search(items: DataFrame, term: str, threshold: float = 0.3, min_term: int = 3) -> DataFrame:

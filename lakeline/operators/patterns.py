@@ -183,25 +183,63 @@ def rs_pivot(df: DataFrame, keys: list[str], pivot: str, values: dict[str, str],
     return p
 
 
-def rs_recursive(edges: DataFrame, child: str, parent: str, max_levels: int = 10000) -> DataFrame:
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written once and read from there: lineage stays short, a lost executor costs a round."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def rs_recursive(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """Hierarchy with level: roots (parent null) are level 0, children level+1.
 
-    Breadth-first: one join per level, each level written once in the shared
-    folder and read from there by the next and by the result, so a level runs
-    once, lineage stays short and a lost executor costs one level.
+    Where every child has one row, levels come from pointer doubling: each node points at
+    an ancestor and knows its distance, and a round lets it take over its ancestor's
+    pointer, so rounds grow with the logarithm of the depth.  Nodes whose ancestors end in
+    a missing node or go in a circle have no root and are not in the result.
+
+    Where a child has several parents, it comes once per path from a root, a round a level
+    (``_levels_by_path``); a cycle below a root is an error.
     """
-    spark = edges.sparkSession
-    path = scratch_path(spark, f"hierarchy-{uuid.uuid4().hex}")
-    nodes = edges.select(F.col(child).alias("node"), F.col(parent).alias("parent"))
-    level = nodes.filter(F.col("parent").isNull()).withColumn("level", F.lit(0))
-    for depth in range(max_levels + 1):
-        level.write.parquet(f"{path}/{depth}")
-        last = spark.read.schema(level.schema).parquet(f"{path}/{depth}")
+    path = scratch_path(edges.sparkSession, f"hierarchy-{uuid.uuid4().hex}")
+    nodes = _written(edges.select(F.col(child).alias("node"), F.col(parent).alias("parent")), f"{path}/nodes")
+    if not nodes.groupBy("node").count().where("count > 1").isEmpty():
+        return _levels_by_path(nodes, path)
+    at = nodes.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("far"), F.col("parent").isNull().alias("done"))
+    at = at.withColumn("far", F.when(F.col("done"), 0).otherwise(F.col("far")))
+    most, rounds = nodes.count(), 0
+    while not at.where(~F.col("done")).isEmpty():
+        if 1 << rounds > most:  # a pointer that has passed more links than there are nodes goes in a circle
+            break
+        above = at.select(F.col("node").alias("n"), F.col("up").alias("u"), F.col("far").alias("f"), F.col("done").alias("d"))
+        moved = at.where(~F.col("done")).join(above, F.col("up") == F.col("n"))
+        moved = moved.select("node", F.coalesce("u", "up").alias("up"), (F.col("far") + F.col("f")).alias("far"), "d")
+        rounds += 1
+        at = _written(at.where("done").unionAll(moved.withColumnRenamed("d", "done")), f"{path}/{rounds}")
+    return nodes.join(at.where("done").select("node", F.col("far").cast("int").alias("level")), "node").select("node", "parent", "level")
+
+
+def _levels_by_path(nodes: DataFrame, path: str) -> DataFrame:
+    """Breadth-first over a hierarchy with several parents: a row per path from a root.
+
+    Each row carries the node its path had at the last level that is a power of two
+    (Brent's method): a path that meets it again has run through a cycle, which is named."""
+    level = nodes.filter(F.col("parent").isNull()).withColumns({"level": F.lit(0), "mark": F.lit(None).cast(nodes.schema["node"].dataType)})
+    depth, parts = 0, []
+    while True:
+        last = _written(level, f"{path}/{depth}")
         if last.isEmpty():
-            return spark.read.schema(level.schema).parquet(*[f"{path}/{i}" for i in range(depth + 1)])
-        above = last.select(F.col("node").alias("parent"))
-        level = nodes.join(above, "parent").select("node", "parent", F.lit(depth + 1).alias("level"))
-    raise RuntimeError(f"hierarchy deeper than {max_levels} levels (cycle?)")
+            break
+        turn = last.where(F.col("node") == F.col("mark")).select("node").first()
+        if turn is not None:
+            raise ValueError(f"hierarchy has a cycle through {turn[0]!r}")
+        parts.append(f"{path}/{depth}")
+        mark = F.col("node") if depth and depth & (depth - 1) == 0 else F.col("mark")
+        above = last.select(F.col("node").alias("parent"), mark.alias("mark"))
+        depth += 1
+        level = nodes.join(above, "parent").select("node", "parent", F.lit(depth).alias("level"), "mark")
+    if not parts:
+        return level.drop("mark")
+    return nodes.sparkSession.read.schema(level.schema).parquet(*parts).drop("mark")
 
 
 # ------------------------------------------------------------------ time series

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lakeline.operators import monitoring as M
 from lakeline.plans.catalog import register
 from lakeline.plans.fixtures import Fixtures
-from lakeline.plans.oracle import sql
+from lakeline.plans.oracle import VIEWS, sql
 
 BYTES_SQL = """CASE WHEN {b} = 0 THEN '0 Bytes' ELSE
   regexp_replace(regexp_replace(CAST(CAST(round({b} / pow(1024.0, {i}), 2) AS DECIMAL(38, 2)) AS VARCHAR), '0+$', ''), '\\.$', '')
@@ -264,6 +264,26 @@ def q_mon_rate_limit(spark, sf):
     return M.mon_rate_limit(r, "client_id", "start_time", "request_id", 7 * 86400, 20)
 
 
+@register("mon_rate_limit_admitted", f"""
+WITH RECURSIVE requests AS ({VIEWS['requests']}),
+q AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY start_time, request_id) AS n,
+             row_number() OVER (PARTITION BY client_id ORDER BY start_time, request_id) - 1 - count(*) OVER (
+               PARTITION BY client_id ORDER BY start_time RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 7 DAY PRECEDING) AS in_window
+      FROM requests),
+r AS (
+  SELECT client_id, 0::BIGINT AS n, []::TIMESTAMP[] AS held, false AS admitted FROM (SELECT DISTINCT client_id FROM q)
+  UNION ALL
+  SELECT client_id, n, CASE WHEN len(live) < 10 THEN list_append(live, start_time) ELSE live END, len(live) < 10
+  FROM (SELECT r.client_id, q.n, q.start_time, list_filter(r.held, lambda a: a > q.start_time - INTERVAL 7 DAY) AS live
+        FROM r JOIN q ON q.client_id = r.client_id AND q.n = r.n + 1)
+)
+SELECT request_id, client_id, start_time, endpoint, method, status_code, duration, in_window, admitted
+FROM q JOIN r USING (client_id, n)""")
+def q_mon_rate_limit_admitted(spark, sf):
+    r = Fixtures(spark, sf).requests()
+    return M.mon_rate_limit_admitted(r, "client_id", "start_time", "request_id", 7 * 86400, 10)
+
+
 # ------------------------------------------------------------------ catalog
 
 @register("cat_overview", """
