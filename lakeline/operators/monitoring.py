@@ -5,7 +5,7 @@ timestamp (a scalar subquery), never the wall clock, so results replay.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -297,6 +297,26 @@ def admission(window: int, limit: int):
     return decide
 
 
+def _tokens(items: DataFrame) -> DataFrame:
+    tok = items.select("kind", "item_id", "name", F.explode(F.split(F.lower("name"), "[^a-z0-9]+")).alias("token"))
+    return tok.filter(F.length("token") > 0)
+
+
+def _edits(length: Column, term: str, threshold: float) -> Column:
+    """Edits that a token of this length may be away from the term."""
+    return F.floor(F.greatest(length, F.lit(len(term))) * threshold + 1e-9).cast("int")
+
+
+def _score(tokens: DataFrame, term: str, threshold: float) -> DataFrame:
+    """Tokens within the threshold with their score; the distance is banded by the most edits
+    that any token of a fitting length may have."""
+    most = int(threshold * len(term) / (1 - threshold) + 1e-9) if threshold < 1 else 1 << 30
+    near = F.abs(F.length("token") - len(term)) <= _edits(F.length("token"), term, threshold)
+    far = F.levenshtein("token", F.lit(term), most)
+    scored = tokens.filter(near).withColumn("score", F.when(far >= 0, far / F.greatest(F.length("token"), F.lit(len(term)))))
+    return scored.filter(F.col("score") <= threshold)
+
+
 def cat_search(items: DataFrame, term: str, threshold: float = 0.3, min_term: int = 3) -> DataFrame:
     """Fuzzy search over catalog items (kind, item_id, name).
 
@@ -305,16 +325,68 @@ def cat_search(items: DataFrame, term: str, threshold: float = 0.3, min_term: in
     max(len(token), len(term)); items scoring <= threshold are returned.
     Terms shorter than ``min_term`` characters match nothing.  (Our own
     documented metric, not a port of any search library's scoring.)
+    Tokens whose length rules them out are not compared.  ``cat_search_indexed``
+    searches a stored index instead of all items.
     """
     t = term.lower()
     if len(t) < min_term:
         return items.select("kind", "item_id", "name", F.lit(None).cast("double").alias("score")).filter(F.lit(False))
-    tok = items.select("kind", "item_id", "name",
-                       F.explode(F.split(F.lower("name"), "[^a-z0-9]+")).alias("token")).filter(F.length("token") > 0)
-    sc = tok.select("kind", "item_id", "name",
-                    (F.levenshtein("token", F.lit(t)) / F.greatest(F.length("token"), F.lit(len(t)))).alias("score"))
-    return sc.groupBy("kind", "item_id", "name").agg(F.min("score").alias("score")).filter(
-        F.col("score") <= threshold)
+    return _score(_tokens(items), t, threshold).groupBy("kind", "item_id", "name").agg(F.min("score").alias("score"))
+
+
+GRAM = 2
+
+
+def _grams(text: Column) -> Column:
+    """Pieces of ``GRAM`` characters, the n-th of a kind marked with its number."""
+    n = F.length(text)
+    plain = F.when(n >= GRAM, F.transform(F.sequence(F.lit(1), F.greatest(n - GRAM + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(GRAM))))
+    plain = F.coalesce(plain, F.array().cast("array<string>"))
+    return F.transform(plain, lambda g, i: F.concat(g, F.size(F.filter(F.slice(plain, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+
+
+def write_search_index(items: DataFrame, path: str) -> None:
+    """Index of item names for fuzzy search: ``tokens`` (token, kind, item_id, name) and
+    ``postings`` (gram, length, token; each distinct token once per piece), both sorted by
+    their first column, so that a search's filter reads few row groups."""
+    parts = shuffle_partitions(items.sparkSession)
+    tokens = _tokens(items).distinct()
+    tokens.repartitionByRange(parts, "token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/tokens")
+    each = items.sparkSession.read.parquet(f"{path}/tokens").select("token").distinct()
+    posted = each.select(F.explode(_grams(F.col("token"))).alias("gram"), F.length("token").alias("length"), "token")
+    posted.repartitionByRange(parts, "gram", "length").sortWithinPartitions("gram", "length").write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def search_candidates(spark: SparkSession, path: str, term: str, threshold: float) -> DataFrame:
+    """Distinct tokens that may be within the threshold of the term.
+
+    d edits change at most d * GRAM pieces, so a token shares at least
+    max(lengths) - GRAM + 1 - d * GRAM pieces with the term.  Where that is one or more the
+    postings of the term's pieces decide; tokens so short that it is not are taken by length."""
+    length = F.col("length")
+    longest = F.greatest(length, F.lit(len(term)))
+    need = longest - GRAM + 1 - GRAM * _edits(length, term, threshold)
+    fits = F.abs(length - len(term)) <= _edits(length, term, threshold)
+    row = spark.range(1).select(_grams(F.lit(term)).alias("g")).first()  # the term's own pieces
+    posted = spark.read.parquet(f"{path}/postings").where(F.col("gram").isin(row.g) & fits)
+    by_gram = posted.groupBy("token", "length").agg(F.count(F.lit(1)).alias("shared")).where((need > 0) & (F.col("shared") >= need)).select("token")
+    loose = [n for n in range(1, 4 * len(term) + 8) if abs(n - len(term)) <= int(max(n, len(term)) * threshold + 1e-9)
+             and max(n, len(term)) - GRAM + 1 - GRAM * int(max(n, len(term)) * threshold + 1e-9) <= 0]
+    if not loose and threshold < 0.5:
+        return by_gram
+    tokens = spark.read.parquet(f"{path}/tokens").select("token", F.length("token").alias("length"))
+    return by_gram.unionAll(tokens.where(fits & (need <= 0)).select("token").distinct())
+
+
+def cat_search_indexed(spark: SparkSession, path: str, term: str, threshold: float = 0.3, min_term: int = 3) -> DataFrame:
+    """``cat_search`` on a stored index: candidates by length and shared pieces, the banded
+    edit distance decides, and only the items of the tokens found are read."""
+    t = term.lower()
+    tokens = spark.read.parquet(f"{path}/tokens")
+    if len(t) < min_term:
+        return tokens.select("kind", "item_id", "name", F.lit(None).cast("double").alias("score")).filter(F.lit(False))
+    found = _score(search_candidates(spark, path, t, threshold), t, threshold)
+    return tokens.join(found, "token").groupBy("kind", "item_id", "name").agg(F.min("score").alias("score"))
 
 
 def mon_query_preview(df: DataFrame, text: str, n: int = 100, name: str = "preview") -> DataFrame:

@@ -18,6 +18,7 @@ from lakeline.plans.fixtures import Fixtures
 from lakeline.plans.oracle import sql
 from lakeline.session import scratch_path
 from lakeline.sources import io as IO
+from lakeline.sources import materialized as MV
 from lakeline.sources import snapshots as SN
 from lakeline.sources import tables as TB
 from lakeline.sources import versions as V
@@ -514,3 +515,21 @@ def q_tbl_compact_files(spark, sf):
     V.append(t, o.filter(F.col("o_orderstatus") == "P").withColumn("o_orderstatus", F.lit("again")).repartition(8))
     V.compact(t)
     return t.read()
+
+
+@register("rep_materialize_refresh", """
+SELECT o_orderstatus, year(o_orderdate) AS year, count(*) AS orders, sum(o_custkey)::BIGINT AS keys, min(o_totalprice) AS least,
+       max(o_totalprice) AS most FROM orders GROUP BY 1, 2""")
+def q_rep_materialize_refresh(spark, sf):
+    """A rollup refreshed three times: on the first orders, after an append, after a merge."""
+    o = Fixtures(spark, sf).orders.select("o_orderkey", "o_orderstatus", "o_orderdate", "o_custkey", "o_totalprice")
+    t = V.Table(spark, scratch(spark, "rollup"), "orders")
+    V.create(t, o.filter("o_orderstatus = 'F'").withColumn("o_custkey", F.when(F.col("o_custkey") % 97 != 5, F.col("o_custkey"))).repartitionByRange(8, "o_orderkey"), ["o_orderkey"])
+    r = MV.Rollup(t, scratch(spark, "rollup-state"), "by_status", {"o_orderstatus": F.col("o_orderstatus"), "year": F.year("o_orderdate")},
+                  {"orders": ("count", None), "keys": ("sum", F.col("o_custkey")), "least": ("min", F.col("o_totalprice")), "most": ("max", F.col("o_totalprice"))})
+    r.refresh()
+    V.append(t, o.filter("o_orderstatus <> 'F'"))
+    r.refresh()
+    V.merge_into(t, o.filter("o_orderstatus = 'F' AND o_custkey % 97 = 5"))
+    r.refresh()
+    return r.read()

@@ -320,7 +320,7 @@ def q_cat_bytes_fmt(spark, sf):
     return M.cat_bytes_fmt(b, "size_bytes")
 
 
-@register("cat_search", sql("""
+CAT_SEARCH_SQL = sql("""
 , items AS (SELECT 'job' AS kind, CAST(id AS VARCHAR) AS item_id, name FROM jobs
             UNION ALL SELECT 'dataset', CAST(id AS VARCHAR), name FROM datasets
             UNION ALL SELECT DISTINCT 'table', table_name, table_name FROM snapshots)
@@ -328,15 +328,30 @@ def q_cat_bytes_fmt(spark, sf):
 , sc AS (SELECT kind, item_id, name, levenshtein(token, 'custmer') / greatest(length(token), 7) AS score
          FROM tok WHERE length(token) > 0)
 SELECT kind, item_id, name, min(score) AS score FROM sc GROUP BY 1, 2, 3 HAVING min(score) <= 0.3""",
-    "jobs", "datasets", "snapshots"))
-def q_cat_search(spark, sf):
+    "jobs", "datasets", "snapshots")
+
+
+def _catalog_items(spark, sf):
     f = Fixtures(spark, sf)
-    items = (f.jobs().select(F.lit("job").alias("kind"), F.col("id").cast("string").alias("item_id"), "name")
+    return (f.jobs().select(F.lit("job").alias("kind"), F.col("id").cast("string").alias("item_id"), "name")
              .unionByName(f.datasets().select(F.lit("dataset").alias("kind"),
                                               F.col("id").cast("string").alias("item_id"), "name"))
              .unionByName(f.snapshots().select(F.lit("table").alias("kind"), F.col("table_name").alias("item_id"),
                                                F.col("table_name").alias("name")).distinct()))
-    return M.cat_search(items, "custmer")
+
+
+@register("cat_search", CAT_SEARCH_SQL)
+def q_cat_search(spark, sf):
+    return M.cat_search(_catalog_items(spark, sf), "custmer")
+
+
+@register("cat_search_indexed", CAT_SEARCH_SQL)
+def q_cat_search_indexed(spark, sf):
+    from lakeline.plans.q_io import scratch
+
+    path = scratch(spark, "search")
+    M.write_search_index(_catalog_items(spark, sf), path)
+    return M.cat_search_indexed(spark, path, "custmer")
 
 
 @register("mon_run_observed")

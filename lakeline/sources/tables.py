@@ -333,8 +333,8 @@ def rep_materialize(spark: SparkSession, root: str, name: str, df: DataFrame) ->
     reg = f"{root.rstrip('/')}/_registry"
     row = spark.createDataFrame([(name, version, path, None, "materialized")], _registry_schema()) \
         .withColumn("refreshed_at", F.current_timestamp())
-    row.write.mode("append").parquet(reg)
-    return spark.read.parquet(reg)
+    row.write.parquet(f"{reg}/commit={version}")  # a folder a write: writers do not touch each other's files
+    return spark.read.schema(_registry_schema()).parquet(reg).drop("commit")
 
 
 def read_materialized(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -348,12 +348,27 @@ def cache_key(query: str, params: dict | None = None) -> str:
     return hashlib.sha256(f"{query}:{json.dumps(params or {}, sort_keys=True, default=str)}".encode()).hexdigest()
 
 
+def fingerprint(df: DataFrame) -> str:
+    """What a result depends on: the canonical analysed plan (names of aliases do not matter)
+    and path, size and time of each input file, folded by Spark and not on the driver."""
+    plan = df._jdf.queryExecution().analyzed().canonicalized().toString()
+    files = sorted(df.inputFiles())
+    seen = None
+    if files:
+        folders = sorted({f.rsplit("/", 1)[0] for f in files})
+        listed = df.sparkSession.read.format("binaryFile").load(folders).select("path", "length", "modificationTime")
+        seen = listed.agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
+    return hashlib.sha256(f"{df.semanticHash()}:{plan}:{seen and tuple(seen)}".encode()).hexdigest()
+
+
 def rep_cached(spark: SparkSession, root: str, query: str, params: dict | None = None,
                ttl_hours: int = 24) -> DataFrame:
-    """Result cache keyed by query + params: a fresh registry entry (younger
-    than the TTL) is a hit and its Parquet copy is read; otherwise the query
-    runs once, is written, and a registry row is appended."""
-    key = cache_key(query, params)
+    """Result cache keyed by the query's plan and its inputs' files: a fresh registry entry
+    (younger than the TTL) is a hit and its Parquet copy is read, under the query's column
+    names; otherwise the query runs once, is written, and a registry row is appended.  A
+    changed input file is a miss."""
+    df = spark.sql(query, args=params or {})
+    key = fingerprint(df)
     reg = f"{root.rstrip('/')}/_cache_registry"
     try:  # a cache without a registry yet has no hit
         hit = (spark.read.schema(_registry_schema()).parquet(reg).filter((F.col("name") == key)
@@ -364,9 +379,11 @@ def rep_cached(spark: SparkSession, root: str, query: str, params: dict | None =
             raise
         hit = None
     if hit:
-        return spark.read.parquet(hit)
-    path = f"{root.rstrip('/')}/{key}/v={uuid.uuid4().hex}"
-    spark.sql(query, args=params or {}).write.mode("overwrite").parquet(path)
-    spark.createDataFrame([(key, path.rsplit("=", 1)[1], path, None, "cache")], _registry_schema()) \
-        .withColumn("refreshed_at", F.current_timestamp()).write.mode("append").parquet(reg)
-    return spark.read.parquet(path)
+        return spark.read.parquet(hit).toDF(*df.columns)
+    version = uuid.uuid4().hex
+    path = f"{root.rstrip('/')}/{key}/v={version}"
+    places = [f"c{i}" for i in range(len(df.columns))]
+    df.toDF(*places).write.parquet(path)
+    row = spark.createDataFrame([(key, version, path, None, "cache")], _registry_schema())
+    row.withColumn("refreshed_at", F.current_timestamp()).write.parquet(f"{reg}/commit={version}")
+    return spark.read.parquet(path).toDF(*df.columns)

@@ -125,3 +125,62 @@ def test_markers_on_other_file_systems(spark, tmp_dir, monkeypatch):
     assert commits.create_if_absent(spark, path, '{"a": 1}') and not commits.create_if_absent(spark, path, "{}")
     assert commits.read_marker(spark, f"{tmp_dir}/log", 3) == {"a": 1}
     assert [n for n in commits.names(spark, f"{tmp_dir}/log") if not n.startswith(".")] == ["000000000003.json"]
+
+
+def test_rollup_reads_new_files_only(spark, tmp_dir):
+    from lakeline.sources.materialized import Rollup
+
+    def day(d, n):
+        return spark.range(n).select((F.col("id") + d * 10_000).alias("k"), F.lit(d).alias("day"), (F.col("id") % 7).alias("user"), (F.col("id") * d).alias("v"))
+
+    def full(rows):
+        return {tuple(r) for r in rows.groupBy("day").agg(F.count("*"), F.sum("v"), F.min("v"), F.max("v"), F.countDistinct("user")).collect()}
+
+    t = V.Table(spark, tmp_dir, "t")
+    V.create(t, day(1, 500).unionAll(day(2, 300)).repartitionByRange(6, "k"), ["k"])
+    r = Rollup(t, tmp_dir, "daily", {"day": F.col("day")}, {"n": ("count", None), "total": ("sum", F.col("v")), "lo": ("min", F.col("v")),
+                                                            "hi": ("max", F.col("v")), "users": ("distinct", F.col("user"))})
+    assert len(r.refresh()) == len(files_of(t)) and r.refresh() == []
+    before = files_of(t)
+    V.append(t, day(3, 200).coalesce(1))
+    assert set(r.refresh()) == files_of(t) - before
+    assert {tuple(x) for x in r.read().collect()} == full(t.read())
+    V.merge_into(t, day(2, 10).withColumn("v", F.lit(5).cast("long")))  # rewrites a file: its old states go
+    assert 0 < len(r.refresh()) < 3
+    assert {tuple(x) for x in r.read().collect()} == full(t.read())
+
+
+def test_cached_by_plan_and_inputs(spark, tmp_dir):
+    spark.range(10).write.parquet(f"{tmp_dir}/in")
+    entries = lambda: spark.read.parquet(f"{tmp_dir}/cache/_cache_registry").count()
+    q = f"SELECT id % 3 AS g, count(*) AS n FROM parquet.`{tmp_dir}/in` WHERE id > :x GROUP BY 1"
+    first = sorted(map(tuple, TB.rep_cached(spark, f"{tmp_dir}/cache", q, {"x": 2}).collect()))
+    renamed = TB.rep_cached(spark, f"{tmp_dir}/cache", q.replace("AS n", "AS rows"), {"x": 2})
+    assert entries() == 1 and renamed.columns == ["g", "rows"] and sorted(map(tuple, renamed.collect())) == first
+    TB.rep_cached(spark, f"{tmp_dir}/cache", q, {"x": 3})
+    assert entries() == 2
+    spark.range(100, 103).write.mode("append").parquet(f"{tmp_dir}/in")
+    again = TB.rep_cached(spark, f"{tmp_dir}/cache", q, {"x": 2})
+    assert entries() == 3 and sorted(map(tuple, again.collect())) != first
+
+
+def test_search_index_finds_what_a_scan_finds(spark, tmp_dir):
+    import random
+
+    from lakeline.operators import monitoring as M
+
+    rng = random.Random(7)
+    words = ["customer", "custmer", "orders", "aa", "aaaa", "ab", "événement", "lineitem", "abab", "x"]
+    def typo(w):
+        i = rng.randrange(len(w) + 1)
+        return rng.choice([w[:i] + w[i + 1 :], w[:i] + rng.choice("abcdefgo") + w[i:], w])
+    random_word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(1, 14)))
+    rows = [("job", str(i), "_".join(typo(rng.choice(words)) if rng.random() < 0.2 else random_word() for _ in range(3))) for i in range(800)]
+    items = spark.createDataFrame(rows + [("job", "n", None), ("t", "e", "")], "kind string, item_id string, name string")
+    M.write_search_index(items, tmp_dir)
+    for term in ("custmer", "CUSTOMER", "orders", "aaa", "abab", "zz", "lineitm"):
+        for threshold in (0.3, 0.5, 0.0):
+            want = {tuple(r) for r in M.cat_search(items, term, threshold).collect()}
+            assert {tuple(r) for r in M.cat_search_indexed(spark, tmp_dir, term, threshold).collect()} == want
+    tokens = spark.read.parquet(f"{tmp_dir}/tokens").select("token").distinct().count()
+    assert M.search_candidates(spark, tmp_dir, "customer", 0.3).count() < 0.05 * tokens
