@@ -14,7 +14,7 @@ from lakeline.llm.components import components
 from lakeline.llm.decontaminate import DEFAULTS, ItemBlock, best_match, contaminated, drop_contaminated, words_of
 from lakeline.llm.line_dedup import dedup_lines, edit_alike, edit_distance, hamming_pairs, normalised
 from lakeline.llm.mixing import mix
-from lakeline.llm.substring_dedup import Pair, alike, compact_windows, drop_passages, repeated_passages, without
+from lakeline.llm.substring_dedup import Pair, alike, compact_windows, drop_passages, repeated_passages, without, word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, salt int, doc string, row long, tokens string, epoch int"
 CLASH = (1, "d", 1, "t", 1)
@@ -145,10 +145,36 @@ def test_passages_planted(spark):
         repeated_passages(docs, words=500)
 
 
+def hashed(words):
+    return word_hashes([" ".join(w if isinstance(w, str) else w.decode() for w in words).encode()])[0]
+
+
+def test_passages_in_crowded_keys(spark):
+    """A near copy is found though an unlike document that shares most of the passage comes first."""
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(9**6)}" for _ in range(n)]
+    rows, n = [], 300
+    for k in range(n):
+        passage = words(60)
+        near, unlike = [*passage], words(10) + passage[10:50] + words(10)
+        near[29] = "changed"
+        for i, body in enumerate((unlike, passage, near)):
+            rows.append((3 * k + i, " ".join(words(40) + body + words(40)), "en", "s"))
+    found = {(r.doc_id, r.keep_id) for r in repeated_passages(docs_of(spark, rows)).collect()}
+    caught = sum((3 * k + 2, 3 * k + 1) in found for k in range(n))
+    assert caught >= 0.9 * n
+
+
+def test_joined_spans():
+    from lakeline.llm.substring_dedup import joined
+
+    assert joined([(1, 5, 9), (1, 10, 12), (0, 1, 2), (1, 0, 6), (1, 20, 21), (0, 1, 2)]) == [(1, 0, 12), (0, 1, 2), (1, 20, 21)]
+
+
 def test_passage_helpers():
     assert without("a b  c\nd e", [(1, 3)]) == "a d e" and without("a b", [(0, 2)]) == "" and without(None, []) is None
-    assert Pair(list("abcdef"), list("abcdex")).similarity(0, 0, 6) == pytest.approx(1 / 3)
-    many = [str(i) for i in range(9000)]
+    assert Pair(hashed("abcdef"), hashed("abcdex")).similarity(0, 0, 6) == pytest.approx(1 / 3)
+    many = hashed(str(i) for i in range(9000))
     assert Pair(many, many).similarity(5, 5, 50) == 1.0 and Pair(many, many).similarity(5, 6, 50) == pytest.approx(45 / 47)
 
 
@@ -164,6 +190,7 @@ def test_passages_every_start():
         a, b = words(rng.randint(60, 99)) + passage + words(99), words(rng.randint(60, 99)) + near + words(99)
         diagonal = next(i for i in range(60, 100) if a[i : i + size] == passage) - next(i for i in range(60, 100) if b[i : i + size] == near)
         lo, hi = max(0, -diagonal), min(len(b), len(a) - diagonal) - 50
+        a, b = hashed(a), hashed(b)
         pair = Pair(a, b)
         want = [pair.similarity(i + diagonal, i, 50) for i in range(lo, hi + 1)]
         assert pair.similarities(lo + diagonal, lo, hi + 1 - lo, 50) == pytest.approx(want)
