@@ -14,8 +14,9 @@ whose item-sized window holds too few word pairs of the benchmark are passed ove
 an edit destroys two pairs at most, so no occurrence is lost by it.
 
 Documents are never shuffled.  The benchmark is taken in blocks of ``block_items``
-items; a block's tables are broadcast, which bounds them by that number whatever
-the size of the benchmark.
+items or 4 MB of their text; a block's tables are broadcast, which bounds them whatever
+the size of the benchmark.  Items of more than 256 words are searched by parts of that
+size: an occurrence within the allowed edits has a part within its share of them.
 """
 
 from __future__ import annotations
@@ -31,7 +32,12 @@ from pyspark.sql import functions as F
 
 from lakeline.llm.common import saved
 
-WORD = re.compile(r"\w+")
+# Scripts written without spaces between words: there each character counts as a word.
+DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[^\W{DENSE}]+|(?=\w)[{DENSE}]")
+PART = 256  # words of an item that are searched as one
+MOVES = 1 << 12  # classes of words that move a walk alike
+BLOCK_BYTES = 4 << 20  # text of the items of a block, about
 PAIR_BITS = 22
 HITS = "array<struct<item_id: long, similarity: double, start_word: long, end_word: long>>"
 
@@ -72,8 +78,8 @@ def best_match(item: list[int], text: list[int], most: int) -> tuple[int, int] |
 class ItemBlock:
     """What a task needs to find the occurrences of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float, min_words: int, walks: int, tables: int, sampled: int, seed: int):
-        split = [(i, w) for i, t in items if len(w := words_of(t)) >= min_words]
+    def __init__(self, items: list[tuple[int, str]], similarity: float, min_words: int, walks: int, tables: int, sampled: int, seed: int, verbatim_words: int = 3):
+        split = [(i, w) for i, t in items if len(w := words_of(t)) >= min(min_words, verbatim_words)]
         self.ids, self.similarity = [i for i, _ in split], similarity
         self.vocab = {w: c for c, w in enumerate(sorted({w for _, ws in split for w in ws}), 1)}
         self.items = [[self.vocab[w] for w in ws] for _, ws in split]
@@ -82,20 +88,30 @@ class ItemBlock:
         for x in self.items:
             a = np.array(x)
             self.pairs[pair_slot(a[:-1], a[1:])] = True
-        self.gap = max((len(x) + self.edits(len(x)) for x in self.items), default=0) + 1
+        # An item is searched by parts: within so many edits of the whole, one part is within its share of them.
+        self.parts, self.short = [], []
+        for i, x in enumerate(self.items):
+            if len(x) < min_words:
+                self.short.append(i)
+                continue
+            n = -(-len(x) // PART)
+            cuts = [len(x) * k // n for k in range(n + 1)]
+            self.parts += [(i, a, x[a:b]) for a, b in zip(cuts, cuts[1:])]
+        self.gap = max([len(x) + self.edits(len(x)) for _, _, x in self.parts] + [len(self.items[i]) for i in self.short], default=0) + 1
         rng = np.random.default_rng(seed)
-        longest = 2 * max(map(len, self.items), default=0)
-        self.moves = rng.integers(0, 2, (walks, longest, self.base), np.int8)
+        longest = 2 * max((len(x) for _, _, x in self.parts), default=0)
+        self.moves = rng.integers(0, 2, (walks, longest, MOVES), np.int8)
         self.classes = [self.length_class(some, tables, sampled, rng) for some in self.by_length()]
+        self.exact = [self.exact_class(n) for n in sorted({len(self.items[i]) for i in self.short})]
 
     def edits(self, n: int) -> int:
         return int((1 - self.similarity) * n + 1e-9)
 
     def by_length(self) -> Iterator[list[int]]:
-        """Items in classes of about one length."""
+        """Parts in classes of about one length."""
         some: list[int] = []
-        for i in sorted(range(len(self.items)), key=lambda i: len(self.items[i])):
-            if some and len(self.items[i]) > 1.25 * len(self.items[some[0]]):
+        for i in sorted(range(len(self.parts)), key=lambda i: len(self.parts[i][2])):
+            if some and len(self.parts[i][2]) > 1.25 * len(self.parts[some[0]][2]):
                 yield some
                 some = []
             some.append(i)
@@ -103,9 +119,9 @@ class ItemBlock:
             yield some
 
     def length_class(self, some: list[int], tables: int, sampled: int, rng: np.random.Generator) -> dict:
-        lengths = [len(self.items[i]) for i in some]
+        lengths = [len(self.parts[i][2]) for i in some]
         steps = 2 * min(lengths)
-        flat = np.concatenate([np.array([*self.items[i], *[self.pad] * self.gap]) for i in some])
+        flat = np.concatenate([np.array([*self.parts[i][2], *[self.pad] * self.gap]) for i in some])
         starts = np.cumsum([0] + [n + self.gap for n in lengths[:-1]])
         keys = []
         for walk in range(len(self.moves)):
@@ -123,9 +139,29 @@ class ItemBlock:
         out, at = np.empty((len(starts), steps), np.int64), starts.astype(np.int64)
         for t in range(steps):
             out[:, t] = now = flat[at]
-            at = at + self.moves[walk, t, now]
+            at = at + self.moves[walk, t, now & (MOVES - 1)]
         return out
 
+    def exact_class(self, n: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """(words, sorted keys, items) of the short items of ``n`` words, which are found verbatim."""
+        some = np.array([i for i in self.short if len(self.items[i]) == n])
+        key = self.key(np.array([self.items[i] for i in some]), np.arange(n))
+        order = np.argsort(key, kind="stable")
+        return n, key[order], some[order]
+
+    def verbatim(self, flat: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(position in ``flat``, item) of every short item that is there word for word."""
+        for n, keys, owners in self.exact:
+            if len(flat) < n:
+                continue
+            key = np.zeros(len(flat) - n + 1, np.int64)
+            for c in range(n):
+                key = key * self.base + flat[c : c + len(key)]
+            a, b = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            for at in np.flatnonzero(b > a).tolist():
+                here = flat[at : at + n].tolist()
+                yield from ((at, int(i)) for i in owners[a[at] : b[at]] if self.items[i] == here)
+
     def key(self, out: np.ndarray, cols: np.ndarray) -> np.ndarray:
         key = np.zeros(len(out), np.int64)
         for c in cols:
@@ -163,19 +199,29 @@ class ItemBlock:
         begins = np.cumsum(sizes + self.gap) - sizes - self.gap
         pad = np.full(self.gap, self.pad, np.int64)
         flat = np.concatenate([x for c in codes for x in (c, pad)])
+        seen: set[tuple[int, int]] = set()
+        for pos, i in sorted(self.verbatim(flat)):
+            d = int(np.searchsorted(begins, pos, "right") - 1)
+            if (d, i) not in seen:  # the first of equal ones
+                seen.add((d, i))
+                start = pos - int(begins[d])
+                out[d].append({"item_id": self.ids[i], "similarity": 1.0, "start_word": start, "end_word": start + len(self.items[i])})
         found = [x for x in self.candidates(flat) if len(x[0])]
         if not found:
             return out
-        at, item = (np.concatenate(x) for x in zip(*found))
+        at, part = (np.concatenate(x) for x in zip(*found))
         doc = np.searchsorted(begins, at, "right") - 1
+        item, offset = (np.array([p[k] for p in self.parts])[part] for k in (0, 1))
+        at = at - offset  # where the item begins, but for edits before the part
         order = np.lexsort((at, item, doc))
         at, item, doc = at[order], item[order], doc[order]
         new = np.flatnonzero((np.diff(item, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
         for a, b in zip(new, [*new[1:], len(at)]):
             d, i, words = int(doc[a]), int(item[a]), self.items[int(item[a])]
             most = self.edits(len(words))
-            first = max(0, int(at[a] - begins[d]) - most)
-            text = codes[d][first : int(at[b - 1] - begins[d]) + len(words) + 2 * most].tolist()
+            slip = most if len(words) <= PART else 2 * most
+            first = max(0, int(at[a] - begins[d]) - slip)
+            text = codes[d][first : int(at[b - 1] - begins[d]) + len(words) + most + slip].tolist()
             if best := best_match(words, text, most):
                 back = best_match(words[::-1], text[: best[1]][::-1], best[0])
                 end = first + best[1]
@@ -184,9 +230,10 @@ class ItemBlock:
 
 
 def blocks(items: DataFrame, block_items: int, **how) -> Iterator[ItemBlock]:
-    """The benchmark in blocks of about ``block_items`` items each."""
+    """The benchmark in blocks of about ``block_items`` items or ``BLOCK_BYTES`` of text each."""
     items = items.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL")
-    n = -(-items.count() // block_items)
+    rows, size = items.select(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(-(-rows // block_items), -(-size // BLOCK_BYTES))
     for k in range(n):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
         yield ItemBlock([tuple(r) for r in mine], **how)
@@ -209,15 +256,17 @@ def hits_in(docs: DataFrame, block: ItemBlock, text: Column, most_bytes: int = 2
     return hits(text)
 
 
-DEFAULTS = {"similarity": 0.8, "min_words": 8, "walks": 8, "tables": 12, "sampled": 3, "seed": 9}
+DEFAULTS = {"similarity": 0.8, "min_words": 8, "walks": 8, "tables": 12, "sampled": 3, "seed": 9, "verbatim_words": 3}
 
 
 def contaminated(docs: DataFrame, items: DataFrame, block_items: int = 2000, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per document and item that occurs in it: doc_id, item_id, similarity, start_word, end_word.
 
     The row gives the best occurrence (words counted from 0, end exclusive; of equal
-    ones the first).  Null and empty texts hold nothing.  Items with fewer than
-    ``min_words`` words, or null, are never found: so few words prove nothing.
+    ones the first).  A word is a run of letters, digits and underscores, or one character
+    of a script without spaces.  Null and empty texts hold nothing.  Items with fewer than
+    ``min_words`` words are found word for word only; those under ``verbatim_words``, and
+    null ones, never: so few words prove nothing.
     Repeated documents each give their rows, repeated items too; with either table
     empty the result is empty.  Other columns are ignored.
     """

@@ -141,22 +141,20 @@ def crc_part(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def train(labelled: DataFrame, per_lang: int = 600, max_langs: int = 500, min_count: int = 2) -> Model:
+def train(labelled: DataFrame, per_lang: int = 600, min_count: int = 2) -> Model:
     """Fit on columns id, text, lang.
 
-    The sample keeps a row when a hash of its id falls below per_lang / rows of its
-    language, so it has about ``per_lang`` rows of each of the ``max_langs`` most
-    frequent languages at most, at any size of input.  Words and n-grams seen fewer
-    than ``min_count`` times count as unseen.
+    Every language of the rows is learnt, from about ``per_lang`` different rows at most:
+    a row is in the sample when a hash of its id and text falls below per_lang / different
+    rows of its language (estimated by a sketch), and counts once however often it is
+    repeated.  So null ids, ids that many rows share and repeated rows neither empty the
+    sample nor fill it.  Words and n-grams seen fewer than ``min_count`` times count as unseen.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
-    share = {r["lang"]: min(1.0, per_lang / r["n"]) for r in per.collect()}
-    if not share:
-        return Model.of([])
-    rate = F.create_map(*[F.lit(x) for kv in sorted(share.items()) for x in kv])
-    chance = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_000)) / 1_000_000
-    sample = rows.where(chance < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0))).select("lang", "text")
+    rows = rows.select("lang", "text", F.xxhash64(F.lit("language"), "id", "text").alias("hash"))
+    per = rows.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n"))
+    chance = F.pmod("hash", F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sample = rows.join(per, "lang").where(chance < F.lit(float(per_lang)) / F.col("n")).dropDuplicates(["lang", "hash"]).select("lang", "text")
     counts = sample.mapInArrow(gram_counts, "lang string, n long, gram string, count long")
     counts = counts.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
     kept = counts.withColumn("all", F.sum("count").over(gram_window())).where(F.col("all") >= min_count).drop("all")

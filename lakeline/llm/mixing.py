@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from lakeline.llm.common import hand_down, salt_of, saved
 
 UNIT = 1_000_000  # weights count in millionths
+MOST_WEIGHT = 1_000_000_000
 DIGITS = 3  # hexadecimal digits of the hash that make a bucket
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -39,7 +40,7 @@ def split_budget(nodes: DataFrame) -> DataFrame:
     Children are taken in order of cap / weight; those that would be full at the
     level the parent's budget reaches take their cap, the others share what is left.
     """
-    nodes = nodes.select("parent", "node", *(F.col(c).cast("decimal(20,0)").alias(c) for c in ("cap", "budget")), F.col("weight").cast("decimal(9,0)").alias("weight"))
+    nodes = nodes.select("parent", "node", *(F.col(c).cast("decimal(20,0)").alias(c) for c in ("cap", "budget")), F.col("weight").cast("decimal(16,0)").alias("weight"))
     nodes = nodes.where("weight > 0").withColumn("ratio", F.col("cap").cast("double") / F.col("weight").cast("double"))
     order = Window.partitionBy("parent").orderBy("ratio", "node")
     full = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -55,6 +56,8 @@ def split_budget(nodes: DataFrame) -> DataFrame:
 def budgets(leaves: DataFrame, levels: list[str], weights: Mapping[tuple, float], share: float, max_epochs: int) -> DataFrame:
     """(path, tokens, budget) of each leaf with a budget."""
     spark = leaves.sparkSession
+    if not all(0 <= w <= MOST_WEIGHT for w in weights.values()):
+        raise ValueError(f"weights must be 0 to {MOST_WEIGHT}")
     given = [(len(k), list(k), int(round(w * UNIT))) for k, w in weights.items()]
     given = spark.createDataFrame(given or [(0, [""], 0)], "depth int, values array<string>, weight long")
     given = given.select("depth", F.to_json("values", {"ignoreNullFields": "false"}).alias("node"), "weight")
@@ -96,15 +99,35 @@ def mix(
     """Struct ``doc`` (all columns), the levels, tokens and epoch (from 0), a row per copy taken.
 
     ``levels``: name -> column, from the root down.  ``weights``: path of values ->
-    weight against its siblings, 1 where not given; weight 0 takes nothing.  The
+    weight against its siblings, 0 to a billion, 1 where not given; weight 0 takes nothing.  The
     whole budget is ``share`` of all tokens, or what the tree can give if that is
     less.  A token is a word between white space.
 
     A document is taken where it ends within the leaf's budget, so no leaf exceeds
-    it.  Null level values are values like others.  Null or empty texts have no
+    it, and what a leaf's last place leaves open is not handed on: ``mix_report`` tells
+    what each leaf was given and delivers.  Null level values are values like others.  Null or empty texts have no
     token and are not taken.  Rows with equal id and text are ordered by their place;
     an empty table gives an empty result.
     """
+    sized, taken, _ = _mixed(docs, levels, weights, share, max_epochs, seed, id_col, text_col)
+    out = sized.select("row", "doc", "leaf", "tokens").join(taken, "row")
+    out = out.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return out.select("doc", "leaf", "tokens", "epoch")
+
+
+def mix_report(
+    docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple, float], share: float, max_epochs: int = 1,
+    seed: int = 7, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """The levels, tokens, budget and delivered of each leaf that has a budget, for ``mix`` with the same arguments."""
+    sized, taken, budget = _mixed(docs, levels, weights, share, max_epochs, seed, id_col, text_col)
+    rows = sized.where("tokens > 0").select("row", "path", "leaf", "tokens").join(taken, "row", "left")
+    leaves = rows.groupBy("path", "leaf").agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.coalesce("copies", F.lit(0))).alias("delivered"))
+    return leaves.join(budget.select("path", "budget"), "path").select("leaf.*", "tokens", "budget", "delivered")
+
+
+def _mixed(docs: DataFrame, levels: Mapping[str, Column], weights, share, max_epochs, seed, id_col, text_col) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with path and tokens, copies taken of each, budgets of leaves)."""
     names = list(levels)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -115,7 +138,4 @@ def mix(
     sized = saved(rows.withColumn("salt", salt_of(docs.sparkSession, F.col("row"))), "mix-docs")
     leaves = saved(sized.where("tokens > 0").groupBy("leaf").agg(F.sum("tokens").alias("tokens")).select("leaf.*", "tokens"), "mix-leaves")
     budget = saved(budgets(leaves, names, weights, share, max_epochs), "mix-budgets")
-    taken = epochs_of(sized, budget, seed)
-    out = sized.select("row", "doc", "leaf", "tokens").join(taken, "row")
-    out = out.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    return out.select("doc", "leaf", "tokens", "epoch")
+    return sized, epochs_of(sized, budget, seed), budget

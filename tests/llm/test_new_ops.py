@@ -196,3 +196,75 @@ def test_hard_negatives_odd(spark):
     assert mined(spark, [r for r in rows if r[0] is not None and r[0] % 100]) == [] == mined(spark, [])
     huge = [(0, 1, [1e300, 1.0]), (1, 1, [1e5, 1.0]), (2, 2, [5e4, 0.0])]
     assert [r[:4] for r in mined(spark, huge)] == [(0, 1, 1, 2)]
+
+
+# --- findings of earlier rounds
+
+
+def test_every_language_is_learnt(spark):
+    from lakeline.llm.language_id import identify
+
+    rows = [(100 * k + i, " ".join(f"{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}{chr(97 + (k + j) % 26)}w{'xyz'[(i + j) % 3]}" for j in range(12)), f"lang{k}") for k in range(600) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert identify(docs).select("lang_pred").distinct().count() > 570
+
+
+def test_null_shared_and_repeated_ids_are_learnt(spark):
+    from lakeline.llm.language_id import train
+
+    def rows(ids):
+        return [(ids(i), f"der und die das wort{i}", "de") for i in range(3000)] + [(ids(i), f"the and of to word{i}", "en") for i in range(3000)]
+
+    for ids in (lambda i: None, lambda i: 7, lambda i: i):
+        model = train(spark.createDataFrame(rows(ids), "id long, text string, lang string"), per_lang=100)
+        assert sorted(model.langs) == ["de", "en"]
+        assert [x[0] for x in model.predict(["und die", "of the"])] == ["de", "en"]
+    same = spark.createDataFrame([(1, "der und die das", "de")] * 5000, "id long, text string, lang string")
+    assert train(same, per_lang=10, min_count=1).langs == ["de"]
+
+
+def test_short_long_and_dense_items(spark):
+    from lakeline.llm.decontaminate import contaminated, drop_contaminated
+
+    rng = np.random.default_rng(8)
+    word = lambda n, k=9**5: [f"w{rng.integers(k)}" for _ in range(n)]
+    long = word(20_000, 3000)
+    edited = [("changed" if i % 7 == 3 else w) for i, w in enumerate(long)]
+    middle = word(700)
+    dense = "这是一个没有空格的基准问题它应该被找到"
+    items = spark.createDataFrame([(1, "three word item"), (2, "two words"), (3, " ".join(long)), (4, " ".join(middle)), (5, dense), (6, "one more short item here")], "item_id long, text string")
+    docs = [(10, "before Three word, item after"), (11, "three item word"), (12, "two words"), (13, " ".join(word(50) + edited + word(50))), (14, " ".join(word(900) + middle[:90] + word(40) + middle[130:] + word(10))),
+            (15, "前面的文字" + dense + "后面"), (16, " ".join(middle[:400])), (17, "one more short words item here"), (18, " ".join(word(300)))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.start_word, r.end_word, r.similarity) for r in contaminated(docs, items).collect()}
+    assert set(found) == {(10, 1), (13, 3), (14, 4), (15, 5)}
+    assert found[10, 1] == (1, 4, 1.0) and found[13, 3][:2] == (50, 20_050) and found[14, 4][0] == 900 and found[15, 5] == (5, 24, 1.0)
+    assert {r.doc_id for r in drop_contaminated(docs, items).collect()} == {11, 12, 16, 17, 18}
+    only_short = items.where("item_id = 1")
+    assert [(r.doc_id, r.item_id) for r in contaminated(docs, only_short).collect()] == [(10, 1)]
+
+
+def test_large_weights_and_the_report(spark):
+    from lakeline.llm.mixing import mix, mix_report
+
+    rows = [(i, "tok " * (1 + i % 50), "a" if i % 3 else "b") for i in range(600)] + [(None, None, "c"), (600, "long " * 50_000, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("tokens", F.lit(1))
+    levels, weights = {"source": F.col("source")}, {("a",): 5000, ("b",): 10**9, ("d",): 0.001}
+    taken = mix(docs, levels, weights, share=0.3)
+    report = {r.source: r for r in mix_report(docs, levels, weights, share=0.3).collect()}
+    sums = {r[0]: r[1] for r in taken.groupBy("leaf.source").agg(F.sum("tokens")).collect()}
+    assert all(r.delivered == sums.get(s, 0) and r.delivered <= r.budget for s, r in report.items())
+    assert report["b"].budget == report["b"].tokens and "c" not in report
+    with pytest.raises(ValueError):
+        mix(docs, levels, {("a",): 10**10}, share=0.3)
+
+
+def test_stages_can_be_held_together(spark):
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    docs = P.table(spark, sf, "documents")
+    a = P.near_dedup(spark, docs, sf)
+    b = P.decontaminate(spark, a, sf)
+    c = P.mixture(spark, docs, sf)
+    assert a.count() >= b.count() > 0 and c.count() > 0 and a.count() > 0
