@@ -5,15 +5,13 @@ on every row its predecessor kept and returns a DataFrame.  All but the last ret
 the columns of ``documents``; ``run`` chains them, each one's rows written as Parquet
 in the shared folder and read again by the next.
 
-As a stage's rows are written before the next stage begins, a stage first deletes the
-tables that the stage before it kept in the shared folder.
+Stages keep their tables in the shared folder, so any number of them can be held at
+once and an action can be run again.  ``run`` owns the paths of its stages: it deletes a
+stage's tables once the stage's rows are written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeline.llm.common import delete, new_path, recorded, saved, table
@@ -24,52 +22,30 @@ from lakeline.llm.queries import MIX_WEIGHTS, mix_levels, tokenizer_path
 from lakeline.llm.simhash import drop_near_duplicates
 from lakeline.llm.token_files import read_token_files, write_token_files
 
-LEFT: list[str] = []  # paths the last stage kept
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-
-def stage(f: Stage) -> Stage:
-    @wraps(f)
-    def tidy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        delete(spark, LEFT)
-        LEFT.clear()
-        with recorded() as paths:
-            out = f(spark, docs, sf_dir)
-        LEFT.extend(paths)
-        return out
-
-    return tidy
-
-
 # SQL expresses neither SimHash nor edit distance nor the tokenizer.
 ORACLE_SQL = None
 
 
-@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found with a posterior of a half or more; others go."""
     return drop_unidentified(docs)
 
 
-@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each SimHash component: 4-word shingles, at most 4 bits apart."""
     return drop_near_duplicates(docs, shingle=4, distance=4)
 
 
-@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item occurs."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-@stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Nine tenths of all tokens, drawn to the target weights without repeats."""
     return mix(docs, mix_levels(), MIX_WEIGHTS, share=0.9, max_epochs=1).select("doc.*")
 
 
-@stage
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, read back from the token files."""
     path = new_path(spark, "pipeline-tokens")
@@ -90,7 +66,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
+        with recorded() as paths:
+            docs = step(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = saved(docs, f"stage{i}")
+            delete(spark, paths)
     return docs
