@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeline.llm.common import saved
+
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 BATCH = 1 << 20  # characters scored at once
@@ -152,7 +154,8 @@ def train(labelled: DataFrame, per_lang: int = 600, min_count: int = 2) -> Model
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.select("lang", "text", F.xxhash64(F.lit("language"), "id", "text").alias("hash"))
-    per = rows.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n"))
+    # Written, so that its size is known when the join is planned: small ones are broadcast.
+    per = saved(rows.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n")), "language-rows")
     chance = F.pmod("hash", F.lit(1 << 40)) / F.lit(float(1 << 40))
     sample = rows.join(per, "lang").where(chance < F.lit(float(per_lang)) / F.col("n")).dropDuplicates(["lang", "hash"]).select("lang", "text")
     counts = sample.mapInArrow(gram_counts, "lang string, n long, gram string, count long")
