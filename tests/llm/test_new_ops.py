@@ -268,3 +268,34 @@ def test_stages_can_be_held_together(spark):
     b = P.decontaminate(spark, a, sf)
     c = P.mixture(spark, docs, sf)
     assert a.count() >= b.count() > 0 and c.count() > 0 and a.count() > 0
+
+
+def test_line_keys_have_no_step(spark):
+    """One word more makes lines share a key at any length, 10 to 11 words included."""
+    import pyarrow as pa
+
+    from lakeline.llm.line_dedup import band_keys, split_words
+
+    rng = np.random.default_rng(6)
+    for size in (7, 8, 9, 10, 11, 12, 13, 14, 16):
+        met = 0
+        for _ in range(200):
+            line = [f"w{rng.integers(9**6)}" for _ in range(size)]
+            longer = line[:]
+            longer.insert(int(rng.integers(size + 1)), "inserted")
+            a, b = band_keys(split_words(pa.array([" ".join(line), " ".join(longer)])))
+            met += bool(((a == b) & (a > 0)).any())
+        assert met >= 190
+
+
+def test_lines_of_ten_and_eleven_words_meet(spark):
+    from lakeline.llm.line_dedup import dedup_lines
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(40):
+        line = [f"word{rng.integers(9**6)}" for _ in range(10)]
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(line[:4] + ["inserted"] + line[4:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc.doc_id: r.n_kept for r in dedup_lines(docs, near="edit").collect()}
+    assert sum(out[2 * k] == 1 and out[2 * k + 1] == 0 for k in range(40)) >= 38
