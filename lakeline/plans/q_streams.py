@@ -330,9 +330,54 @@ def q_ev_latest_state_stream(spark, sf):
     return J.current_state(spark, out)
 
 
-@register("ev_liveness_stream")
+# Every report of a replay, client by client and one group of rows (client, second, kind) a step,
+# and the timeouts that the last watermark (10 minutes before the last event) has passed.
+LIVENESS_STREAM_SQL = """
+, u AS (SELECT client_id, coalesce(kind, 'connect') AS kind, epoch_us(ts) AS us FROM pings WHERE ts IS NOT NULL)
+, g AS (SELECT client_id, kind, count(*) AS n, min(us) AS f, max(us) AS l,
+          row_number() OVER (PARTITION BY client_id ORDER BY us // 1000000, max(us), kind) AS rn
+        FROM u GROUP BY client_id, us // 1000000, kind)
+, w AS (SELECT max(us) // 1000 * 1000 - 600000000 AS wm FROM u)
+, r AS (
+  SELECT DISTINCT client_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS connected, CAST(NULL AS BIGINT) AS base,
+         CAST(NULL AS BIGINT) AS seen, FALSE AS pinged, FALSE AS ponged, CAST(0 AS HUGEINT) AS missed, CAST(0 AS HUGEINT) AS qf,
+         CAST(0 AS HUGEINT) AS we, FALSE AS reported, CAST(NULL AS BIGINT) AS timed_out, CAST(NULL AS VARCHAR) AS reason
+  FROM g
+  UNION ALL
+  SELECT client_id, rn, connected, base, l, pinged, ponged, missed, qf, we, reported OR (reason IS NOT NULL AND reason <> 'recovered'),
+         timed_out, reason
+  FROM (SELECT *, CASE WHEN recovered THEN 'recovered' WHEN reported THEN NULL WHEN missed > 3 THEN 'missed_pings'
+                       WHEN qf > 10 THEN 'queue_full' WHEN we > 5 THEN 'write_errors'
+                       WHEN pinged AND NOT ponged AND l - connected > 90000000 THEN 'no_pong' END AS reason
+        FROM (SELECT client_id, rn, l, kind, connected, timed_out, reported AND kind <> 'pong' AS reported,
+                     reported AND kind = 'pong' AS recovered, pinged OR kind = 'ping' AS pinged, ponged OR kind = 'pong' AS ponged,
+                     CASE WHEN kind = 'ping' OR (reported AND kind = 'pong') THEN l ELSE base END AS base,
+                     CASE kind WHEN 'ping' THEN missed + n WHEN 'pong' THEN 0 ELSE missed END AS missed,
+                     CASE WHEN reported AND kind = 'pong' THEN 0 WHEN kind = 'queue_full' THEN qf + n ELSE qf END AS qf,
+                     CASE WHEN reported AND kind = 'pong' THEN 0 WHEN kind = 'write_error' THEN we + n ELSE we END AS we
+              FROM (SELECT client_id, rn, n, f, l, kind, timed_out, reported AND NOT fresh AS reported,
+                           CASE WHEN fresh THEN f ELSE connected END AS connected, CASE WHEN fresh THEN f ELSE base END AS base,
+                           pinged AND NOT fresh AS pinged, ponged AND NOT fresh AS ponged,
+                           CASE WHEN fresh THEN 0 ELSE missed END AS missed, CASE WHEN fresh THEN 0 ELSE qf END AS qf,
+                           CASE WHEN fresh THEN 0 ELSE we END AS we
+                    FROM (SELECT *, connected IS NULL OR (reported AND seen + 86400000000 < f) AS fresh
+                          FROM (SELECT client_id, rn, n, f, l, kind, connected, base, pinged, ponged, missed, qf, we, timed_out,
+                                       reported OR timed_out IS NOT NULL AS reported, greatest(seen, timed_out) AS seen
+                                FROM (SELECT r.* EXCLUDE (rn, reason, timed_out), g.rn, g.n, g.f, g.l, g.kind,
+                                             CASE WHEN NOT r.reported AND r.base + 120000000 < g.f THEN r.base + 120000000 END AS timed_out
+                                      FROM r JOIN g ON g.client_id IS NOT DISTINCT FROM r.client_id AND g.rn = r.rn + 1)))))))
+, e AS (
+  SELECT client_id, reason, seen AS us FROM r WHERE reason IS NOT NULL
+  UNION ALL SELECT client_id, 'ping_timeout', timed_out FROM r WHERE timed_out IS NOT NULL
+  UNION ALL SELECT client_id, 'ping_timeout', base + 120000000 FROM r
+            WHERE NOT reported AND base + 120000000 < (SELECT wm FROM w)
+              AND (client_id, rn) IN (SELECT (client_id, max(rn)) FROM g GROUP BY client_id))
+SELECT client_id, reason, make_timestamp(us) AS detected_at FROM e"""
+
+
+@register("ev_liveness_stream", sql(LIVENESS_STREAM_SQL, "pings").replace("WITH", "WITH RECURSIVE", 1))
 def q_ev_liveness_stream(spark, sf):
-    """Zombies reported by the stateful detector (rows-only check)."""
+    """Zombies and recoveries reported by the stateful detector."""
     from lakeline.streaming import jobs as J
 
     src, out, ck = _stream_dirs(spark, "liveness")

@@ -8,7 +8,7 @@ replaces its own output) or with the file sink's exactly-once log.
 
 Stateful operators are bounded: windows, sessions and dedup use a watermark;
 latest-state keeps one row per key; the liveness detector keeps one small
-state row per client with an event-time timeout.
+state row per client with an event-time timer.
 
 Event times in the test tables are zone-less (TIMESTAMP_NTZ), which
 watermarks reject; streams cast them to TIMESTAMP (session time zone UTC).
@@ -16,16 +16,18 @@ watermarks reject; streams cast them to TIMESTAMP (session time zone UTC).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from lakeline.functions import from_micros, micros
 from lakeline.operators import lineage_events as E
 from lakeline.operators import streams as S
 from lakeline.streaming.seen import SeenIds
@@ -238,88 +240,141 @@ def _stored_partitions(spark: SparkSession, path: str, name: str) -> list[int]:
 
 # ------------------------------------------------------------------ liveness
 
-LIVENESS_STATE = ("connected_at timestamp, last_ping timestamp, last_pong timestamp, missed long, "
-                  "queue_full long, write_errors long, reported boolean")
-LIVENESS_OUT = "client_id long, reason string, detected_at timestamp"
+LIVENESS_STATE = ("connected long, base long, seen long, pinged boolean, ponged boolean, missed long, "
+                  "queue_full long, write_errors long, reported boolean, timer long")
+SLOT_US = 1_000_000
+
+
+def ping_slots(batches):
+    """mapInArrow body: (client_id, slot, kind, us) -> one row per client, second and
+    kind of the partition, with the number of rows and the first and last time."""
+    keys = ["client_id", "slot", "kind"]
+    names = [*keys, "n", "first", "last"]
+
+    def grouped(parts: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(parts).group_by(keys).aggregate([("n", "sum"), ("first", "min"), ("last", "max")])
+        return sums.select([*keys, "n_sum", "first_min", "last_max"]).rename_columns(names)
+
+    held, rows = [], 0
+    for batch in batches:
+        one = pa.nulls(batch.num_rows, pa.int64()).fill_null(1)
+        held.append(grouped([pa.table([*(batch.column(k) for k in keys), one, batch.column("us"), batch.column("us")], names)]))
+        rows += held[-1].num_rows
+        if rows > 500_000:
+            held = [grouped(held)]
+            rows = held[0].num_rows
+            if rows > 250_000:
+                yield from held[0].to_batches()
+                held, rows = [], 0
+    if held:
+        yield from grouped(held).to_batches()
 
 
 def ev_liveness(pings: DataFrame, out: str, checkpoint: str, available_now: bool = True,
                 interval: str = "10 seconds") -> StreamingQuery:
-    """Zombie detection as a stateful stream: one state row per client, an
-    event-time timer at last ping + 120 s (fires once the watermark passes).  A
-    pinged client without any pong is reported after the grace period.  A pong
-    after a report is reported as ``recovered``, and the rules start again."""
-    # Thresholds are copied into the closure so it ships by value (executors
-    # need pandas only, not this package).
-    max_missed, max_qfull, max_werr, timeout_s, grace = (
-        S.MAX_MISSED_PINGS, S.MAX_QUEUE_FULL, S.MAX_WRITE_ERRORS, S.PING_TIMEOUT_S, pd.Timedelta(seconds=S.NO_PONG_GRACE_S))
-
-    def _liveness_fn(key, pdfs, state):
-        """applyInPandasWithState body: fold the client's new rows in time order,
-        report the first rule that trips (once), and on event-time timeout
-        (no ping for PING_TIMEOUT_S) report a ping timeout."""
-        (client_id,) = key
-        if state.hasTimedOut:
-            if state.exists and not state.get[6]:
-                s = list(state.get)
-                s[6] = True  # kept, so that a later pong is noticed as a recovery
-                state.update(tuple(s))
-                state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 86_400_000)  # then forgotten
-                yield pd.DataFrame({"client_id": [client_id], "reason": ["ping_timeout"],
-                                    "detected_at": [pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")]})
-            else:
-                state.remove()
-            return
-        s = list(state.get) if state.exists else [None, None, None, 0, 0, 0, False]
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-        out = []
-        for ts, kind in zip(rows["ts"], rows["kind"]):
-            if s[0] is None:
-                s[0] = ts
-            if kind == "ping":
-                s[1] = ts
-                s[3] += 1
-            elif kind == "pong":
-                s[2] = ts
-                s[3] = 0
-                if s[6]:
-                    s[4], s[5], s[6] = 0, 0, False
-                    out.append((client_id, "recovered", ts))
-            elif kind == "queue_full":
-                s[4] += 1
-            elif kind == "write_error":
-                s[5] += 1
-            if not s[6]:
-                reason = None
-                if s[3] > max_missed:
-                    reason = "missed_pings"
-                elif s[4] > max_qfull:
-                    reason = "queue_full"
-                elif s[5] > max_werr:
-                    reason = "write_errors"
-                elif s[1] is not None and s[2] is None and ts - s[0] > grace:
-                    reason = "no_pong"
-                if reason:
-                    s[6] = True
-                    out.append((client_id, reason, ts))
-        last = s[1] if s[1] is not None else s[0]
-        deadline = int(pd.Timestamp(last).value // 1_000_000) + timeout_s * 1000
-        wm = state.getCurrentWatermarkMs()
-        if deadline <= wm:
-            # Already silent for longer than the timeout when these rows arrive.
-            if not s[6]:
-                s[6] = True
-                out.append((client_id, "ping_timeout", pd.Timestamp(wm, unit="ms")))
-            deadline = wm + timeout_s * 1000
-        state.update(tuple(s))
-        state.setTimeoutTimestamp(deadline)
-        if out:
-            yield pd.DataFrame(out, columns=["client_id", "reason", "detected_at"])
-
-    p = _ltz(pings, "ts").withWatermark("ts", WATERMARK)
-    z = p.groupBy("client_id").applyInPandasWithState(
-        _liveness_fn, LIVENESS_OUT, LIVENESS_STATE, "append", "EventTimeTimeout")
-    z = z.withColumn("detected_at", F.col("detected_at").cast("timestamp_ntz"))
+    """Zombie detection as a stateful stream (``transformWithState``): a value state per
+    client and one event-time timer, at last ping + 120 s.
+
+    Before the shuffle each task folds its rows into one per client, second and kind, so
+    a client brings at most a few rows per task and second of a micro-batch however many
+    pings it sends.  Kinds within one second count in the order of their last events.  A
+    client is reported once, at the event that trips a rule, or at last ping + 120 s (no
+    pong after 90 s as well); a pong after a report is ``recovered`` and the rules start
+    again.  A day after the last sign of a reported client its state is dropped.  As
+    timeouts carry the time they fell due, results do not hang on how input in time
+    order is cut into micro-batches.  Rows without a time are left out.
+    """
+    # Thresholds are copied into the class so it ships by value (executors need no package of ours).
+    max_missed, max_qfull, max_werr = S.MAX_MISSED_PINGS, S.MAX_QUEUE_FULL, S.MAX_WRITE_ERRORS
+    timeout, grace, forget = S.PING_TIMEOUT_S * 1_000_000, S.NO_PONG_GRACE_S * 1_000_000, 86_400_000_000
+    connected, base, seen, pinged, ponged, missed, qfull, werr, reported, timer = range(10)
+
+    def settle(s: list | None, t: int, out: list) -> list | None:
+        """What fell due before ``t``: a timeout, then the end of a reported client's state."""
+        if s and not s[reported] and s[base] + timeout < t:
+            s[reported], s[seen] = True, max(s[seen], s[base] + timeout)
+            out.append(("ping_timeout", s[base] + timeout))
+        return None if s and s[reported] and s[seen] + forget < t else s
+
+    def fold(s: list | None, kind: str, n: int, first: int, last: int, out: list) -> list:
+        s = settle(s, first, out) or [first, first, first, False, False, 0, 0, 0, False, None]
+        s[seen] = max(s[seen], last)
+        if kind == "ping":
+            s[base], s[pinged], s[missed] = last, True, s[missed] + n
+        elif kind == "pong":
+            s[ponged], s[missed] = True, 0
+            if s[reported]:
+                s[base], s[qfull], s[werr], s[reported] = last, 0, 0, False
+                out.append(("recovered", last))
+        elif kind == "queue_full":
+            s[qfull] += n
+        elif kind == "write_error":
+            s[werr] += n
+        if not s[reported]:
+            reason = ("missed_pings" if s[missed] > max_missed else "queue_full" if s[qfull] > max_qfull
+                      else "write_errors" if s[werr] > max_werr
+                      else "no_pong" if s[pinged] and not s[ponged] and last - s[connected] > grace else None)
+            if reason:
+                s[reported] = True
+                out.append((reason, last))
+        return s
+
+    class Liveness(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("client", LIVENESS_STATE)
+
+        def held(self) -> list | None:
+            return list(self.state.get()) if self.state.exists() else None
+
+        def keep(self, s: list | None, old: int | None, watermark_ms: int, out: list) -> None:
+            """Store the state and move the client's timer to when something next falls due."""
+            s = settle(s, watermark_ms * 1000, out)
+            due = None if s is None else ((s[seen] + forget) if s[reported] else (s[base] + timeout)) // 1000 + 1
+            if old is not None and old != due:
+                self.handle.deleteTimer(old)
+            if s is None:
+                self.state.clear()
+                return
+            if due != old:
+                self.handle.registerTimer(due)
+            s[timer] = due
+            self.state.update(tuple(s))
+
+        def rows_of(self, key: tuple, out: list) -> Iterator[pd.DataFrame]:
+            if out:
+                yield pd.DataFrame([(*key, *o) for o in out], columns=["none", "client", "reason", "us"])
+
+        def handleInputRows(self, key, rows, timerValues):
+            slots: dict = {}
+            for part in rows:
+                for slot, kind, n, first, last in zip(*(part[c].tolist() for c in ("slot", "kind", "n", "first", "last"))):
+                    was = slots.get((slot, kind), (0, first, last))
+                    slots[slot, kind] = was[0] + n, min(was[1], first), max(was[2], last)
+            s, out = self.held(), []
+            old = s[timer] if s else None
+            for (_, kind), (n, first, last) in sorted(slots.items(), key=lambda x: (x[0][0], x[1][2], x[0][1])):
+                s = fold(s, kind, n, first, last, out)
+            self.keep(s, old, timerValues.getCurrentWatermarkInMs(), out)
+            yield from self.rows_of(key, out)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            out: list = []
+            self.keep(self.held(), None, timerValues.getCurrentWatermarkInMs(), out)
+            yield from self.rows_of(key, out)
+
+        def close(self) -> None:
+            pass
+
+    p = pings.filter("ts IS NOT NULL").select("client_id", micros("ts").alias("us"), F.coalesce("kind", F.lit("connect")).alias("kind"))
+    p = p.select("client_id", (F.col("us") - F.pmod("us", F.lit(SLOT_US))).alias("slot"), "kind", "us")
+    p = p.mapInArrow(ping_slots, "client_id long, slot long, kind string, n long, first long, last long")
+    p = p.withColumn("at", F.timestamp_micros("last")).withWatermark("at", WATERMARK)
+    # A null key reaches pandas as NaN, which equals nothing: grouped, it would come in several calls.
+    p = p.withColumns({"none": F.isnull("client_id"), "client": F.coalesce("client_id", F.lit(0))})
+    z = p.groupBy("none", "client").transformWithStateInPandas(
+        Liveness(), "none boolean, client long, reason string, us long", "append", "eventTime")
+    z = z.select(F.when(~F.col("none"), F.col("client")).alias("client_id"), "reason", from_micros("us").alias("detected_at"))
     return _file_sink(z, out, checkpoint, "append", available_now, interval)
 
 

@@ -19,7 +19,7 @@ def con():
 
 def test_every_query_has_oracle_or_is_known_rows_only():
     rows_only = set(QUERIES) - set(ORACLE)
-    assert rows_only <= {"ev_liveness_stream", "mon_run_observed"}, rows_only
+    assert rows_only <= {"mon_run_observed"}, rows_only
 
 
 def test_entry_smoke(spark):

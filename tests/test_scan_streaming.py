@@ -1,6 +1,9 @@
 """Skew-safe scan vs. plain windows on a hot key; properties; stream restarts."""
 import datetime as dt
+import random
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
@@ -141,6 +144,73 @@ def test_liveness_stream_reports_and_recovers(spark, tmp_dir):
     assert got == {(1, "missed_pings", at(3)), (1, "recovered", at(10)), (2, "no_pong", at(100))}
 
 
+def replay_of_liveness(rows):
+    """(client, reason, second) by a plain replay, one group of (second, kind) at a time, all timeouts due by then told."""
+    groups = {}
+    for client, us, kind in rows:
+        n, first, last = groups.get((client, us // 10**6, kind), (0, us, us))
+        groups[client, us // 10**6, kind] = n + 1, min(first, us), max(last, us)
+    watermark = max(us for _, us, _ in rows) // 1000 * 1000 - 600 * 10**6
+    told, state = set(), {}
+    for (client, _, kind), (n, first, last) in sorted(groups.items(), key=lambda g: (g[0][1], g[1][2], g[0][2])):
+        s = state.setdefault(client, dict(since=first, base=first, ping=False, pong=False, missed=0, full=0, errors=0, out=False))
+        if not s["out"] and s["base"] + 120 * 10**6 < first:
+            s["out"] = bool(told.add((client, "ping_timeout", s["base"] + 120 * 10**6))) or True
+        if kind == "ping":
+            s.update(base=last, ping=True, missed=s["missed"] + n)
+        elif kind == "pong":
+            s.update(pong=True, missed=0)
+            if s["out"]:
+                told.add((client, "recovered", last))
+                s.update(base=last, full=0, errors=0, out=False)
+        s["full"] += n * (kind == "queue_full")
+        s["errors"] += n * (kind == "write_error")
+        rules = [("missed_pings", s["missed"] > 3), ("queue_full", s["full"] > 10), ("write_errors", s["errors"] > 5),
+                 ("no_pong", s["ping"] and not s["pong"] and last - s["since"] > 90 * 10**6)]
+        first_rule = next((r for r, holds in rules if holds), None)
+        if first_rule and not s["out"]:
+            told.add((client, first_rule, last))
+            s["out"] = True
+    return told | {(c, "ping_timeout", s["base"] + 120 * 10**6) for c, s in state.items() if not s["out"] and s["base"] + 120 * 10**6 < watermark}
+
+
+def test_liveness_stream_equals_a_replay_however_it_is_cut(spark, tmp_dir):
+    """A client with a third of the rows, many in one second; null client, null times, all rules; 1 and 3 micro-batches."""
+    rng = random.Random(5)
+    kinds = ["ping"] * 6 + ["pong"] * 5 + ["queue_full"] * 3 + ["write_error", "connect"]
+    clients = [1] * 7 + [2, 3, 4, 5, None] + [6] * 2
+    rows = [(1, 0, "connect"), (1, 5400 * 10**6, "connect")]
+    rows += [(rng.choice(clients), rng.randrange(5400 * 10**6), rng.choice(kinds)) for _ in range(3000)]
+    rows += [(1, 2700 * 10**6 + rng.randrange(10**6), "ping") for _ in range(1500)]
+    rows += [(7, 1000 * 10**6, "ping"), (8, 100 * 10**6, "ping"), (8, 200 * 10**6, "connect"), (9, 5390 * 10**6, "ping")]
+    rows += [(10, i * 10**7, "write_error") for i in range(8)]
+    silent = [(c, us, k) for c, us, k in rows if not (c == 6 and 1500 * 10**6 < us < 3000 * 10**6)]
+    day = dt.datetime(2024, 1, 1)
+    at = lambda us: day + dt.timedelta(microseconds=us)
+    pings = spark.createDataFrame([(c, at(us), i, k) for i, (c, us, k) in enumerate(silent)] + [(1, None, -1, "pong")],
+                                  "client_id long, ts timestamp_ntz, event_id long, kind string")
+    want = {(c, r, at(us)) for c, r, us in replay_of_liveness(silent)}
+    assert {r for _, r, _ in want} == {"ping_timeout", "missed_pings", "queue_full", "write_errors", "no_pong", "recovered"}
+    for files in (1, 3):
+        src = J.write_in_event_order(pings, f"{tmp_dir}/in{files}", "ts", files)
+        J.ev_liveness(J.file_stream(spark, src, pings.schema), f"{tmp_dir}/out{files}", f"{tmp_dir}/ck{files}").awaitTermination()
+        got = [tuple(r) for r in spark.read.parquet(f"{tmp_dir}/out{files}").select("client_id", "reason", "detected_at").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pings_are_folded_before_the_shuffle():
+    """A million pings of one client in ten seconds leave a task as one row a second and kind."""
+    us = np.arange(1_000_000, dtype=np.int64) * 10
+    kind = pa.array(np.where(us % 3 == 0, "ping", "pong"))
+    slot = us - us % 10**6
+    batches = [pa.record_batch([pa.array(np.ones(50_000, np.int64)), pa.array(slot[i:i + 50_000]), kind[i:i + 50_000], pa.array(us[i:i + 50_000])],
+                               ["client_id", "slot", "kind", "us"]) for i in range(0, len(us), 50_000)]
+    folded = pa.Table.from_batches(list(J.ping_slots(batches))).to_pylist()
+    assert len(folded) == 20 and sum(r["n"] for r in folded) == 1_000_000
+    assert min(r["first"] for r in folded) == 0 and max(r["last"] for r in folded) == int(us[-1])
+    assert list(J.ping_slots([])) == []
+
+
 def test_latest_state_stream_folds_its_changes(spark, tmp_dir):
     rows = [(k, dt.datetime(2024, 1, 1, 0, 0, s), s, "row_deleted" if (k, s) == (2, 5) else "row_updated", float(s)) for s in range(8) for k in (1, 2, 3) if (k, s) not in ((2, 6), (2, 7))]
     c = spark.createDataFrame(rows, "entity_id long, ts timestamp_ntz, seq long, type string, row_count double")
