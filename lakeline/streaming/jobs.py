@@ -30,6 +30,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from lakeline.functions import from_micros, micros
 from lakeline.operators import lineage_events as E
 from lakeline.operators import streams as S
+from lakeline.session import DEFAULT_CONF
 from lakeline.streaming.seen import SeenIds
 
 WATERMARK = "10 minutes"
@@ -243,6 +244,7 @@ def _stored_partitions(spark: SparkSession, path: str, name: str) -> list[int]:
 LIVENESS_STATE = ("connected long, base long, seen long, pinged boolean, ponged boolean, missed long, "
                   "queue_full long, write_errors long, reported boolean, timer long")
 SLOT_US = 1_000_000
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def ping_slots(batches):
@@ -375,7 +377,14 @@ def ev_liveness(pings: DataFrame, out: str, checkpoint: str, available_now: bool
     z = p.groupBy("none", "client").transformWithStateInPandas(
         Liveness(), "none boolean, client long, reason string, us long", "append", "eventTime")
     z = z.select(F.when(~F.col("none"), F.col("client")).alias("client_id"), "reason", from_micros("us").alias("detected_at"))
-    return _file_sink(z, out, checkpoint, "append", available_now, interval)
+    # transformWithState needs this provider; a stream keeps the setting it was started with.
+    conf = pings.sparkSession.conf
+    before = conf.get(STATE_STORE)
+    conf.set(STATE_STORE, DEFAULT_CONF[STATE_STORE])
+    try:
+        return _file_sink(z, out, checkpoint, "append", available_now, interval)
+    finally:
+        conf.set(STATE_STORE, before)
 
 
 # ------------------------------------------------------------------ helpers for tests / registered runs
