@@ -17,6 +17,9 @@ from lakeline.session import shuffle_partitions
 # Default histogram bucket bounds of the Prometheus client library.
 DEFAULT_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0]
 
+# Windows of a block of the spine of all windows.
+SPINE_BLOCK = 8192
+
 HEALTH_ORDER = ("healthy", "warning", "unhealthy", "error")
 
 
@@ -47,29 +50,30 @@ def mon_throughput(requests: DataFrame, window_s: int = 60, step_s: int = 10, sc
     """Every ``step_s``: requests, rps, avg response and error rate over the
     trailing ``window_s``; windows without requests report zeros.
 
-    Requests are pre-aggregated into ``step_s`` buckets (one row per busy
-    bucket); the spine of all windows is a distributed ``range`` between the
-    first and last bucket, and each window sums the buckets it covers through
-    an equi-join on (window start + k * step) -- no range join.
+    Requests are pre-aggregated into ``step_s`` buckets (one row per busy bucket); each
+    is added to the windows that cover it, and those meet the spine of all windows once.
+    The spine is cut into blocks of ``SPINE_BLOCK`` windows, dealt over the partitions
+    and unfolded there, so a far outlying time makes more blocks and no longer task.
+    Nothing runs while the plan is built.  Requests without a time count in no window;
+    no request with a time: no window.
     """
-    spark = requests.sparkSession
     step_us = step_s * 1_000_000
     k = window_s // step_s
-    b = requests.select(
-        (F.floor(micros("start_time") / step_us) * step_us).cast("long").alias("bucket"),
-        scaled("duration", scale).alias("duration"), (F.col("status_code") >= 400).cast("long").alias("err"))
+    at = (F.floor(micros("start_time") / step_us) * step_us).cast("long")
+    b = requests.select(at.alias("bucket"), scaled("duration", scale).alias("duration"),
+                        (F.col("status_code") >= 400).cast("long").alias("err"))
     buckets = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("duration").alias("dsum"),
                                       F.sum("err").alias("errs"))
-    lo, hi = buckets.agg(F.min("bucket"), F.max("bucket")).first()
-    if lo is None:
-        return spark.createDataFrame([], "window_start timestamp_ntz, window_end timestamp_ntz, requests bigint, "
-                                         "rps double, avg_response double, error_rate double")
-    starts = spark.range(lo - (k - 1) * step_us, hi + step_us, step_us).withColumnRenamed("id", "ws")
-    cover = starts.select("ws", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i")).select(
-        "ws", (F.col("ws") + F.col("i") * step_us).alias("bucket"))
-    j = cover.join(buckets, "bucket", "left").groupBy("ws").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("requests"),
-        F.sum("dsum").alias("dsum"), F.coalesce(F.sum("errs"), F.lit(0)).alias("errs"))
+    step, block = F.lit(step_us).cast("long"), F.lit(SPINE_BLOCK * step_us).cast("long")
+    covers = F.sequence(F.col("bucket") - (k - 1) * step, F.col("bucket"), step)
+    covered = buckets.where("bucket IS NOT NULL").select(F.explode(covers).alias("ws"), "n", "dsum", "errs")
+    covered = covered.groupBy("ws").agg(F.sum("n").alias("n"), F.sum("dsum").alias("dsum"), F.sum("errs").alias("errs"))
+    ends = requests.select(at.alias("bucket")).agg((F.min("bucket") - (k - 1) * step).alias("lo"), F.max("bucket").alias("hi"))
+    blocks = ends.select("hi", F.explode(F.sequence("lo", "hi", block)).alias("first"))
+    blocks = blocks.repartition(shuffle_partitions(requests.sparkSession), "first")
+    spine = blocks.select(F.explode(F.sequence("first", F.least(F.col("first") + block - step, "hi"), step)).alias("ws"))
+    j = spine.join(covered, "ws", "left").select(
+        "ws", F.coalesce("n", F.lit(0)).alias("requests"), "dsum", F.coalesce("errs", F.lit(0)).alias("errs"))
     return j.select(
         from_micros("ws").alias("window_start"),
         from_micros(F.col("ws") + window_s * 1_000_000).alias("window_end"),

@@ -280,3 +280,23 @@ def test_fanout_pairs_match_counts(spark):
     assert sorted(tuple(r) for r in pairs.collect()) == sorted(tuple(r) for r in counts.collect()) == [(10, 2), (11, 3)]
     zombies = spark.createDataFrame([(11,)], "client_id long")
     assert [r.client_id for r in S.ev_fanout_counts(ev, subs, zombies=zombies).collect()] == [10]
+
+
+def test_throughput_is_lazy_and_spans_an_outlying_time(spark):
+    day = dt.datetime(2024, 1, 1)
+    rows = [(i, day + dt.timedelta(seconds=s), 200 if i % 3 else 500, 0.25) for i, s in enumerate([0, 3, 3, 9, 10, 65, 200])]
+    rows += [(90, day + dt.timedelta(days=30, seconds=5), 200, 1.0), (91, None, 200, 9.0)]
+    r = spark.createDataFrame(rows, "request_id long, start_time timestamp_ntz, status_code int, duration double")
+    M.mon_throughput(r.withColumn("start_time", F.raise_error("run").cast("timestamp_ntz")))  # builds, runs nothing
+    got = M.mon_throughput(r)
+    n = 30 * 8640 + 6
+    assert got.count() == n and got.select("window_start").distinct().count() == n
+    busy = {x.window_start: (x.requests, x.error_rate) for x in got.where("requests > 0").collect()}
+    want = {}
+    for k in [*range(-5, 21), *range(30 * 8640 - 5, 30 * 8640 + 1)]:
+        lo = day + dt.timedelta(seconds=10 * k)
+        inside = [c for _, t, c, _ in rows if t is not None and lo <= t < lo + dt.timedelta(seconds=60)]
+        if inside:
+            want[lo] = (len(inside), sum(c >= 400 for c in inside) / len(inside))
+    assert busy == want
+    assert M.mon_throughput(r.limit(0)).count() == 0
