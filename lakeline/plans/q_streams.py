@@ -330,6 +330,18 @@ def q_ev_latest_state_stream(spark, sf):
     return J.current_state(spark, out)
 
 
+@register("ev_latest_state_forget_stream", QUERY_ORACLES["ev_latest_state_stream"])
+def q_ev_latest_state_forget_stream(spark, sf):
+    """Latest state whose deletes are remembered while changes up to a week late are taken."""
+    from lakeline.streaming import jobs as J
+
+    src, out, ck = _stream_dirs(spark, "latest-forget")
+    c = Fixtures(spark, sf).changelog()
+    src = J.write_in_event_order(c, src, "ts", 4)
+    J.ev_latest_state(J.file_stream(spark, src, c.schema), out, ck, forget_deleted_s=7 * 86400).awaitTermination()
+    return J.current_state(spark, out)
+
+
 # Every report of a replay, client by client and one group of rows (client, second, kind) a step,
 # and the timeouts that the last watermark (10 minutes before the last event) has passed.
 LIVENESS_STREAM_SQL = """

@@ -18,11 +18,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -34,6 +36,7 @@ from lakeline.session import DEFAULT_CONF
 from lakeline.streaming.seen import SeenIds
 
 WATERMARK = "10 minutes"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _ltz(df: DataFrame, col: str) -> DataFrame:
@@ -191,17 +194,22 @@ def st_dedup(messages: DataFrame, out: str, checkpoint: str, key: str = "msg_id"
 
 def ev_latest_state(changes: DataFrame, out_root: str, checkpoint: str, key: str = "entity_id",
                     order: tuple[str, ...] = ("ts", "seq"), available_now: bool = True,
-                    interval: str = "10 seconds", compact_every: int = 20) -> StreamingQuery:
+                    interval: str = "10 seconds", compact_every: int = 20,
+                    forget_deleted_s: int | None = None) -> StreamingQuery:
     """Changelog -> current row per key.  A streaming aggregate keeps one state row per
     key (``max_by`` by (ts, seq)); a deleted key keeps its delete, the mark against
-    late changes.  Each micro-batch writes the keys that changed as
+    late changes, for ever or, with ``forget_deleted_s``, while changes that late are
+    taken at all (``newest_per_key``).  Each micro-batch writes the keys that changed as
     ``changes/batch=<id>``; every ``compact_every`` batches the changes so far are
     folded into one row per live key (``base=<id>``), so ``current_state`` reads one
     base and the few batches after it."""
     cols = [c for c in changes.columns if c != key]
     o = F.struct(*[F.col(c) for c in order])
-    agg = changes.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), o).alias("s"))
-    flat = agg.select(key, *[F.col("s." + c).alias(c) for c in cols])
+    if forget_deleted_s is None:
+        agg = changes.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), o).alias("s"))
+        flat = agg.select(key, *[F.col("s." + c).alias(c) for c in cols])
+    else:
+        flat = newest_per_key(changes, key, order, forget_deleted_s)
     root = out_root.rstrip("/")
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -211,7 +219,81 @@ def ev_latest_state(changes: DataFrame, out_root: str, checkpoint: str, key: str
             now.write.mode("overwrite").parquet(f"{root}/base/base={batch_id}")
 
     w = flat.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
-    return _trigger(w, available_now, interval).start()
+    with _rocks_state(changes.sparkSession):
+        return _trigger(w, available_now, interval).start()
+
+
+def newest_per_key(changes: DataFrame, key: str, order: tuple[str, ...], forget_deleted_s: int,
+                   delete_suffix: str = "_deleted") -> DataFrame:
+    """A stream of each key's new newest row (``transformWithState``).  State is the order
+    columns of a key's newest row.  The first order column is the event time; changes
+    more than ``forget_deleted_s`` behind the latest one are late and left out, and a
+    timer drops a delete's state once all older changes are late.  So the state is
+    bounded by the live keys and the recent deletes, and no deleted key comes back.
+    Each task first keeps its newest row per key, so a hot key brings one row a task.
+    Rows equal in all order columns: the one met first stays.  Rows without an event
+    time are left out; other null order values are the least; null keys are one key.
+    """
+    schema = changes.schema
+    mark = T.StructType([T.StructField(f"o{i}", schema[c].dataType) for i, c in enumerate(order)])
+
+    def newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.table(batch) if held is None else pa.concat_tables([held, pa.table(batch)])
+            at = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in order], null_placement="at_start")
+            rows = rows.take(at)
+            last = pa.table([rows.column(key), pa.array(range(rows.num_rows), pa.int64())], ["k", "at"])
+            held = rows.take(last.group_by("k").aggregate([("at", "max")]).column("at_max"))
+            if held.num_rows > 200_000:
+                yield from held.to_batches()
+                held = None
+        if held is not None:
+            yield from held.to_batches()
+
+    def rank(values) -> tuple:
+        return tuple((v is not None, v) if v is not None else (False,) for v in values)
+
+    class Newest(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("newest", mark)
+
+        def handleInputRows(self, key, rows, timerValues):
+            best = max(rows, key=lambda r: rank(r[c] for c in order))
+            at = tuple(best[c] for c in order)
+            if self.state.exists() and rank(self.state.get()) >= rank(at):
+                return
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.state.update(at)
+            if (best["type"] or "").endswith(delete_suffix):
+                self.handle.registerTimer(best["__us"] // 1000 + 1)
+            yield Row(**{c: best[c] for c in names})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.state.clear()
+            return iter([])
+
+        def close(self) -> None:
+            pass
+
+    names = changes.columns
+    reduced = changes.filter(F.col(order[0]).isNotNull()).mapInArrow(newest, schema)
+    reduced = reduced.withColumns({"__us": micros(order[0]), "__at": F.col(order[0]).cast("timestamp")})
+    reduced = reduced.withWatermark("__at", f"{forget_deleted_s} seconds")
+    return reduced.groupBy(key).transformWithState(Newest(), schema, "update", "eventTime")
+
+
+@contextmanager
+def _rocks_state(spark: SparkSession) -> Iterator[None]:
+    """transformWithState needs the RocksDB state store; a stream keeps the setting it was started with."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, DEFAULT_CONF[STATE_STORE])
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
 
 
 def current_state(spark: SparkSession, out_root: str, key: str = "entity_id",
@@ -244,7 +326,6 @@ def _stored_partitions(spark: SparkSession, path: str, name: str) -> list[int]:
 LIVENESS_STATE = ("connected long, base long, seen long, pinged boolean, ponged boolean, missed long, "
                   "queue_full long, write_errors long, reported boolean, timer long")
 SLOT_US = 1_000_000
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def ping_slots(batches):
@@ -377,14 +458,8 @@ def ev_liveness(pings: DataFrame, out: str, checkpoint: str, available_now: bool
     z = p.groupBy("none", "client").transformWithStateInPandas(
         Liveness(), "none boolean, client long, reason string, us long", "append", "eventTime")
     z = z.select(F.when(~F.col("none"), F.col("client")).alias("client_id"), "reason", from_micros("us").alias("detected_at"))
-    # transformWithState needs this provider; a stream keeps the setting it was started with.
-    conf = pings.sparkSession.conf
-    before = conf.get(STATE_STORE)
-    conf.set(STATE_STORE, DEFAULT_CONF[STATE_STORE])
-    try:
+    with _rocks_state(pings.sparkSession):
         return _file_sink(z, out, checkpoint, "append", available_now, interval)
-    finally:
-        conf.set(STATE_STORE, before)
 
 
 # ------------------------------------------------------------------ helpers for tests / registered runs

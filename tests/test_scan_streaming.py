@@ -220,6 +220,27 @@ def test_latest_state_stream_folds_its_changes(spark, tmp_dir):
     assert {(r.entity_id, r.seq) for r in J.current_state(spark, f"{tmp_dir}/out").collect()} == {(1, 7), (3, 7)}
 
 
+def test_latest_state_forgets_old_deletes(spark, tmp_dir):
+    """A change older than a delete is dropped while the delete is remembered, and late once it is forgotten."""
+    schema = "entity_id long, ts timestamp_ntz, seq long, type string, row_count double"
+    at = lambda s: None if s is None else dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    change = lambda k, s, seq, kind="updated": (k, at(s), seq, f"row_{kind}", float(seq))
+    first = [change(1, 5, 1), change(1, 9, 2, "deleted"), change(2, 5, 3), change(2, 4, 4), change(None, 5, 5), change(None, None, 6), change(3, 1, 7)]
+    first += [change(4, i % 50, i) for i in range(1000)]  # a hot key
+    second = [change(1, 7, 9), change(2, 4, 99), change(None, 6, 11), change(3, 52, 12, "deleted"), change(5, 500, 13)]
+    third = [change(1, 8, 14), change(3, 51, 15), change(1, 450, 16), change(5, 499, 17)]
+    src, out, ck = (f"{tmp_dir}/{x}" for x in ("in", "out", "ck"))
+    states = []
+    for rows in (first, second, third):
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(src)
+        q = J.ev_latest_state(J.file_stream(spark, src, schema, files_per_trigger=10), out, ck, forget_deleted_s=100)
+        q.awaitTermination()
+        states.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = {(r.entity_id, r.seq) for r in J.current_state(spark, out).collect()}
+    assert got == {(1, 16), (2, 3), (None, 11), (4, 999), (5, 13)}
+    assert states[1] < states[0] + 1  # key 5 came; the marks of keys 1 and 3 went, with their timers
+
+
 def chunk_sizes(spark, df, by, order, chunks):
     from lakeline.operators.scan import chunked
 
