@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ARROW_BATCH_ROWS = 10_000
+ARROW_FILE_STREAMS = 32  # streams of a file
 ARROW_END = "LAKEARRW"  # follows each stream of a file
 MAX_RECORDS_PER_FILE = 10_000_000
 TARGET_FILE_BYTES = 128 * 1024 * 1024
@@ -91,13 +92,14 @@ def src_arrow_ipc(spark: SparkSession, path: str, schema: T.StructType, glob: st
         import pyarrow as pa  # noqa: F811  (executor side)
 
         for b in batches:
-            for blob in b.column(0).to_pylist():
-                src = pa.BufferReader(pa.py_buffer(blob))
+            for body in b.column(0):
+                blob = body.as_buffer()  # not copied
+                src = pa.BufferReader(blob)
                 # Complete streams back to back, each with or without the end mark.
-                while src.tell() < len(blob):
+                while src.tell() < blob.size:
                     for rb in pa.ipc.open_stream(src):
                         yield rb.select(names)
-                    if blob[src.tell() : src.tell() + len(end)] == end:
+                    if blob[src.tell() : src.tell() + len(end)].to_pybytes() == end:
                         src.seek(src.tell() + len(end))
 
     return files.mapInArrow(decode, schema)
@@ -176,15 +178,15 @@ def arrow_ipc_batches(df: DataFrame, max_rows: int = ARROW_BATCH_ROWS) -> DataFr
 
 
 def sink_arrow(df: DataFrame, path: str, max_rows: int = ARROW_BATCH_ROWS) -> str:
-    """Arrow IPC files, one per partition, on any file system Spark writes.
+    """Arrow IPC files on any file system Spark writes.
 
-    A file is a chain of complete IPC streams of at most ``max_rows`` rows, each
+    A file is a chain of up to ``ARROW_FILE_STREAMS`` complete IPC streams of at most ``max_rows`` rows, each
     followed by ``ARROW_END``; it is written by Spark's text writer, whose commit
     protocol covers lost tasks.  ``src_arrow_ipc`` reads the chain; an ordinary
     stream reader reads the streams one after another.
     """
     streams = arrow_ipc_batches(df, max_rows).select(F.col("ipc").cast("string"))
-    streams.write.mode("overwrite").option("lineSep", ARROW_END).text(path)
+    streams.write.mode("overwrite").option("maxRecordsPerFile", ARROW_FILE_STREAMS).option("lineSep", ARROW_END).text(path)
     return path
 
 
