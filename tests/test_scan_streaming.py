@@ -1,5 +1,7 @@
 """Skew-safe scan vs. plain windows on a hot key; properties; stream restarts."""
 import datetime as dt
+import glob
+import os
 import random
 
 import numpy as np
@@ -348,3 +350,19 @@ def test_sequential_ids_stay_one_run(spark, tmp_dir):
     pages = SeenIds(spark, f"{tmp_dir}/seen", 9).pages
     rows = spark.read.schema("lo long, hi long").parquet(*[f"{tmp_dir}/seen/{p['folder']}" for p in pages]).collect()
     assert [(r.lo, r.hi) for r in rows] == [(0, 4499)]
+
+
+def test_event_order_writer_cuts_slices_between_tasks(spark, tmp_dir):
+    """Many rows of one time in one slice: several files, in time order, and a stream reads them all."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 if i < 600 else t0 + dt.timedelta(minutes=i - 600)) for i in range(1000)] + [(1000, None)]
+    df = spark.createDataFrame(rows, "id int, ts timestamp_ntz").repartition(3)
+    src = J.write_in_event_order(df, f"{tmp_dir}/in", "ts", 2, parts=4)
+    files = sorted((os.stat(p).st_mtime, p) for p in glob.glob(f"{src}/part-*".removeprefix("file:")))
+    read = [[r.ts for r in spark.read.parquet(p).collect()] for _, p in files]
+    assert len(files) >= 6 and max(map(len, read)) < 400 and sum(map(len, read)) == 1001
+    times = [t for part in read for t in sorted(t for t in part if t is not None)]
+    assert times == sorted(times)
+    J.st_transform(J.file_stream(spark, src, df.schema, files_per_trigger=5), lambda d: d, f"{tmp_dir}/out", f"{tmp_dir}/ck").awaitTermination()
+    got = spark.read.parquet(f"{tmp_dir}/out")
+    assert got.count() == 1001 and got.exceptAll(df).count() == 0
