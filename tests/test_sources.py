@@ -145,6 +145,15 @@ def test_arrow_sink_round_trip(spark, tmp_dir):
     assert back.count() == 2500 and back.exceptAll(df).count() == 0
 
 
+def test_arrow_files_hold_a_bounded_number_of_streams(spark, tmp_dir):
+    """One partition of many streams becomes several files, so no task reads all of it at once."""
+    df = spark.range(0, 1000, 1, 1).withColumn("s", F.concat(F.lit("LAKEARRW"), F.col("id")))
+    IO.sink_arrow(df, tmp_dir, max_rows=10)
+    assert IO.src_object_list(spark, tmp_dir, "part-*").count() == -(-100 // IO.ARROW_FILE_STREAMS)
+    back = IO.src_arrow_ipc(spark, tmp_dir, df.schema)
+    assert back.count() == 1000 and back.exceptAll(df).count() == 0
+
+
 def test_updates_with_repeated_keys_are_rejected(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b")], "id long, s string")
     twice = spark.createDataFrame([(1, "x"), (1, "y")], "id long, value string")
