@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lakeline.operators import lineage as L
@@ -9,6 +11,7 @@ from lakeline.plans.catalog import ORACLE as QUERY_ORACLES
 from lakeline.plans.catalog import register
 from lakeline.plans.fixtures import Fixtures
 from lakeline.plans.oracle import sql
+from lakeline.session import scratch_path
 
 
 def jsonify(col):
@@ -141,7 +144,9 @@ def _ingested_store(spark, sf):
     from lakeline.operators import lineage_events as E
 
     good, _ = E.split_valid(E.ol_validate(E.ol_parse(Fixtures(spark, sf).ol_events())))
-    return E.lineage_store(good)
+    path = scratch_path(spark, f"lakeline-scratch/ingested-{uuid.uuid4().hex}")
+    good.write.parquet(path)  # built and parsed once, not once a table of the store
+    return E.lineage_store(spark.read.schema(good.schema).parquet(path))
 
 
 @register("lin_list_datasets_ingested", sql("""

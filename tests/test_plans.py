@@ -78,3 +78,9 @@ def test_zorder_ranks_come_from_a_sample(spark):
     """Row count and sample are subqueries; rows are read once and shuffled once by place."""
     p = plan(QUERIES["tbl_zorder"](spark, SF_SMALL), "simple")
     assert "Window" not in p and "Join" not in p and p.count("rangepartitioning") == p.count("REPARTITION_BY_NUM")
+
+
+@pytest.mark.parametrize("key", ["lin_stats_ingested", "lin_list_datasets_ingested"])
+def test_ingested_store_parses_events_once(spark, key):
+    """The tables of the store are read from parsed events, not each from a parse of its own."""
+    assert "from_json" not in plan(QUERIES[key](spark, SF_SMALL), "simple")
