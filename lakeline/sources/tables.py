@@ -14,7 +14,9 @@ import hashlib
 import json
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -172,27 +174,42 @@ def pack_files(files: list[tuple[str, int]], target_bytes: int) -> list[list[str
     return [b for b in bins if len(b) > 1]
 
 
+def write_bins(spark: SparkSession, bins: list[list[str]], schema: T.StructType, folders: list[str]) -> None:
+    """Write the rows of each bin's files as one file in its folder, one after another.
+
+    A job of one task a bin, as many at a time as there are cores.  The task reads file after
+    file and writes as it reads; nothing is shuffled or sorted, so its memory does not hang on
+    how many rows fit a bin."""
+    def put(paths: list[str], folder: str) -> None:
+        spark.read.schema(schema).parquet(*paths).coalesce(1).write.parquet(folder)
+
+    inherit = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max(1, min(len(bins), spark.sparkContext.defaultParallelism))) as pool:
+        for job in [pool.submit(inherit(put), paths, folder) for paths, folder in zip(bins, folders)]:
+            job.result()
+
+
 def tbl_compact(spark: SparkSession, src: str, dst: str, target_bytes: int = 128 * 1024 * 1024) -> list[str]:
     """Pack a folder's small files (under half of ``target_bytes``) into files of up to that
-    size in ``dst``, in the order of the rows within each file; returns the paths that now
+    size in ``dst``, whose earlier content goes, in the order of the rows within each file; returns the paths that now
     make the table: the packed files and the other files of ``src``, which stay as they are.
 
     Sizes come from a listing, no data is read for them; the listing and the bins are on
     the driver, a name and a number a file."""
     found = spark.read.format("binaryFile").options(pathGlobFilter="*.parquet", recursiveFileLookup="true").load(src)
-    sizes = {r["path"]: (r["length"], r["uri"]) for r in found.select("path", "length", F.col("_metadata.file_path").alias("uri")).collect()}
-    bins = pack_files([(p, n) for p, (n, _) in sizes.items() if n < target_bytes // 2], target_bytes)
-    moved = [(p, b, i) for b, paths in enumerate(bins) for i, p in enumerate(paths)]
-    kept = sorted(set(sizes) - {p for p, _, _ in moved})
+    sizes = {r["path"]: r["length"] for r in found.select("path", "length").collect()}
+    bins = pack_files([(p, n) for p, n in sizes.items() if n < target_bytes // 2], target_bytes)
+    moved = [p for paths in bins for p in paths]
+    kept = sorted(set(sizes) - set(moved))
     if not moved:
         return kept
-    rows = spark.read.parquet(*[p for p, _, _ in moved])
-    columns = rows.columns
-    place = spark.createDataFrame([(sizes[p][1], b, i) for p, b, i in moved], "__file string, __bin int, __at int")
-    rows = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")).join(place, "__file")
-    rows = rows.repartition(len(bins), "__bin").sortWithinPartitions("__bin", "__at", "__row")
-    rows.select(*columns, "__bin").write.mode("overwrite").partitionBy("__bin").parquet(dst)
-    return kept + [f"{dst.rstrip('/')}/__bin={b}" for b in range(len(bins))]
+    folders = [f"{dst.rstrip('/')}/__bin={b}" for b in range(len(bins))]
+    inside = commits.qualified(spark, dst)
+    if any(p == inside or p.startswith(f"{inside}/") for p in sizes):
+        raise ValueError(f"{dst} holds files of {src}")
+    commits.delete(spark, dst)
+    write_bins(spark, bins, spark.read.parquet(*moved).schema, folders)
+    return kept + folders
 
 
 def z_value(cols: list[Column], bits: int) -> Column:

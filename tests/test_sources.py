@@ -255,3 +255,15 @@ def test_tuned_parquet_options_reach_the_footer(spark, tmp_dir):
         assert column.compression == "ZSTD" and "PLAIN" in str(column.encodings) and "DICTIONARY" in str(column.encodings)
         rows = pq.read_table(name).column("k").to_pylist()
         assert rows == sorted(rows)
+
+
+def test_compact_into_a_used_folder(spark, tmp_dir):
+    """The folder's earlier content goes, but never the files that are read."""
+    spark.range(0, 400, 1, 8).write.parquet(f"{tmp_dir}/a")
+    spark.range(9).write.mode("overwrite").parquet(f"{tmp_dir}/b/old")
+    size = max(r.length for r in spark.read.format("binaryFile").load(f"{tmp_dir}/a").select("length").collect())
+    paths = TB.tbl_compact(spark, f"{tmp_dir}/a", f"{tmp_dir}/b", size * 4)
+    assert len(paths) == 2 and spark.read.parquet(*paths).distinct().count() == 400
+    assert spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_dir}/b").count() == 400
+    with pytest.raises(ValueError):
+        TB.tbl_compact(spark, f"{tmp_dir}/b", f"{tmp_dir}/b", 1 << 20)
