@@ -22,16 +22,18 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeline.operators.splitters import placed, splitters
 from lakeline.sources import commits
-from lakeline.sources.tables import pack_files, tbl_bulk_update, tbl_merge_upsert, unique_by
+from lakeline.sources.tables import pack_files, tbl_bulk_update, tbl_merge_upsert, unique_by, write_bins
 
 PAGE_BITS = 32_768  # fixed by Spark's bitmap aggregate
 BITS_PER_KEY = 10
@@ -78,34 +80,85 @@ class Table:
         return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{f}" for f in files])
 
 
+def _pages(rows: Column) -> Column:
+    """Pages of the Bloom filter of a file of so many rows."""
+    return F.greatest(F.lit(1).cast("long"), F.ceil(rows * BITS_PER_KEY / PAGE_BITS))
+
+
 def _hashes(keys: list[str], rows: Column) -> dict[str, Column]:
     """Page of a key in a file of so many rows, and its four bits on the page."""
-    pages = F.greatest(F.lit(1).cast("long"), F.ceil(rows * BITS_PER_KEY / PAGE_BITS))
     bits = F.xxhash64(F.lit(2), *keys)
     at = F.array(*[F.shiftright(bits, 15 * i).bitwiseAND(F.lit(PAGE_BITS - 1)) for i in range(4)])
-    return {"page": F.pmod(F.xxhash64(F.lit(1), *keys), pages), "bits": at}
+    return {"page": F.pmod(F.xxhash64(F.lit(1), *keys), _pages(rows)), "bits": at}
+
+
+def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body: (file, pages, page, bits) -> bitmap of each page met, in the layout of
+    ``bitmap_construct_agg``.  Rows of a task come file by file, so one file's bits are held; a
+    file in several tasks or parts gives a page more than once."""
+    page_bits, name, held = PAGE_BITS, None, None
+
+    def given() -> Iterator[pa.RecordBatch]:
+        pages = held.reshape(-1, page_bits // 8)
+        met = np.flatnonzero(pages.any(axis=1))
+        for some in np.array_split(met, -(-len(met) // 1024) or 1):
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some, pa.int64()),
+                                                  pa.array([x.tobytes() for x in pages[some]], pa.binary())], ["file", "page", "bitmap"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        files = batch.column(0).dictionary_encode()
+        codes = np.array(files.indices)
+        pages, page = np.array(batch.column(1)), np.array(batch.column(2))
+        bits = np.array(batch.column(3).flatten()).reshape(len(codes), -1)
+        cuts = np.flatnonzero(codes[1:] != codes[:-1]) + 1
+        for begin, end in zip(np.r_[0, cuts], np.r_[cuts, len(codes)]):
+            now = files.dictionary[codes[begin].item()].as_py()
+            if now != name:
+                if name is not None:
+                    yield from given()
+                name, held = now, np.zeros(int(pages[begin]) * (page_bits // 8), np.uint8)
+            at = (page[begin:end, None] * page_bits + bits[begin:end]).ravel()
+            np.bitwise_or.at(held, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+    if name is not None:
+        yield from given()
+
+
+def _stats(rows: DataFrame, file: Column, keys: list[str]) -> DataFrame:
+    """rows, bytes, least and greatest key of each file.  The set of a file's one size makes the
+    aggregate one of objects, which keeps a few files a task without sorting the rows."""
+    stats = rows.select(file.alias("file"), F.col("_metadata.file_size").alias("bytes"), F.struct(*keys).alias("key"))
+    return stats.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.get(F.collect_set("bytes"), F.lit(0)).alias("bytes"),
+                                     F.min("key").alias("least"), F.max("key").alias("most"))
+
+
+def _filters(rows: DataFrame, file: Column, keys: list[str], stats: DataFrame) -> DataFrame:
+    """file, page, bitmap: rows become bits where they are read; only pages are shuffled."""
+    held = rows.select(file.alias("file"), *keys).dropna(subset=keys)
+    held = held.join(F.broadcast(stats.select(F.col("file").alias("f"), F.col("rows").alias("n"))), F.col("file") == F.col("f"))
+    held = held.select("file", _pages(F.col("n")).alias("pages"), *[c.alias(n) for n, c in _hashes(keys, F.col("n")).items()])
+    some = held.mapInArrow(bitmaps, "file string, page long, bitmap binary")
+    return some.groupBy("file", "page").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+
 
+def _write_files(t: Table, df: DataFrame, keys: list[str], commit: str) -> DataFrame:
+    """Write rows as data files with their Bloom filters; the manifest rows."""
+    df.write.parquet(f"{t.folder}/data/{commit}")
+    return _described(t, df.schema, keys, commit)
 
-def _write_files(t: Table, df: DataFrame, keys: list[str], commit: str, by: str | None = None) -> DataFrame:
-    """Write rows as data files (a folder per value of ``by``) with their Bloom filters; the manifest rows."""
+
+def _described(t: Table, schema: T.StructType, keys: list[str], commit: str) -> DataFrame:
+    """Stores statistics and Bloom filters of a commit's data files; the manifest rows."""
     spark, folder = t.spark, f"{t.folder}/data/{commit}"
-    writer = df.write if by is None else df.write.partitionBy(by)
-    writer.parquet(folder)
-    schema = df.schema if by is None else df.drop(by).schema
     rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder)
     name = F.substring_index(F.col("_metadata.file_path"), f"/{commit}/", -1)
     file = F.concat(F.lit(f"data/{commit}/"), name)
-    key = F.struct(*keys)
-    stats = rows.select(file.alias("file"), F.col("_metadata.file_size").alias("bytes"), key.alias("key"))
-    stats = stats.groupBy("file").agg(
-        F.count(F.lit(1)).alias("rows"), F.max("bytes").alias("bytes"), F.min("key").alias("least"), F.max("key").alias("most"))
+    stats = _stats(rows, file, keys)
     stats.write.parquet(f"{t.folder}/stats/{commit}")
     stats = spark.read.schema(stats.schema).parquet(f"{t.folder}/stats/{commit}")
-    held = rows.select(file.alias("file"), *keys).dropna(subset=keys)
-    held = held.join(stats.select(F.col("file").alias("f"), F.col("rows").alias("n")), F.col("file") == F.col("f"))
-    held = held.select("file", *[c.alias(n) for n, c in _hashes(keys, F.col("n")).items()])
-    held = held.select("file", "page", F.explode("bits").alias("bit"))
-    held.groupBy("file", "page").agg(F.bitmap_construct_agg("bit").alias("bitmap")).write.parquet(f"{t.folder}/filters/{commit}")
+    _filters(rows, file, keys, stats).write.parquet(f"{t.folder}/filters/{commit}")
     return stats
 
 
@@ -235,18 +288,14 @@ def compact(t: Table, target_bytes: int = 128 << 20) -> int:
         entry, old = t.entry(base), t.manifest(base)
         small = old.where(F.col("bytes") < target_bytes // 2).select("file", "bytes").collect()  # names and sizes
         bins = pack_files([(r.file, r.bytes) for r in small], target_bytes)
-        moved = [(f, b, i) for b, fs in enumerate(bins) for i, f in enumerate(fs)]
-        if not moved:
-            return _entry(t, old, T.StructType.fromJson(json.loads(entry["schema"])), entry["keys"], commit, "compact")
-        place = t.spark.createDataFrame(moved, "file string, bin int, at int")
-        name = F.concat(F.lit("data/"), F.substring_index(F.col("_metadata.file_path"), "/data/", -1))
-        rows = t.read(base, [f for f, _, _ in moved])
-        columns = rows.columns
-        rows = rows.select("*", name.alias("file"), F.col("_metadata.row_index").alias("row_index")).join(F.broadcast(place), "file")
-        rows = rows.repartition(len(bins), "bin").sortWithinPartitions("bin", "at", "row_index").select(*columns, "bin")
-        new = _write_files(t, rows, entry["keys"], commit, by="bin")
-        rest = old.join(place.select("file"), "file", "left_anti")
-        return _entry(t, rest.unionByName(new), T.StructType.fromJson(json.loads(entry["schema"])), entry["keys"], commit, "compact")
+        schema = T.StructType.fromJson(json.loads(entry["schema"]))
+        if not bins:
+            return _entry(t, old, schema, entry["keys"], commit, "compact")
+        write_bins(t.spark, [[f"{t.folder}/{f}" for f in fs] for fs in bins], schema, [f"{t.folder}/data/{commit}/bin={b}" for b in range(len(bins))])
+        new = _described(t, schema, entry["keys"], commit)
+        gone = t.spark.createDataFrame([(f,) for fs in bins for f in fs], "file string")
+        rest = old.join(gone, "file", "left_anti")
+        return _entry(t, rest.unionByName(new), schema, entry["keys"], commit, "compact")
 
     return _commit(t, change)
 

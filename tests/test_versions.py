@@ -184,3 +184,20 @@ def test_search_index_finds_what_a_scan_finds(spark, tmp_dir):
             assert {tuple(r) for r in M.cat_search_indexed(spark, tmp_dir, term, threshold).collect()} == want
     tokens = spark.read.parquet(f"{tmp_dir}/tokens").select("token").distinct().count()
     assert M.search_candidates(spark, tmp_dir, "customer", 0.3).count() < 0.05 * tokens
+
+
+def test_file_statistics_and_filters_sort_no_rows(spark, tmp_dir):
+    """Rows are folded where they are read; the filters are those of the bitmap aggregate."""
+    spark.range(0, 9_000, 1, 3).selectExpr("id", "CAST(id AS string) AS s").write.parquet(f"{tmp_dir}/t")
+    rows = spark.read.parquet(f"{tmp_dir}/t")
+    file = F.substring_index(F.col("_metadata.file_path"), "/", -1)
+    stats = V._stats(rows, file, ["id", "s"])
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
+    assert sorted((r.rows, r.least.id, r.most.id) for r in stats.collect()) == [(3000, a, a + 2999) for a in (0, 3000, 6000)]
+    held = rows.select(file.alias("file"), "id", "s").join(stats.select(F.col("file").alias("f"), "rows"), F.col("file") == F.col("f"))
+    held = held.select("file", *[c.alias(n) for n, c in V._hashes(["id", "s"], F.col("rows")).items()]).select("file", "page", F.explode("bits").alias("bit"))
+    want = held.groupBy("file", "page").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    found = V._filters(rows, file, ["id", "s"], stats)
+    key = lambda r: (r.file, r.page, bytes(r.bitmap))
+    assert sorted(map(key, found.collect())) == sorted(map(key, want.collect()))
