@@ -257,6 +257,15 @@ def _stream_dirs(spark, what):
     return f"{root}/in", f"{root}/out", f"{root}/ckpt"
 
 
+def _stream_of(spark, df, path, ts, whole_us: int = 1):
+    """A stream over ``df`` in event order: four micro-batches, written and read by many tasks."""
+    from lakeline.streaming import jobs as J
+
+    parts = max(1, shuffle_partitions(spark) // 4)
+    # One more a micro-batch, as a file may be cut in two where a slice begins.
+    return J.file_stream(spark, J.write_in_event_order(df, path, ts, 4, parts, whole_us), df.schema, files_per_trigger=parts + 1 if parts > 1 else 1)
+
+
 @register("st_ingest", sql("""
 SELECT '00000000-0000-4000-8000-' || lpad(lower(hex(r.run_id)), 12, '0') AS run_id, j.namespace AS job_namespace,
        j.name AS job_name, CASE r.state WHEN 'RUNNING' THEN 'START' ELSE r.state END AS state, r.started_at, r.ended_at
@@ -282,8 +291,7 @@ def q_st_window_tumbling_stream(spark, sf):
 
     src, out, ck = _stream_dirs(spark, "tumble")
     ev = Fixtures(spark, sf).events
-    src = J.write_in_event_order(ev, src, "ts", 4)
-    J.st_window_tumbling(J.file_stream(spark, src, ev.schema), out, ck).awaitTermination()
+    J.st_window_tumbling(_stream_of(spark, ev, src, "ts"), out, ck).awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -301,8 +309,7 @@ def q_st_session_stream(spark, sf):
 
     src, out, ck = _stream_dirs(spark, "session")
     p = Fixtures(spark, sf).pings()
-    src = J.write_in_event_order(p, src, "ts", 4)
-    J.st_session(J.file_stream(spark, src, p.schema), out, ck).awaitTermination()
+    J.st_session(_stream_of(spark, p, src, "ts"), out, ck).awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -314,7 +321,9 @@ def q_st_dedup_stream(spark, sf):
     m = Fixtures(spark, sf).messages()
     redelivered = m.filter(F.col("read_ct") > 5).withColumn(
         "enqueued_at", F.col("enqueued_at") + F.make_dt_interval(secs=F.lit(30)))
-    src = J.write_in_event_order(m.unionByName(redelivered), src, "enqueued_at", 4)
+    # A micro-batch a file: in one file the first delivery of a message comes before the later ones.
+    parts = max(1, shuffle_partitions(spark) // 6)
+    src = J.write_in_event_order(m.unionByName(redelivered), src, "enqueued_at", 4, parts)
     J.st_dedup(J.file_stream(spark, src, m.schema), out, ck).awaitTermination()
     return spark.read.parquet(out)
 
@@ -329,8 +338,7 @@ def q_ev_latest_state_stream(spark, sf):
 
     src, out, ck = _stream_dirs(spark, "latest")
     c = Fixtures(spark, sf).changelog()
-    src = J.write_in_event_order(c, src, "ts", 4)
-    J.ev_latest_state(J.file_stream(spark, src, c.schema), out, ck).awaitTermination()
+    J.ev_latest_state(_stream_of(spark, c, src, "ts"), out, ck).awaitTermination()
     return J.current_state(spark, out)
 
 
@@ -341,8 +349,7 @@ def q_ev_latest_state_forget_stream(spark, sf):
 
     src, out, ck = _stream_dirs(spark, "latest-forget")
     c = Fixtures(spark, sf).changelog()
-    src = J.write_in_event_order(c, src, "ts", 4)
-    J.ev_latest_state(J.file_stream(spark, src, c.schema), out, ck, forget_deleted_s=7 * 86400).awaitTermination()
+    J.ev_latest_state(_stream_of(spark, c, src, "ts"), out, ck, forget_deleted_s=7 * 86400).awaitTermination()
     return J.current_state(spark, out)
 
 
@@ -398,8 +405,7 @@ def q_ev_liveness_stream(spark, sf):
 
     src, out, ck = _stream_dirs(spark, "liveness")
     p = Fixtures(spark, sf).pings()
-    src = J.write_in_event_order(p, src, "ts", 4)
-    J.ev_liveness(J.file_stream(spark, src, p.schema), out, ck).awaitTermination()
+    J.ev_liveness(_stream_of(spark, p, src, "ts", 1_000_000), out, ck).awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -409,8 +415,7 @@ def q_st_route_notify_stream(spark, sf):
 
     src, out, ck = _stream_dirs(spark, "route")
     n = Fixtures(spark, sf).notifications()
-    src = J.write_in_event_order(n, src, "enqueued_at", 4)
-    J.st_transform(J.file_stream(spark, src, n.schema), S.st_route_notify, out, ck).awaitTermination()
+    J.st_transform(_stream_of(spark, n, src, "enqueued_at"), S.st_route_notify, out, ck).awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -420,8 +425,7 @@ def q_ev_presets_stream(spark, sf):
 
     src, out, ck = _stream_dirs(spark, "presets")
     e = Fixtures(spark, sf).sse_events()
-    src = J.write_in_event_order(e, src, "timestamp", 4)
-    J.st_transform(J.file_stream(spark, src, e.schema),
+    J.st_transform(_stream_of(spark, e, src, "timestamp"),
                    lambda d: S.ev_presets(d).select("event_id", "event_type", "preset"), out, ck).awaitTermination()
     return spark.read.parquet(out)
 
@@ -436,8 +440,7 @@ def q_st_window_sliding_stream(spark, sf):
 
     src, out, ck = _stream_dirs(spark, "slide")
     ev = Fixtures(spark, sf).events
-    src = J.write_in_event_order(ev, src, "ts", 4)
-    J.st_window_sliding(J.file_stream(spark, src, ev.schema), out, ck).awaitTermination()
+    J.st_window_sliding(_stream_of(spark, ev, src, "ts"), out, ck).awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -447,8 +450,7 @@ def q_ev_envelope_stream(spark, sf):
 
     src, out, ck = _stream_dirs(spark, "envelope")
     e = Fixtures(spark, sf).sse_events()
-    src = J.write_in_event_order(e, src, "timestamp", 4)
-    J.st_transform(J.file_stream(spark, src, e.schema), S.ev_envelope, out, ck).awaitTermination()
+    J.st_transform(_stream_of(spark, e, src, "timestamp"), S.ev_envelope, out, ck).awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -473,7 +475,6 @@ def q_ev_fanout_stream(spark, sf):
     src, out, ck = _stream_dirs(spark, "fanout")
     f = Fixtures(spark, sf)
     e = f.sse_events()
-    src = J.write_in_event_order(e, src, "timestamp", 4)
-    J.ev_fanout(J.file_stream(spark, src, e.schema), S.ev_subscribe(f.subscriptions()), out, ck).awaitTermination()
+    J.ev_fanout(_stream_of(spark, e, src, "timestamp"), S.ev_subscribe(f.subscriptions()), out, ck).awaitTermination()
     return spark.read.parquet(f"{out}/deliveries").groupBy("client_id").agg(
         F.sum("deliveries").alias("deliveries"), F.max("last_event_at").alias("last_event_at"))

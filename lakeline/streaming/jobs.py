@@ -20,7 +20,6 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import inheritable_thread_target
@@ -235,7 +234,7 @@ def newest_per_key(changes: DataFrame, key: str, order: tuple[str, ...], forget_
     time are left out; other null order values are the least; null keys are one key.
     """
     schema = changes.schema
-    mark = T.StructType([T.StructField(f"o{i}", schema[c].dataType) for i, c in enumerate(order)])
+    mark = T.StructType([*[T.StructField(f"o{i}", schema[c].dataType) for i, c in enumerate(order)], T.StructField("timer", T.LongType())])
 
     def newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -262,13 +261,15 @@ def newest_per_key(changes: DataFrame, key: str, order: tuple[str, ...], forget_
         def handleInputRows(self, key, rows, timerValues):
             best = max(rows, key=lambda r: rank(r[c] for c in order))
             at = tuple(best[c] for c in order)
-            if self.state.exists() and rank(self.state.get()) >= rank(at):
+            held = self.state.get()  # each call on state is a round trip
+            if held and rank(held[:-1]) >= rank(at):
                 return
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            self.state.update(at)
-            if (best["type"] or "").endswith(delete_suffix):
-                self.handle.registerTimer(best["__us"] // 1000 + 1)
+            if held and held[-1] is not None:
+                self.handle.deleteTimer(held[-1])
+            timer = best["__us"] // 1000 + 1 if (best["type"] or "").endswith(delete_suffix) else None
+            if timer is not None:
+                self.handle.registerTimer(timer)
+            self.state.update((*at, timer))
             yield Row(**{c: best[c] for c in names})
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -408,7 +409,8 @@ def ev_liveness(pings: DataFrame, out: str, checkpoint: str, available_now: bool
             self.state = handle.getValueState("client", LIVENESS_STATE)
 
         def held(self) -> list | None:
-            return list(self.state.get()) if self.state.exists() else None
+            s = self.state.get()  # none or nothing in it: no state
+            return list(s) if s else None
 
         def keep(self, s: list | None, old: int | None, watermark_ms: int, out: list) -> None:
             """Store the state and move the client's timer to when something next falls due."""
@@ -424,16 +426,14 @@ def ev_liveness(pings: DataFrame, out: str, checkpoint: str, available_now: bool
             s[timer] = due
             self.state.update(tuple(s))
 
-        def rows_of(self, key: tuple, out: list) -> Iterator[pd.DataFrame]:
-            if out:
-                yield pd.DataFrame([(*key, *o) for o in out], columns=["none", "client", "reason", "us"])
+        def rows_of(self, key: tuple, out: list) -> Iterator[Row]:
+            return (Row(none=key[0], client=key[1], reason=reason, us=us) for reason, us in out)
 
         def handleInputRows(self, key, rows, timerValues):
             slots: dict = {}
-            for part in rows:
-                for slot, kind, n, first, last in zip(*(part[c].tolist() for c in ("slot", "kind", "n", "first", "last"))):
-                    was = slots.get((slot, kind), (0, first, last))
-                    slots[slot, kind] = was[0] + n, min(was[1], first), max(was[2], last)
+            for r in rows:
+                n, first, last = slots.get((r["slot"], r["kind"]), (0, r["first"], r["last"]))
+                slots[r["slot"], r["kind"]] = n + r["n"], min(first, r["first"]), max(last, r["last"])
             s, out = self.held(), []
             old = s[timer] if s else None
             for (_, kind), (n, first, last) in sorted(slots.items(), key=lambda x: (x[0][0], x[1][2], x[0][1])):
@@ -453,9 +453,8 @@ def ev_liveness(pings: DataFrame, out: str, checkpoint: str, available_now: bool
     p = p.select("client_id", (F.col("us") - F.pmod("us", F.lit(SLOT_US))).alias("slot"), "kind", "us")
     p = p.mapInArrow(ping_slots, "client_id long, slot long, kind string, n long, first long, last long")
     p = p.withColumn("at", F.timestamp_micros("last")).withWatermark("at", WATERMARK)
-    # A null key reaches pandas as NaN, which equals nothing: grouped, it would come in several calls.
     p = p.withColumns({"none": F.isnull("client_id"), "client": F.coalesce("client_id", F.lit(0))})
-    z = p.groupBy("none", "client").transformWithStateInPandas(
+    z = p.groupBy("none", "client").transformWithState(
         Liveness(), "none boolean, client long, reason string, us long", "append", "eventTime")
     z = z.select(F.when(~F.col("none"), F.col("client")).alias("client_id"), "reason", from_micros("us").alias("detected_at"))
     with _rocks_state(pings.sparkSession):
@@ -464,15 +463,17 @@ def ev_liveness(pings: DataFrame, out: str, checkpoint: str, available_now: bool
 
 # ------------------------------------------------------------------ helpers for tests / registered runs
 
-def write_in_event_order(df: DataFrame, path: str, ts: str, files: int = 4, parts: int = 1) -> str:
+def write_in_event_order(df: DataFrame, path: str, ts: str, files: int = 4, parts: int = 1, whole_us: int = 1) -> str:
     """Write ``df`` as one Parquet file per time slice (``files`` equal slices between
     the first and the last time; null times first) and return the path to stream
     from.  One partitioned write; the files' modification times are then set in
     time order, which is the order a file stream reads them in, so nothing is late.
     With ``parts`` the slices are cut further in time order, into about ``files`` x ``parts``
     files of equally many rows, a task each; a stream takes ``parts`` + 1 of them a micro-batch.
+    Rows of one stretch of ``whole_us`` microseconds (1: no more than that) go to one file.
     """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
+    us = us - F.pmod(us, F.lit(whole_us))
     bounds = df.select(F.struct(F.min(us).alias("lo"), F.max(us).alias("hi"))).scalar()
     lo, hi = bounds.getField("lo"), bounds.getField("hi")
     part = F.when(hi > lo, F.least(F.floor((us - lo) * files / (hi - lo)), F.lit(files - 1))).otherwise(0)
@@ -480,8 +481,10 @@ def write_in_event_order(df: DataFrame, path: str, ts: str, files: int = 4, part
     cut = df.withColumn("slice", part)
     if parts == 1:
         cut = cut.repartition(files, "slice")
-    else:  # rows of one time may go to several files
+    elif whole_us == 1:  # rows of one time may go to several files
         cut = cut.repartitionByRange(files * parts, "slice", ts, F.xxhash64(*df.columns))
+    else:
+        cut = cut.repartitionByRange(files * parts, "slice", us)
     cut.sortWithinPartitions("slice", ts).write.mode("append").partitionBy("slice").parquet(path)
     spark = df.sparkSession
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/slice=*").select("path")

@@ -366,3 +366,15 @@ def test_event_order_writer_cuts_slices_between_tasks(spark, tmp_dir):
     J.st_transform(J.file_stream(spark, src, df.schema, files_per_trigger=5), lambda d: d, f"{tmp_dir}/out", f"{tmp_dir}/ck").awaitTermination()
     got = spark.read.parquet(f"{tmp_dir}/out")
     assert got.count() == 1001 and got.exceptAll(df).count() == 0
+
+
+def test_streams_are_cut_for_many_tasks(spark, tmp_dir):
+    """More files than slices, in time order; rows of one second share a file if asked."""
+    from lakeline.plans.q_streams import _stream_of
+
+    df = spark.range(4_000).select("id", F.timestamp_micros(F.lit(10**15) + F.col("id") * 90_000).cast("timestamp_ntz").alias("ts"))
+    _stream_of(spark, df, f"{tmp_dir}/in", "ts", 1_000_000)
+    rows = spark.read.parquet(f"{tmp_dir}/in").select("ts", F.col("_metadata.file_path").alias("file"))
+    assert rows.count() == 4_000 and rows.select("file").distinct().count() >= 8
+    second = rows.groupBy(F.date_trunc("second", "ts").alias("s")).agg(F.count_distinct("file").alias("files"))
+    assert second.where("files > 1").count() == 0
