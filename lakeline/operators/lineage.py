@@ -11,10 +11,10 @@ into skew-split sort-merge joins otherwise, so no side is broadcast on faith.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeline.operators.nesting import DEFAULT_PAGE_SIZE, paged_lists
+from lakeline.operators.nesting import DEFAULT_PAGE_SIZE, by_length, page_numbers, page_of, paged_lists
 
 TERMINAL = ("COMPLETE", "FAIL", "ABORT")
 
@@ -40,6 +40,30 @@ def _edge_datasets(edges: DataFrame, datasets: DataFrame) -> DataFrame:
         datasets.namespace, datasets.name, datasets.source_uri.alias("uri"))
 
 
+def _short_run_pages(rows: DataFrame, page_size: int) -> DataFrame:
+    """(run_id, page, inputs, outputs) of runs whose edges fit one array; each direction has its own pages."""
+    ds = F.struct("namespace", "name", "uri")
+
+    def side(direction: str) -> Column:
+        return F.transform(F.filter("all", lambda x: x["direction"] == direction), lambda x: x["ds"])
+
+    lists = rows.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("direction", ds.alias("ds")))).alias("all"))
+    lists = lists.select("run_id", side("INPUT").alias("ins"), side("OUTPUT").alias("outs"))
+    longer = F.greatest(F.size("ins"), F.size("outs"))
+    lists = lists.select("*", F.explode(page_numbers(longer, page_size)).alias("page"))
+    return lists.select("run_id", "page", *[page_of(F.col(c), F.col("page"), page_size).alias(n)
+                                            for c, n in (("ins", "inputs"), ("outs", "outputs"))])
+
+
+def _long_run_pages(rows: DataFrame, page_size: int) -> DataFrame:
+    """As ``_short_run_pages`` for runs of any number of edges, by a scan over their rows."""
+    pages = paged_lists(rows, ["run_id", "direction"], ["namespace", "name", "uri"],
+                        {"items": F.struct("namespace", "name", "uri")}, page_size)
+    return pages.groupBy("run_id", "page").agg(
+        F.max(F.when(F.col("direction") == "INPUT", F.col("items"))).alias("inputs"),
+        F.max(F.when(F.col("direction") == "OUTPUT", F.col("items"))).alias("outputs"))
+
+
 def lin_run(runs: DataFrame, jobs: DataFrame, datasets: DataFrame, edges: DataFrame,
             page_size: int = DEFAULT_PAGE_SIZE, run_id=None) -> DataFrame:
     """Run detail (of one run, or of every run) with ordered ``inputs``/``outputs`` arrays of {namespace, name, uri}.
@@ -50,13 +74,8 @@ def lin_run(runs: DataFrame, jobs: DataFrame, datasets: DataFrame, edges: DataFr
     if run_id is not None:  # reaches both scans
         runs, edges = runs.filter(F.col("run_id") == run_id), edges.filter(F.col("run_id") == run_id)
     ed = _edge_datasets(edges, datasets)
-    ds = F.struct("namespace", "name", "uri")
-    pages = paged_lists(
-        ed, ["run_id", "direction"], ["namespace", "name", "uri"],
-        {"items": ds}, page_size)
-    pages = pages.groupBy("run_id", "page").agg(
-        F.max(F.when(F.col("direction") == "INPUT", F.col("items"))).alias("inputs"),
-        F.max(F.when(F.col("direction") == "OUTPUT", F.col("items"))).alias("outputs"))
+    short, long = by_length(ed.select("run_id", "direction", "namespace", "name", "uri"), ["run_id"])
+    pages = _short_run_pages(short, page_size).unionByName(_long_run_pages(long, page_size))
     base = runs.join(jobs, runs.job_id == jobs.id).select(
         runs.run_id, jobs.namespace, jobs.name.alias("job_name"), runs.state, runs.started_at, runs.ended_at)
     empty = F.array().cast("array<struct<namespace:string,name:string,uri:string>>")

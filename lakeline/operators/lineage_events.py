@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeline.operators.nesting import DEFAULT_PAGE_SIZE, with_page
+from lakeline.operators.nesting import DEFAULT_PAGE_SIZE, by_length, page_numbers, page_of, with_page
 
 # Fixed values (OpenLineage vocabulary used by the reference).
 EVENT_TYPES = ("START", "RUNNING", "COMPLETE", "FAIL", "ABORT")
@@ -100,6 +100,33 @@ def ol_start_event(runs_with_job: DataFrame, description: str = "Lakeline job ru
         (F.col("run_id") * SEQ_STRIDE).alias("seq"), F.col("started_at").alias("ts"), _json(ev).alias("payload"))
 
 
+def _short_pages(rows: DataFrame, page_size: int) -> DataFrame:
+    """(run_id, page, ins, outs) of runs whose datasets fit one array."""
+    order = F.struct("direction", "namespace", "name", "uri")
+    lists = rows.groupBy("run_id").agg(F.sort_array(F.collect_list(order)).alias("all"))
+    lists = lists.select("run_id", "all", F.explode(page_numbers(F.size("all"), page_size)).alias("page"))
+    lists = lists.select("run_id", "page", page_of(F.col("all"), F.col("page"), page_size).alias("some"))
+
+    def side(direction: str) -> Column:
+        return F.transform(F.filter("some", lambda x: x["direction"] == direction),
+                           lambda x: ol_dataset_facet(x["namespace"], x["name"], x["uri"]))
+
+    return lists.select("run_id", "page", side("INPUT").alias("ins"), side("OUTPUT").alias("outs"))
+
+
+def _long_pages(rows: DataFrame, page_size: int) -> DataFrame:
+    """As ``_short_pages`` for runs of any number of datasets, by a scan over their rows."""
+    paged = with_page(rows, ["run_id"], ["direction", "namespace", "name"], page_size)
+    ds = ol_dataset_facet(F.col("namespace"), F.col("name"), F.col("uri"))
+
+    def side(direction: str) -> Column:
+        one = F.struct(F.col("namespace").alias("k1"), F.col("name").alias("k2"), ds.alias("d"))
+        lists = F.sort_array(F.collect_list(F.when(F.col("direction") == direction, one)))
+        return F.transform(lists, lambda x: x["d"])
+
+    return paged.groupBy("run_id", "page").agg(side("INPUT").alias("ins"), side("OUTPUT").alias("outs"))
+
+
 def ol_complete_event(ended_runs: DataFrame, run_datasets: DataFrame,
                       page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
     """Terminal event(s) per ended run: COMPLETE when success else FAIL.
@@ -110,13 +137,9 @@ def ol_complete_event(ended_runs: DataFrame, run_datasets: DataFrame,
     terminal event (OpenLineage consumers union inputs/outputs over a run's
     events), so no event grows without bound.
     """
-    paged = with_page(run_datasets, ["run_id"], ["direction", "namespace", "name"], page_size)
-    ds = ol_dataset_facet(F.col("namespace"), F.col("name"), F.col("uri"))
-    pages = paged.groupBy("run_id", "page").agg(
-        F.sort_array(F.collect_list(F.when(F.col("direction") == "INPUT", F.struct(
-            F.col("namespace").alias("k1"), F.col("name").alias("k2"), ds.alias("d"))))).alias("ins"),
-        F.sort_array(F.collect_list(F.when(F.col("direction") == "OUTPUT", F.struct(
-            F.col("namespace").alias("k1"), F.col("name").alias("k2"), ds.alias("d"))))).alias("outs"))
+    rows = run_datasets.select("run_id", "direction", "namespace", "name", "uri")
+    short, long = by_length(rows, ["run_id"])
+    pages = _short_pages(short, page_size).unionByName(_long_pages(long, page_size))
     r = ended_runs.join(pages, "run_id", "left")
     empty = F.array().cast(T.ArrayType(DATASET))
     ev = F.struct(
@@ -124,8 +147,8 @@ def ol_complete_event(ended_runs: DataFrame, run_datasets: DataFrame,
         iso(F.col("ended_at")).alias("eventTime"),
         F.struct(uuid_of(F.col("run_id")).alias("runId")).alias("run"),
         F.struct(F.col("namespace").alias("namespace"), F.col("job_name").alias("name")).alias("job"),
-        F.coalesce(F.transform("ins", lambda x: x["d"]), empty).alias("inputs"),
-        F.coalesce(F.transform("outs", lambda x: x["d"]), empty).alias("outputs"),
+        F.coalesce("ins", empty).alias("inputs"),
+        F.coalesce("outs", empty).alias("outputs"),
         F.lit(PRODUCER).alias("producer"),
         F.lit(SCHEMA_URL).alias("schemaURL"))
     page = F.assert_true(F.coalesce("page", F.lit(0)) < SEQ_STRIDE - 1, "a run has too many pages")
