@@ -165,6 +165,50 @@ def test_passages_in_crowded_keys(spark):
     assert caught >= 0.9 * n
 
 
+def test_passages_beside_unlike_documents(spark):
+    """An unlike document that comes first in their keys takes no link from two alike ones."""
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(9**6)}" for _ in range(n)]
+    rows = []
+    for k in range(300):
+        passage = words(60)
+        near, unlike = [*passage], words(10) + passage[10:50] + words(10)
+        near[29] = "changed"
+        rows += [(3 * k + i, " ".join(words(40) + body + words(40)), "en", "s") for i, body in enumerate((unlike, passage, near))]
+    alone, beside = ({(r.doc_id, r.keep_id) for r in repeated_passages(docs_of(spark, some)).collect()} for some in ([r for r in rows if r[0] % 3], rows))
+    assert len(alone) > 270 and alone <= beside
+
+
+def test_links_of_a_key(monkeypatch):
+    """All pairs of different passages, some at a time; equal first or last passages meet the first that has them."""
+    from lakeline.llm import substring_dedup as S
+
+    monkeypatch.setattr(S, "MOST_PAIRS", 50)
+    rng = np.random.default_rng(9)
+    key, doc = np.sort(rng.integers(1, 40, 500)), rng.integers(0, 30, 500)
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    first, last = rng.integers(0, 12, (2, 500)).astype(np.uint64)
+    got = [pair for a, b in S.linked(key, doc, first << np.uint64(32) | last) for pair in zip(a.tolist(), b.tolist())]
+    unlike, star = set(), set()
+    for i in range(500):
+        same = [j for j in range(500) if key[j] == key[i]]
+        unlike |= {(j, i) for j in same if j < i and doc[j] != doc[i] and first[j] != first[i] and last[j] != last[i]}
+        heads = {min(j for j in same if side[j] == side[i]) for side in (first, last)}
+        star |= {(j, i) for j in heads if doc[j] != doc[i]}
+    assert set(got) == unlike | star and len(got) >= len(unlike)
+    assert sorted(p for p in got if p in unlike) == sorted(unlike)
+
+
+def test_passage_hashes():
+    from lakeline.llm.substring_dedup import passages_of
+
+    x = np.random.default_rng(1).integers(1, 1 << 63, 500, np.uint64)
+    x[300:400] = x[100:200]
+    h = passages_of(x, 46)
+    assert (h[300:355] == h[100:155]).all() and len(set(h.tolist())) == 500 - 55
+
+
 def test_joined_spans():
     from lakeline.llm.substring_dedup import joined
 
