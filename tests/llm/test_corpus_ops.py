@@ -180,24 +180,24 @@ def test_passages_beside_unlike_documents(spark):
 
 
 def test_links_of_a_key(monkeypatch):
-    """All pairs of different passages, some at a time; equal first or last passages meet the first that has them."""
+    """All pairs of ranges with different words, some at a time; equal ones meet their first and the first of the key."""
     from lakeline.llm import substring_dedup as S
 
     monkeypatch.setattr(S, "MOST_PAIRS", 50)
     rng = np.random.default_rng(9)
-    key, doc = np.sort(rng.integers(1, 40, 500)), rng.integers(0, 30, 500)
+    key, doc = rng.integers(1, 40, 500).astype(np.uint64), rng.integers(0, 30, 500)
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
-    first, last = rng.integers(0, 12, (2, 500)).astype(np.uint64)
-    got = [pair for a, b in S.linked(key, doc, first << np.uint64(32) | last) for pair in zip(a.tolist(), b.tolist())]
-    unlike, star = set(), set()
-    for i in range(500):
-        same = [j for j in range(500) if key[j] == key[i]]
-        unlike |= {(j, i) for j in same if j < i and doc[j] != doc[i] and first[j] != first[i] and last[j] != last[i]}
-        heads = {min(j for j in same if side[j] == side[i]) for side in (first, last)}
-        star |= {(j, i) for j in heads if doc[j] != doc[i]}
-    assert set(got) == unlike | star and len(got) >= len(unlike)
-    assert sorted(p for p in got if p in unlike) == sorted(unlike)
+    ends, pack = rng.integers(0, 12, 500).astype(np.uint64) << np.uint64(20), rng.integers(0, 2, 500) << 16
+    lead, a, b = S.copies(key, doc, pack, ends)
+    star = set(zip(a.tolist(), b.tolist()))
+    heads = [[j for j in range(500) if key[j] == key[i]] for i in range(500)]
+    firsts = [next(j for j in heads[i] if (ends[j], pack[j]) == (ends[i], pack[i])) for i in range(500)]
+    assert lead.tolist() == sorted(set(firsts))
+    assert star == {(j, i) for i in range(500) if firsts[i] != i for j in (firsts[i], heads[i][0]) if doc[j] != doc[i]}
+    got = [pair for x, y in S.linked(key[lead], doc[lead]) for pair in zip(lead[x].tolist(), lead[y].tolist())]
+    every = [(i, j) for i in lead.tolist() for j in lead.tolist() if i < j and key[i] == key[j] and doc[i] != doc[j]]
+    assert sorted(got) == sorted(every) and len(every) > 500
 
 
 def test_passage_hashes():
