@@ -4,11 +4,13 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import SF, closest, dedup_lines as brute_lines, levenshtein, repeated_windows, simhash_groups
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lakeline.llm import line_dedup as L
 from lakeline.llm import queries as Q
 from lakeline.llm.components import components
 from lakeline.llm.decontaminate import DEFAULTS, ItemBlock, best_match, contaminated, drop_contaminated, words_of
@@ -99,6 +101,25 @@ def test_lines_failed_edges_are_taken_again(spark):
     assert forest < every and components(spark.createDataFrame(list(forest), "a binary, b binary")).select("root").distinct().count() == 1
 
 
+def test_lines_taken_again_in_bounded_memory():
+    """A run of unlike lines of one fingerprint gives pairs some at a time, all that an edit check can pass."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz\u00e4") for _ in range(rng.randint(2, 9))) for _ in range(200)]
+    lines = [" ".join(rng.choice(words) for _ in range(rng.randint(5, 40))) for _ in range(1000)]
+    lines += [" ".join([*x.split()[1:], "new"]) for x in lines[:20]]
+    n = len(lines)
+    ids = pa.array([i.to_bytes(16, "big") for i in range(n)], pa.binary())
+    rows = pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array([0] * n), pa.array([0] * n), ids, ids, pa.array(L.shapes(lines), pa.binary())], ["block", "value", "fp", "tid", "label", "shape"])
+    made, most = set(), 0
+    for batch in L.block_pairs(L.FAR, True, 0.8, L.pairs_met)(iter([rows])):
+        most = max(most, batch.num_rows)
+        made |= {(int.from_bytes(a, "big"), int.from_bytes(b, "big")) for a, b in zip(*(c.to_pylist() for c in batch.columns))}
+    assert 0 < len(made) < n * (n - 1) // 4 and most <= L.MOST_PAIRS < n * (n - 1) // 2
+    assert all((i, 1000 + i) in made for i in range(20) if edit_alike(lines[i], lines[1000 + i], 0.8))
+    some = rng.sample([(i, j) for i in range(n) for j in range(i + 1, n)], 20_000)
+    assert all(pair in made for pair in some if edit_alike(lines[pair[0]], lines[pair[1]], 0.8))
+
+
 def test_compact_windows_brute():
     rng = np.random.default_rng(7)
     h = rng.integers(1, 40, 400).astype(np.uint64)  # many ties
