@@ -120,6 +120,32 @@ def test_lines_taken_again_in_bounded_memory():
     assert all(pair in made for pair in some if edit_alike(lines[pair[0]], lines[pair[1]], 0.8))
 
 
+def test_pairs_that_cannot_be_alike_are_not_scored(monkeypatch):
+    """Passages are scored only where enough shingles are common; nothing that could pass is left out."""
+    from lakeline.llm import substring_dedup as S
+
+    rng = random.Random(6)
+    vocab = [rng.getrandbits(64) for _ in range(400)] + [1, 2]
+    made = []
+    for i in range(120):
+        a = [rng.choice(vocab[:400] if i % 3 else vocab[398:]) for _ in range(rng.randint(40, 160))]
+        b = [rng.choice(vocab) for _ in range(rng.randint(0, 60))] + [x if rng.random() > i % 4 / 60 else rng.choice(vocab) for x in a]
+        made.append((np.array(a, np.uint64), np.array(b if i % 2 else b[: len(b) // 2] + a[: len(a) // 3], np.uint64)))
+    a, b = zip(*made)
+    sa, sb = S.shingles_each(a), S.shingles_each(b)
+    assert all((x == S.shingles_of(h)).all() for x, h in zip(sa + sb, a + b))
+    for x, y, possible in zip(a, b, S.reachable(sb, sa, 46, 0.8)):
+        pair = Pair(x, y)
+        assert len(possible) == max(0, len(y) - 49)
+        for j in range(len(possible)):
+            assert possible[j] or all(pair.similarity(i, j, 50) < 0.8 for i in range(0, max(0, len(x) - 49), 3))
+    scored = []
+    monkeypatch.setattr(Pair, "similarities", lambda self, i, j, n, words, f=Pair.similarities: (scored.append(n), f(self, i, j, n, words))[1])
+    unlike = [np.array([rng.getrandbits(64) for _ in range(300)], np.uint64) for _ in range(2)]
+    unlike[1][100:120] = unlike[0][100:120]
+    assert alike(unlike[0], 0, unlike[1], 0, [(0, 80, 110)], 50, 0.8) == [] and not scored
+
+
 def test_compact_windows_brute():
     rng = np.random.default_rng(7)
     h = rng.integers(1, 40, 400).astype(np.uint64)  # many ties
