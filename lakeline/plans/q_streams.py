@@ -321,10 +321,7 @@ def q_st_dedup_stream(spark, sf):
     m = Fixtures(spark, sf).messages()
     redelivered = m.filter(F.col("read_ct") > 5).withColumn(
         "enqueued_at", F.col("enqueued_at") + F.make_dt_interval(secs=F.lit(30)))
-    # A micro-batch a file: in one file the first delivery of a message comes before the later ones.
-    parts = max(1, shuffle_partitions(spark) // 6)
-    src = J.write_in_event_order(m.unionByName(redelivered), src, "enqueued_at", 4, parts)
-    J.st_dedup(J.file_stream(spark, src, m.schema), out, ck).awaitTermination()
+    J.st_dedup(_stream_of(spark, m.unionByName(redelivered), src, "enqueued_at"), out, ck).awaitTermination()
     return spark.read.parquet(out)
 
 

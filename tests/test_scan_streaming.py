@@ -88,6 +88,38 @@ def test_stream_restart_adds_nothing(spark, tmp_dir):
     assert spark.read.parquet(out).count() == n1 == ev.count()
 
 
+def test_dedup_stream_keeps_first_of_one_micro_batch(spark, tmp_dir):
+    """Deliveries of one message in files that one micro-batch reads, the later ones in the file read first."""
+    schema = "msg_id long, enqueued_at timestamp_ntz, n int"
+    src, out, ck = f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/ck"
+    for n in (2, 1, 0):
+        rows = spark.range(400).select(F.when(F.col("id") > 0, F.col("id")).alias("msg_id"), F.timestamp_seconds(1000 + 30 * n + F.col("id") % 7).cast("timestamp_ntz").alias("enqueued_at"), F.lit(n).alias("n"))
+        rows.repartition(3).write.mode("append").parquet(src)
+    J.st_dedup(J.file_stream(spark, src, schema, files_per_trigger=9), out, ck).awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(out).groupBy("n").count().collect()] == [(0, 400)]
+
+
+def test_dedup_stream_takes_few_micro_batches(spark, monkeypatch):
+    from lakeline.plans import q_streams
+
+    taken = []
+    start = J.st_dedup
+
+    def started(*args):
+        taken.append(start(*args))
+        return taken[0]
+
+    monkeypatch.setattr(J, "st_dedup", started)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        got = q_streams.q_st_dedup_stream(spark, SF_SMALL)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got.count() == Fixtures(spark, SF_SMALL).events.count()
+    assert len([p for p in taken[0].recentProgress if p["numInputRows"]]) <= 4
+
+
 def test_ingest_stream_equals_batch(spark, tmp_dir):
     from lakeline.operators import lineage_events as E
 
