@@ -9,6 +9,7 @@ scan (``PushedFilters`` / ``ReadSchema``); writers are executor-side
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Callable
 from typing import Iterator
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+OBJECT_PIECE = 4 << 20  # bytes of a body in a row
 ARROW_BATCH_ROWS = 10_000
 ARROW_FILE_STREAMS = 32  # streams of a file
 ARROW_END = "LAKEARRW"  # follows each stream of a file
@@ -74,12 +76,46 @@ def src_object_list(spark: SparkSession, path: str, glob: str | None = None) ->
     return r.option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
 
 
-def src_object_get(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Object bodies, one row per object (path, length, content)."""
+def src_object_get(spark: SparkSession, path: str, glob: str | None = None, piece: int | None = None) -> DataFrame:
+    """Object bodies, one row per object (path, length, content).
+
+    With ``piece``: (path, length, offset, content), a row per ``piece`` bytes, those of an
+    object one after another in one task.  Files of the local
+    or a mounted file system are then read piece by piece, so a task's memory does not grow
+    with the object; from other stores Spark reads a body whole before it is cut."""
     r = spark.read.format("binaryFile")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
+    objects = r.option("recursiveFileLookup", "true").load(path)
+    if piece is None:
+        return objects.select("path", "length", "content")
+    names, schema = ["path", "length", "offset", "content"], "path string, length long, offset long, content binary"
+
+    def row(name: str, length: int, offset: int, body) -> pa.RecordBatch:
+        body = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(struct.pack("<ii", 0, len(body))), pa.py_buffer(body)])  # not copied
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([length], pa.int64()), pa.array([offset], pa.int64()), body], names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, length, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                body = memoryview(body.as_buffer())
+                for at in range(0, length, piece):
+                    yield row(name, length, at, body[at : at + piece])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, length in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with open("/" + name.removeprefix("file:").lstrip("/"), "rb") as file:
+                    for at in range(0, length, piece):
+                        body = file.read(min(piece, length - at))
+                        if len(body) != min(piece, length - at):
+                            raise OSError(f"{name} ended before its {length} bytes")
+                        yield row(name, length, at, body)
+
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+        return objects.select("path", "length").mapInArrow(fetch, schema)
+    return objects.select("path", "length", "content").mapInArrow(cut, schema)
 
 
 def src_arrow_ipc(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None) -> DataFrame:
