@@ -120,6 +120,21 @@ def test_dedup_stream_takes_few_micro_batches(spark, monkeypatch):
     assert len([p for p in taken[0].recentProgress if p["numInputRows"]]) <= 4
 
 
+def test_ingest_keeps_no_batch_in_executors(spark, tmp_dir, monkeypatch):
+    """A batch's events wait in files, gone afterwards, and not in the executors' memory."""
+    from lakeline.operators import lineage_events as E
+
+    ev = Fixtures(spark, SF_SMALL).ol_events()
+    src, out, ck = f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/ck"
+    src = J.write_in_event_order(ev, src, "ts", 2)
+    held = []
+    monkeypatch.setattr(type(ev), "persist", lambda self, *level: held.append(level) or self)
+    J.st_ingest(spark, src, out, ck).awaitTermination()
+    assert not held and J._stored_partitions(spark, f"{out}/_valid", "batch") == []
+    want = E.ingest(ev)
+    assert J.store_tables(spark, out)["run_events"].count() == want["run_events"].count() > 0
+
+
 def test_ingest_stream_equals_batch(spark, tmp_dir):
     from lakeline.operators import lineage_events as E
 
